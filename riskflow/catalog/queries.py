@@ -9,8 +9,8 @@ from riskflow import config as C
 from riskflow.functions import scores, times
 from riskflow.functions.text import rounded
 from riskflow.operators import (assess, biometrics, cases, features, history, metrics, patterns, profiles,
-                                prompts, ranks, replies, scenarios, training, values)
-from riskflow.operators.point_in_time import point_in_time
+                                prompts, replies, scenarios, training, values)
+from riskflow.operators import point_in_time as pit
 from riskflow.sources import fixtures, requests, tables
 
 AS_OF = fixtures.AS_OF
@@ -22,12 +22,12 @@ def query(fn):
     return fn
 
 
-def _txn(spark, folder, balance=False):
-    return fixtures.transactions(spark, folder, balance)
+def _txn(spark, folder, location=True, balance=False):
+    return fixtures.transactions(spark, folder, location, balance)
 
 
-def _past_and_current(spark, folder, balance=False):
-    txn = _txn(spark, folder, balance)
+def _past_and_current(spark, folder, location=True, balance=False):
+    txn = _txn(spark, folder, location, balance)
     moment = F.lit(AS_OF).cast("timestamp")
     return txn.where(F.col("ts") < moment), txn.where(F.col("ts") >= moment)
 
@@ -56,45 +56,45 @@ def _micros(c):
 @query
 def time_features_serving(spark, folder):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    txn = _txn(spark, folder).select("transaction_id", iso.alias("timestamp"))
+    txn = _txn(spark, folder, location=False).select("transaction_id", iso.alias("timestamp"))
     out = features.with_time_features(features.with_request_time(txn, AS_OF))
     return out.select("transaction_id", "hour_of_day", "day_of_week", "is_weekend", "is_unusual_hour")
 
 
 @query
 def time_features_training(spark, folder):
-    out = features.with_time_features(_txn(spark, folder), mode="training")
+    out = features.with_time_features(_txn(spark, folder, location=False), mode="training")
     return out.select("transaction_id", "hour_of_day", "day_of_week", "is_unusual_hour")
 
 
 @query
 def amount_deviation_training(spark, folder):
-    txn = features.with_history_features(_txn(spark, folder))
+    txn = features.with_history_features(_narrow(spark, folder))
     ratio = scores.deviation_training("transaction_amount", "avg_transaction_amount_7d")
     return txn.select("transaction_id", F.round(ratio, 8).alias("amount_deviation_ratio"))
 
 
 @query
 def amount_deviation_serving(spark, folder):
-    txn = features.with_history_features(_txn(spark, folder))
+    txn = features.with_history_features(_narrow(spark, folder))
     ratio = scores.deviation_serving("transaction_amount", "avg_transaction_amount_7d")
     return txn.select("transaction_id", F.round(ratio, 8).alias("amount_deviation_ratio"))
 
 
 @query
 def high_value_training(spark, folder):
-    return features.high_value_training(_txn(spark, folder)).select("transaction_id", "user_id", "is_high_value")
+    return features.high_value_training(_txn(spark, folder, location=False)).select("transaction_id", "user_id", "is_high_value")
 
 
 @query
 def high_value_serving(spark, folder):
-    return _txn(spark, folder).select(
+    return _txn(spark, folder, location=False).select(
         "transaction_id", scores.high_value_serving("transaction_amount").alias("is_high_value"))
 
 
 @query
 def new_device_training(spark, folder):
-    return _txn(spark, folder).select("transaction_id", scores.new_device_training().alias("is_new_device"))
+    return _txn(spark, folder, location=False).select("transaction_id", scores.new_device_training().alias("is_new_device"))
 
 
 @query
@@ -148,13 +148,13 @@ def risk_band(spark, folder):
 
 @query
 def recent_24h_filter(spark, folder):
-    txn = _txn(spark, folder)
+    txn = _txn(spark, folder, location=False)
     return txn.select("transaction_id", times.within_hours("ts", times.as_time(AS_OF)).alias("is_recent"))
 
 
 @query
 def history_cutoff(spark, folder):
-    past, _ = _past_and_current(spark, folder)
+    past, _ = _past_and_current(spark, folder, location=False)
     rows = history.newest(past, C.HISTORY_DEFAULT_LIMIT, AS_OF, days=7)
     return rows.select("transaction_id", "user_id", "rank")
 
@@ -244,13 +244,13 @@ def user_profile_serving(spark, folder):
 
 @query
 def recent_txn_count(spark, folder):
-    past, _ = _past_and_current(spark, folder)
+    past, _ = _past_and_current(spark, folder, location=False)
     return profiles.recent_counts(past, AS_OF)
 
 
 @query
 def dataset_stats(spark, folder):
-    return profiles.dataset_statistics(_txn(spark, folder)).withColumn("fraud_rate", F.round("fraud_rate", 6))
+    return profiles.dataset_statistics(_txn(spark, folder, location=False)).withColumn("fraud_rate", F.round("fraud_rate", 6))
 
 
 @query
@@ -266,23 +266,29 @@ def txn_profile_enrich(spark, folder):
 
 @query
 def newest_history(spark, folder):
-    return history.newest(_txn(spark, folder)).select("user_id", "transaction_id", "rank")
+    return history.newest(_txn(spark, folder, location=False)).select("user_id", "transaction_id", "rank")
+
+
+def _narrow(spark, folder):
+    """Only the columns that history features read."""
+    return _txn(spark, folder, location=False).select("transaction_id", "user_id", "ts", "transaction_amount",
+                                                      "is_failed", "fraud_label")
 
 
 @query
 def velocity_24h(spark, folder):
-    return point_in_time(_txn(spark, folder)).select("transaction_id", "count_24h")
+    return pit.point_in_time(_narrow(spark, folder), parts=(pit.LAST_24H,)).select("transaction_id", "count_24h")
 
 
 @query
 def rapid_succession(spark, folder):
-    return point_in_time(_txn(spark, folder)).select(
+    return pit.point_in_time(_narrow(spark, folder), parts=(pit.TIMES,)).select(
         "transaction_id", F.col("rapid_succession").cast("int").alias("rapid_succession"))
 
 
 @query
 def rolling_7d_features(spark, folder):
-    return point_in_time(_txn(spark, folder)).select(
+    return pit.point_in_time(_narrow(spark, folder), parts=(pit.ALL, pit.LAST_7D)).select(
         "transaction_id", "count_7d", F.round("avg_transaction_amount_7d", 8).alias("avg_transaction_amount_7d"),
         "failed_transaction_count_7d", "previous_fraudulent_activity", "hist_count", "hist_fraud",
         F.round("hist_avg_amount", 8).alias("hist_avg_amount"))
@@ -290,7 +296,8 @@ def rolling_7d_features(spark, folder):
 
 @query
 def daily_txn_count(spark, folder):
-    return point_in_time(_txn(spark, folder)).select("transaction_id", "daily_transaction_count")
+    return pit.point_in_time(_narrow(spark, folder), parts=(pit.TODAY,)).select(
+        "transaction_id", "daily_transaction_count")
 
 
 @query
@@ -364,7 +371,7 @@ def pattern_counts(spark, folder):
 
 @query
 def biometric_flatten(spark, folder):
-    flat = biometrics.flatten(fixtures.biometric_json(_txn(spark, folder)))
+    flat = biometrics.flatten(fixtures.biometric_json(_txn(spark, folder, location=False)))
     return flat.select(
         "transaction_id", "is_authentic", "verification_result", "overall_confidence", "face_matched",
         "face_similarity", "is_real", "quality_score", "is_live", "liveness_score", "brightness", "top_emotion",
@@ -373,28 +380,28 @@ def biometric_flatten(spark, folder):
 
 @query
 def biometric_risk_factors(spark, folder):
-    flat = biometrics.flatten(fixtures.biometric_json(_txn(spark, folder)))
+    flat = biometrics.flatten(fixtures.biometric_json(_txn(spark, folder, location=False)))
     return flat.select("transaction_id", _joined("photo_risk_factors").alias("risk_factors"),
                        F.size("photo_risk_factors").alias("n_factors"))
 
 
 @query
 def reply_monitor(spark, folder):
-    out = replies.parse_monitor(fixtures.monitor_replies(_txn(spark, folder)))
+    out = replies.parse_monitor(fixtures.monitor_replies(_txn(spark, folder, location=False)))
     return out.select("transaction_id", F.when(F.col("error").isNull(), F.col("verdict")).alias("verdict"),
                       _joined("risk_factors").alias("risk_factors"), "recommended_action", "reasoning", "error")
 
 
 @query
 def reply_photo(spark, folder):
-    out = replies.parse_photo(fixtures.monitor_replies(_txn(spark, folder)))
+    out = replies.parse_photo(fixtures.monitor_replies(_txn(spark, folder, location=False)))
     return out.select("transaction_id", "verdict", _joined("risk_assessment").alias("risk_assessment"),
                       "recommended_action", "error")
 
 
 @query
 def reply_assessment(spark, folder):
-    out = replies.parse_assessment(fixtures.assessment_replies(_txn(spark, folder)))
+    out = replies.parse_assessment(fixtures.assessment_replies(_txn(spark, folder, location=False)))
     return out.select("transaction_id", "final_verdict", "confidence_score", "risk_level", "risk_summary",
                       _joined("key_findings").alias("key_findings"), "decision_reasoning", "recommended_action",
                       "error")
@@ -462,17 +469,12 @@ def assessment_summary(spark, folder):
 @query
 def prompt_requests(spark, folder):
     """All five request tables; the texts are checked for being there, whole and filled in."""
-    joined = _prompt_input(spark, folder)
-    parts = [prompts.requests(joined if a != "photo" else joined.where(F.col("photo_path").isNotNull()), a)
-             for a in C.REQUEST_PARAMETERS if a != "case_report"]
     risky = _cases(spark, folder).select("transaction_id", "case_id", "risk_score", "status")
-    parts.append(prompts.requests(joined.join(risky, "transaction_id").withColumn(
-        "llm_reasoning", F.lit(None).cast("string")), "case_report"))
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    return both.select("transaction_id", "agent", "max_tokens", "temperature",
-                       (F.length("prompt") > 100).alias("has_prompt"))
+    joined = _prompt_input(spark, folder).join(risky, "transaction_id", "left")
+    asked = {"monitor": None, "evidence": None, "photo": F.col("photo_path").isNotNull(), "assessment": None,
+             "case_report": F.col("case_id").isNotNull()}
+    return prompts.requests(joined, asked).select(
+        "transaction_id", "agent", "max_tokens", "temperature", (F.length("prompt") > 100).alias("has_prompt"))
 
 
 def _prompt_input(spark, folder):
@@ -480,7 +482,7 @@ def _prompt_input(spark, folder):
     photo = _photo(spark, folder).withColumnRenamed("error", "photo_error").withColumn(
         "photo_verdict", F.lit(None).cast("string"))
     return (detected.join(_monitor(spark, folder), "transaction_id", "left").join(photo, "transaction_id", "left")
-            .withColumn("llm_summary", F.lit(None).cast("string")))
+            .withColumns({c: F.lit(None).cast("string") for c in ("llm_summary", "llm_reasoning")}))
 
 
 # --- machine learning ------------------------------------------------------------------------
@@ -499,13 +501,13 @@ def label_encode(spark, folder):
 
 @query
 def stratified_split_counts(spark, folder):
-    out = training.stratified_split(_txn(spark, folder).select("transaction_id", "fraud_label"))
+    out = training.stratified_split(_txn(spark, folder, location=False).select("transaction_id", "fraud_label"))
     return out.groupBy("fraud_label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def class_balance(spark, folder):
-    return metrics.class_balance(_txn(spark, folder)).withColumn("fraud_ratio", F.round("fraud_ratio", 6))
+    return metrics.class_balance(_txn(spark, folder, location=False)).withColumn("fraud_ratio", F.round("fraud_ratio", 6))
 
 
 @query

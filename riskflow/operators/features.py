@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions import scores, times
+from riskflow.operators import point_in_time as pit
 from riskflow.operators import values
-from riskflow.operators.point_in_time import point_in_time
 from riskflow.operators.skew import join_per_key
 
 
@@ -72,7 +72,7 @@ def with_history_features(txn: DataFrame, hot=None) -> DataFrame:
     """Adds the raw columns that depend on history: daily count, 7-day average and failures, prior fraud."""
     added = ["daily_transaction_count", "avg_transaction_amount_7d", "failed_transaction_count_7d",
              "previous_fraudulent_activity"]
-    full = point_in_time(txn.drop(*added), hot=hot)
+    full = pit.point_in_time(txn.drop(*added), parts=(pit.ALL, pit.LAST_7D, pit.TODAY), hot=hot)
     return full.select(*[c for c in txn.columns if c not in added], *added)
 
 

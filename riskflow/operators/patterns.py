@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskflow import config as C
 from riskflow.functions.text import plain, template
 from riskflow.operators import features, history, profiles, values
-from riskflow.operators.point_in_time import point_in_time
+from riskflow.operators import point_in_time as pit
 from riskflow.operators.skew import hot_keys, join_per_key
 
 
@@ -50,21 +50,12 @@ def new_against(current: DataFrame, past: DataFrame, hot=None) -> DataFrame:
     for field, column in values.KNOWN_FIELDS.items():
         side = known.where(F.col("field") == field).select(
             "user_id", F.col("value").alias(column), F.lit(True).alias("__known"))
-        out = _join_value(out, side, column, hot).withColumn(
-            f"new_{field}", F.col("__known").isNull() & (F.coalesce(column, F.lit("")) != "")).drop("__known")
+        out = join_per_key(out, side, ["user_id", column], "transaction_id", hot=hot, hot_on="user_id")
+        out = out.withColumn(f"new_{field}", F.expr(f"__known IS NULL AND coalesce({column}, '') != ''")) \
+            .drop("__known")
     return out
 
 
-def _join_value(rows: DataFrame, side: DataFrame, column: str, hot: DataFrame) -> DataFrame:
-    """Left join on (user, value); a hot user's rows, and with them its values, are spread over its pieces."""
-    hot = F.broadcast(hot.select("user_id", "pieces"))
-    piece = F.coalesce(F.pmod(F.xxhash64("transaction_id"), F.col("pieces")), F.lit(0)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1))
-    left = rows.join(hot, "user_id", "left").withColumn("__piece", piece).drop("pieces")
-    right = side.join(hot, "user_id", "left").withColumn("__piece", copies).drop("pieces")
-    return left.join(right, ["user_id", column, "__piece"], "left").drop("__piece")
-
-
 def detect_snapshot(current: DataFrame, past: DataFrame, as_of, velocity_limit=C.VELOCITY_LIMIT,
                     cut_lists_first=False) -> DataFrame:
     """Current transactions against the history before `as_of`, with the user's snapshot columns.
@@ -96,7 +87,7 @@ def detect_point_in_time(txn: DataFrame, velocity_limit=C.VELOCITY_LIMIT, histor
 
     The 24-hour count is taken over at most `history_limit` newest rows, as in the snapshot form.
     """
-    df = features.first_seen_flags(point_in_time(txn))
+    df = features.first_seen_flags(pit.point_in_time(txn, parts=(pit.ALL, pit.LAST_24H, pit.TIMES)))
     rules = _rules(F.col("transaction_amount"), F.col("hist_avg_amount"),
                    F.least("count_24h", F.lit(history_limit)),
                    F.col("is_new_device") == 1, F.col("is_new_location") == 1, F.col("is_new_merchant") == 1,

@@ -11,122 +11,140 @@ slices hand over (net sums, the newest times) is at most 2 * shares rows and is
 History of a row = earlier rows of the same user in (ts, transaction_id) order; horizons include their edge.
 """
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions.times import DAY_US, HOUR_US, micros
-from riskflow.operators.skew import hot_keys
+from riskflow.operators.skew import HotKeys, hot_keys
 
 # Exact type for sums that are added and later taken away again.
-MONEY = "decimal(18,6)"
-
-_COUNTERS = ["all_n", "all_amount", "all_fraud", "n_24h", "n_7d", "amount_7d", "failed_7d", "n_today"]
-_TIMES = ["t1", "t2", "t3"]
-
-
-def _event(at: Column, kind: int, row: Column, seen: Column, **counts) -> Column:
-    zero = {c: F.lit(0).cast("long") for c in _COUNTERS}
-    for c in ("all_amount", "amount_7d"):
-        zero[c] = F.lit(0).cast(MONEY)
-    zero.update(counts)
-    return F.struct(at.alias("at"), F.lit(kind).alias("kind"), seen.alias("seen"),
-                    *[zero[c].alias(c) for c in _COUNTERS], row.alias("row"))
-
-
-def _events(rows: DataFrame, user: str) -> DataFrame:
-    t = F.col("__t")
-    row = F.struct(*[c for c in rows.columns if c not in (user, "__t")])
-    nothing = F.lit(None).cast(rows.select(row.alias("r")).schema["r"].dataType)
-    never = F.lit(None).cast("long")
-    # A row without a time keeps its place in the result but is nobody's history.
-    one = t.isNotNull().cast("long")
-    amount = F.coalesce(F.col("transaction_amount").cast(MONEY) * one, F.lit(0)).cast(MONEY)
-    failed = one * F.coalesce(F.col("is_failed").cast("long"), F.lit(0))
-    fraud = one * F.coalesce((F.col("fraud_label") == 1).cast("long"), F.lit(0))
-    midnight = micros(F.date_add(F.to_date("ts"), 1))
-    enter = _event(t, 0, row, t, all_n=one, all_amount=amount, all_fraud=fraud, n_24h=one, n_7d=one,
-                   amount_7d=amount, failed_7d=failed, n_today=one)
-    leave_day = _event(midnight - 1, 1, nothing, never, n_today=-one)
-    leave_24h = _event(t + 24 * HOUR_US, 1, nothing, never, n_24h=-one)
-    leave_7d = _event(t + 7 * DAY_US, 1, nothing, never, n_7d=-one, amount_7d=(-amount).cast(MONEY),
-                      failed_7d=-failed)
-    return rows.select(user, F.inline(F.array(enter, leave_day, leave_24h, leave_7d)))
-
-
-def _sliced(events: DataFrame, hot: DataFrame, user: str) -> DataFrame:
+MONEY = "DECIMAL(18,6)"
+
+ALL, LAST_24H, LAST_7D, TODAY, TIMES = "all", "24h", "7d", "today", "times"
+EVERYTHING = (ALL, LAST_24H, LAST_7D, TODAY, TIMES)
+
+# An event of a row without a time counts 0: the row keeps its place in the result but is nobody's history.
+_ONE = "CAST(__t IS NOT NULL AS BIGINT)"
+_AMOUNT = f"CAST(IF(__t IS NULL, 0, coalesce(transaction_amount, 0)) AS {MONEY})"
+_FAILED = f"{_ONE} * coalesce(CAST(is_failed AS BIGINT), 0)"
+_FRAUD = f"{_ONE} * coalesce(CAST(fraud_label = 1 AS BIGINT), 0)"
+
+# Per horizon: counter -> what a row adds, and when the row leaves (None = never).
+_COUNTERS = {
+    ALL: ({"all_n": _ONE, "all_amount": _AMOUNT, "all_fraud": _FRAUD}, None),
+    LAST_24H: ({"n_24h": _ONE}, f"__t + {24 * HOUR_US}"),
+    LAST_7D: ({"n_7d": _ONE, "amount_7d": _AMOUNT, "failed_7d": _FAILED}, f"__t + {7 * DAY_US}"),
+    # the last microsecond of the day: events of one time come after the rows of that time
+    TODAY: ({"n_today": _ONE}, "unix_micros(CAST(date_add(to_date(ts), 1) AS TIMESTAMP)) - 1"),
+}
+_MONEY_COUNTERS = {"all_amount", "amount_7d"}
+
+
+def _counters(parts) -> list:
+    return [c for p in parts if p in _COUNTERS for c in _COUNTERS[p][0]]
+
+
+def _events(rows: DataFrame, user: str, parts) -> DataFrame:
+    """(user, at, kind 0 = enters / 1 = leaves, seen, counters, row): one entering event per row."""
+    names = _counters(parts)
+    carried = [c for c in rows.columns if c not in (user, "__t")]
+    row = "named_struct({})".format(", ".join(f"'{c}', `{c}`" for c in carried))
+
+    def event(at, kind, amounts, seen, payload):
+        sums = "".join(", '{}', {}".format(
+            c, amounts.get(c, f"CAST(0 AS {MONEY if c in _MONEY_COUNTERS else 'BIGINT'})")) for c in names)
+        return f"named_struct('at', {at}, 'kind', {kind}, 'seen', {seen}{sums}, 'row', {payload})"
+
+    adds = {c: expression for p in parts if p in _COUNTERS for c, expression in _COUNTERS[p][0].items()}
+    events = [event("__t", 0, adds, "__t", row)]
+    for p in parts:
+        if p in _COUNTERS and _COUNTERS[p][1]:
+            takes = {c: f"CAST(-({e}) AS {MONEY if c in _MONEY_COUNTERS else 'BIGINT'})"
+                     for c, e in _COUNTERS[p][0].items()}
+            events.append(event(_COUNTERS[p][1], 1, takes, "CAST(NULL AS BIGINT)", "NULL"))
+    return rows.selectExpr(user, f"inline(array({', '.join(events)}))")
+
+
+def _sliced(events: DataFrame, hot: HotKeys, user: str) -> DataFrame:
     """Slice number of each event; events after a hot user's last row change nothing and are dropped."""
-    width = F.floor((F.col("hi") - F.col("lo")) / F.col("pieces")).cast("long") + 1
-    return (events.join(F.broadcast(hot), user, "left")
-            .where(F.coalesce(F.col("at") <= F.col("hi"), F.lit(True)))
-            .withColumn("slice", F.coalesce(F.floor((F.col("at") - F.col("lo")) / width), F.lit(0)).cast("int"))
-            .drop("lo", "hi"))
+    if not hot:
+        return events.withColumn("slice", F.lit(0))
+    return (hot.attach(events, user).where("coalesce(at <= hi, true)")
+            .selectExpr(*events.columns, "pieces",
+                        "CAST(coalesce((at - lo) DIV ((hi - lo) DIV pieces + 1), 0) AS INT) AS slice"))
 
 
-def _carried(sliced: DataFrame, user: str) -> DataFrame:
+def _carried(sliced: DataFrame, user: str, parts) -> DataFrame:
     """For each slice of a hot user: sums and the three newest times of all earlier slices."""
-    cut = sliced.where(F.col("pieces").isNotNull())
-    sums = cut.groupBy(user, "slice").agg(*[F.sum(c).alias(c) for c in _COUNTERS])
-    newest = W.partitionBy(user, "slice").orderBy(F.desc("seen"), F.desc("row.transaction_id"))
-    times = (cut.where(F.col("seen").isNotNull()).select(user, "slice", "seen", "row")
-             .withColumn("k", F.row_number().over(newest)).where(F.col("k") <= C.RAPID_ROWS)
-             .groupBy(user, "slice").agg(F.sort_array(F.collect_list("seen"), asc=False).alias("times")))
-    reach = W.partitionBy(user).orderBy("slice")
-    sums = sums.select(user, "slice", *[F.sum(c).over(reach.rowsBetween(W.unboundedPreceding, -1))
-                                        .alias(f"before_{c}") for c in _COUNTERS])
+    names = _counters(parts)
+    cut = sliced.where("pieces IS NOT NULL")
+    earlier = f"OVER (PARTITION BY {user} ORDER BY slice ROWS BETWEEN"
+    out = cut.groupBy(user, "slice").agg(F.expr("count(seen)").alias("n_rows"),
+                                         *[F.expr(f"sum({c})").alias(c) for c in names])
+    out = out.selectExpr(user, "slice", *[f"sum({c}) {earlier} UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_{c}"
+                                          for c in names])
+    if TIMES not in parts:
+        return out
+    newest = f"row_number() OVER (PARTITION BY {user}, slice ORDER BY seen DESC, row.transaction_id DESC)"
+    times = (cut.where("seen IS NOT NULL").selectExpr(user, "slice", "seen", f"{newest} AS place")
+             .where(f"place <= {C.RAPID_ROWS}").groupBy(user, "slice")
+             .agg(F.expr("sort_array(collect_list(seen), false)").alias("times")))
     # Every row of `times` holds at least one time, so the three rows before it hold the three newest.
-    handed = F.flatten(F.collect_list("times").over(reach.rowsBetween(-C.RAPID_ROWS, -1)))
-    times = times.select(user, "slice", F.slice(F.sort_array(handed, asc=False), 1, C.RAPID_ROWS)
-                         .alias("before_times"))
-    return sums.join(times, [user, "slice"], "left")
+    handed = f"flatten(collect_list(times) {earlier} {C.RAPID_ROWS} PRECEDING AND 1 PRECEDING))"
+    times = times.selectExpr(user, "slice",
+                             f"slice(sort_array({handed}, false), 1, {C.RAPID_ROWS}) AS before_times")
+    return out.join(times, [user, "slice"], "left")
 
 
-def point_in_time(txn: DataFrame, user="user_id", hot=None) -> DataFrame:
-    """Adds to every transaction what was known about its user just before it.
+def busy_users(txn: DataFrame, user="user_id") -> HotKeys:
+    """Hot users with the time span of their rows."""
+    return hot_keys(txn.select(user, micros("ts").alias("__t")), user,
+                    [F.min("__t").alias("lo"), F.max("__t").alias("hi")])
 
-    hist_count, hist_avg_amount, hist_fraud: all earlier rows
-    count_24h, count_7d, failed_transaction_count_7d, avg_transaction_amount_7d (null without rows)
-    daily_transaction_count: earlier rows of the same calendar day
-    previous_fraudulent_activity: 1 when an earlier row was labelled fraud
-    rapid_succession: the three newest earlier rows lie within 24 h and span less than one hour
+
+def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys = None) -> DataFrame:
+    """Adds to every transaction what was known about its user just before it; `parts` limits the work.
+
+    all    hist_count, hist_avg_amount, hist_fraud and previous_fraudulent_activity (0/1): all earlier rows
+    24h    count_24h
+    7d     count_7d, failed_transaction_count_7d, avg_transaction_amount_7d (null without rows)
+    today  daily_transaction_count: earlier rows of the same calendar day
+    times  rapid_succession: the three newest earlier rows lie within 24 h and span less than one hour
     """
     rows = txn.withColumn("__t", micros("ts"))
-    if hot is None:
-        hot = hot_keys(rows.select(user, "__t"), user, [F.min("__t").alias("lo"), F.max("__t").alias("hi")])
-    sliced = _sliced(_events(rows, user), hot, user)
-    ordered = W.partitionBy(user, "slice").orderBy("at", "kind", "row.transaction_id")
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
-    spec = f"(PARTITION BY {user}, slice ORDER BY at, kind, row.transaction_id)"
-    local = sliced.select(
-        "*", *[F.sum(c).over(before).alias(f"sum_{c}") for c in _COUNTERS],
-        F.count("seen").over(before).alias("rank"),
-        *[F.expr(f"lag(seen, {k}) IGNORE NULLS OVER {spec}").alias(t) for k, t in enumerate(_TIMES, 1)])
-    rows_only = local.where(F.col("kind") == 0)
-    carried = rows_only.join(F.broadcast(_carried(sliced, user)), [user, "slice"], "left")
+    hot = busy_users(txn, user) if hot is None else hot
+    sliced = _sliced(_events(rows, user, parts), hot, user)
+    window = f"PARTITION BY {user}, slice ORDER BY at, kind, row.transaction_id"
+    before = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    lags = [f"lag(seen, {k}) IGNORE NULLS OVER ({window}) AS t{k}" for k in range(1, C.RAPID_ROWS + 1)] \
+        if TIMES in parts else []
+    local = sliced.selectExpr(user, "slice", "at", "kind", "row", f"count(seen) {before} AS place", *lags,
+                              *[f"sum({c}) {before} AS sum_{c}" for c in _counters(parts)]).where("kind = 0")
+    if hot:
+        local = local.join(F.broadcast(_carried(sliced, user, parts)), [user, "slice"], "left")
 
     def total(name):
-        zero = F.lit(0)
-        return F.coalesce(f"sum_{name}", zero) + F.coalesce(f"before_{name}", zero)
+        return f"(coalesce(sum_{name}, 0) + coalesce(before_{name}, 0))" if hot else f"coalesce(sum_{name}, 0)"
 
     def newest(k):
-        from_earlier = F.get("before_times", (F.lit(k - 1) - F.col("rank")).cast("int"))
-        return F.when(F.col("rank") >= k, F.col(_TIMES[k - 1])).otherwise(from_earlier)
-
-    n_all, n_7d = total("all_n"), total("n_7d")
-    first, third = newest(1), newest(3)
-    rapid = (third >= F.col("at") - 24 * HOUR_US) & (first - third < C.RAPID_HOURS * HOUR_US)
-    out = carried.select(
-        user, "row.*",
-        n_all.cast("long").alias("hist_count"),
-        F.when(n_all > 0, total("all_amount").cast("double") / n_all).alias("hist_avg_amount"),
-        total("all_fraud").cast("long").alias("hist_fraud"),
-        total("n_24h").cast("long").alias("count_24h"),
-        n_7d.cast("long").alias("count_7d"),
-        F.when(n_7d > 0, total("amount_7d").cast("double") / n_7d).alias("avg_transaction_amount_7d"),
-        total("failed_7d").cast("int").alias("failed_transaction_count_7d"),
-        total("n_today").cast("int").alias("daily_transaction_count"),
-        (total("all_fraud") > 0).cast("int").alias("previous_fraudulent_activity"),
-        F.coalesce(rapid, F.lit(False)).alias("rapid_succession"))
-    added = [c for c in out.columns if c not in txn.columns]
-    return out.select(*txn.columns, *added)
+        """Time of the k-th newest earlier row: of this slice, or handed over by the earlier ones."""
+        return f"IF(place >= {k}, t{k}, get(before_times, CAST({k} - 1 - place AS INT)))" if hot else f"t{k}"
+
+    rapid = (f"coalesce({newest(C.RAPID_ROWS)} >= at - {C.RECENT_HOURS * HOUR_US} AND "
+             f"{newest(1)} - {newest(C.RAPID_ROWS)} < {C.RAPID_HOURS * HOUR_US}, false)")
+    results = {
+        ALL: {"hist_count": total("all_n"),
+              "hist_avg_amount": f"CAST({total('all_amount')} AS DOUBLE) / nullif({total('all_n')}, 0)",
+              "hist_fraud": total("all_fraud"),
+              "previous_fraudulent_activity": f"CAST({total('all_fraud')} > 0 AS INT)"},
+        LAST_24H: {"count_24h": total("n_24h")},
+        LAST_7D: {"count_7d": total("n_7d"),
+                  "avg_transaction_amount_7d": f"CAST({total('amount_7d')} AS DOUBLE) / nullif({total('n_7d')}, 0)",
+                  "failed_transaction_count_7d": f"CAST({total('failed_7d')} AS INT)"},
+        TODAY: {"daily_transaction_count": f"CAST({total('n_today')} AS INT)"},
+        TIMES: {"rapid_succession": rapid},
+    }
+    added = [f"{e} AS {name}" for p in parts for name, e in results[p].items()]
+    kept = [c if c == user else f"row.`{c}` AS `{c}`" for c in txn.columns]
+    return local.selectExpr(*kept, *added)

@@ -159,8 +159,14 @@ _TEMPLATES = {"monitor": monitor, "evidence": evidence, "photo": photo, "assessm
               "case_report": case_report}
 
 
-def requests(df: DataFrame, agent: str) -> DataFrame:
-    tokens, temperature = C.REQUEST_PARAMETERS[agent]
-    return df.select("transaction_id", F.lit(agent).alias("agent"), _TEMPLATES[agent]().alias("prompt"),
-                     F.lit(tokens).cast("int").alias("max_tokens"),
-                     F.lit(temperature).cast("double").alias("temperature"))
+def requests(df: DataFrame, agents) -> DataFrame:
+    """One row per transaction and agent. `agents` maps an agent to the condition under which it is asked
+    (None = always); all prompts are written in one pass over the rows."""
+    rows = []
+    for agent, condition in agents.items():
+        tokens, temperature = C.REQUEST_PARAMETERS[agent]
+        row = F.struct(F.lit(agent).alias("agent"), _TEMPLATES[agent]().alias("prompt"),
+                       F.lit(tokens).cast("int").alias("max_tokens"),
+                       F.lit(temperature).cast("double").alias("temperature"))
+        rows.append(row if condition is None else F.when(condition, row))
+    return df.select("transaction_id", F.inline(F.array_compact(F.array(*rows))))

@@ -29,26 +29,27 @@ def is_json_object(text) -> Column:
     return is_json(text) & F.coalesce(col(text).rlike(r"^\s*\{"), F.lit(False))
 
 
-def reply_error(text) -> Column:
-    """Error of a reply that is missing, or is JSON but no object (such a reply stops its branch)."""
-    text = col(text)
-    return (F.when(text.isNull(), F.lit("no reply"))
-            .when(is_json(text) & ~text.rlike(r"^\s*\{"), F.lit("reply is not a JSON object")))
-
+def _read(df: DataFrame, reply: str, schema: str, fallback, verdict_field=None) -> DataFrame:
+    """One column per reply field, plus `error` for a reply that is missing or is JSON but no object.
 
-def _fields(text: Column, schema: str, fallback: dict, verdict_field=None) -> dict:
-    """Column per reply field: the parsed value, or the fallback when the text is no JSON object."""
-    parsed = F.from_json(text, schema, _STRICT)
-    ok = is_json_object(text)
-    out = {}
+    fallback(text, error) gives the values used when the text is no JSON object. The text is parsed in one
+    projection and the fields are taken from the result in the next, so each parse happens once per row.
+    """
+    text = F.col(reply)
+    keys = F.map_keys(F.from_json(text, "map<string,string>", _STRICT)) if verdict_field else F.lit(None)
+    parsed = df.withColumns({"__json": is_json(text), "__object": text.rlike(r"^\s*\{"),
+                             "__fields": F.from_json(text, schema, _STRICT), "__keys": keys})
+    error = (F.when(text.isNull(), F.lit("no reply"))
+             .when(F.col("__json") & ~F.col("__object"), F.lit("reply is not a JSON object")))
+    good = F.coalesce(F.col("__json") & F.col("__object"), F.lit(False))
+    otherwise = fallback(text, error)
+    columns = {}
     for name in T.StructType.fromDDL(schema).names:
-        value = parsed[name]
-        if name == verdict_field:
-            keys = F.map_keys(F.from_json(text, "map<string,string>", _STRICT))
-            value = F.when(F.array_contains(keys, name), value).otherwise(F.lit(C.REPLY_VERDICT))
-        missing = fallback.get(name, F.lit(None))
-        out[name] = F.when(ok, value).otherwise(missing)
-    return out
+        value = F.col(f"__fields.{name}")
+        if name == verdict_field:  # absent differs from null
+            value = F.when(F.array_contains("__keys", name), value).otherwise(F.lit(C.REPLY_VERDICT))
+        columns[name] = F.when(good, value).otherwise(otherwise.get(name, F.lit(None)))
+    return parsed.withColumns({**columns, "error": error}).drop("__json", "__object", "__fields", "__keys")
 
 
 def _texts(items) -> Column:
@@ -57,20 +58,17 @@ def _texts(items) -> Column:
 
 def parse_monitor(df: DataFrame, reply="reply") -> DataFrame:
     """Adds verdict (REVIEW when absent), risk_factors, recommended_action, reasoning and error."""
-    text = F.col(reply)
-    fallback = {"verdict": F.lit(C.REPLY_VERDICT), "risk_factors": _texts([C.MONITOR_FALLBACK_FACTOR]),
-                "recommended_action": F.lit(C.MANUAL_REVIEW), "reasoning": text}
-    return df.withColumns({**_fields(text, MONITOR_REPLY, fallback, "verdict"), "error": reply_error(reply)})
+    return _read(df, reply, MONITOR_REPLY, lambda text, error: {
+        "verdict": F.lit(C.REPLY_VERDICT), "risk_factors": _texts([C.MONITOR_FALLBACK_FACTOR]),
+        "recommended_action": F.lit(C.MANUAL_REVIEW), "reasoning": text}, "verdict")
 
 
 def parse_photo(df: DataFrame, reply="reply") -> DataFrame:
     """Like the monitor reply; the verdict is always text, so an explicit null reads "None"."""
-    text = F.col(reply)
-    fallback = {"verdict": F.lit(C.REPLY_VERDICT), "risk_assessment": _texts([C.PHOTO_FALLBACK_FINDING]),
-                "recommended_action": F.lit(C.MANUAL_REVIEW), "reasoning": text}
-    fields = _fields(text, PHOTO_REPLY, fallback, "verdict")
-    fields["verdict"] = F.coalesce(fields["verdict"], F.lit("None"))
-    return df.withColumns({**fields, "error": reply_error(reply)})
+    out = _read(df, reply, PHOTO_REPLY, lambda text, error: {
+        "verdict": F.lit(C.REPLY_VERDICT), "risk_assessment": _texts([C.PHOTO_FALLBACK_FINDING]),
+        "recommended_action": F.lit(C.MANUAL_REVIEW), "reasoning": text}, "verdict")
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit("None")))
 
 
 def parse_assessment(df: DataFrame, reply="reply") -> DataFrame:
@@ -79,22 +77,19 @@ def parse_assessment(df: DataFrame, reply="reply") -> DataFrame:
     Bad JSON gives REVIEW / 50 / MEDIUM and the first 500 characters of the text; a reply that is missing or
     no object gives REVIEW / 0 / UNKNOWN with an error. Keys absent from a good reply stay null.
     """
-    text = F.col(reply)
-    bad, broken, error = C.ASSESSMENT_FALLBACK, C.ASSESSMENT_ERROR, reply_error(reply)
-
-    def fixed(name):
-        return F.when(error.isNotNull(), F.lit(broken[name])).otherwise(F.lit(bad[name]))
-
-    fallback = {
-        "final_verdict": F.lit(C.REPLY_VERDICT), "recommended_action": F.lit(C.MANUAL_REVIEW),
-        "confidence_score": fixed("confidence_score"), "risk_level": fixed("risk_level"),
-        "risk_summary": F.when(error.isNotNull(), template(broken["risk_summary"], error))
-        .otherwise(F.lit(bad["risk_summary"])),
-        "key_findings": F.when(error.isNotNull(), _texts(broken["key_findings"]))
-        .otherwise(_texts(bad["key_findings"])),
-        "decision_reasoning": F.when(error.isNotNull(), F.lit(broken["decision_reasoning"]))
-        .otherwise(F.substring(text, 1, C.REPORT_EXCERPT)),
-    }
-    fields = _fields(text, ASSESSMENT_REPLY, fallback)
-    fields["confidence_score"] = fields["confidence_score"].try_cast("double")
-    return df.withColumns({**fields, "error": error})
+    bad, broken = C.ASSESSMENT_FALLBACK, C.ASSESSMENT_ERROR
+
+    def fallback(text, error):
+        def either(on_error, on_text):
+            return F.when(error.isNotNull(), on_error).otherwise(on_text)
+        return {
+            "final_verdict": F.lit(C.REPLY_VERDICT), "recommended_action": F.lit(C.MANUAL_REVIEW),
+            "confidence_score": either(F.lit(broken["confidence_score"]), F.lit(bad["confidence_score"])),
+            "risk_level": either(F.lit(broken["risk_level"]), F.lit(bad["risk_level"])),
+            "risk_summary": either(template(broken["risk_summary"], error), F.lit(bad["risk_summary"])),
+            "key_findings": either(_texts(broken["key_findings"]), _texts(bad["key_findings"])),
+            "decision_reasoning": either(F.lit(broken["decision_reasoning"]),
+                                         F.substring(text, 1, C.REPORT_EXCERPT))}
+
+    out = _read(df, reply, ASSESSMENT_REPLY, fallback)
+    return out.withColumn("confidence_score", F.col("confidence_score").try_cast("double"))

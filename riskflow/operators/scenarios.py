@@ -28,8 +28,8 @@ def scenario_samples(enhanced: DataFrame, velocity=C.VELOCITY_SCENARIO_COUNT, ta
              .select(F.explode(matched).alias("scenario_name"), F.struct(*columns).alias("row"))
              .groupBy("scenario_name").agg(F.min_by("row", F.struct("row.ts", "row.transaction_id")).alias("row"))
              .select("scenario_name", "row.*"))
-    plain = first.where(F.col("scenario_name") != C.SCENARIO_NAMES[2])
-    photo_attack = first.where(F.col("scenario_name") == C.SCENARIO_NAMES[2]).withColumns({
-        "uploaded_photo_path": F.lit(photo), "biometric_match_score": F.lit(C.TAKEOVER_MATCH_SCORE),
-        "deepfake_confidence": F.lit(C.TAKEOVER_DEEPFAKE_CONFIDENCE)})
-    return plain.unionByName(photo_attack, allowMissingColumns=True)
+    takeover_row = F.col("scenario_name") == C.SCENARIO_NAMES[2]
+    return first.withColumns({
+        "uploaded_photo_path": F.when(takeover_row, F.lit(photo)),
+        "biometric_match_score": F.when(takeover_row, F.lit(C.TAKEOVER_MATCH_SCORE)),
+        "deepfake_confidence": F.when(takeover_row, F.lit(C.TAKEOVER_DEEPFAKE_CONFIDENCE))})

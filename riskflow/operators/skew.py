@@ -2,42 +2,64 @@
 
 A key is *hot* when it alone has more rows than one reduce task should get, that is more than
 1/shares of all rows, with shares = spark.sql.shuffle.partitions. There are fewer than `shares` such keys
-whatever the data, and their pieces add up to at most 2 * shares, so everything built from the list of
-hot keys alone has a proven bound and may be broadcast.
+whatever the data, and their pieces add up to at most 2 * shares. So the list of hot keys, and anything with a
+row per piece, has a proven bound: the list is fetched once per job (one pass over the key column,
+pre-aggregated on the map side) and broadcast. Without hot keys the plans are the plain ones.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.session import shares
 
 
-def hot_keys(df: DataFrame, key, extra=(), max_pieces=None) -> DataFrame:
-    """One row per hot key: the key, `pieces` (how many tasks its rows deserve) and extra aggregates.
+@dataclass(frozen=True)
+class HotKeys:
+    """`frame` holds the key, its extra aggregates and `pieces`, the number of tasks its rows deserve."""
 
-    Reads only the key (and the columns of `extra`), pre-aggregated on the map side.
-    """
+    frame: DataFrame = None
+
+    def attach(self, df: DataFrame, on) -> DataFrame:
+        """`df` with the columns of its hot key, null for all other rows."""
+        return df.join(F.broadcast(self.frame), on, "left")
+
+    def __bool__(self):
+        return self.frame is not None
+
+
+NONE_HOT = HotKeys()
+
+
+def hot_keys(df: DataFrame, key, extra=(), parts=None) -> HotKeys:
+    """Finds the hot keys of a table; runs a job that reads only the key and the columns of `extra`."""
     keys = [key] if isinstance(key, str) else list(key)
-    parts = max_pieces or shares(df.sparkSession)
+    parts = parts or shares(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *extra)
     total = counts.agg(F.sum("__n")).scalar()
-    pieces = F.ceil(F.col("__n") * parts / total).cast("int").alias("pieces")
-    names = [c for c in counts.columns if c not in keys and c != "__n"]
-    return counts.where(F.col("__n") * parts > total).select(*keys, *names, pieces)
+    hot = counts.where(F.col("__n") * parts > total).withColumn(
+        "pieces", F.ceil(F.col("__n") * parts / total).cast("int")).drop("__n")
+    rows = hot.collect()  # fewer than `parts` rows
+    return HotKeys(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else NONE_HOT
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, on, spread: str, how="left", hot=None) -> DataFrame:
-    """Join many rows to at most one row per key, without one task getting a hot key's rows.
+def join_per_key(rows: DataFrame, few: DataFrame, on, spread: str, how="left", hot: HotKeys = None,
+                 hot_on=None) -> DataFrame:
+    """Join many rows to few rows per key, without one task getting all rows of a hot key.
 
-    Rows of a hot key are spread over its pieces by `spread` (a row identifier); the matching row of
-    `per_key` is repeated once per piece. All other rows take piece 0.
+    `few` has at most one row per combination of the `on` columns. Rows of a hot key are spread over its
+    pieces by `spread` (a row identifier), and its rows in `few` are repeated once per piece; all other rows
+    take piece 0. `hot` belongs to the columns `hot_on`, by default all of `on`.
     """
     on = [on] if isinstance(on, str) else list(on)
-    hot = hot_keys(rows.select(*on), on) if hot is None else hot.select(*on, "pieces")
-    hot = F.broadcast(hot)
-    piece = F.coalesce(F.pmod(F.xxhash64(spread), F.col("pieces")), F.lit(0)).cast("int")
-    spread_rows = rows.join(hot, on, "left").withColumn("__piece", piece).drop("pieces")
-    copies = (per_key.join(hot, on, "left")
-              .withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1)))
-              .drop("pieces"))
+    hot_on = on if hot_on is None else hot_on
+    hot = hot_keys(rows, hot_on) if hot is None else hot
+    if not hot:
+        return rows.join(few, on, how)
+    hot = HotKeys(hot.frame.select(*([hot_on] if isinstance(hot_on, str) else hot_on), "pieces"))
+    piece = f"CAST(coalesce(pmod(xxhash64({spread}), pieces), 0) AS INT)"
+    spread_rows = hot.attach(rows, hot_on).withColumn("__piece", F.expr(piece)).drop("pieces")
+    copies = hot.attach(few, hot_on).withColumn(
+        "__piece", F.expr("explode(sequence(0, coalesce(pieces, 1) - 1))")).drop("pieces")
     return spread_rows.join(copies, on + ["__piece"], how).drop("__piece")

@@ -13,6 +13,7 @@ def local_session(cpus="*", memory="8g", partitions=8, app="riskflow") -> SparkS
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.driver.memory", memory)
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

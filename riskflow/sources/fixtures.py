@@ -5,56 +5,49 @@ from pyspark.sql import functions as F
 
 AS_OF = "2024-01-25 00:00:00"
 
+_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+}
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
-def transactions(spark: SparkSession, folder: str, balance=False) -> DataFrame:
-    """One transaction per event. `balance` adds account_balance, which needs the customer table."""
-    return from_events(_table(spark, folder, "events"), _table(spark, folder, "nation"),
-                       _table(spark, folder, "customer") if balance else None)
 
+def transactions(spark: SparkSession, folder: str, location=True, balance=False) -> DataFrame:
+    """One transaction per event. The two columns that need a join are optional."""
+    return from_events(table(spark, folder, "events"), table(spark, folder, "nation") if location else None,
+                       table(spark, folder, "customer") if balance else None)
 
-def from_events(events: DataFrame, nation: DataFrame, customer: DataFrame = None) -> DataFrame:
+
+def from_events(events: DataFrame, nation: DataFrame = None, customer: DataFrame = None) -> DataFrame:
     """Works on a batch and on a stream of events."""
-    k, kind, n = F.col("k"), F.col("event_type"), F.col("event_id")
-    amount = F.col("value") * 25
-
-    def choose(column, *names):
-        """names[i] where the column is i, the last name elsewhere."""
-        case = F
-        for i, name in enumerate(names[:-1]):
-            case = case.when(column == i, F.lit(name))
-        return case.otherwise(F.lit(names[-1]))
-
-    types = {"purchase": "Purchase", "signup": "Withdrawal", "click": "Transfer", "view": "Online"}
-    case = F
-    for event_type, name in types.items():
-        case = case.when(kind == event_type, F.lit(name))
-    e = events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).try_cast("int"))
-    # nation has a fixed 25 rows
-    places = F.broadcast(nation.select(F.col("n_nationkey").alias("__place"), F.col("n_name").alias("location")))
-    e = e.withColumn("__place", F.col("k") % 25).join(places, "__place", "left").drop("__place")
-    columns = [
-        n.alias("transaction_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"),
-        amount.alias("transaction_amount"), case.otherwise(F.lit("ATM Withdrawal")).alias("transaction_type"),
-        choose(k % 3, "Mobile", "Desktop", "Tablet").alias("device_type"), "location",
-        choose(F.floor(k / 20), "Electronics", "Travel", "Retail", "Grocery", "Jewelry").alias("merchant_category"),
-        (n % 20 == 0).cast("int").alias("ip_address_flag"),
-        choose(k % 4, "Visa", "Mastercard", "Amex", "Discover").alias("card_type"),
-        ((F.col("user_id") * 37) % 1500).cast("int").alias("card_age"),
-        (k * 25.0).alias("transaction_distance"),
-        choose(n % 4, "Password", "PIN", "Biometric", "None").alias("authentication_method"),
-        (n % 100).cast("double").alias("risk_score"),
-        (kind == "error").cast("int").alias("is_failed"),
-        ((kind == "error") | (amount > 2500)).cast("int").alias("fraud_label"),
-        (F.weekday("ts") >= 5).cast("int").alias("is_weekend"), "k"]
+    e = events.withColumn("k", F.expr("try_cast(regexp_extract(props, '[0-9]+', 0) AS INT)"))
+    columns = ["event_id AS transaction_id", "user_id", "CAST(ts AS TIMESTAMP) AS ts",
+               "value * 25 AS transaction_amount", """
+        CASE event_type WHEN 'purchase' THEN 'Purchase' WHEN 'signup' THEN 'Withdrawal' WHEN 'click' THEN 'Transfer'
+             WHEN 'view' THEN 'Online' ELSE 'ATM Withdrawal' END AS transaction_type""",
+               "CASE k % 3 WHEN 0 THEN 'Mobile' WHEN 1 THEN 'Desktop' ELSE 'Tablet' END AS device_type", """
+        CASE k DIV 20 WHEN 0 THEN 'Electronics' WHEN 1 THEN 'Travel' WHEN 2 THEN 'Retail' WHEN 3 THEN 'Grocery'
+             ELSE 'Jewelry' END AS merchant_category""",
+               "CAST(event_id % 20 = 0 AS INT) AS ip_address_flag", """
+        CASE k % 4 WHEN 0 THEN 'Visa' WHEN 1 THEN 'Mastercard' WHEN 2 THEN 'Amex' ELSE 'Discover' END AS card_type""",
+               "CAST((user_id * 37) % 1500 AS INT) AS card_age", "k * 25D AS transaction_distance", """
+        CASE event_id % 4 WHEN 0 THEN 'Password' WHEN 1 THEN 'PIN' WHEN 2 THEN 'Biometric' ELSE 'None' END
+             AS authentication_method""",
+               "CAST(event_id % 100 AS DOUBLE) AS risk_score", "CAST(event_type = 'error' AS INT) AS is_failed",
+               "CAST(event_type = 'error' OR value * 25 > 2500 AS INT) AS fraud_label",
+               "CAST(weekday(ts) >= 5 AS INT) AS is_weekend", "k"]
+    if nation is not None:  # a fixed 25 rows
+        places = F.broadcast(nation.selectExpr("n_nationkey AS __place", "n_name AS location"))
+        e = e.withColumn("__place", F.expr("k % 25")).join(places, "__place", "left")
+        columns.append("location")
     if customer is not None:
-        balance = customer.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("account_balance"))
-        e = e.join(balance, "user_id", "left")
+        e = e.join(customer.selectExpr("c_custkey AS user_id", "c_acctbal AS account_balance"), "user_id", "left")
         columns.append("account_balance")
-    return e.select(*columns)
+    return e.selectExpr(*columns)
 
 
 def with_photo_path(txn: DataFrame) -> DataFrame:
@@ -65,42 +58,30 @@ def with_photo_path(txn: DataFrame) -> DataFrame:
 
 def biometric_json(txn: DataFrame) -> DataFrame:
     """(transaction_id, response) for every transaction: some keys are missing, some checks fail."""
-    k = F.col("k")
-    ks = k.cast("string")
-    checks = (F.when(k % 4 == 0, '"eyes_open":true,"no_sunglasses":false')
-              .when(k % 4 == 1, '"eyes_open":false').otherwise('"eyes_open":true'))
-    emotions = F.when(k % 6 == 0, ',"emotions":[{"type":"CALM","confidence":61.5},{"type":"SAD","confidence":3}]') \
-        .otherwise("")
-    pose = F.when(k % 10 == 0, ',"pose":{"roll":1.5,"yaw":-2.25,"pitch":0}').otherwise("")
-    response = F.concat(
-        F.lit('{"verification_result":"'), F.when(k % 5 == 0, "FAILED").otherwise("VERIFIED"),
-        F.lit('","face_comparison":{"match":'), F.when(k < 20, "false").otherwise("true"),
-        F.lit(',"similarity":'), ks, F.lit(',"confidence":90},"quality_check":{"is_real":'),
-        F.when(k % 7 == 0, "false").otherwise("true"), F.lit(',"confidence":80'),
-        F.when(k % 2 == 0, F.concat(F.lit(',"quality_score":'), ks)).otherwise(""), emotions, pose,
-        F.lit('},"liveness_check":{"is_live":'), F.when(k % 11 == 0, "false").otherwise("true"),
-        F.lit(',"confidence":70,"checks":{'), checks, F.lit("}}}"))
-    return txn.select("transaction_id", "k", response.alias("response"))
+    return txn.selectExpr("transaction_id", "k", """concat(
+        '{"verification_result":"', IF(k % 5 = 0, 'FAILED', 'VERIFIED'),
+        '","face_comparison":{"match":', k >= 20, ',"similarity":', k, ',"confidence":90}',
+        ',"quality_check":{"is_real":', k % 7 != 0, ',"confidence":80',
+        IF(k % 2 = 0, concat(',"quality_score":', k), ''),
+        IF(k % 6 = 0, ',"emotions":[{"type":"CALM","confidence":61.5},{"type":"SAD","confidence":3}]', ''),
+        IF(k % 10 = 0, ',"pose":{"roll":1.5,"yaw":-2.25,"pitch":0}', ''),
+        '},"liveness_check":{"is_live":', k % 11 != 0, ',"confidence":70,"checks":{',
+        CASE k % 4 WHEN 0 THEN '"eyes_open":true,"no_sunglasses":false' WHEN 1 THEN '"eyes_open":false'
+                   ELSE '"eyes_open":true' END, '}}}') AS response""")
 
 
 def monitor_replies(txn: DataFrame) -> DataFrame:
-    """(transaction_id, reply): valid, invalid and trailing-text replies."""
-    k = F.col("k")
-    verdict = F.when(k > 70, "REJECTED").otherwise("APPROVED")
-    reply = (F.when(k % 10 == 0, "not json").when(k % 10 == 1, '{"verdict":"REJECTED"} extra text')
-             .when(k % 10 == 2, '{"risk_factors":[]}').when(k % 10 == 3, '["APPROVED"]')
-             .otherwise(F.concat(F.lit('{"verdict":"'), verdict, F.lit('"}'))))
-    return txn.select("transaction_id", "k", reply.alias("reply"))
+    """(transaction_id, reply): valid, invalid and trailing-text replies, and one that is no object."""
+    return txn.selectExpr("transaction_id", "k", """
+        CASE k % 10 WHEN 0 THEN 'not json' WHEN 1 THEN '{"verdict":"REJECTED"} extra text'
+                    WHEN 2 THEN '{"risk_factors":[]}' WHEN 3 THEN '["APPROVED"]'
+                    ELSE concat('{"verdict":"', IF(k > 70, 'REJECTED', 'APPROVED'), '"}') END AS reply""")
 
 
 def assessment_replies(txn: DataFrame) -> DataFrame:
-    k = F.col("k")
-    verdict = F.when(k > 70, "REJECTED").when(k > 40, "REVIEW").otherwise("APPROVED")
-    level = F.when(k > 70, "HIGH").when(k > 40, "MEDIUM").otherwise("LOW")
-    reply = (F.when(k % 10 == 0, F.concat(F.lit("Sorry, no decision for "), k.cast("string")))
-             .when(k % 10 == 1, "12")
-             .otherwise(F.concat(
-                 F.lit('{"final_verdict":"'), verdict, F.lit('","confidence_score":'), k.cast("string"),
-                 F.lit(',"risk_level":"'), level, F.lit('","key_findings":["a","b"],"recommended_action":"act '),
-                 k.cast("string"), F.lit('"}'))))
-    return txn.select("transaction_id", "k", reply.alias("reply"))
+    return txn.selectExpr("transaction_id", "k", """
+        CASE k % 10 WHEN 0 THEN concat('Sorry, no decision for ', k) WHEN 1 THEN '12'
+        ELSE concat('{"final_verdict":"', CASE WHEN k > 70 THEN 'REJECTED' WHEN k > 40 THEN 'REVIEW' ELSE 'APPROVED' END,
+                    '","confidence_score":', k, ',"risk_level":"',
+                    CASE WHEN k > 70 THEN 'HIGH' WHEN k > 40 THEN 'MEDIUM' ELSE 'LOW' END,
+                    '","key_findings":["a","b"],"recommended_action":"act ', k, '"}') END AS reply""")
