@@ -5,8 +5,9 @@ user's rows are one task. Here every transaction becomes a few signed events ins
 at its own time and leaves the limited ones when their horizon has passed. A running sum over the events of a
 user, in time order, is then the sliding aggregate: linear, one shuffle, one sort.
 
-A hot user (see `skew`) is cut into equal slices of time, each a window partition of its own. What the earlier
-slices hand over (net sums, the newest times) is at most 2 * shares rows and is broadcast.
+A hot user (see `skew`) is cut into slices of time with about equally many events, each a window partition of
+its own. The slice bounds and what the earlier slices hand over (net sums, the newest times) have a row per
+cell or slice, which is at most 32 * shares and 2 * shares rows, and are broadcast.
 
 History of a row = earlier rows of the same user in (ts, transaction_id) order; horizons include their edge.
 """
@@ -38,6 +39,7 @@ _COUNTERS = {
     # the last microsecond of the day: events of one time come after the rows of that time
     TODAY: ({"n_today": _ONE}, "unix_micros(CAST(date_add(to_date(ts), 1) AS TIMESTAMP)) - 1"),
 }
+_CELLS_PER_PIECE = 16
 _MONEY_COUNTERS = {"all_amount", "amount_7d"}
 
 
@@ -67,12 +69,22 @@ def _events(rows: DataFrame, user: str, parts) -> DataFrame:
 
 
 def _sliced(events: DataFrame, hot: HotKeys, user: str) -> DataFrame:
-    """Slice number of each event; events after a hot user's last row change nothing and are dropped."""
+    """Slice number of each event; events after a hot user's last row change nothing and are dropped.
+
+    The time span of a hot user is divided into narrow cells, and neighbouring cells are joined to slices of
+    about equal numbers of events, so that a burst does not end up in one slice.
+    """
     if not hot:
         return events.withColumn("slice", F.lit(0))
-    return (hot.attach(events, user).where("coalesce(at <= hi, true)")
-            .selectExpr(*events.columns, "pieces",
-                        "CAST(coalesce((at - lo) DIV ((hi - lo) DIV pieces + 1), 0) AS INT) AS slice"))
+    cells = (hot.attach(events, user).where("coalesce(at <= hi, true)")
+             .selectExpr(*events.columns, "pieces", "CAST(coalesce((at - lo) DIV ((hi - lo) DIV "
+                         f"(pieces * {_CELLS_PER_PIECE}) + 1), 0) AS INT) AS cell"))
+    sizes = cells.where("pieces IS NOT NULL").groupBy(user, "cell", "pieces").agg(F.count(F.lit(1)).alias("n"))
+    earlier = f"sum(n) OVER (PARTITION BY {user} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    slices = sizes.selectExpr(user, "cell", f"CAST(coalesce({earlier}, 0) * pieces DIV "
+                                            f"sum(n) OVER (PARTITION BY {user}) AS INT) AS slice")
+    return (cells.join(F.broadcast(slices), [user, "cell"], "left").drop("cell")
+            .withColumn("slice", F.expr("coalesce(slice, 0)")))
 
 
 def _carried(sliced: DataFrame, user: str, parts) -> DataFrame:
