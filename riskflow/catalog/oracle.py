@@ -488,6 +488,59 @@ SELECT case_id, 'Fraud Alert: ' || case_id AS subject, '🚨 FRAUD ALERT: ' || c
 }
 
 
+ORACLE.update({
+    "evidence_documents": _sql("""
+SELECT r.case_id, CAST(r.transaction_id AS VARCHAR) AS transaction_id, t.merchant_category, j.final_verdict,
+  CAST((SELECT count(*) FROM point p WHERE p.transaction_id = r.transaction_id) AS INT) AS n_patterns,
+  length(r.report) AS report_length
+FROM records r JOIN txn t USING (transaction_id) JOIN judged j USING (transaction_id)""", _SCORE, _MONITOR, _CASES,
+                               _ASSESSMENT, _HIST, _FIRST, _POINT.replace("VELOCITY", "10")),
+    "sink_profiles_json": _sql("""
+SELECT user_id, (SELECT count(*) FROM txn t WHERE t.user_id = top.user_id) AS total_transactions,
+  (SELECT max(transaction_amount) FROM txn t WHERE t.user_id = top.user_id) AS highest_transaction,
+  (SELECT mode(location ORDER BY location) FROM txn t WHERE t.user_id = top.user_id) AS home_location,
+  string_agg(value || ':' || n, '|' ORDER BY rank) FILTER (WHERE field = 'merchant' AND rank <= 3) AS typical_merchants,
+  string_agg(value, '|' ORDER BY first) FILTER (WHERE field = 'device') AS known_devices
+FROM top GROUP BY user_id""", _COUNTS),
+    "sink_transactions_csv": _sql("""
+SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) AS ts_us,
+  transaction_amount, account_balance, merchant_category, daily AS daily_transaction_count,
+  round(avg7, 8) AS avg_transaction_amount_7d, fraud_label FROM hist""", _HIST),
+    "sink_history_store": _sql("""
+SELECT transaction_id, user_id, epoch_us(ts) AS ts_us FROM past
+WHERE ts >= TIMESTAMP '2024-01-18 00:00:00' AND user_id IN (SELECT user_id FROM cur)""", _PAST),
+    "sink_cases": _sql("SELECT case_id, transaction_id, risk_score, status FROM records", _SCORE, _MONITOR, _CASES),
+    "stream_scores": _sql("""
+SELECT transaction_id, score AS fraud_probability, CAST(floor(score * 100) AS INT) AS fraud_score,
+  CASE WHEN floor(score * 100) < 30 THEN 'LOW' WHEN floor(score * 100) < 70 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
+  coalesce(total_transactions, 0) AS total_transactions, coalesce(fraud_history, 0) AS fraud_history
+FROM cur JOIN scored USING (transaction_id) LEFT JOIN prof ON prof.user_id = cur.user_id""",
+                          _PAST, _NEWEST, _SNAPSHOT, _SCORE),
+    "stream_first_copies": _sql("SELECT transaction_id, user_id FROM txn"),
+    "stream_rolling_counts": _sql("""
+SELECT user_id, epoch_us(window_end) AS end_us, count(*) AS n FROM (
+  SELECT user_id, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR,
+                                         date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS window_end FROM txn)
+WHERE window_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM txn)
+GROUP BY user_id, window_end"""),
+    "stream_bursts": _sql("""
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 1 HOUR) AS end_us, count(*) AS n FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM (
+    SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END
+      AS opens FROM txn))
+GROUP BY user_id, burst
+HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM txn)"""),
+    "stream_user_state": _sql("""
+SELECT transaction_id, user_id, least(count_24h, 100) AS count_24h, rapid AS rapid_succession, new_device AS is_new_device,
+  new_location AS is_new_location, new_merchant AS is_new_merchant FROM hist JOIN firsts USING (transaction_id)""",
+                              _HIST, _FIRST),
+    "stream_cases": _sql("""
+SELECT case_id, 'Fraud Alert: ' || case_id AS subject FROM (
+  SELECT 'FA-' || strftime(ts, '%Y%m%d') || '-' || (999 + row_number() OVER (
+    PARTITION BY CAST(ts AS DATE) ORDER BY ts, transaction_id)) AS case_id FROM scored WHERE floor(score * 100) >= 70)""", _SCORE),
+})
+
+
 def _timeline(rank_filter):
     return _sql(f"""
 SELECT c.transaction_id, CAST(row_number() OVER (PARTITION BY c.transaction_id ORDER BY {rank_filter[1]}) - 1 AS INT) AS pos,

@@ -11,7 +11,11 @@ from riskflow.functions.text import rounded
 from riskflow.operators import (assess, biometrics, cases, features, history, metrics, patterns, profiles,
                                 prompts, replies, scenarios, training, values)
 from riskflow.operators import point_in_time as pit
-from riskflow.sources import fixtures, requests, tables
+from riskflow.plans import batch
+from riskflow.schemas import canonical
+from riskflow.session import fresh_dir
+from riskflow.sources import case_store, fixtures, requests, tables
+from riskflow.streaming import jobs, scoring, user_state, windows
 
 AS_OF = fixtures.AS_OF
 QUERIES = {}
@@ -533,14 +537,18 @@ def _labelled(spark, folder):
 
 # --- cases -----------------------------------------------------------------------------------
 
-def _cases(spark, folder):
+def _judged(spark, folder):
     scored = _scored(spark, folder).drop("risk_score")
     said = replies.parse_monitor(fixtures.monitor_replies(scored).drop("k")).where(F.col("error").isNull())
     status = said.select("transaction_id", F.col("verdict").alias("status"))
-    judged = scored.join(status, "transaction_id", "left").withColumns({
-        "risk_score": scores.score_percent("score"), "status": F.coalesce("status", F.lit(C.REPLY_VERDICT))})
-    report = F.repeat(F.concat(F.lit("Report on transaction "), F.col("transaction_id").cast("string"), F.lit(". ")), 20)
-    return cases.with_case_ids(cases.high_risk(judged)).withColumn("fraud_report", report)
+    report = F.expr("repeat(concat('Report on transaction ', transaction_id, '. '), 20)")
+    return scored.join(status, "transaction_id", "left").withColumns({
+        "risk_score": scores.score_percent("score"), "status": F.coalesce("status", F.lit(C.REPLY_VERDICT)),
+        "fraud_report": report})
+
+
+def _cases(spark, folder):
+    return cases.with_case_ids(cases.high_risk(_judged(spark, folder)))
 
 
 @query
@@ -553,3 +561,169 @@ def fraud_cases(spark, folder):
 @query
 def fraud_alerts(spark, folder):
     return cases.alerts(cases.case_records(_cases(spark, folder))).select("case_id", "subject", "message")
+
+
+@query
+def evidence_documents(spark, folder):
+    """The JSON document of every case, read back field by field."""
+    opened = _cases(spark, folder)
+    detected = patterns.detect_point_in_time(_txn(spark, folder))
+    evidence = detected.select("transaction_id", F.struct(patterns.messages().alias("detected_patterns"))
+                               .alias("evidence"))
+    said = replies.parse_assessment(fixtures.assessment_replies(_txn(spark, folder)).drop("k")).drop("reply")
+    docs = cases.evidence_documents(opened, evidence, said)
+
+    def field(path):
+        return F.get_json_object("document", path)
+
+    return docs.select(
+        "case_id", field("$.transaction_id").alias("transaction_id"),
+        field("$.transaction_data.merchant_category").alias("merchant_category"),
+        field("$.risk_assessment.final_verdict").alias("final_verdict"),
+        F.size(F.from_json(field("$.evidence.detected_patterns"), "array<string>")).alias("n_patterns"),
+        F.length(field("$.fraud_report")).alias("report_length"))
+
+
+# --- model -----------------------------------------------------------------------------------
+
+_trained = {}
+_CATALOG_TREES = 10  # the library's default is the full number of trees
+
+
+def _model(spark, folder):
+    """Trains and saves one model per folder and session; returns (result tables, path)."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _trained:
+        path = fresh_dir(spark, "model")
+        txn = features.with_history_features(_txn(spark, folder, balance=True))
+        _trained[key] = batch.train(features.enhance(txn, "consistent"), path, trees=_CATALOG_TREES), path
+    return _trained[key]
+
+
+@query
+def model_quality(spark, folder):
+    results, _ = _model(spark, folder)
+    return results["report"]
+
+
+@query
+def model_importance(spark, folder):
+    results, _ = _model(spark, folder)
+    return training.top_features(results["importance"])
+
+
+@query
+def model_scores(spark, folder):
+    """Current transactions scored with the saved model and features from the history before them."""
+    _, path = _model(spark, folder)
+    past, current = _past_and_current(spark, folder, balance=True)
+    scored = batch.score(current.drop("fraud_label", "is_failed"), tables.load_model(path), past)
+    p = scores.prediction("fraud_probability")
+    return scored.select("transaction_id", p.alias("p")).select("transaction_id", "p.*")
+
+
+# --- sources and sinks -----------------------------------------------------------------------
+
+@query
+def sink_profiles_json(spark, folder):
+    path = fresh_dir(spark, "profiles")
+    wanted = profiles.training_profile(_flagged(spark, folder))
+    tables.write_json(wanted, path)
+    back = spark.read.schema(wanted.schema).json(path)
+    return back.select("user_id", "total_transactions", "highest_transaction", "home_location",
+                       _pairs("typical_merchants").alias("typical_merchants"),
+                       _joined("known_devices").alias("known_devices"))
+
+
+@query
+def sink_transactions_csv(spark, folder):
+    """The full raw table written as CSV under its file names and read back with the declared schema."""
+    path = fresh_dir(spark, "raw")
+    txn = features.with_history_features(_txn(spark, folder, balance=True))
+    raw = tables.raw_names(txn.select(*[canonical(c) for c in C.RAW_COLUMNS]))
+    tables.write_csv(raw, path)
+    back = tables.read_transactions_csv(spark, path)
+    return back.select("transaction_id", "user_id", _micros("ts").alias("ts_us"), "transaction_amount",
+                       "account_balance", "merchant_category", "daily_transaction_count",
+                       F.round("avg_transaction_amount_7d", 8).alias("avg_transaction_amount_7d"), "fraud_label")
+
+
+@query
+def sink_history_store(spark, folder):
+    """The history store by day and user, read back for one week and the users seen after it."""
+    path = fresh_dir(spark, "history")
+    txn = _txn(spark, folder)
+    tables.write_history(txn, path)
+    week = tables.read_history(spark, path, since="2024-01-18 00:00:00", until=AS_OF)
+    _, current = _past_and_current(spark, folder)
+    return tables.history_of(week, current).select("transaction_id", "user_id", _micros("ts").alias("ts_us"))
+
+
+@query
+def sink_cases(spark, folder):
+    """Cases of two writes into one store, the second repeated: numbering goes on, nothing is doubled."""
+    root = fresh_dir(spark, "cases")
+    judged = _judged(spark, folder)
+    moment = F.lit(AS_OF).cast("timestamp")
+    case_store.write_cases(judged.where(F.col("ts") < moment), 1, root)
+    for _ in range(2):
+        case_store.write_cases(judged.where(F.col("ts") >= moment), 2, root)
+    return case_store.read_cases(spark, root).select("case_id", "transaction_id", "risk_score", "status")
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+def _stream(spark, folder, location=True):
+    events = (spark.readStream.schema(fixtures.table(spark, folder, "events").schema)
+              .option("pathGlobFilter", "events.parquet").parquet(folder))
+    return fixtures.from_events(events, fixtures.table(spark, folder, "nation") if location else None)
+
+
+@query
+def stream_scores(spark, folder):
+    past, _ = _past_and_current(spark, folder)
+    profile = profiles.serving_profile(past, AS_OF)
+    requested = _stream(spark, folder).where(F.col("ts") >= F.lit(AS_OF).cast("timestamp"))
+    out = scoring.score_stream(requested, profile).select(
+        "transaction_id", "fraud_probability", "fraud_score", "risk_level", "total_transactions", "fraud_history")
+    return jobs.read_back(out, jobs.run_to_end(out))
+
+
+@query
+def stream_first_copies(spark, folder):
+    """Every request arrives twice and is kept once."""
+    twice = _stream(spark, folder, False).union(_stream(spark, folder, False))
+    out = windows.first_copies(twice, spread=4).select("transaction_id", "user_id")
+    return jobs.read_back(out, jobs.run_to_end(out))
+
+
+@query
+def stream_rolling_counts(spark, folder):
+    out = windows.rolling_counts(_stream(spark, folder, False))
+    back = jobs.read_back(out, jobs.run_to_end(out))
+    return back.select("user_id", _micros("window_end").alias("end_us"), "n")
+
+
+@query
+def stream_bursts(spark, folder):
+    jobs.use_keyed_state(spark)
+    out = windows.bursts(_stream(spark, folder, False))
+    back = jobs.read_back(out, jobs.run_to_end(out))
+    return back.select("user_id", _micros("burst_start").alias("start_us"), _micros("burst_end").alias("end_us"), "n")
+
+
+@query
+def stream_user_state(spark, folder):
+    jobs.use_keyed_state(spark)
+    out = user_state.follow_users(_stream(spark, folder))
+    back = jobs.read_back(out, jobs.run_to_end(out))
+    return back.withColumn("rapid_succession", F.col("rapid_succession").cast("int"))
+
+
+@query
+def stream_cases(spark, folder):
+    scored = features.with_time_features(_stream(spark, folder)).withColumns({
+        "risk_score": scores.score_percent(F.round(scores.heuristic_risk(), 4)), "status": F.lit("REVIEW"),
+        "fraud_report": F.lit("report")})
+    root = jobs.run_to_end(scored, scoring.write_cases)
+    return case_store.read_alerts(spark, root).select("case_id", "subject")

@@ -13,17 +13,23 @@ def high_risk(scored: DataFrame, min_score=C.MEDIUM_BELOW) -> DataFrame:
     return scored.where((F.col("risk_score") >= min_score) | (F.col("status") == "REJECTED"))
 
 
-def with_case_ids(risky: DataFrame) -> DataFrame:
+def with_case_ids(risky: DataFrame, taken: DataFrame = None) -> DataFrame:
     """Case ids PREFIX-YYYYMMDD-number, unique per day, in (ts, transaction_id) order.
 
     Cases are numbered per day and minute of the day, then shifted by the cases of the earlier minutes.
+    `taken` (case_date, last_number), a row per day, continues the numbering of days that have cases already.
     """
     minute = (F.hour("ts") * 60 + F.minute("ts")).cast("int")
     dated = risky.withColumn("case_date", F.to_date("ts"))
     ranked = numbered(dated, "case_date", minute, ["ts", "transaction_id"], "__n")
-    number = (F.col("__n") + C.CASE_NUMBER_START - 1).cast("string")
-    case_id = F.concat_ws("-", F.lit(C.CASE_ID_PREFIX), F.date_format("case_date", "yyyyMMdd"), number)
-    return ranked.withColumn("case_id", case_id).drop("__n", "__n_of")
+    start = F.lit(C.CASE_NUMBER_START - 1)
+    if taken is not None:
+        ranked = ranked.join(taken, "case_date", "left")
+        start = F.coalesce("last_number", start)
+    out = ranked.withColumn("case_number", (F.col("__n") + start).cast("long"))
+    case_id = F.concat_ws("-", F.lit(C.CASE_ID_PREFIX), F.date_format("case_date", "yyyyMMdd"),
+                          F.col("case_number").cast("string"))
+    return out.withColumn("case_id", case_id).drop("__n", "__n_of", "last_number")
 
 
 def evidence_path(root="evidence"):
@@ -32,11 +38,12 @@ def evidence_path(root="evidence"):
 
 
 def case_records(cases: DataFrame, report="fraud_report", root="evidence") -> DataFrame:
-    """Nine fields per case, plus the date the table is partitioned by."""
+    """Nine fields per case, plus the date the table is partitioned by and the number within it."""
     return cases.select(
         "case_id", "transaction_id", "user_id", "risk_score", "status",
         F.coalesce("transaction_amount", F.lit(0.0)).alias("amount"), F.col(report).alias("fraud_report"),
-        evidence_path(root).alias("evidence_path"), F.col("ts").cast("timestamp").alias("created_at"), "case_date")
+        evidence_path(root).alias("evidence_path"), F.col("ts").cast("timestamp").alias("created_at"),
+        "case_date", "case_number")
 
 
 def evidence_documents(cases: DataFrame, evidence: DataFrame, assessment: DataFrame,

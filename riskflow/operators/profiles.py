@@ -115,10 +115,10 @@ ZERO_PROFILE = {"total_transactions": 0, "avg_transaction_amount": 0.0, "min_tra
                 "max_transaction": 0.0, "fraud_history": 0, "recent_24h_count": 0}
 
 
-def enrich(txn: DataFrame, profile: DataFrame) -> DataFrame:
+def enrich(txn: DataFrame, profile: DataFrame, hot=None) -> DataFrame:
     """Transactions with their user's profile; a user without history gets the zero profile."""
     clash = [c for c in profile.columns if c in txn.columns and c != "user_id"]
-    joined = join_per_key(txn, profile.drop(*clash), "user_id", spread="transaction_id")
+    joined = join_per_key(txn, profile.drop(*clash), "user_id", spread="transaction_id", hot=hot)
     zero = {c: v for c, v in ZERO_PROFILE.items() if c in joined.columns}
     lists = {c: F.coalesce(c, F.array().cast("array<string>"))
              for c in ("known_devices", "known_locations", "known_merchants") if c in joined.columns}

@@ -77,7 +77,8 @@ def write_json(df: DataFrame, path: str, mode="overwrite"):
 
 
 def write_csv(df: DataFrame, path: str, mode="overwrite"):
-    df.write.mode(mode).option("header", True).csv(path)
+    """Times keep their microseconds."""
+    (df.write.mode(mode).option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
 
 
 def save_model(model: PipelineModel, metadata: DataFrame, importance: DataFrame, path: str):
