@@ -539,6 +539,7 @@ SELECT case_id, 'Fraud Alert: ' || case_id AS subject FROM (
   SELECT 'FA-' || strftime(ts, '%Y%m%d') || '-' || (999 + row_number() OVER (
     PARTITION BY CAST(ts AS DATE) ORDER BY ts, transaction_id)) AS case_id FROM scored WHERE floor(score * 100) >= 70)""", _SCORE),
 })
+ORACLE["stream_scores_large_profile"] = ORACLE["stream_scores"]
 
 
 def _timeline(rank_filter):

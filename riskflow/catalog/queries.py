@@ -679,16 +679,30 @@ def _stream(spark, folder, location=True):
     return fixtures.from_events(events, fixtures.table(spark, folder, "nation") if location else None)
 
 
-@query
-def stream_scores(spark, folder):
+def _stream_scores_input(spark, folder):
     past, _ = _past_and_current(spark, folder)
-    profile = profiles.serving_profile(past, AS_OF)
     requested = _stream(spark, folder).where(F.col("ts") >= F.lit(AS_OF).cast("timestamp"))
-    out = scoring.score_stream(requested, profile).select(
-        "transaction_id", "fraud_probability", "fraud_score", "risk_level", "total_transactions", "fraud_history")
+    return requested, profiles.serving_profile(past, AS_OF)
+
+
+_SCORE_COLUMNS = ["transaction_id", "fraud_probability", "fraud_score", "risk_level", "total_transactions",
+                  "fraud_history"]
+
+
+@query
+def stream_scores(spark, folder):
+    requested, profile = _stream_scores_input(spark, folder)
+    out = scoring.score_stream(requested, profile).select(*_SCORE_COLUMNS)
     return jobs.read_back(out, jobs.run_to_end(out))
 
 
+@query
+def stream_scores_large_profile(spark, folder):
+    requested, profile = _stream_scores_input(spark, folder)
+    path = jobs.run_to_end(requested, scoring.score_writer(profile, columns=_SCORE_COLUMNS))
+    return jobs.read_back(scoring.score_stream(requested, profile).select(*_SCORE_COLUMNS), path)
+
+
 @query
 def stream_first_copies(spark, folder):
     """Every request arrives twice and is kept once."""

@@ -44,6 +44,15 @@ def hot_keys(df: DataFrame, key, extra=(), parts=None) -> HotKeys:
     return HotKeys(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else NONE_HOT
 
 
+# Rows of a lookup table that may be sent to every executor: at most a few megabytes of keys and codes.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
+    """A narrow table with the broadcast hint if a job finds that it has at most `limit` rows, else unchanged."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def join_per_key(rows: DataFrame, few: DataFrame, on, spread: str, how="left", hot: HotKeys = None,
                  hot_on=None) -> DataFrame:
     """Join many rows to few rows per key, without one task getting all rows of a hot key.

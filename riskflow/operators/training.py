@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskflow import config as C
 from riskflow.operators import metrics
 from riskflow.operators.ranks import numbered
+from riskflow.operators.skew import BROADCAST_ROWS, join_per_key
 from riskflow.session import shared_dir
 
 _CATEGORICAL = [c.lower() for c in C.CATEGORICAL_FEATURES]
@@ -29,13 +30,24 @@ def label_dictionary(df: DataFrame, columns=None) -> DataFrame:
     return distinct.withColumn("code", F.row_number().over(W.partitionBy("field").orderBy("value")) - 1)
 
 
-def encode(df: DataFrame, dictionary: DataFrame, columns=None, suffix="_code") -> DataFrame:
-    """Adds one code column per categorical column; a value the dictionary lacks gets 0."""
-    for c in columns or _CATEGORICAL:
+def encode(df: DataFrame, dictionary: DataFrame, columns=None, suffix="_code", key="transaction_id") -> DataFrame:
+    """Adds one code column per categorical column; a value the dictionary lacks gets 0.
+
+    A column with few values is as skewed as a key can be, so its dictionary is fetched once and broadcast.
+    Beyond BROADCAST_ROWS entries the rows of frequent values are spread by `key` instead.
+    """
+    columns = columns or _CATEGORICAL
+    rows = dictionary.limit(BROADCAST_ROWS + 1).collect()
+    small = len(rows) <= BROADCAST_ROWS
+    if small:
+        dictionary = df.sparkSession.createDataFrame(rows, dictionary.schema)
+    for c in columns:
         codes = dictionary.where(F.col("field") == c).select(F.col("value").alias("__value"),
                                                              F.col("code").alias(c + suffix))
-        df = (df.join(codes, F.coalesce(F.col(c).cast("string"), F.lit("nan")) == F.col("__value"), "left")
-              .drop("__value").fillna(0, [c + suffix]))
+        df = df.withColumn("__value", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+        df = (df.join(F.broadcast(codes), "__value", "left") if small
+              else join_per_key(df, codes, "__value", spread=key))
+        df = df.drop("__value").fillna(0, [c + suffix])
     return df
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow import config as C
+from riskflow.operators.skew import broadcast_if_small
 from riskflow.schemas import RAW_TRANSACTIONS, canonical
 
 
@@ -67,8 +68,11 @@ def read_history(spark: SparkSession, path: str, since=None, until=None) -> Data
 
 
 def history_of(history: DataFrame, users: DataFrame) -> DataFrame:
-    """Only the rows of users that occur in `users`: the batch form of a lookup by user."""
-    return history.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    """Only the rows of users that occur in `users`: the batch form of a lookup by user.
+
+    A moderate number of users is broadcast, so the history is filtered where it is read.
+    """
+    return history.join(broadcast_if_small(users.select("user_id").distinct()), "user_id", "left_semi")
 
 
 def write_json(df: DataFrame, path: str, mode="overwrite"):

@@ -5,25 +5,43 @@ from pyspark.sql import functions as F
 
 from riskflow.functions import scores
 from riskflow.operators import features, profiles, training
-from riskflow.operators.skew import NONE_HOT, join_per_key
+from riskflow.operators.skew import NONE_HOT, broadcast_if_small
 from riskflow.sources import case_store
+from riskflow.streaming.jobs import replace_folder
 
 
-def with_profiles(requests: DataFrame, profile: DataFrame) -> DataFrame:
-    """Stream-static left join; a user without a profile gets the zero profile."""
-    return profiles.enrich(requests, profile, hot=NONE_HOT)
+def score_rows(requests: DataFrame, model=None) -> DataFrame:
+    """Probability, score and band. Without a model the heuristic score takes its place."""
+    ready = features.assemble_defaults(requests)
+    scored = (training.score(ready, model) if model is not None
+              else ready.withColumn("fraud_probability", F.round(scores.heuristic_risk(), 4)))
+    return scored.withColumns({"fraud_score": scores.score_percent("fraud_probability"),
+                               "risk_level": scores.risk_band(scores.score_percent("fraud_probability"))})
 
 
 def score_stream(requests: DataFrame, profile: DataFrame, model=None) -> DataFrame:
-    """Requests (with `ts`) -> probability, score and band, next to the profile numbers used.
+    """Stream of requests (with `ts`) -> scores next to the profile numbers; a plain stream-static join.
 
-    Without a model the heuristic score takes its place.
+    Right for profiles small enough to broadcast: each micro-batch reads the profile again. For large ones use
+    `score_writer`.
     """
-    ready = features.assemble_defaults(with_profiles(requests, profile))
-    scored = (training.score(ready, model) if model is not None
-              else ready.withColumn("fraud_probability", F.round(scores.heuristic_risk(), 4)))
-    return scored.withColumns({"fraud_score": scores.score_percent("fraud_probability"),
-                               "risk_level": scores.risk_band(scores.score_percent("fraud_probability"))})
+    return score_rows(profiles.enrich(requests, profile, hot=NONE_HOT), model)
+
+
+def score_writer(profile: DataFrame, model=None, columns=None, write=replace_folder):
+    """foreachBatch writer that scores a micro-batch against a large profile table.
+
+    The profile is first cut to the users of the batch (a broadcast semi-join where it is read, while the
+    batch has a moderate number of users), so it is never shuffled whole; a user who dominates the batch is
+    spread over several tasks.
+    """
+    def write_scores(batch: DataFrame, batch_id: int, path: str):
+        batch.persist()
+        near = profile.join(broadcast_if_small(batch.select("user_id").distinct()), "user_id", "left_semi")
+        scored = score_rows(profiles.enrich(batch, near), model)
+        write(scored.select(*columns) if columns else scored, batch_id, path)
+        batch.unpersist()
+    return write_scores
 
 
 def write_cases(batch: DataFrame, batch_id: int, path: str):
