@@ -31,9 +31,7 @@ def _txn(spark, folder, location=True, balance=False):
 
 
 def _past_and_current(spark, folder, location=True, balance=False):
-    txn = _txn(spark, folder, location, balance)
-    moment = F.lit(AS_OF).cast("timestamp")
-    return txn.where(F.col("ts") < moment), txn.where(F.col("ts") >= moment)
+    return fixtures.past_and_current(spark, folder, location=location, balance=balance)
 
 
 def _scored(spark, folder):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from riskflow import config as C
 from riskflow.functions import scores, times
 from riskflow.operators import point_in_time as pit
-from riskflow.operators import values
 from riskflow.operators.skew import join_per_key
 
 
@@ -22,20 +21,9 @@ def with_request_time(df: DataFrame, as_of, text="timestamp") -> DataFrame:
     return df.withColumn("ts", F.coalesce(times.wall_clock(text).cast("timestamp"), times.as_time(as_of)))
 
 
-def first_seen_flags(txn: DataFrame) -> DataFrame:
-    """is_new_device, is_new_location, is_new_merchant: no earlier row of the user has the value.
-
-    The first row of every (user, field, value) comes from a map-side-combined minimum; the flags then go
-    back by transaction id, which no single user dominates. An empty or missing value is never new.
-    """
-    fields = {f: F.nullif(F.col(c), F.lit("")) for f, c in values.KNOWN_FIELDS.items()}
-    long = values.field_values(txn, fields, keep=("ts", "transaction_id")).where(F.col("value").isNotNull())
-    first = long.groupBy("user_id", "field", "value").agg(
-        F.min(F.struct(F.col("ts").isNull(), "ts", "transaction_id"))["transaction_id"].alias("transaction_id"))
-    flags = first.groupBy("transaction_id").agg(
-        *[F.max((F.col("field") == f).cast("int")).alias(f"is_new_{f}") for f in values.KNOWN_FIELDS])
-    names = [f"is_new_{f}" for f in values.KNOWN_FIELDS]
-    return txn.join(flags, "transaction_id", "left").fillna(0, names)
+def first_seen_flags(txn: DataFrame, hot=None) -> DataFrame:
+    """is_new_device, is_new_location, is_new_merchant: no earlier row of the user has the value."""
+    return pit.point_in_time(txn, parts=(pit.FIRST,), hot=hot)
 
 
 def high_value_training(txn: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions.text import plain, template
-from riskflow.operators import features, history, profiles, values
+from riskflow.operators import history, profiles, values
 from riskflow.operators import point_in_time as pit
 from riskflow.operators.skew import hot_keys, join_per_key
 
@@ -38,44 +38,47 @@ def _with_patterns(df: DataFrame, rules: dict) -> DataFrame:
 
 def user_snapshot(past: DataFrame, as_of, limit=C.HISTORY_LIMIT, oldest_first_bug=False) -> DataFrame:
     """Everything known about a user at one moment: profile, newest rows, recent counts. One row per user."""
-    return profiles.serving_profile(past, as_of).join(
+    return profiles.serving_profile(past, as_of, balance=False).join(
         history.history_snapshot(past, as_of, limit, oldest_first_bug), "user_id", "left")
 
 
-def new_against(current: DataFrame, past: DataFrame, hot=None) -> DataFrame:
-    """new_device, new_location, new_merchant: the value is not among all values of the user's history."""
-    known = profiles.known_values(past)
-    hot = hot_keys(current, "user_id") if hot is None else hot
-    out = current
-    for field, column in values.KNOWN_FIELDS.items():
-        side = known.where(F.col("field") == field).select(
-            "user_id", F.col("value").alias(column), F.lit(True).alias("__known"))
-        out = join_per_key(out, side, ["user_id", column], "transaction_id", hot=hot, hot_on="user_id")
-        out = out.withColumn(f"new_{field}", F.expr(f"__known IS NULL AND coalesce({column}, '') != ''")) \
-            .drop("__known")
-    return out
+def new_against(current: DataFrame, known: DataFrame, hot=None) -> DataFrame:
+    """new_device, new_location, new_merchant: the value is not in `known`, all values of the users' history.
+
+    One narrow row per transaction and field meets the known values; only the unknown ones, usually few, go
+    back to the transactions.
+    """
+    long = values.field_values(current, values.KNOWN_FIELDS, keep=("transaction_id",)).where("value != ''")
+    unknown = join_per_key(long, known, ["user_id", "field", "value"], "transaction_id", how="left_anti",
+                           hot=hot, hot_on="user_id")
+    flags = unknown.groupBy("transaction_id").agg(*[
+        F.expr(f"count_if(field = '{f}') > 0").alias(f"new_{f}") for f in values.KNOWN_FIELDS])
+    return current.join(flags, "transaction_id", "left").fillna(False, [f"new_{f}" for f in values.KNOWN_FIELDS])
 
 
 def detect_snapshot(current: DataFrame, past: DataFrame, as_of, velocity_limit=C.VELOCITY_LIMIT,
-                    cut_lists_first=False) -> DataFrame:
+                    cut_lists_first=False, snapshot=None, known=None) -> DataFrame:
     """Current transactions against the history before `as_of`, with the user's snapshot columns.
 
+    `snapshot` (user_snapshot) and `known` (profiles.known_values) may be given, read from tables that were
+    written once; then the history is not read at all.
+
     New values are tested against all values of the history. cut_lists_first=True tests against the short
     display lists instead, which flags values of users with long lists although they are known.
     """
     hot = hot_keys(current, "user_id")
-    snapshot = user_snapshot(past, as_of)
-    shown = join_per_key(current, snapshot.drop("account_balance"), "user_id", spread="transaction_id", hot=hot)
+    snapshot = user_snapshot(past, as_of) if snapshot is None else snapshot
+    shown = join_per_key(current, snapshot, "user_id", spread="transaction_id", hot=hot)
     zero = {**profiles.ZERO_PROFILE, "history_count": 0, "velocity_count": 0, "rapid_succession": False}
     nothing = F.array().cast("array<string>")
     shown = shown.fillna({c: v for c, v in zero.items() if c in shown.columns}).withColumns(
         {c: F.coalesce(c, nothing) for c in ("known_devices", "known_locations", "known_merchants")})
     if cut_lists_first:
-        for field, column in values.KNOWN_FIELDS.items():
-            shown = shown.withColumn(f"new_{field}", (F.coalesce(column, F.lit("")) != "") &
-                                     ~F.array_contains(f"known_{field}s", F.coalesce(column, F.lit(""))))
+        shown = shown.withColumns({
+            f"new_{f}": F.expr(f"coalesce({c}, '') != '' AND NOT array_contains(known_{f}s, coalesce({c}, ''))")
+            for f, c in values.KNOWN_FIELDS.items()})
     else:
-        shown = new_against(shown, past, hot)
+        shown = new_against(shown, profiles.known_values(past) if known is None else known, hot)
     rules = _rules(F.col("transaction_amount"), F.col("avg_transaction_amount"), F.col("velocity_count"),
                    F.col("new_device"), F.col("new_location"), F.col("new_merchant"),
                    F.col("fraud_history"), F.col("rapid_succession"), velocity_limit)
@@ -87,7 +90,7 @@ def detect_point_in_time(txn: DataFrame, velocity_limit=C.VELOCITY_LIMIT, histor
 
     The 24-hour count is taken over at most `history_limit` newest rows, as in the snapshot form.
     """
-    df = features.first_seen_flags(pit.point_in_time(txn, parts=(pit.ALL, pit.LAST_24H, pit.TIMES)))
+    df = pit.point_in_time(txn, parts=(pit.ALL, pit.LAST_24H, pit.TIMES, pit.FIRST))
     rules = _rules(F.col("transaction_amount"), F.col("hist_avg_amount"),
                    F.least("count_24h", F.lit(history_limit)),
                    F.col("is_new_device") == 1, F.col("is_new_location") == 1, F.col("is_new_merchant") == 1,

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions.times import DAY_US, HOUR_US, micros
-from riskflow.operators.skew import HotKeys, hot_keys
+from riskflow.operators.skew import HotKeys, broadcast_if_small, hot_keys
+from riskflow.operators.values import KNOWN_FIELDS
 
 # Exact type for sums that are added and later taken away again.
 MONEY = "DECIMAL(18,6)"
 
-ALL, LAST_24H, LAST_7D, TODAY, TIMES = "all", "24h", "7d", "today", "times"
-EVERYTHING = (ALL, LAST_24H, LAST_7D, TODAY, TIMES)
+ALL, LAST_24H, LAST_7D, TODAY, TIMES, FIRST = "all", "24h", "7d", "today", "times", "first"
+EVERYTHING = (ALL, LAST_24H, LAST_7D, TODAY, TIMES, FIRST)
 
 # An event of a row without a time counts 0: the row keeps its place in the result but is nobody's history.
 _ONE = "CAST(__t IS NOT NULL AS BIGINT)"
@@ -109,6 +110,34 @@ def _carried(sliced: DataFrame, user: str, parts) -> DataFrame:
     return out.join(times, [user, "slice"], "left")
 
 
+def _first_in_slice(local: DataFrame, user: str) -> DataFrame:
+    """new_<field>: first row of the slice with its value. The rows are placed already; each field is a sort."""
+    for field, c in KNOWN_FIELDS.items():
+        order = f"PARTITION BY {user}, slice, row.{c} ORDER BY at IS NULL, at, row.transaction_id"
+        local = local.selectExpr("*", f"coalesce(at IS NOT NULL AND row.{c} != '' AND "
+                                      f"row_number() OVER ({order}) = 1, false) AS new_{field}")
+    return local
+
+
+def _first_of_all(local: DataFrame, sliced: DataFrame, user: str) -> DataFrame:
+    """For hot users a first row counts only in the first slice that has the value."""
+    pairs = ", ".join(f"named_struct('field', '{f}', 'value', row.{c})" for f, c in KNOWN_FIELDS.items())
+    starts = (sliced.where("pieces IS NOT NULL AND seen IS NOT NULL").selectExpr(user, "slice", f"inline(array({pairs}))")
+              .where("value != ''").groupBy(user, "field", "value").agg(F.min("slice").alias("first_slice")))
+    starts = broadcast_if_small(starts)
+    for field, c in KNOWN_FIELDS.items():
+        side = starts.where(F.col("field") == field).selectExpr(f"{user} AS __user", "value AS __value", "first_slice")
+        # only first rows have a partner; the others get a key that is spread and matches nothing
+        local = local.withColumns({
+            "__key_user": F.expr(f"IF(new_{field}, {user}, NULL)"),
+            "__key_value": F.expr(f"IF(new_{field}, row.{c}, concat('\\0', row.transaction_id))")})
+        match = F.col("__key_value").eqNullSafe(F.col("__value")) & F.col("__key_user").eqNullSafe(F.col("__user"))
+        local = (local.join(side, match, "left")
+                 .withColumn(f"new_{field}", F.expr(f"new_{field} AND slice = coalesce(first_slice, slice)"))
+                 .drop("__key_user", "__key_value", "__user", "__value", "first_slice"))
+    return local
+
+
 def busy_users(txn: DataFrame, user="user_id") -> HotKeys:
     """Hot users with the time span of their rows."""
     return hot_keys(txn.select(user, micros("ts").alias("__t")), user,
@@ -123,6 +152,8 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
     7d     count_7d, failed_transaction_count_7d, avg_transaction_amount_7d (null without rows)
     today  daily_transaction_count: earlier rows of the same calendar day
     times  rapid_succession: the three newest earlier rows lie within 24 h and span less than one hour
+    first  is_new_device, is_new_location, is_new_merchant (0/1): no earlier row has the value; an empty or
+           missing value, or a row without a time, is never new
     """
     rows = txn.withColumn("__t", micros("ts"))
     hot = busy_users(txn, user) if hot is None else hot
@@ -133,8 +164,12 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
         if TIMES in parts else []
     local = sliced.selectExpr(user, "slice", "at", "kind", "row", f"count(seen) {before} AS place", *lags,
                               *[f"sum({c}) {before} AS sum_{c}" for c in _counters(parts)]).where("kind = 0")
+    if FIRST in parts:
+        local = _first_in_slice(local, user)
     if hot:
         local = local.join(F.broadcast(_carried(sliced, user, parts)), [user, "slice"], "left")
+        if FIRST in parts:
+            local = _first_of_all(local, sliced, user)
 
     def total(name):
         return f"(coalesce(sum_{name}, 0) + coalesce(before_{name}, 0))" if hot else f"coalesce(sum_{name}, 0)"
@@ -156,6 +191,7 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
                   "failed_transaction_count_7d": f"CAST({total('failed_7d')} AS INT)"},
         TODAY: {"daily_transaction_count": f"CAST({total('n_today')} AS INT)"},
         TIMES: {"rapid_succession": rapid},
+        FIRST: {f"is_new_{f}": f"CAST(new_{f} AS INT)" for f in KNOWN_FIELDS},
     }
     added = [f"{e} AS {name}" for p in parts for name, e in results[p].items()]
     kept = [c if c == user else f"row.`{c}` AS `{c}`" for c in txn.columns]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskflow import config as C
 from riskflow.functions import times
 from riskflow.operators import values
+from riskflow.operators.history import newest
 from riskflow.operators.skew import join_per_key
 
 
@@ -42,10 +43,10 @@ def training_profile(txn: DataFrame, photo_root="photos/reference", lists=True)
 
 def behaviour_lists(counts: DataFrame) -> DataFrame:
     """Top-3 lists, modes and known devices per user from one table of value counts."""
-    frequent = W.partitionBy("user_id", "field").orderBy(F.desc("n"), F.asc("first"))
+    frequent = W.partitionBy("user_id", "field").orderBy(F.desc("n"), F.asc("first"), F.asc("value"))
     # null values never win a mode
     common = W.partitionBy("user_id", "field").orderBy(F.col("value").isNull(), F.desc("n"), F.asc("value"))
-    seen = W.partitionBy("user_id", "field").orderBy(F.asc("first"))
+    seen = W.partitionBy("user_id", "field").orderBy(F.asc("first"), F.asc("value"))
     ranked = counts.select("*", F.row_number().over(frequent).alias("by_count"),
                            F.row_number().over(common).alias("by_mode"),
                            F.row_number().over(seen).alias("by_first"))
@@ -86,10 +87,11 @@ def known_lists(known: DataFrame, length=C.PROFILE_LIST_LENGTH) -> DataFrame:
     return ranked.groupBy("user_id").agg(*shown, *number)
 
 
-def serving_profile(history: DataFrame, as_of=None, lists=True) -> DataFrame:
+def serving_profile(history: DataFrame, as_of=None, lists=True, balance=True) -> DataFrame:
     """Profile read when a transaction is scored.
 
-    `as_of` adds `recent_24h_count`: rows of the last 24 hours, without any cap.
+    `as_of` adds `recent_24h_count`: rows of the last 24 hours, without any cap. The balance is that of the
+    newest row; it takes a pass of its own, in which every task keeps one row per user.
     """
     as_of_count = [] if as_of is None else [
         F.count_if(times.within_hours("ts", times.as_time(as_of))).alias("recent_24h_count")]
@@ -99,9 +101,10 @@ def serving_profile(history: DataFrame, as_of=None, lists=True) -> DataFrame:
         F.avg(amount).alias("avg_transaction_amount"),
         F.min(amount).alias("min_transaction"), F.max(amount).alias("max_transaction"),
         F.count_if(F.col("fraud_label") == 1).alias("fraud_history"),
-        *([F.max_by("account_balance", F.struct("ts", "transaction_id")).alias("account_balance")]
-          if "account_balance" in history.columns else []),
         *as_of_count)
+    if balance and "account_balance" in history.columns:
+        last = newest(history.select("user_id", "ts", "transaction_id", "account_balance"), 1)
+        base = base.join(last.select("user_id", "account_balance"), "user_id", "left")
     return base.join(known_lists(known_values(history)), "user_id", "left") if lists else base
 
 

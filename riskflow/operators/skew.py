@@ -49,8 +49,9 @@ BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
-    """A narrow table with the broadcast hint if a job finds that it has at most `limit` rows, else unchanged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """A narrow lookup table: fetched once and broadcast if it has at most `limit` rows, else unchanged."""
+    rows = df.limit(limit + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
 
 
 def join_per_key(rows: DataFrame, few: DataFrame, on, spread: str, how="left", hot: HotKeys = None,

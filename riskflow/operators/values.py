@@ -20,28 +20,20 @@ def field_values(txn: DataFrame, fields: dict, user="user_id", keep=()) -> DataF
 
 
 def value_counts(txn: DataFrame, fields: dict, user="user_id") -> DataFrame:
-    """(user, field, value, n, first): `first` is the (ts, id) of the first row with the value."""
-    long = field_values(txn, fields, user, keep=("ts", "transaction_id"))
-    return long.groupBy(user, "field", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "transaction_id")).alias("first"))
+    """(user, field, value, n, first): `first` is the time of the first row with the value.
+
+    Counts and times have a fixed width, so this is a hash aggregation on both sides of the shuffle.
+    """
+    long = field_values(txn, fields, user, keep=("ts",))
+    return long.groupBy(user, "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))
 
 
 def top_values(counts: DataFrame, k: int, user="user_id") -> DataFrame:
-    """The k most frequent values per user and field; among equals the one seen first."""
-    order = W.partitionBy(user, "field").orderBy(F.desc("n"), F.asc("first"))
+    """The k most frequent values per user and field; among equals the one seen first (then the smaller)."""
+    order = W.partitionBy(user, "field").orderBy(F.desc("n"), F.asc("first"), F.asc("value"))
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_lists(counts: DataFrame, k: int, user="user_id") -> DataFrame:
-    """One row per user; one column of (value, n) structs per field, most frequent first."""
-    top = top_values(counts, k, user)
-    fields = _fields_of(counts)
-    lists = [F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("rank", "value", "n")))),
-        lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias(f) for f in fields]
-    return top.groupBy(user).agg(*lists)
-
-
 def modes(counts: DataFrame, user="user_id") -> DataFrame:
     """(user, field, value): the most frequent value, the smallest among equals, missing values aside."""
     order = W.partitionBy(user, "field").orderBy(F.desc("n"), F.asc("value"))

@@ -16,12 +16,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, folder: str, location=True, balance=False) -> DataFrame:
-    """One transaction per event. The two columns that need a join are optional."""
-    return from_events(table(spark, folder, "events"), table(spark, folder, "nation") if location else None,
+def transactions(spark: SparkSession, folder: str, location=True, balance=False, where="true") -> DataFrame:
+    """One transaction per event. The two columns that need a join are optional; `where` filters the events."""
+    return from_events(table(spark, folder, "events").where(where),
+                       table(spark, folder, "nation") if location else None,
                        table(spark, folder, "customer") if balance else None)
 
 
+def past_and_current(spark: SparkSession, folder: str, **columns):
+    """Transactions before and from AS_OF; the time filter reaches the scan."""
+    return (transactions(spark, folder, where=f"ts < TIMESTAMP_NTZ '{AS_OF}'", **columns),
+            transactions(spark, folder, where=f"ts >= TIMESTAMP_NTZ '{AS_OF}'", **columns))
+
+
 def from_events(events: DataFrame, nation: DataFrame = None, customer: DataFrame = None) -> DataFrame:
     """Works on a batch and on a stream of events."""
     e = events.withColumn("k", F.expr("try_cast(regexp_extract(props, '[0-9]+', 0) AS INT)"))

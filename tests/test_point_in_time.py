@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from riskflow.operators import features, patterns, skew
+from riskflow.operators import patterns, skew
 from riskflow.operators import point_in_time as pit
 
 SCHEMA = ("transaction_id long, user_id string, ts timestamp, transaction_amount double, is_failed int, "
@@ -75,21 +75,21 @@ def test_history_features(spark, n, share, ties):
     df = as_rows(spark, rows)
     hot = pit.busy_users(df)
     assert bool(hot) == (share > 0)
-    got = actual(features.first_seen_flags(pit.point_in_time(df, hot=hot)))
+    got = actual(pit.point_in_time(df, hot=hot))
     want = expected(rows)
     assert got == want
 
 
 def test_one_instant_holds_all_rows_of_a_hot_user(spark):
     rows = [(i, "hot", START, 1.0, 0, 0, "a", "b", "c") for i in range(50)]
-    got = actual(features.first_seen_flags(pit.point_in_time(as_rows(spark, rows))))
+    got = actual(pit.point_in_time(as_rows(spark, rows)))
     assert got == expected(rows)
 
 
 def test_rows_without_time_stay_and_count_for_nobody(spark):
     rows = make(200, 5, 0.6)
     blank = [(1000 + i, u, None, 5.0, 1, 1, "zz", "l1", "m1") for i, u in enumerate(["hot", "u1", "new"])]
-    got = actual(features.first_seen_flags(pit.point_in_time(as_rows(spark, rows + blank))))
+    got = actual(pit.point_in_time(as_rows(spark, rows + blank)))
     want = expected(rows)
     assert {k: v for k, v in got.items() if k < 1000} == want
     assert len(got) == 203
@@ -104,7 +104,7 @@ def test_horizon_edges(spark):
             (5, "u", t, 1.0, 0, 0, "a", "b", "c"),
             (6, "u", t.replace(hour=23, minute=59, second=59, microsecond=999999), 1.0, 0, 0, "a", "b", "c"),
             (7, "u", t + timedelta(days=1), 1.0, 0, 0, "a", "b", "c")]
-    got = actual(features.first_seen_flags(pit.point_in_time(as_rows(spark, rows))))
+    got = actual(pit.point_in_time(as_rows(spark, rows)))
     assert got == expected(rows)
     assert got[5]["count_24h"] == 1 and got[5]["count_7d"] == 3 and got[5]["daily"] == 0
     assert got[6]["daily"] == 1 and got[7]["daily"] == 0
