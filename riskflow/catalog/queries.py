@@ -13,7 +13,7 @@ from riskflow.operators import (assess, biometrics, cases, features, history, me
 from riskflow.operators import point_in_time as pit
 from riskflow.plans import batch
 from riskflow.schemas import canonical
-from riskflow.session import fresh_dir
+from riskflow.session import fresh_dir, shared_dir
 from riskflow.sources import case_store, fixtures, requests, tables
 from riskflow.streaming import jobs, scoring, user_state, windows
 
@@ -546,7 +546,8 @@ def _judged(spark, folder):
 
 
 def _cases(spark, folder):
-    return cases.with_case_ids(cases.high_risk(_judged(spark, folder)))
+    shared_dir(spark)
+    return cases.with_case_ids(cases.high_risk(_judged(spark, folder)).checkpoint())
 
 
 @query
@@ -594,7 +595,10 @@ def _model(spark, folder):
     if key not in _trained:
         path = fresh_dir(spark, "model")
         txn = features.with_history_features(_txn(spark, folder, balance=True))
-        _trained[key] = batch.train(features.enhance(txn, "consistent"), path, trees=_CATALOG_TREES), path
+        enhanced = features.enhance(txn, "consistent")
+        enhanced.write.parquet(f"{path}/enhanced")
+        stored = spark.read.schema(enhanced.schema).parquet(f"{path}/enhanced")
+        _trained[key] = batch.train(stored, path, trees=_CATALOG_TREES), path
     return _trained[key]
 
 

@@ -85,6 +85,7 @@ SIMILARITY_THRESHOLD = 80
 REPLY_VERDICT = "REVIEW"
 MANUAL_REVIEW = "Manual review required"
 MONITOR_FALLBACK_FACTOR = "Unable to parse model reply"
+SUMMARY_FALLBACK = "Unable to generate summary due to system error."
 PHOTO_FALLBACK_FINDING = "Unable to parse analysis"
 ASSESSMENT_FALLBACK = {"confidence_score": "50", "risk_level": "MEDIUM",
                        "risk_summary": "Unable to parse comprehensive assessment",

@@ -35,7 +35,8 @@ def monitor_result(scored: DataFrame, reply="reply") -> DataFrame:
 
 def evidence_package(detected: DataFrame, summary="llm_summary") -> DataFrame:
     """(transaction_id, evidence, n_patterns) from the output of patterns.detect_snapshot."""
-    text = F.col(summary) if summary in detected.columns else F.lit(None).cast("string")
+    text = F.coalesce(F.col(summary) if summary in detected.columns else F.lit(None).cast("string"),
+                      F.lit(C.SUMMARY_FALLBACK))
     nothing = F.array().cast("array<struct<amount:double,merchant:string,time:timestamp,fraud_flag:int>>")
     profile = F.struct(
         F.col("user_id"), F.col("total_transactions"),

@@ -16,7 +16,8 @@ def high_risk(scored: DataFrame, min_score=C.MEDIUM_BELOW) -> DataFrame:
 def with_case_ids(risky: DataFrame, taken: DataFrame = None) -> DataFrame:
     """Case ids PREFIX-YYYYMMDD-number, unique per day, in (ts, transaction_id) order.
 
-    Cases are numbered per day and minute of the day, then shifted by the cases of the earlier minutes.
+    Cases are numbered per day and minute of the day, then shifted by the cases of the earlier minutes. The rows
+    are read twice for this, so checkpoint them first when they are expensive.
     `taken` (case_date, last_number), a row per day, continues the numbering of days that have cases already.
     """
     minute = (F.hour("ts") * 60 + F.minute("ts")).cast("int")
@@ -33,8 +34,8 @@ def with_case_ids(risky: DataFrame, taken: DataFrame = None) -> DataFrame:
 
 
 def evidence_path(root="evidence"):
-    return F.concat(F.lit(root + "/case_date="), F.date_format("case_date", "yyyy-MM-dd"), F.lit("/"),
-                    F.col("case_id"), F.lit(".json"))
+    """Folder of the day's evidence documents, then the case: <root>/case_date=<day>#<case id>."""
+    return F.concat(F.lit(root + "/case_date="), F.date_format("case_date", "yyyy-MM-dd"), F.lit("#"), F.col("case_id"))
 
 
 def case_records(cases: DataFrame, report="fraud_report", root="evidence") -> DataFrame:

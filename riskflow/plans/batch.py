@@ -21,7 +21,7 @@ def prepare(txn: DataFrame, out: str, mode="training"):
 
 
 def train(enhanced: DataFrame, out: str, trees=C.TREES, label="fraud_label"):
-    """Enhanced transactions in; the saved model and a dict of small result tables out."""
+    """Enhanced transactions (a stored table: it is read twice) in; the saved model and result tables out."""
     spark = enhanced.sparkSession
     split_path = f"{out}/split"  # written once: fitting and evaluating read it many times
     training.stratified_split(enhanced, label).write.mode("overwrite").partitionBy("split").parquet(split_path)
@@ -62,12 +62,25 @@ def score(requests: DataFrame, model, history: DataFrame = None) -> DataFrame:
     return training.score(ready, model)
 
 
+def snapshot(history: DataFrame, as_of, out: str):
+    """Writes what is known about the users at one moment; assess_batch then need not read the history.
+
+    Returns (user snapshot, known values), both clustered by user.
+    """
+    spark = history.sparkSession
+    tables_out = {"user_snapshot": patterns.user_snapshot(history, as_of), "known_values": profiles.known_values(history)}
+    for name, df in tables_out.items():
+        df.repartitionByRange("user_id").sortWithinPartitions("user_id").write.mode("overwrite").parquet(f"{out}/{name}")
+    return tuple(spark.read.schema(df.schema).parquet(f"{out}/{name}") for name, df in tables_out.items())
+
+
 def assess_batch(current: DataFrame, scored: DataFrame, history: DataFrame, responses: DataFrame,
-                 monitor_replies: DataFrame, assessment: DataFrame, as_of) -> DataFrame:
+                 monitor_replies: DataFrame, assessment: DataFrame, as_of, known_at=None) -> DataFrame:
     """The complete result per transaction: scored = output of `score`; responses = photo-check JSON texts;
-    assessment = output of replies.parse_assessment."""
+    assessment = output of replies.parse_assessment; known_at = output of `snapshot`, in place of the history."""
     valid, _ = assess.required(current)
-    evidence = assess.evidence_package(patterns.detect_snapshot(valid, history, as_of))
+    users, known = known_at or (None, None)
+    evidence = assess.evidence_package(patterns.detect_snapshot(valid, history, as_of, snapshot=users, known=known))
     monitor = assess.monitor_result(scored.join(monitor_replies, "transaction_id", "left"))
     return assess.combine(current, monitor, evidence, biometrics.flatten(responses).drop("response"), assessment)
 
@@ -78,7 +91,7 @@ def escalate(judged: DataFrame, evidence: DataFrame, assessment: DataFrame, root
     written = case_store.read_cases(judged.sparkSession, root).where(F.col("write_id") == write_id)
     opened = judged.join(written.select("transaction_id", "case_id", "case_date"), "transaction_id")
     documents = cases.evidence_documents(opened, evidence, assessment)
-    case_store.write_evidence(documents, f"{root}/evidence/write_id={write_id}", mode="overwrite")
+    case_store.write_evidence(documents, case_store.evidence_folder(root, write_id), mode="overwrite")
     return written
 
 

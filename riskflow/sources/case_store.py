@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.operators import cases
+from riskflow.session import shared_dir
 
 
 def _existing(spark: SparkSession, path: str):
@@ -24,6 +25,10 @@ def read_alerts(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/alerts")
 
 
+def evidence_folder(root: str, write_id: int) -> str:
+    return f"{root}/evidence/write_id={write_id}"
+
+
 def write_evidence(documents: DataFrame, path: str, mode="append"):
     """One JSON document per line, a folder per case date."""
     documents.select("case_date", "case_id", "document").write.mode(mode).partitionBy("case_date").json(path)
@@ -45,7 +50,9 @@ def write_cases(judged: DataFrame, write_id: int, root: str, min_score=None):
         others = before.where(F.col("write_id") != write_id)
         risky = risky.join(others.select("transaction_id"), "transaction_id", "left_anti")
         taken = others.groupBy("case_date").agg(F.max("case_number").alias("last_number"))
-    records = cases.case_records(cases.with_case_ids(risky, taken), root=f"{root}/evidence")
+    shared_dir(spark)
+    risky = risky.checkpoint()  # the scoring behind it runs once, and a lost executor does not repeat it
+    records = cases.case_records(cases.with_case_ids(risky, taken), root=evidence_folder(root, write_id))
     records.write.mode("overwrite").parquet(f"{root}/cases/write_id={write_id}")
     # the alerts come from the stored cases, so both tables name the same case ids
     stored = spark.read.parquet(f"{root}/cases/write_id={write_id}")
