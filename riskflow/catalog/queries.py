@@ -114,7 +114,7 @@ def feature_assembly_defaults(spark, folder):
 
 @query
 def feature_assembly_history(spark, folder):
-    txn = features.with_history_features(_txn(spark, folder, balance=True))
+    txn = features.with_history_features(_txn(spark, folder, balance=True), first_seen=True)
     out = features.model_input(features.enhance(txn, "consistent"), keep=["transaction_id"])
     return out.withColumns({c: F.round(c, 8) for c in ("amount_deviation_ratio", "avg_transaction_amount_7d")})
 
@@ -164,8 +164,10 @@ def history_cutoff(spark, folder):
 @query
 def scenario_samples(spark, folder):
     txn = features.enhance(features.with_history_features(_txn(spark, folder)), "training")
-    # fixtures have at most a handful of rows per user and day
-    out = scenarios.scenario_samples(txn, velocity=2)
+    path = fresh_dir(spark, "enhanced")
+    txn.write.parquet(path)
+    # the test tables have at most a handful of rows per user and day
+    out = scenarios.scenario_samples(spark.read.schema(txn.schema).parquet(path), velocity=2)
     return out.select("scenario_name", "transaction_id", "user_id", "transaction_amount",
                       "daily_transaction_count", "transaction_distance", "uploaded_photo_path",
                       "biometric_match_score", "deepfake_confidence")
@@ -528,11 +530,6 @@ def classification_report(spark, folder):
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-def _labelled(spark, folder):
-    txn = features.with_history_features(_txn(spark, folder, balance=True))
-    return training.stratified_split(features.enhance(txn, "consistent"))
-
-
 # --- cases -----------------------------------------------------------------------------------
 
 def _judged(spark, folder):
@@ -594,7 +591,7 @@ def _model(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
     if key not in _trained:
         path = fresh_dir(spark, "model")
-        txn = features.with_history_features(_txn(spark, folder, balance=True))
+        txn = features.with_history_features(_txn(spark, folder, balance=True), first_seen=True)
         enhanced = features.enhance(txn, "consistent")
         enhanced.write.parquet(f"{path}/enhanced")
         stored = spark.read.schema(enhanced.schema).parquet(f"{path}/enhanced")

@@ -51,16 +51,22 @@ def enhance(txn: DataFrame, mode="training") -> DataFrame:
         ratio = F.coalesce(scores.deviation_serving("transaction_amount", "avg_transaction_amount_7d"),
                            F.lit(0.0))
         out = out.withColumn("is_high_value", scores.high_value_serving("transaction_amount"))
-        out = (first_seen_flags(out).drop("is_new_location", "is_new_merchant") if mode == "consistent"
-               else out.withColumn("is_new_device", F.lit(0)))
+        if mode == "serving":
+            out = out.withColumn("is_new_device", F.lit(0))
+        elif "is_new_device" not in out.columns:
+            out = first_seen_flags(out).drop("is_new_location", "is_new_merchant")
     return out.withColumn("amount_deviation_ratio", ratio)
 
 
-def with_history_features(txn: DataFrame, hot=None) -> DataFrame:
-    """Adds the raw columns that depend on history: daily count, 7-day average and failures, prior fraud."""
+def with_history_features(txn: DataFrame, first_seen=False, hot=None) -> DataFrame:
+    """Adds the raw columns that depend on history: daily count, 7-day average and failures, prior fraud.
+
+    first_seen adds is_new_device in the same pass, which `enhance` in mode "consistent" then uses.
+    """
     added = ["daily_transaction_count", "avg_transaction_amount_7d", "failed_transaction_count_7d",
-             "previous_fraudulent_activity"]
-    full = pit.point_in_time(txn.drop(*added), parts=(pit.ALL, pit.LAST_7D, pit.TODAY), hot=hot)
+             "previous_fraudulent_activity"] + (["is_new_device"] if first_seen else [])
+    parts = (pit.ALL, pit.LAST_7D, pit.TODAY) + ((pit.FIRST,) if first_seen else ())
+    full = pit.point_in_time(txn.drop(*added), parts=parts, hot=hot)
     return full.select(*[c for c in txn.columns if c not in added], *added)
 
 

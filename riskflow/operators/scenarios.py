@@ -13,8 +13,9 @@ def scenario_samples(enhanced: DataFrame, velocity=C.VELOCITY_SCENARIO_COUNT, ta
                      photo="photos/uploads/deepfake_demo.jpg") -> DataFrame:
     """The first matching transaction of every scenario, in (ts, transaction_id) order.
 
-    One scan: every row is offered to the scenarios it matches, and a minimum per scenario is kept, combined
-    on the map side. A scenario without a match has no row.
+    `enhanced` should be a stored table: a first scan of the tested columns finds the first time of each
+    scenario, a second one fetches the rows of these times. Neither sorts or shuffles rows. A scenario without a
+    match has no row.
     """
     fraud = F.col("fraud_label") == 1
     tests = [(F.col("fraud_label") == 0) & (F.col("risk_score") < C.CLEAN_RISK_BELOW),
@@ -22,11 +23,14 @@ def scenario_samples(enhanced: DataFrame, velocity=C.VELOCITY_SCENARIO_COUNT, ta
              fraud & (F.col("transaction_amount") > takeover),
              fraud & (F.col("amount_deviation_ratio") > deviation),
              fraud & (F.col("transaction_distance") > distance)]
-    matched = F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in zip(tests, C.SCENARIO_NAMES)]))
-    columns = enhanced.columns
-    first = (enhanced.where(reduce(lambda a, b: a | b, tests))
-             .select(F.explode(matched).alias("scenario_name"), F.struct(*columns).alias("row"))
-             .groupBy("scenario_name").agg(F.min_by("row", F.struct("row.ts", "row.transaction_id")).alias("row"))
+    times = enhanced.agg(*[F.min(F.when(t, F.unix_micros("ts"))).alias(f"t{i}") for i, t in enumerate(tests)]).first()
+    hits = [t & (F.col("ts") == F.timestamp_micros(F.lit(times[i]))) for i, t in enumerate(tests) if times[i] is not None]
+    names = [n for i, n in enumerate(C.SCENARIO_NAMES) if times[i] is not None]
+    matched = F.array_compact(F.array(*[F.when(h, F.lit(n)) for h, n in zip(hits, names)])) \
+        if hits else F.array().cast("array<string>")
+    candidates = enhanced.where(reduce(lambda a, b: a | b, hits, F.lit(False)))
+    first = (candidates.select(F.explode(matched).alias("scenario_name"), F.struct(*enhanced.columns).alias("row"))
+             .groupBy("scenario_name").agg(F.min_by("row", F.col("row.transaction_id")).alias("row"))
              .select("scenario_name", "row.*"))
     takeover_row = F.col("scenario_name") == C.SCENARIO_NAMES[2]
     return first.withColumns({

@@ -53,7 +53,7 @@ def score(requests: DataFrame, model, history: DataFrame = None) -> DataFrame:
         flags = [c for c in ("is_failed", "fraud_label") if c in history.columns and c not in requests.columns]
         past = tables.history_of(history, requests).select(*shared, *flags).withColumn("__asked", F.lit(False))
         both = past.unionByName(requests.withColumn("__asked", F.lit(True)), allowMissingColumns=True)
-        full = features.enhance(features.with_history_features(both), "consistent")
+        full = features.enhance(features.with_history_features(both, first_seen=True), "consistent")
         ready = full.where("__asked").drop("__asked")
         given = {c.lower() for c in ready.columns}
         absent = {"account_balance": C.DEFAULT_ACCOUNT_BALANCE, "card_age": C.DEFAULT_CARD_AGE,

@@ -7,7 +7,8 @@ from riskflow import config as C
 _TEXT = {"transaction_id", "user_id", "transaction_type", "device_type", "location", "merchant_category",
          "card_type", "authentication_method"}
 _NUMBER = {"transaction_amount", "account_balance", "avg_transaction_amount_7d", "transaction_distance",
-           "risk_score"}
+           "risk_score", "amount_deviation_ratio"}
+_WHOLE = {c.lower() for c in C.RAW_COLUMNS + C.MODEL_FEATURES} - _TEXT - _NUMBER - {"timestamp"}
 
 
 def canonical(name: str) -> str:
@@ -15,20 +16,19 @@ def canonical(name: str) -> str:
     return "ts" if name == "Timestamp" else name.lower()
 
 
-def _raw_type(name: str) -> T.DataType:
+def _type(name: str) -> T.DataType:
     name = name.lower()
-    if name in _TEXT or name == "timestamp":
-        return T.StringType()
-    return T.DoubleType() if name in _NUMBER else T.IntegerType()
+    return T.DoubleType() if name in _NUMBER else T.IntegerType() if name in _WHOLE else T.StringType()
 
 
-# The raw file as text columns and numbers; the timestamp stays text until it is parsed.
-RAW_TRANSACTIONS = T.StructType([T.StructField(c, _raw_type(c)) for c in C.RAW_COLUMNS])
+def transaction_file(header) -> T.StructType:
+    """Schema of a raw or enhanced file with these columns. The time, and unknown columns, stay text."""
+    return T.StructType([T.StructField(c, _type(c)) for c in header])
 
-# The same table inside the package: short names, parsed time.
+
+# The raw table inside the package: short names, parsed time.
 TRANSACTIONS = T.StructType([
-    T.StructField(canonical(c), T.TimestampType() if c == "Timestamp" else _raw_type(c))
-    for c in C.RAW_COLUMNS])
+    T.StructField(canonical(c), T.TimestampType() if c == "Timestamp" else _type(c)) for c in C.RAW_COLUMNS])
 
 REQUEST = T.StructType([
     T.StructField("transaction_id", T.StringType()), T.StructField("user_id", T.StringType()),

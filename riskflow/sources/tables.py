@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.operators.skew import broadcast_if_small
-from riskflow.schemas import RAW_TRANSACTIONS, canonical
+from riskflow.schemas import canonical, transaction_file
 
 
-def read_transactions_csv(spark: SparkSession, path: str, header=None) -> DataFrame:
-    """Raw transactions; columns get their short names and the time is parsed (unreadable text -> null).
+def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Raw or enhanced transactions; columns get their short names and the time is parsed (bad text -> null).
 
-    The file is read by position, so `header` names its columns when they are not in the usual order.
+    The header line gives the order of the columns, the package their types; no data is read to find types.
     """
-    schema = RAW_TRANSACTIONS if header is None else type(RAW_TRANSACTIONS)([RAW_TRANSACTIONS[c] for c in header])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    files = spark.read.option("header", True)
+    schema = transaction_file(files.csv(path).columns)
+    raw = files.schema(schema).option("enforceSchema", False).csv(path)
     return parse_time(raw.toDF(*[canonical(c) for c in raw.columns]))
 
 

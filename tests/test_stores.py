@@ -10,14 +10,21 @@ from tests.test_point_in_time import as_rows, expected, make
 
 
 def test_raw_csv(spark, tmp_path):
-    header = ",".join(C.RAW_COLUMNS)
-    line = "TXN_1,USER_1,39.79,POS,2023-08-14 19:30:00,93213.17,Laptop,Sydney,Travel,0,0,7,437.63,3,Amex,65,883.17,Biometric,0.85,0,0"
-    bad = line.replace("2023-08-14 19:30:00", "yesterday")
-    (tmp_path / "raw.csv").write_text("\n".join([header, line, bad]) + "\n")
+    header = list(C.RAW_COLUMNS)
+    values = {"Transaction_ID": "T-7", "User_ID": "U-9", "Transaction_Amount": "12.75", "Timestamp": "2024-03-02 08:15:30",
+              "Daily_Transaction_Count": "4", "Card_Age": "210", "Fraud_Label": "1"}
+    line = ",".join(values.get(c, "0") for c in header)
+    bad = line.replace("2024-03-02 08:15:30", "yesterday")
+    (tmp_path / "raw.csv").write_text("\n".join([",".join(header), line, bad]) + "\n")
     a, b = tables.read_transactions_csv(spark, str(tmp_path / "raw.csv")).collect()
-    assert (a.transaction_id, a.transaction_amount, a.daily_transaction_count, a.card_age) == ("TXN_1", 39.79, 7, 65)
-    assert str(a.ts) == "2023-08-14 19:30:00" and b.ts is None and b.user_id == "USER_1"
+    assert (a.transaction_id, a.transaction_amount, a.daily_transaction_count, a.card_age) == ("T-7", 12.75, 4, 210)
+    assert str(a.ts) == "2024-03-02 08:15:30" and b.ts is None and b.user_id == "U-9"
     assert tables.raw_names(tables.read_transactions_csv(spark, str(tmp_path / "raw.csv"))).columns == C.RAW_COLUMNS
+    # another column order, and the calculated columns
+    header = header[::-1] + ["hour_of_day", "amount_deviation_ratio", "note"]
+    (tmp_path / "more.csv").write_text(",".join(header) + "\n" + ",".join(values.get(c, "3") for c in header) + "\n")
+    c = tables.read_transactions_csv(spark, str(tmp_path / "more.csv")).first()
+    assert (c.card_age, c.fraud_label, c.hour_of_day, c.amount_deviation_ratio, c.note) == (210, 1, 3, 3.0, "3")
 
 
 def test_requests(spark, tmp_path):
