@@ -534,8 +534,8 @@ def classification_report(spark, folder):
 
 def _judged(spark, folder):
     scored = _scored(spark, folder).drop("risk_score")
-    said = replies.parse_monitor(fixtures.monitor_replies(scored).drop("k")).where(F.col("error").isNull())
-    status = said.select("transaction_id", F.col("verdict").alias("status"))
+    said = replies.parse_monitor(fixtures.monitor_replies(scored).drop("k"))
+    status = said.select("transaction_id", F.when(F.col("error").isNull(), F.col("verdict")).alias("status"))
     report = F.expr("repeat(concat('Report on transaction ', transaction_id, '. '), 20)")
     return scored.join(status, "transaction_id", "left").withColumns({
         "risk_score": scores.score_percent("score"), "status": F.coalesce("status", F.lit(C.REPLY_VERDICT)),

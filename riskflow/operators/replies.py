@@ -36,9 +36,8 @@ def _read(df: DataFrame, reply: str, schema: str, fallback, verdict_field=None)
     projection and the fields are taken from the result in the next, so each parse happens once per row.
     """
     text = F.col(reply)
-    keys = F.map_keys(F.from_json(text, "map<string,string>", _STRICT)) if verdict_field else F.lit(None)
     parsed = df.withColumns({"__json": is_json(text), "__object": text.rlike(r"^\s*\{"),
-                             "__fields": F.from_json(text, schema, _STRICT), "__keys": keys})
+                             "__fields": F.from_json(text, schema, _STRICT)})
     error = (F.when(text.isNull(), F.lit("no reply"))
              .when(F.col("__json") & ~F.col("__object"), F.lit("reply is not a JSON object")))
     good = F.coalesce(F.col("__json") & F.col("__object"), F.lit(False))
@@ -46,10 +45,12 @@ def _read(df: DataFrame, reply: str, schema: str, fallback, verdict_field=None)
     columns = {}
     for name in T.StructType.fromDDL(schema).names:
         value = F.col(f"__fields.{name}")
-        if name == verdict_field:  # absent differs from null
-            value = F.when(F.array_contains("__keys", name), value).otherwise(F.lit(C.REPLY_VERDICT))
+        if name == verdict_field:  # an absent key differs from null; the keys are read only where it matters
+            keys = F.map_keys(F.from_json(text, "map<string,string>", _STRICT))
+            value = (F.when(value.isNotNull(), value)
+                     .when(~F.coalesce(F.array_contains(keys, name), F.lit(False)), F.lit(C.REPLY_VERDICT)))
         columns[name] = F.when(good, value).otherwise(otherwise.get(name, F.lit(None)))
-    return parsed.withColumns({**columns, "error": error}).drop("__json", "__object", "__fields", "__keys")
+    return parsed.withColumns({**columns, "error": error}).drop("__json", "__object", "__fields")
 
 
 def _texts(items) -> Column:

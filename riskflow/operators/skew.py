@@ -1,7 +1,8 @@
 """Keys that hold a large part of all rows.
 
 A key is *hot* when it alone has more rows than one reduce task should get, that is more than
-1/shares of all rows, with shares = spark.sql.shuffle.partitions. There are fewer than `shares` such keys
+1/shares of all rows, with shares = spark.sql.shuffle.partitions, and at least HOT_MIN_ROWS, below which one
+task is no burden. There are fewer than `shares` such keys
 whatever the data, and their pieces add up to at most 2 * shares. So the list of hot keys, and anything with a
 row per piece, has a proven bound: the list is fetched once per job (one pass over the key column,
 pre-aggregated on the map side) and broadcast. Without hot keys the plans are the plain ones.
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from riskflow.session import shares
 
 
+HOT_MIN_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """`frame` holds the key, its extra aggregates and `pieces`, the number of tasks its rows deserve."""
@@ -38,7 +42,7 @@ def hot_keys(df: DataFrame, key, extra=(), parts=None) -> HotKeys:
     parts = parts or shares(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *extra)
     total = counts.agg(F.sum("__n")).scalar()
-    hot = counts.where(F.col("__n") * parts > total).withColumn(
+    hot = counts.where((F.col("__n") >= HOT_MIN_ROWS) & (F.col("__n") * parts > total)).withColumn(
         "pieces", F.ceil(F.col("__n") * parts / total).cast("int")).drop("__n")
     rows = hot.collect()  # fewer than `parts` rows
     return HotKeys(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else NONE_HOT

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from riskflow.operators import skew
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,8 +28,9 @@ def test_query(spark, con, name):
     assert check.compare(spark, con, name, FOLDER) is None
 
 
-def test_hot_customers_are_spread(spark, con):
-    """With one share per key nearly every busy user counts as hot, and nothing may change."""
+def test_hot_customers_are_spread(spark, con, monkeypatch):
+    """With many shares every busy user counts as hot, and nothing may change."""
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 0)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:

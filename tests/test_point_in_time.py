@@ -8,6 +8,12 @@ import pytest
 from riskflow.operators import patterns, skew
 from riskflow.operators import point_in_time as pit
 
+
+@pytest.fixture(autouse=True)
+def small_keys_can_be_hot(monkeypatch):
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 0)
+
+
 SCHEMA = ("transaction_id long, user_id string, ts timestamp, transaction_amount double, is_failed int, "
           "fraud_label int, device_type string, location string, merchant_category string")
 START = datetime(2024, 1, 1)
@@ -131,6 +137,13 @@ def test_join_per_key_spreads_a_hot_key_and_keeps_all_rows(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+def test_small_keys_stay_whole(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot") for i in range(100)], "id long, user string")
+    assert skew.hot_keys(rows, "user")
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 101)
+    assert not skew.hot_keys(rows, "user")
+
+
 def test_snapshot_patterns_with_a_hot_user(spark):
     rows = make(800, 3, 0.5)
     df = as_rows(spark, [r for r in rows]).selectExpr("*", "'Online' AS transaction_type")
