@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions import scores, times
-from riskflow.functions.text import rounded
 from riskflow.operators import (assess, biometrics, cases, features, history, metrics, patterns, profiles,
                                 prompts, replies, scenarios, training, values)
 from riskflow.operators import point_in_time as pit

@@ -17,8 +17,11 @@ def with_time_features(df: DataFrame, ts="ts", mode="serving") -> DataFrame:
 
 
 def with_request_time(df: DataFrame, as_of, text="timestamp") -> DataFrame:
-    """`ts` of a request: the written wall clock, or `as_of` where there is none."""
-    return df.withColumn("ts", F.coalesce(times.wall_clock(text).cast("timestamp"), times.as_time(as_of)))
+    """`ts`, the written wall clock of a request (for hour and weekday), and `event_time`, the instant it names
+    (for order and windows); `as_of` where there is no readable time."""
+    now = times.as_time(as_of)
+    return df.withColumns({"ts": F.coalesce(times.wall_clock(text).cast("timestamp"), now),
+                           "event_time": F.coalesce(times.instant(text), now)})
 
 
 def first_seen_flags(txn: DataFrame, hot=None) -> DataFrame:

@@ -50,6 +50,7 @@ def test_request_time_uses_the_written_clock_or_as_of(spark):
     out = features.with_time_features(features.with_request_time(df, "2024-01-03 12:00:00")).collect()
     assert [(r.hour_of_day, r.day_of_week, r.is_weekend, r.is_unusual_hour) for r in out] == [
         (23, 0, 0, 1), (4, 5, 1, 1), (12, 2, 0, 0), (12, 2, 0, 0)]
+    assert [str(r.event_time) for r in out[:2]] == ["2024-01-01 18:10:00", "2024-01-06 04:00:00"]
 
 
 def test_within_24_hours(spark):
