@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from riskflow.operators import patterns, skew
+from riskflow.operators import history, patterns, skew
 from riskflow.operators import point_in_time as pit
 
 
@@ -175,3 +175,14 @@ def test_snapshot_patterns_with_a_hot_user(spark):
         if len(recent) >= 3 and h[0][2] - h[2][2] < timedelta(hours=1):
             want.append("rapid_succession")
         assert got[r[0]] == want
+
+
+def test_all_features_take_one_shuffle(spark):
+    plan = pit.point_in_time(as_rows(spark, make(100, 9, 0.0)), hot=skew.NONE_HOT)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_newest_rows_are_limited_before_the_shuffle(spark):
+    plan = history.newest(as_rows(spark, make(100, 9, 0.5)), 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange hashpartitioning") == 1
