@@ -1,6 +1,9 @@
 """The operators as queries over the corpus tables: name -> callable(spark, folder) -> DataFrame."""
 
-from riskflow.llm import lines, warc
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from riskflow.llm import chat, decontam, langid, lines, packing, sharding, simhash, sketches, token_counts, warc
 from riskflow.llm.tables import read
 from riskflow.session import fresh_dir
 
@@ -24,3 +27,52 @@ def op1_warc(spark, folder):
 def op2_line_dedup(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "source", "text", "n_chars")
     return lines.drop_boilerplate(docs, dropped="lines_dropped")
+
+
+@query
+def op3_chat(spark, folder):
+    text = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.segments(turns.unionByName(own)))
+
+
+@query
+def op4_token_counts(spark, folder):
+    return token_counts.token_counts(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                     public_tokenizers.PATTERN)
+
+
+@query
+def op5_fingerprints(spark, folder):
+    return sketches.compare_with_next(read(spark, folder, "documents"))
+
+
+@query
+def op6_sharding(spark, folder):
+    placed = sharding.shard(read(spark, folder, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "moved")
+
+
+@query
+def op7_simhash(spark, folder):
+    found = simhash.groups(read(spark, folder, "documents"))
+    return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_packing(spark, folder):
+    return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_langid(spark, folder):
+    docs = read(spark, folder, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+@query
+def op10_decontam(spark, folder):
+    return decontam.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
