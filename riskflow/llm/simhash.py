@@ -137,7 +137,7 @@ def forest(entries: np.ndarray, probes: np.ndarray, distance: int):
     return found
 
 
-def _links(distance, chunk=200_000, small=4096):
+def _links(distance, chunk=200_000, small=512):
     """Rows (key, i, j, role, fp) in that order -> links. Holds the entries of one cell and a chunk of its probes."""
 
     def of_small(cell, role, fp):

@@ -1,0 +1,115 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from riskflow.llm import packing
+
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+SCHEMA = "doc_id long, text string, key long, bin long, node long, offset long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def reference():
+    t = Tokenizer.from_file(PATH)
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_those_of_the_tokenizers_library(spark, reference):
+    encoding, draw = packing.tokenizer(PATH, PATTERN), random.Random(2)
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["", " ", "\n\n  a", "<|endoftext|>", "a<|endoftext|>b <|endoftext|> c", "<|endoftext", "don't I'LL we've 12³ ½ Ⅷ ǅ ʰ 中文 한국 🙂👍🏽  x　y\x85z ​٣ ",
+              "é" * 3000, "1" * 2000, "a" * 5000]
+    pool = [*map(chr, range(32, 400)), *" \n\t'<|>", "the", "ing", "̀", "中", "😀", " ", "ⅷ", "²"]
+    texts += ["".join(draw.choice(pool) for _ in range(draw.randint(1, 60))) for _ in range(3000)]
+    for t in texts:
+        assert packing.token_ids(encoding, t).tolist() == reference(t), t[:200]
+
+
+def test_parts_of_long_texts_change_nothing(spark, reference, monkeypatch):
+    monkeypatch.setattr(packing, "_PIECE_CHARS", 50)
+    encoding = packing.tokenizer(PATH, PATTERN)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect():
+        assert packing.token_ids(encoding, r[0]).tolist() == reference(r[0])
+    assert packing.token_ids(encoding, "a  b\n c <|endoftext|> d" * 40).tolist() == reference("a  b\n c <|endoftext|> d" * 40)
+
+
+def test_cuts():
+    assert packing.cuts(1) == [(0, 1)] and packing.cuts(2048) == [(0, 2048)] and packing.cuts(4096) == [(0, 2048), (2048, 2048)]
+    assert packing.cuts(5000) == [(0, 904), (904, 2048), (2952, 2048)]
+
+
+def test_best_fit_takes_the_fullest_bin_that_fits():
+    draw = random.Random(4)
+    for _ in range(50):
+        sizes = sorted((draw.randint(1, 100) for _ in range(60)), reverse=True)
+        bins, offsets, fills = packing.best_fit(sizes, 100)
+        now = []
+        for size, b, o in zip(sizes, bins, offsets):
+            fits = [f for f in now if f + size <= 100]
+            if fits:
+                assert now[b] == max(fits) == o
+                now[b] += size
+            else:
+                assert b == len(now) and o == 0
+                now.append(size)
+        assert now == fills and sum(f <= 50 for f in fills) <= 1
+
+
+def check(rows, got, ids_of, capacity=2048):
+    """The contract; returns the number of sequences and tokens."""
+    want = defaultdict(int)
+    for i, t in rows:
+        ids = np.array([*ids_of(t or ""), 0], "<u4")
+        for piece, (at, n) in enumerate(packing.cuts(len(ids), capacity)):
+            want[i, piece, at, n, zlib.crc32(ids[at:at + n].tobytes())] += 1
+    for r in got:
+        want[r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]] -= 1
+    assert not any(want.values())
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(sequences), sum(r["length"] for r in got)
+
+
+def test_contract(spark, reference):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(None, None), (None, ""), (5, "x"), (5, "x"), (9, "<|endoftext|>"), (10, "word " * 30_000)]
+    for parts, most in ((1, 1.01), (4, 1.04), (60, 1.1)):  # of four documents, a partition can't make full bins
+        got = packing.pack(frame(spark, rows).repartition(parts), PATH, PATTERN).collect()
+        sequences, tokens = check(rows, got, reference)
+        assert sequences <= most * -(-tokens // 2048), (parts, sequences, tokens)
+
+
+def test_runs_and_deep_trees(spark, reference, monkeypatch):
+    monkeypatch.setattr(packing, "FAN", 2)
+    draw = random.Random(6)
+    rows = [(i, "the " * draw.randint(0, 700)) for i in range(300)]
+    got = packing.pack(frame(spark, rows).repartition(23), PATH, PATTERN, capacity=512).collect()
+    sequences, tokens = check(rows, got, reference, 512)
+    assert sequences <= 1.12 * tokens / 512
+
+
+def test_pieces_that_never_go_together(spark, reference):
+    rows = [(i, "the " * 1100) for i in range(50)] + [(100 + i, "the " * 20) for i in range(9)]
+    got = packing.pack(frame(spark, rows).repartition(20), PATH, PATTERN).collect()
+    sequences, _ = check(rows, got, reference)
+    assert sequences == 50
+
+
+def test_empty_table(spark):
+    assert packing.pack(frame(spark, []), PATH, PATTERN).collect() == []
