@@ -4,7 +4,7 @@ If a stretch of a document turns into a benchmark item of m characters with at m
 m - q + 1 - k*q of the item's q-grams, on diagonals (document position less item position) that lie within k of each other. So the
 q-grams of an item are looked up in a document, counted in overlapping bands of diagonals (k + 1 apart, twice as wide,
 so that one band has them all), bands that reach the bound are kept, and a banded alignment of the whole
-item decides. The edit budget is `ERRORS` of the item's characters.
+item decides. The edit budget is `ERRORS` of the item's characters; q is the largest for which the bound still says something.
 
 Texts are compared in lower case with every white-space character as a blank. Items of fewer than `MIN_CHARS` characters are no
 evidence and are not searched. Rules: null and empty texts match nothing; items with equal texts are all reported; an
@@ -19,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, ERRORS, MIN_CHARS = 6, 0.1, 20
+ERRORS, MIN_CHARS = 0.1, 20
+GRAM_SIZES = (1, 4, 6, 8)
 BLOCK_CHARS = 1_000_000
 _SLICE, _HITS = 1 << 20, 1 << 21
-_TABLE_BITS = 22
+_TABLE_BITS = 20
 _START = 1 << 32  # an alignment's cost is edits * _START + its first column
 MATCHES = "key long, item_id long, start long, end long, edits long"
 
@@ -40,25 +42,42 @@ def plain(text: str) -> np.ndarray:
     return codes
 
 
-def gram_codes(codes: np.ndarray) -> np.ndarray:
-    """A number per q-gram; equal q-grams have equal numbers."""
-    n = len(codes) - Q + 1
-    total = np.zeros(max(n, 0), np.uint64)
-    if n > 0:
-        wide = codes.astype(np.uint64)
-        for i in range(Q):
-            total *= np.uint64(0x100000001B3)
-            total += wide[i:i + n]
-        total *= np.uint64(0x9E3779B97F4A7C15)
-    return total
+def gram_slots(codes: np.ndarray, q: int) -> np.ndarray:
+    """A table slot per q-gram; equal q-grams have equal slots, and the few others that share one only add candidates."""
+    n = len(codes) - q + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    size, total = 1, codes  # runs of 1, 2, 4, ... characters, and of q from two runs that overlap or touch
+    while size * 2 <= q:
+        total = total[:-size] * np.uint32(0x01000193) + total[size:]
+        size *= 2
+    if size < q:
+        total = total[:n] * np.uint32(0x85EBCA6B) + total[q - size:q - size + n]
+    return ((total * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS)).astype(np.int64)
 
 
 def budget(m: int) -> int:
     return int(m * ERRORS)
 
 
+def shared(m: int, q: int) -> int:
+    """q-grams that survive the edit budget."""
+    return m - q + 1 - budget(m) * q
+
+
+def gram_size(m: int) -> int:
+    """The largest q that leaves at least four q-grams to share."""
+    return max(q for q in GRAM_SIZES if q == 1 or shared(m, q) >= 4)
+
+
 def align(item: np.ndarray, doc: np.ndarray, low: int, width: int):
     """(edits, start, end) of the best place of the whole item whose diagonals lie in [low, low + width)."""
+    at = max(low, 0)
+    same = doc[at:low + width + len(item) - 1]
+    if len(same) >= len(item):
+        exact = np.flatnonzero((sliding_window_view(same, len(item)) == item).all(1))
+        if len(exact):
+            return 0, at + int(exact[0]), at + int(exact[0]) + len(item)
     k = budget(len(item)) * _START + _START
     column = np.arange(width, dtype=np.int64)
     # a cell holds the cost after r characters of the item at document position low + r + column
@@ -84,71 +103,82 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, width: int):
 
 @dataclass
 class Index:
-    """Items of one block, and where their q-grams are."""
+    """Items of one block with one gram size, and where their q-grams are: those of slot i are first[i]:first[i + 1]."""
 
     ids: list
     texts: list        # code points
-    grams: np.ndarray  # sorted
-    item: np.ndarray   # of each gram
-    at: np.ndarray     # its position in the item
+    q: int
+    first: np.ndarray
+    item: np.ndarray
+    at: np.ndarray     # position in the item
 
-    @staticmethod
-    def of(rows):
-        ids, texts = [i for i, _ in rows], [plain(t) for _, t in rows]
-        codes = [gram_codes(t) for t in texts]
-        grams = np.concatenate([np.empty(0, np.uint64), *codes])
-        order = np.argsort(grams, kind="stable")
-        item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        at = np.concatenate([np.empty(0, np.int64), *[np.arange(len(c)) for c in codes]])
-        return Index(ids, texts, grams[order], item[order], at[order])
-
-    def prepare(self):
+    def __post_init__(self):
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
-        edits = np.array([budget(int(m)) for m in self.sizes], np.int64)
-        self.step = edits + 1
-        self.needed = self.sizes - Q + 1 - edits * Q
-        self.known = np.zeros(1 << _TABLE_BITS, bool)
-        self.known[self.grams >> np.uint64(64 - _TABLE_BITS)] = True
+        self.step = np.array([budget(int(m)) + 1 for m in self.sizes], np.int64)
+        self.needed = np.array([shared(int(m), self.q) for m in self.sizes], np.int64)
         self.longest = int(self.sizes.max(initial=0) * 2 + 8)
-        return self
+        self.known = np.diff(self.first) > 0
+
+    @staticmethod
+    def of(rows):
+        """Indexes of the items, one per gram size."""
+        rows = [(i, plain(t)) for i, t in rows]
+        return [Index._of([r for r in rows if gram_size(len(r[1])) == q], q) for q in sorted({gram_size(len(t)) for _, t in rows})]
+
+    @staticmethod
+    def _of(rows, q):
+        ids, texts = [i for i, _ in rows], [t for _, t in rows]
+        slots = [gram_slots(t, q) for t in texts]
+        all_slots = np.concatenate(slots)
+        order = np.argsort(all_slots, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(all_slots, minlength=1 << _TABLE_BITS))]).astype(np.int32)
+        item = np.repeat(np.arange(len(slots)), [len(x) for x in slots])[order]
+        return Index(ids, texts, q, first, item, np.concatenate([np.arange(len(x)) for x in slots])[order])
 
     def bands(self, codes: np.ndarray):
-        """(item, band) pairs with enough shared q-grams."""
-        grams = gram_codes(codes)
-        where = np.flatnonzero(self.known[grams >> np.uint64(64 - _TABLE_BITS)])
+        """(item, band) pairs with enough shared q-grams; a band reaches from its number over two steps of diagonals."""
+        slots = gram_slots(codes, self.q)
+        where = np.flatnonzero(self.known[slots])
         if not len(where):
             return []
-        first = np.searchsorted(self.grams, grams[where])
-        n = np.searchsorted(self.grams, grams[where], "right") - first
-        where, first, n = where[n > 0], first[n > 0], n[n > 0]
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        upto = np.cumsum(n)
-        at = 0
+        first = self.first[slots[where]].astype(np.int64)
+        n = self.first[slots[where] + 1] - first
+        upto, parts, at = np.cumsum(n), [], 0
         while at < len(where):  # in runs of bounded size
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _HITS)))
+            done = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, done + _HITS)))
             own = n[at:end]
-            post = np.repeat(first[at:end] - np.cumsum(own) + own, own) + np.arange(own.sum())
-            item = self.item[post]
-            band = (np.repeat(where[at:end], own) - self.at[post] + self.longest) // self.step[item]
-            key = np.concatenate([item << 40 | band, item << 40 | (band - 1)])
-            u, c = np.unique(key, return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, u]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, c]), len(keys)).astype(np.int64)
+            post = np.repeat(first[at:end] - (upto[at:end] - own - done), own) + np.arange(own.sum())
+            item, j = self.item[post], self.at[post]
+            diagonal = np.repeat(where[at:end], own) - j + self.longest
+            parts.append((*np.unique(item << 40 | diagonal // self.step[item], return_counts=True), item, diagonal, j))
             at = end
-        enough = keys[counts >= self.needed[keys >> 40]]
-        return [(int(k >> 40), int(k & (1 << 40) - 1)) for k in enough]
+        keys, counts = parts[0][:2]
+        if len(parts) > 1:
+            keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+        both = counts.copy()
+        both[:-1] += np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0)  # a band and the next step
+        found = [(int(k >> 40), int(k & (1 << 40) - 1)) for k in keys[both >= self.needed[keys >> 40]]]
+        if len(parts) > 1:
+            return found
+        _, _, item, diagonal, j = parts[0]
+        return [(t, b) for t, b in found if self._distinct(item, diagonal, j, t, b) >= self.needed[t]]
 
-    def places(self, text: str):
-        """(item, start, end, edits) of the verified places in one text."""
+    def _distinct(self, item, diagonal, j, t, band):
+        """Different q-grams of the item in a band: one that the document repeats counts once."""
+        low = band * self.step[t]
+        return len(np.unique(j[(item == t) & (diagonal >= low) & (diagonal < low + 2 * self.step[t])]))
+
+    def places(self, whole: np.ndarray):
+        """(item, start, end, edits) of the verified places in one text (code points)."""
         found = []
-        if not text or not self.ids:
-            return found
-        whole = plain(text)
         for at in range(0, len(whole), _SLICE):
             codes = whole[at:at + _SLICE + self.longest]
             for item, band in self.bands(codes):
                 step = int(self.step[item])
-                place = align(self.texts[item], codes, band * step - self.longest, 2 * step)
+                # the alignment may leave the band of its q-grams by the edit budget on either side
+                place = align(self.texts[item], codes, (band - 1) * step - self.longest, 4 * step)
                 if place:
                     found.append((place[0], at + place[1], at + place[2], item))
         kept = []
@@ -158,6 +188,14 @@ class Index:
         return sorted(kept)
 
 
+def places(indexes: list, text: str):
+    """(item id, start, end, edits) of the verified places of the items in one text."""
+    if not text:
+        return []
+    codes = plain(text)
+    return [(index.ids[item], *place) for index in indexes for item, *place in index.places(codes)]
+
+
 def _blocks(benchmark: DataFrame, key, text):
     """Indexes of the items, block by block; the driver holds one block."""
     rows = benchmark.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
@@ -174,11 +212,10 @@ def _blocks(benchmark: DataFrame, key, text):
 
 def _match(sent):
     def run(batches):
-        index = sent.value.prepare()
+        indexes = sent.value
         for batch in batches:
-            rows = [(key, index.ids[item], start, end, edits)
-                    for key, text in zip(batch.column("key").to_pylist(), batch.column("text"))
-                    for item, start, end, edits in index.places(text.as_py())]
+            rows = [(key, *place) for key, text in zip(batch.column("key").to_pylist(), batch.column("text"))
+                    for place in places(indexes, text.as_py())]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns],
                                              names=["key", "item_id", "start", "end", "edits"])
@@ -197,9 +234,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text", it
 
 def _clean(sent, text):
     def run(batches):
-        index = sent.value.prepare()
+        indexes = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([not index.places(t.as_py()) for t in batch.column(text).cast(pa.string())], pa.bool_()))
+            yield batch.filter(pa.array([not places(indexes, t.as_py()) for t in batch.column(text).cast(pa.string())], pa.bool_()))
     return run
 
 

@@ -81,11 +81,11 @@ def test_slices_and_blocks(spark, monkeypatch):
     draw = random.Random(12)
     items = [(i, prose(draw, 20)) for i in range(10)]
     text = " ".join(prose(draw, 30) + " " + edited(draw, x, 2) for _, x in items)
-    whole = dc.Index.of(items).prepare().places(text)
+    whole = sorted(dc.places(dc.Index.of(items), text))
     assert len(whole) == 10
     monkeypatch.setattr(dc, "_SLICE", 97)
     monkeypatch.setattr(dc, "_HITS", 5)
-    assert dc.Index.of(items).prepare().places(text) == whole
+    assert sorted(dc.places(dc.Index.of(items), text)) == whole
     monkeypatch.setattr(dc, "BLOCK_CHARS", 150)
     got = dc.matches(frame(spark, [(1, text)]), bench(spark, items)).collect()
     assert sorted((r["item_id"], r["start"], r["end"], r["edits"]) for r in got) == whole
@@ -100,6 +100,25 @@ def test_long_and_repetitive_texts(spark):
     assert [(r["start"], r["end"]) for r in got if r["doc_id"] == 1] == [(300_000, 300_080)]
 
 
+def test_the_bound_holds_for_any_size():
+    draw = random.Random(13)
+    assert all(dc.shared(m, dc.gram_size(m)) >= 1 for m in range(dc.MIN_CHARS, 3000))
+    for m in (20, 26, 35, 60, 95, 400):
+        q = dc.gram_size(m)
+        for _ in range(50):
+            item = dc.plain("".join(draw.choice("abcd") for _ in range(m)))
+            text = dc.plain(edited(draw, "".join(map(chr, item)), dc.budget(m)))
+            slots = set(dc.gram_slots(text, q).tolist())
+            assert sum(x in slots for x in dc.gram_slots(item, q).tolist()) >= dc.shared(m, q)
+
+
+def test_equal_grams_have_equal_slots():
+    codes = dc.plain("abcdefghijklmno xyz abcdefghijklmno")
+    for q in range(1, 11):
+        slots, grams = dc.gram_slots(codes, q), [tuple(codes[i:i + q]) for i in range(len(codes) - q + 1)]
+        assert len(slots) == len(grams) and all((a == b) == (x == y) for a, x in zip(grams, slots) for b, y in zip(grams, slots))
+
+
 @pytest.mark.parametrize("docs, items", [([], [(1, "x" * 50)]), ([(1, "x" * 50)], []), ([], [])])
 def test_empty_tables(spark, docs, items):
     assert dc.matches(frame(spark, docs), bench(spark, items)).collect() == []
