@@ -188,7 +188,7 @@ numbered AS (
     repeat('Report on transaction ' || transaction_id || '. ', 20) AS report
   FROM cases),
 records AS (
-  SELECT *, 'evidence/case_date=' || strftime(ts, '%Y-%m-%d') || '#' || case_id AS evidence_path
+  SELECT *, 'evidence/case_date=' || strftime(ts, '%Y-%m-%d') || '/case_id=' || case_id AS evidence_path
   FROM numbered)"""
 
 _COUNTS = """
@@ -421,7 +421,7 @@ SELECT transaction_id, CASE WHEN error IS NULL THEN verdict END AS monitor_verdi
   CASE WHEN error IS NULL THEN CAST(floor(score * 100) AS INT) END AS final_score, error AS monitor_error,
   CASE WHEN error IS NOT NULL THEN NULL WHEN floor(score * 100) < 30 THEN 'LOW' WHEN floor(score * 100) < 70 THEN 'MEDIUM'
        ELSE 'HIGH' END AS risk_level
-FROM cur JOIN scored USING (transaction_id) JOIN said USING (transaction_id)""", _PAST, _SCORE, _MONITOR),
+FROM scored JOIN said USING (transaction_id)""", _SCORE, _MONITOR),
     "assessment_summary": _sql("""
 SELECT c.transaction_id, c.user_id, j.final_verdict, j.confidence_score AS confidence, j.risk_level,
   CASE WHEN r.error IS NULL THEN CAST(floor(s.score * 100) AS INT) ELSE 0 END AS ml_fraud_score,
@@ -481,10 +481,10 @@ per AS (SELECT CASE c WHEN 0 THEN 'Legitimate' ELSE 'Fraud' END AS class, precis
 SELECT case_id, transaction_id, user_id, risk_score, status, transaction_amount AS amount, evidence_path,
   epoch_us(ts) AS created_us, length(report) AS report_length FROM records""", _SCORE, _MONITOR, _CASES),
     "fraud_alerts": _sql(f"""
-SELECT case_id, 'Fraud Alert: ' || case_id AS subject, '🚨 FRAUD ALERT: ' || case_id || chr(10) || chr(10) || 'Risk Score: '
-  || risk_score || '/100 - ' || status || chr(10) || 'Transaction: ' || transaction_id || chr(10) || 'Amount: $'
-  || {_money('transaction_amount')} || chr(10) || chr(10) || left(report, 500) || '...' || chr(10) || chr(10)
-  || 'Full report: ' || evidence_path || chr(10) AS message FROM records""", _SCORE, _MONITOR, _CASES),
+SELECT case_id, 'Fraud Alert: ' || case_id AS subject, 'Case ' || case_id || ': transaction ' || transaction_id || ' over $'
+  || {_money('transaction_amount')} || ' scored ' || risk_score || ' of 100 (status ' || status || ').' || chr(10)
+  || 'Evidence: ' || evidence_path || chr(10) || 'The report begins:' || chr(10) || left(report, 500) AS message
+FROM records""", _SCORE, _MONITOR, _CASES),
 }
 
 
@@ -521,17 +521,15 @@ FROM cur JOIN scored USING (transaction_id) LEFT JOIN prof ON prof.user_id = cur
 SELECT user_id, epoch_us(window_end) AS end_us, count(*) AS n FROM (
   SELECT user_id, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR,
                                          date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS window_end FROM txn)
-WHERE window_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM txn)
 GROUP BY user_id, window_end"""),
     "stream_bursts": _sql("""
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 1 HOUR) AS end_us, count(*) AS n FROM (
   SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM (
     SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END
       AS opens FROM txn))
-GROUP BY user_id, burst
-HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM txn)"""),
+GROUP BY user_id, burst"""),
     "stream_user_state": _sql("""
-SELECT transaction_id, user_id, least(count_24h, 100) AS count_24h, rapid AS rapid_succession, new_device AS is_new_device,
+SELECT transaction_id, user_id, count_24h, rapid AS rapid_succession, new_device AS is_new_device,
   new_location AS is_new_location, new_merchant AS is_new_merchant FROM hist JOIN firsts USING (transaction_id)""",
                               _HIST, _FIRST),
     "stream_cases": _sql("""
@@ -557,3 +555,56 @@ ORACLE["txn_timeline"] = _timeline(("SELECT * FROM newest WHERE rank <= 5", "e.p
 ORACLE["txn_timeline_newest_first"] = _timeline((
     "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS held FROM newest WHERE rank <= 100) "
     "WHERE rank > held - 5", "e.place ASC NULLS LAST"))
+
+
+_PARTS = _split_counts()
+_FEATURES = ["Transaction_Amount", "Transaction_Type", "Account_Balance", "Device_Type", "Location", "Merchant_Category",
+             "IP_Address_Flag", "Previous_Fraudulent_Activity", "Daily_Transaction_Count", "Avg_Transaction_Amount_7d",
+             "Failed_Transaction_Count_7d", "Card_Type", "Card_Age", "Transaction_Distance", "Authentication_Method",
+             "Is_Weekend", "hour_of_day", "day_of_week", "is_unusual_hour", "amount_deviation_ratio", "is_high_value",
+             "is_new_device"]
+
+ORACLE.update({
+    "model_metadata": f"""
+SELECT '{"|".join(_FEATURES)}' AS features, 22 AS n_features,
+  'Transaction_Type|Device_Type|Location|Merchant_Category|Card_Type|Authentication_Method' AS categorical_features,
+  CAST(sum(n) AS BIGINT) AS training_samples,
+  round(sum(n) FILTER (WHERE fraud_label = 0) / sum(n) FILTER (WHERE fraud_label = 1), 6) AS fraud_ratio
+FROM ({_PARTS}) WHERE split = 'train'""",
+    "model_quality": f"""
+SELECT CASE fraud_label WHEN 0 THEN 'Legitimate' ELSE 'Fraud' END AS class, n AS support, true AS test_above_chance,
+  true AS validation_above_chance FROM ({_PARTS}) WHERE split = 'test'""",
+    "model_importance": "SELECT unnest({}) AS feature, true AS is_share, true AS adds_up, true AS is_sorted".format(_FEATURES),
+    "model_scores": _sql("""
+SELECT transaction_id, true AS same_as_trained, true AS is_probability, true AS score_follows, true AS band_follows
+FROM cur""", _PAST),
+    "stream_model_scores": _sql("SELECT transaction_id, true AS as_in_batch FROM cur", _PAST),
+    "sink_evidence": _sql("""
+SELECT r.case_id, CAST(r.transaction_id AS VARCHAR) AS transaction_id, true AS at_its_path, j.final_verdict
+FROM records r JOIN judged j USING (transaction_id)""", _SCORE, _MONITOR, _CASES, _ASSESSMENT),
+    "sink_scenarios_json": "SELECT scenario_name, transaction_id, user_id FROM ({})".format(ORACLE["scenario_samples"]),
+    "sink_enhanced": _sql("""
+SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, hour_of_day, is_high_value, is_high_value AS stored_high_value,
+  round(ratio, 6) AS amount_deviation_ratio FROM enhanced""", _HIST, _ENHANCED),
+    "photo_result": _sql("""
+SELECT b.transaction_id, verification_result = 'VERIFIED' AND face_matched AND is_real AND is_live AS is_authentic,
+  CASE WHEN s.error IS NULL THEN s.verdict END AS photo_verdict,
+  CASE WHEN bad IS NOT NULL THEN 'Unable to parse analysis' END AS photo_findings,
+  CASE WHEN bad IS NOT NULL THEN 'Manual review required' END AS photo_action, s.error
+FROM bio b JOIN said s USING (transaction_id)""", _BIO, _MONITOR),
+    "branch_errors": _sql("""
+SELECT c.transaction_id, s.error AS monitor_error, CASE WHEN c.k % 9 = 0 THEN 'user_id is required' END AS evidence_error,
+  s.error AS photo_error, CASE WHEN s.error IS NULL THEN s.verdict END AS photo_verdict, c.k % 9 = 0 AS no_evidence
+FROM cur c JOIN said s USING (transaction_id)""", _PAST, _MONITOR),
+    "request_history_offsets": _sql("""
+SELECT transaction_id, hour(ts + CASE transaction_id % 3 WHEN 0 THEN INTERVAL 0 MINUTE WHEN 1 THEN INTERVAL 300 MINUTE
+  ELSE INTERVAL (-210) MINUTE END) AS hour_of_day, hist_count, count_24h, epoch_us(ts) AS ts_us FROM hist""", _HIST),
+    "odd_amounts": _sql("""
+SELECT transaction_id, count(*) OVER before AS hist_count, count(*) OVER d7 AS count_7d,
+  round(log10(1 + avg(amount) FILTER (WHERE readable) OVER before), 6) AS hist_avg_log,
+  round(log10(1 + avg(amount) FILTER (WHERE readable) OVER d7), 6) AS avg_7d_log, missing AS amount_is_null
+FROM (SELECT transaction_id, user_id, ts, transaction_id % 11 NOT IN (0, 1, 5) AS readable, transaction_id % 11 = 4 AS missing,
+  CASE transaction_id % 11 WHEN 2 THEN 1e13 WHEN 3 THEN 4e-7 WHEN 4 THEN 0 ELSE transaction_amount END AS amount FROM txn)
+WINDOW before AS (PARTITION BY user_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  d7 AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)"""),
+})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions import scores, times
+from riskflow.functions.text import rounded
 from riskflow.operators import (assess, biometrics, cases, features, history, metrics, patterns, profiles,
                                 prompts, replies, scenarios, training, values)
 from riskflow.operators import point_in_time as pit
@@ -70,14 +71,14 @@ def time_features_training(spark, folder):
 
 @query
 def amount_deviation_training(spark, folder):
-    txn = features.with_history_features(_narrow(spark, folder))
+    txn = pit.point_in_time(_narrow(spark, folder), parts=(pit.LAST_7D,))
     ratio = scores.deviation_training("transaction_amount", "avg_transaction_amount_7d")
     return txn.select("transaction_id", F.round(ratio, 8).alias("amount_deviation_ratio"))
 
 
 @query
 def amount_deviation_serving(spark, folder):
-    txn = features.with_history_features(_narrow(spark, folder))
+    txn = pit.point_in_time(_narrow(spark, folder), parts=(pit.LAST_7D,))
     ratio = scores.deviation_serving("transaction_amount", "avg_transaction_amount_7d")
     return txn.select("transaction_id", F.round(ratio, 8).alias("amount_deviation_ratio"))
 
@@ -435,8 +436,8 @@ def evidence_package(spark, folder):
 
 
 def _monitor(spark, folder):
-    """Scores, features and replies of the current transactions."""
-    _, current = _past_and_current(spark, folder)
+    """Scores, features and replies of all transactions."""
+    current = _txn(spark, folder)
     scored = features.with_time_features(current).withColumns({
         "fraud_probability": F.round(scores.heuristic_risk(), 4),
         "is_high_value": scores.high_value_serving("transaction_amount")})
@@ -469,6 +470,31 @@ def assessment_summary(spark, folder):
     return assess.summary(_combined(spark, folder))
 
 
+@query
+def photo_result(spark, folder):
+    """Checks, reply and verdict of the photo branch."""
+    txn = _txn(spark, folder, location=False)
+    out = biometrics.photo_result(fixtures.biometric_json(txn).drop("k"), fixtures.monitor_replies(txn).drop("k"))
+    return out.select("transaction_id", "is_authentic", "photo_verdict", _joined("photo_findings").alias("photo_findings"),
+                      "photo_action", "error")
+
+
+@query
+def branch_errors(spark, folder):
+    """Transactions, some without a user and some with a broken reply: every row stays, with the errors of its branches."""
+    past, current = _past_and_current(spark, folder)
+    current = current.withColumn("user_id", F.when(F.col("k") % 9 != 0, F.col("user_id")))
+    scored = features.with_time_features(current).withColumns({
+        "fraud_probability": F.round(scores.heuristic_risk(), 4),
+        "is_high_value": scores.high_value_serving("transaction_amount")})
+    said = replies.parse_assessment(fixtures.assessment_replies(current).drop("k"))
+    photos = fixtures.biometric_json(current).drop("k")
+    answers = fixtures.monitor_replies(current).drop("k")
+    out = batch.assess_batch(current, scored, past, photos, answers, said, AS_OF, photo_replies=answers)
+    return out.select("transaction_id", "monitor_error", "evidence_error", F.col("biometric.error").alias("photo_error"),
+                      F.col("biometric.photo_verdict").alias("photo_verdict"), F.col("evidence").isNull().alias("no_evidence"))
+
+
 @query
 def prompt_requests(spark, folder):
     """All five request tables; the texts are checked for being there, whole and filled in."""
@@ -582,7 +608,6 @@ def evidence_documents(spark, folder):
 # --- model -----------------------------------------------------------------------------------
 
 _trained = {}
-_CATALOG_TREES = 10  # the library's default is the full number of trees
 
 
 def _model(spark, folder):
@@ -594,30 +619,53 @@ def _model(spark, folder):
         enhanced = features.enhance(txn, "consistent")
         enhanced.write.parquet(f"{path}/enhanced")
         stored = spark.read.schema(enhanced.schema).parquet(f"{path}/enhanced")
-        _trained[key] = batch.train(stored, path, trees=_CATALOG_TREES), path
+        _trained[key] = batch.train(stored, path), path
     return _trained[key]
 
 
+@query
+def model_metadata(spark, folder):
+    results, _ = _model(spark, folder)
+    return results["metadata"].select(
+        _joined("features").alias("features"), "n_features", _joined("categorical_features").alias("categorical_features"),
+        "training_samples", F.round("fraud_ratio", 6).alias("fraud_ratio"))
+
+
 @query
 def model_quality(spark, folder):
+    """Rows per class in the test part, and whether the scores of test and validation part are better than chance."""
     results, _ = _model(spark, folder)
-    return results["report"]
+    better = {f"{part}_above_chance": F.lit(results[name].first()["auc"] > 0.5)
+              for part, name in (("test", "auc"), ("validation", "validation_auc"))}
+    return results["report"].where(F.col("class").isin(C.TARGET_NAMES)).select("class", "support").withColumns(better)
 
 
 @query
 def model_importance(spark, folder):
-    results, _ = _model(spark, folder)
-    return training.top_features(results["importance"])
+    """Every model input, with checks of the whole list."""
+    importance = _model(spark, folder)[0]["importance"]
+    numbers = [r["importance"] for r in importance.collect()]  # 22
+    return importance.select(
+        "feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(abs(sum(numbers) - 1) < 1e-6).alias("adds_up"),
+        F.lit(numbers == sorted(numbers, reverse=True)).alias("is_sorted"))
 
 
 @query
 def model_scores(spark, folder):
-    """Current transactions scored with the saved model and features from the history before them."""
-    _, path = _model(spark, folder)
+    """Current transactions scored with the saved model, next to the trained one, and features from the history before
+    them; a model saved to the same place later is the one that is read."""
+    results, path = _model(spark, folder)
     past, current = _past_and_current(spark, folder, balance=True)
-    scored = batch.score(current.drop("fraud_label", "is_failed"), tables.load_model(path), past)
+    asked = current.drop("fraud_label", "is_failed")
+    loaded = batch.score(asked, tables.load_model(path), past)
+    trained = batch.score(asked, results["model"], past).select("transaction_id", F.col("fraud_probability").alias("again"))
     p = scores.prediction("fraud_probability")
-    return scored.select("transaction_id", p.alias("p")).select("transaction_id", "p.*")
+    return loaded.join(trained, "transaction_id").select(
+        "transaction_id", p.alias("p"), (F.col("fraud_probability") == F.col("again")).alias("same_as_trained")).select(
+        "transaction_id", "same_as_trained", F.col("p.fraud_probability").between(0, 1).alias("is_probability"),
+        (F.col("p.fraud_score") == F.floor(F.col("p.fraud_probability") * 100)).alias("score_follows"),
+        (F.col("p.risk_level") == F.when(F.col("p.fraud_score") < 30, "LOW").when(F.col("p.fraud_score") < 70, "MEDIUM")
+         .otherwise("HIGH")).alias("band_follows"))
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -659,27 +707,106 @@ def sink_history_store(spark, folder):
 
 @query
 def sink_cases(spark, folder):
-    """Cases of two writes into one store, the second repeated: numbering goes on, nothing is doubled."""
+    """Cases of two writes into one store, both repeated, the first one last: all ids stay as they were given."""
     root = fresh_dir(spark, "cases")
     judged = _judged(spark, folder)
     moment = F.lit(AS_OF).cast("timestamp")
-    case_store.write_cases(judged.where(F.col("ts") < moment), 1, root)
-    for _ in range(2):
-        case_store.write_cases(judged.where(F.col("ts") >= moment), 2, root)
+    early, late = judged.where(F.col("ts") < moment), judged.where(F.col("ts") >= moment)
+    for write_id, rows in ((1, early), (2, late), (2, late), (1, early)):
+        case_store.write_cases(rows, write_id, root)
     return case_store.read_cases(spark, root).select("case_id", "transaction_id", "risk_score", "status")
 
 
+@query
+def sink_evidence(spark, folder):
+    """The evidence document of every case, read back from the path that its case names."""
+    root = fresh_dir(spark, "evidence")
+    judged = _judged(spark, folder)
+    said = replies.parse_assessment(fixtures.assessment_replies(_txn(spark, folder)).drop("k")).drop("reply")
+    evidence = judged.select("transaction_id", F.struct(F.lit("seen").alias("note")).alias("evidence"))
+    written = batch.escalate(judged, evidence, said, root, 1)
+    found = case_store.read_evidence(spark, root).select("case_id", "document", "path")
+    return written.join(found, "case_id").select(
+        "case_id", F.get_json_object("document", "$.transaction_id").alias("transaction_id"),
+        F.contains("path", "evidence_path").alias("at_its_path"),
+        F.get_json_object("document", "$.risk_assessment.final_verdict").alias("final_verdict"))
+
+
+@query
+def sink_scenarios_json(spark, folder):
+    """Scenarios written as JSON records and read back."""
+    path = fresh_dir(spark, "scenarios")
+    txn = features.enhance(features.with_history_features(_txn(spark, folder)), "training")
+    txn.write.parquet(f"{path}/enhanced")
+    out = scenarios.scenario_samples(spark.read.schema(txn.schema).parquet(f"{path}/enhanced"), velocity=2)
+    tables.write_json(out, f"{path}/json")
+    return spark.read.schema(out.schema).json(f"{path}/json").select("scenario_name", "transaction_id", "user_id")
+
+
+@query
+def sink_enhanced(spark, folder):
+    """The enhanced table written as CSV under its file names, and as Parquet, each read back by its reader."""
+    path = fresh_dir(spark, "enhanced")
+    txn = features.enhance(features.with_history_features(_txn(spark, folder, balance=True)), "training")
+    tables.write_csv(tables.raw_names(txn.select(*[canonical(c) for c in C.RAW_COLUMNS], "hour_of_day", "is_high_value",
+                                                 "amount_deviation_ratio")), f"{path}/csv")
+    txn.write.parquet(f"{path}/parquet")
+    kept = tables.read_transactions(spark, f"{path}/parquet").select(
+        F.col("transaction_id").cast("string").alias("transaction_id"), F.col("is_high_value").alias("stored_high_value"))
+    back = tables.read_transactions_csv(spark, f"{path}/csv").join(kept, "transaction_id")
+    return back.select("transaction_id", "hour_of_day", "is_high_value", "stored_high_value",
+                       F.round("amount_deviation_ratio", 6).alias("amount_deviation_ratio"))
+
+
+@query
+def odd_amounts(spark, folder):
+    """Amounts that are no number, infinite, huge or tiny, and messages that show them: no row stops the job."""
+    odd = ("CASE pmod(transaction_id, 11) WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') WHEN 2 THEN 1e13 "
+           "WHEN 3 THEN 4e-7 WHEN 4 THEN NULL WHEN 5 THEN 1e300 ELSE transaction_amount END")
+    txn = pit.point_in_time(_narrow(spark, folder).withColumn("transaction_amount", F.expr(odd)), parts=(pit.ALL, pit.LAST_7D))
+    return txn.select("transaction_id", "hist_count", "count_7d",
+                      F.round(F.log10(1 + F.col("hist_avg_amount")), 6).alias("hist_avg_log"),
+                      F.round(F.log10(1 + F.col("avg_transaction_amount_7d")), 6).alias("avg_7d_log"),
+                      rounded("transaction_amount", 2).isNull().alias("amount_is_null"))
+
+
+@query
+def request_history_offsets(spark, folder):
+    """Requests whose times are written in three zones: order and counts by the instant, hour by the written clock."""
+    shift = F.expr("CASE pmod(transaction_id, 3) WHEN 0 THEN INTERVAL 0 MINUTE WHEN 1 THEN INTERVAL 300 MINUTE "
+                   "ELSE INTERVAL -210 MINUTE END")
+    zone = F.expr("CASE pmod(transaction_id, 3) WHEN 0 THEN 'Z' WHEN 1 THEN '+05:00' ELSE '-03:30' END")
+    written = F.concat(F.date_format(F.col("ts") + shift, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), zone)
+    asked = _narrow(spark, folder).withColumn("timestamp", written).drop("ts")
+    out = features.with_time_features(features.with_request_time(asked, AS_OF))
+    return pit.point_in_time(out, parts=(pit.ALL, pit.LAST_24H)).select(
+        "transaction_id", "hour_of_day", "hist_count", "count_24h", _micros("ts").alias("ts_us"))
+
+
 # --- streams ---------------------------------------------------------------------------------
 
-def _stream(spark, folder, location=True):
-    events = (spark.readStream.schema(fixtures.table(spark, folder, "events").schema)
-              .option("pathGlobFilter", "events.parquet").parquet(folder))
-    return fixtures.from_events(events, fixtures.table(spark, folder, "nation") if location else None)
+_FILES = 4
+
+
+def _stream(spark, folder, location=True, in_order=False, where="true"):
+    """Events from several files, a file per micro-batch; in the order of time, or each file from all times."""
+    events = fixtures.table(spark, folder, "events").where(where)
+    path = fresh_dir(spark, "events")
+    if in_order:
+        micros = F.unix_micros(F.col("ts").cast("timestamp"))
+        at = events.agg(F.percentile_approx(micros, [i / _FILES for i in range(1, _FILES)])).first()[0] or []
+        part = sum([(micros >= x).cast("int") for x in at], F.lit(0))
+    else:
+        part = F.pmod(F.col("event_id"), F.lit(_FILES))
+    for i in range(_FILES):  # one after the other: a stream takes the oldest file first
+        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return fixtures.from_events(files, fixtures.table(spark, folder, "nation") if location else None)
 
 
 def _stream_scores_input(spark, folder):
     past, _ = _past_and_current(spark, folder)
-    requested = _stream(spark, folder).where(F.col("ts") >= F.lit(AS_OF).cast("timestamp"))
+    requested = _stream(spark, folder, where=f"ts >= TIMESTAMP_NTZ '{AS_OF}'")
     return requested, profiles.serving_profile(past, AS_OF)
 
 
@@ -711,27 +838,40 @@ def stream_first_copies(spark, folder):
 
 @query
 def stream_rolling_counts(spark, folder):
-    out = windows.rolling_counts(_stream(spark, folder, False))
-    back = jobs.read_back(out, jobs.run_to_end(out))
-    return back.select("user_id", _micros("window_end").alias("end_us"), "n")
+    """Windows of all rows, late ones and open windows included."""
+    path = jobs.run_to_end(_stream(spark, folder, False), windows.write_hourly)
+    return windows.rolling_counts(spark.read.parquet(path)).select("user_id", _micros("window_end").alias("end_us"), "n")
 
 
 @query
 def stream_bursts(spark, folder):
-    jobs.use_keyed_state(spark)
-    out = windows.bursts(_stream(spark, folder, False))
-    back = jobs.read_back(out, jobs.run_to_end(out))
+    """Bursts of all rows, late ones and open bursts included."""
+    back = windows.bursts(spark.read.parquet(jobs.run_to_end(_stream(spark, folder, False), windows.write_pieces)))
     return back.select("user_id", _micros("burst_start").alias("start_us"), _micros("burst_end").alias("end_us"), "n")
 
 
 @query
 def stream_user_state(spark, folder):
     jobs.use_keyed_state(spark)
-    out = user_state.follow_users(_stream(spark, folder))
+    out = user_state.follow_users(_stream(spark, folder, in_order=True))
     back = jobs.read_back(out, jobs.run_to_end(out))
     return back.withColumn("rapid_succession", F.col("rapid_succession").cast("int"))
 
 
+@query
+def stream_model_scores(spark, folder):
+    """A stream of requests scored by the saved model with the history up to each, next to the batch scores."""
+    _, path = _model(spark, folder)
+    past, current = _past_and_current(spark, folder, balance=False)
+    model = tables.load_model(path)
+    asked = _stream(spark, folder, in_order=True, where=f"ts >= TIMESTAMP_NTZ '{AS_OF}'").drop("fraud_label", "is_failed")
+    writer = scoring.model_writer(past, model, fresh_dir(spark, "asked"), columns=["transaction_id", "fraud_probability"])
+    out = spark.read.parquet(jobs.run_to_end(asked, writer)).drop("batch_id")
+    wanted = batch.score(current.drop("fraud_label", "is_failed"), model, past)
+    return out.join(wanted.select("transaction_id", F.col("fraud_probability").alias("p")), "transaction_id").select(
+        "transaction_id", (F.abs(F.col("fraud_probability") - F.col("p")) < 1e-12).alias("as_in_batch"))
+
+
 @query
 def stream_cases(spark, folder):
     scored = features.with_time_features(_stream(spark, folder)).withColumns({

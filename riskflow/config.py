@@ -138,3 +138,6 @@ TARGET_NAMES = ["Legitimate", "Fraud"]
 CASE_ID_PREFIX = "FA"
 CASE_NUMBER_START = 1000
 ALERT_SUBJECT_FORMAT = "Fraud Alert: {0}"
+# Our own wording: case, transaction, amount, score, status, folder of the evidence, start of the report.
+ALERT_MESSAGE_FORMAT = ("Case {0}: transaction {1} over ${2} scored {3} of 100 (status {4}).\n"
+                        "Evidence: {5}\nThe report begins:\n{6}")

@@ -23,8 +23,9 @@ def plain(amount, digits=2) -> Column:
 
 
 def rounded(number, digits) -> Column:
-    """Rounding of the binary value, half to even."""
-    return plain(number, digits).cast("double")
+    """Rounding of the binary value, half to even; what is no finite number stays as it is."""
+    value = col(number).cast("double")
+    return F.coalesce(plain(value, digits).try_cast("double"), value)
 
 
 def template(pattern: str, *values: Column) -> Column:

@@ -54,6 +54,14 @@ def evidence_package(detected: DataFrame, summary="llm_summary") -> DataFrame:
     return detected.select("transaction_id", package.alias("evidence"), F.size("patterns").alias("n_patterns"))
 
 
+def evidence_branch(current: DataFrame, detect) -> DataFrame:
+    """(transaction_id, evidence, n_patterns, evidence_error): a row without a user has the error in place of the
+    evidence. detect(rows) gives the output of patterns.detect_snapshot."""
+    valid, bad = required(current)
+    good = evidence_package(detect(valid)).withColumn("evidence_error", F.lit(None).cast("string"))
+    return good.unionByName(bad.select("transaction_id", F.col("error").alias("evidence_error")), allowMissingColumns=True)
+
+
 def combine(txn: DataFrame, monitor: DataFrame, evidence: DataFrame, photo: DataFrame,
             assessment: DataFrame) -> DataFrame:
     """Fan-in on the transaction id; every side is optional, a failed side does not remove the transaction.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions.text import number_text, rounded, template
-from riskflow.operators.replies import is_json_object
+from riskflow.operators.replies import is_json_object, parse_photo
 from riskflow.schemas import BIOMETRIC
 
 
@@ -79,6 +79,23 @@ def flatten(df: DataFrame, response="response") -> DataFrame:
     return out.drop("r")
 
 
+def photo_result(responses: DataFrame, said: DataFrame = None) -> DataFrame:
+    """The photo branch per transaction: the checks, what the model said about them, and the final verdict.
+
+    responses: transaction_id, response. said: transaction_id, reply; a transaction without a reply, or no `said` at all,
+    has no verdict. `error` is that of the check, else that of the reply; a failed check has no verdict.
+    """
+    checks = flatten(responses).drop("response")
+    if said is None:
+        return checks.withColumn("photo_verdict", F.lit(None).cast("string"))
+    read = parse_photo(said.select("transaction_id", "reply")).select(
+        "transaction_id", F.col("verdict").alias("photo_verdict"), F.col("risk_assessment").alias("photo_findings"),
+        F.col("recommended_action").alias("photo_action"), F.col("reasoning").alias("photo_reasoning"),
+        F.col("error").alias("reply_error"))
+    out = checks.join(read, "transaction_id", "left").withColumn("error", F.coalesce("error", "reply_error")).drop("reply_error")
+    return out.withColumn("photo_verdict", F.when(F.col("error").isNull(), F.col("photo_verdict")))
+
+
 def photo_requests(requests: DataFrame, photo="photo_path", threshold=C.SIMILARITY_THRESHOLD):
     """(rows for the photo check, rows rejected with an error). Rows without a photo are in neither."""
     with_photo = requests.where(F.coalesce(photo, F.lit("")) != "")

@@ -34,8 +34,8 @@ def with_case_ids(risky: DataFrame, taken: DataFrame = None) -> DataFrame:
 
 
 def evidence_path(root="evidence"):
-    """Folder of the day's evidence documents, then the case: <root>/case_date=<day>#<case id>."""
-    return F.concat(F.lit(root + "/case_date="), F.date_format("case_date", "yyyy-MM-dd"), F.lit("#"), F.col("case_id"))
+    """Folder of a case's evidence document: <root>/case_date=<day>/case_id=<case id>."""
+    return F.concat(F.lit(root + "/case_date="), F.date_format("case_date", "yyyy-MM-dd"), F.lit("/case_id="), F.col("case_id"))
 
 
 def case_records(cases: DataFrame, report="fraud_report", root="evidence") -> DataFrame:
@@ -64,14 +64,11 @@ def evidence_documents(cases: DataFrame, evidence: DataFrame, assessment: DataFr
 
 
 def alerts(records: DataFrame, excerpt=C.REPORT_EXCERPT) -> DataFrame:
-    """(case_id, subject, message): the message quotes the start of the report."""
-    message = F.concat_ws(
-        "\n",
-        F.concat(F.lit("🚨 FRAUD ALERT: "), "case_id"), F.lit(""),
-        F.format_string("Risk Score: %s/100 - %s", F.col("risk_score").cast("string"), F.col("status")),
-        F.concat(F.lit("Transaction: "), F.col("transaction_id").cast("string")),
-        F.concat(F.lit("Amount: $"), money("amount")), F.lit(""),
-        F.concat(F.substring("fraud_report", 1, excerpt), F.lit("...")), F.lit(""),
-        F.concat(F.lit("Full report: "), "evidence_path"), F.lit(""))
+    """(case_id, subject, message): the message names the case and quotes the start of the report."""
+    nothing = F.lit("")
+    message = template(C.ALERT_MESSAGE_FORMAT, F.col("case_id"), F.coalesce(F.col("transaction_id").cast("string"), nothing),
+                       money("amount"), F.coalesce(F.col("risk_score").cast("int").cast("string"), nothing),
+                       F.coalesce("status", nothing), F.col("evidence_path"),
+                       F.coalesce(F.substring("fraud_report", 1, excerpt), nothing))
     return records.select("case_id", "case_date", template(C.ALERT_SUBJECT_FORMAT, F.col("case_id"))
                           .alias("subject"), message.alias("message"))

@@ -6,22 +6,25 @@ from pyspark.sql import functions as F
 from riskflow import config as C
 from riskflow.functions import scores, times
 from riskflow.operators import point_in_time as pit
-from riskflow.operators.skew import join_per_key
 
 
-def with_time_features(df: DataFrame, ts="ts", mode="serving") -> DataFrame:
-    """hour_of_day, day_of_week, is_weekend and the unusual-hour flag of one of the two modes."""
+def with_time_features(df: DataFrame, ts=None, mode="serving") -> DataFrame:
+    """hour_of_day, day_of_week, is_weekend and the unusual-hour flag of one of the two modes.
+
+    They are those of the written clock, `wall_time`, where the table has it, else of `ts`.
+    """
+    ts = ts or ("wall_time" if "wall_time" in df.columns else "ts")
     unusual = times.unusual_hour_serving(ts) if mode == "serving" else times.unusual_hour_training(ts)
     return df.withColumns({"hour_of_day": times.hour_of_day(ts), "day_of_week": times.day_of_week(ts),
                            "is_weekend": times.is_weekend(ts), "is_unusual_hour": unusual})
 
 
 def with_request_time(df: DataFrame, as_of, text="timestamp") -> DataFrame:
-    """`ts`, the written wall clock of a request (for hour and weekday), and `event_time`, the instant it names
-    (for order and windows); `as_of` where there is no readable time."""
+    """`ts`, the instant that a request's time names (for order, windows and dates), and `wall_time`, the clock as it
+    is written (for hour and weekday); `as_of` where there is no readable time."""
     now = times.as_time(as_of)
-    return df.withColumns({"ts": F.coalesce(times.wall_clock(text).cast("timestamp"), now),
-                           "event_time": F.coalesce(times.instant(text), now)})
+    return df.withColumns({"ts": F.coalesce(times.instant(text), now),
+                           "wall_time": F.coalesce(times.wall_clock(text).cast("timestamp"), now)})
 
 
 def first_seen_flags(txn: DataFrame, hot=None) -> DataFrame:
@@ -32,7 +35,7 @@ def first_seen_flags(txn: DataFrame, hot=None) -> DataFrame:
 def high_value_training(txn: DataFrame) -> DataFrame:
     """is_high_value: above 0.8 of the user's own maximum, this row included."""
     tops = txn.groupBy("user_id").agg(F.max("transaction_amount").alias("user_max"))
-    joined = join_per_key(txn, tops, "user_id", spread="transaction_id")
+    joined = txn.join(tops, "user_id", "left")
     return joined.withColumn("is_high_value", scores.high_value_training("transaction_amount", "user_max")) \
         .drop("user_max")
 
@@ -103,5 +106,5 @@ def model_input(df: DataFrame, keep=()) -> DataFrame:
 
 def training_features(df: DataFrame) -> list:
     """Names of the feature columns: everything that is not excluded."""
-    excluded = {c.lower() for c in C.EXCLUDED_FEATURES} | {"ts"}
+    excluded = {c.lower() for c in C.EXCLUDED_FEATURES} | {"ts", "wall_time"}
     return [c for c in df.columns if c.lower() not in excluded]

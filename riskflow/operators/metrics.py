@@ -1,13 +1,16 @@
 """Quality of a score against a 0/1 label. Everything is an aggregate; no score list leaves the executors."""
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions.scores import predicted
+from riskflow.session import shares
 
-_BLOCKS = 1024
 
 
 def class_balance(df: DataFrame, label="fraud_label") -> DataFrame:
@@ -20,19 +23,22 @@ def class_balance(df: DataFrame, label="fraud_label") -> DataFrame:
 def auc(df: DataFrame, score="score", label="fraud_label") -> DataFrame:
     """Exact area under the ROC curve; equal scores share their mean rank.
 
-    Rows are first reduced to one per distinct score. The scores, which lie in 0..1, are cut into blocks of
-    equal width, so the running count of negatives below a score is a local sum plus a block start.
+    Rows are first reduced to one per distinct score. These are cut into blocks at quantiles of themselves, four per
+    shuffle partition, so the running count of negatives below a score is a local sum plus a block start.
     """
     per_score = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    cut = per_score.withColumn("block", F.greatest(F.lit(0), F.least(
-        F.lit(_BLOCKS - 1), F.floor(F.col("s") * _BLOCKS))).cast("int"))
+    blocks = 4 * shares(df.sparkSession)
+    at = per_score.agg(F.percentile_approx("s", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []
+    bounds = [-math.inf, *sorted(set(at) - {math.inf, -math.inf}), math.inf]
+    cut = Bucketizer(splits=bounds if len(bounds) > 2 else [-math.inf, 0.0, math.inf], inputCol="s", outputCol="block",
+                     handleInvalid="keep").transform(per_score)
     local = W.partitionBy("block").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     below = F.coalesce(F.sum("n").over(local), F.lit(0))
     inner = (cut.withColumn("below", below).groupBy("block").agg(
         F.sum("p").alias("p"), F.sum("n").alias("n"),
         F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("area")))
-    # at most _BLOCKS rows from here on
+    # a row per block from here on
     start = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     return (inner.withColumn("start", F.coalesce(F.sum("n").over(start), F.lit(0)))
             .agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"),

@@ -7,7 +7,6 @@ from riskflow import config as C
 from riskflow.functions.text import plain, template
 from riskflow.operators import history, profiles, values
 from riskflow.operators import point_in_time as pit
-from riskflow.operators.skew import hot_keys, join_per_key
 
 
 def _rules(amount, average, velocity, new_device, new_location, new_merchant, frauds, rapid,
@@ -42,15 +41,14 @@ def user_snapshot(past: DataFrame, as_of, limit=C.HISTORY_LIMIT, oldest_first_bu
         history.history_snapshot(past, as_of, limit, oldest_first_bug), "user_id", "left")
 
 
-def new_against(current: DataFrame, known: DataFrame, hot=None) -> DataFrame:
+def new_against(current: DataFrame, known: DataFrame) -> DataFrame:
     """new_device, new_location, new_merchant: the value is not in `known`, all values of the users' history.
 
     One narrow row per transaction and field meets the known values; only the unknown ones, usually few, go
     back to the transactions.
     """
     long = values.field_values(current, values.KNOWN_FIELDS, keep=("transaction_id",)).where("value != ''")
-    unknown = join_per_key(long, known, ["user_id", "field", "value"], "transaction_id", how="left_anti",
-                           hot=hot, hot_on="user_id")
+    unknown = long.join(known, ["user_id", "field", "value"], "left_anti")
     flags = unknown.groupBy("transaction_id").agg(*[
         F.expr(f"count_if(field = '{f}') > 0").alias(f"new_{f}") for f in values.KNOWN_FIELDS])
     return current.join(flags, "transaction_id", "left").fillna(False, [f"new_{f}" for f in values.KNOWN_FIELDS])
@@ -66,9 +64,8 @@ def detect_snapshot(current: DataFrame, past: DataFrame, as_of, velocity_limit=C
     New values are tested against all values of the history. cut_lists_first=True tests against the short
     display lists instead, which flags values of users with long lists although they are known.
     """
-    hot = hot_keys(current, "user_id")
     snapshot = user_snapshot(past, as_of) if snapshot is None else snapshot
-    shown = join_per_key(current, snapshot, "user_id", spread="transaction_id", hot=hot)
+    shown = current.join(snapshot, "user_id", "left")
     zero = {**profiles.ZERO_PROFILE, "history_count": 0, "velocity_count": 0, "rapid_succession": False}
     nothing = F.array().cast("array<string>")
     shown = shown.fillna({c: v for c, v in zero.items() if c in shown.columns}).withColumns(
@@ -78,7 +75,7 @@ def detect_snapshot(current: DataFrame, past: DataFrame, as_of, velocity_limit=C
             f"new_{f}": F.expr(f"coalesce({c}, '') != '' AND NOT array_contains(known_{f}s, coalesce({c}, ''))")
             for f, c in values.KNOWN_FIELDS.items()})
     else:
-        shown = new_against(shown, profiles.known_values(past) if known is None else known, hot)
+        shown = new_against(shown, profiles.known_values(past) if known is None else known)
     rules = _rules(F.col("transaction_amount"), F.col("avg_transaction_amount"), F.col("velocity_count"),
                    F.col("new_device"), F.col("new_location"), F.col("new_merchant"),
                    F.col("fraud_history"), F.col("rapid_succession"), velocity_limit)
@@ -92,7 +89,7 @@ def detect_point_in_time(txn: DataFrame, velocity_limit=C.VELOCITY_LIMIT, histor
     """
     df = pit.point_in_time(txn, parts=(pit.ALL, pit.LAST_24H, pit.TIMES, pit.FIRST))
     rules = _rules(F.col("transaction_amount"), F.col("hist_avg_amount"),
-                   F.least("count_24h", F.lit(history_limit)),
+                   F.least("count_24h", F.lit(history_limit)),  # the rule looks at that many newest rows
                    F.col("is_new_device") == 1, F.col("is_new_location") == 1, F.col("is_new_merchant") == 1,
                    F.col("hist_fraud"), F.col("rapid_succession"), velocity_limit)
     return _with_patterns(df, rules)

@@ -5,11 +5,14 @@ user's rows are one task. Here every transaction becomes a few signed events ins
 at its own time and leaves the limited ones when their horizon has passed. A running sum over the events of a
 user, in time order, is then the sliding aggregate: linear, one shuffle, one sort.
 
-A hot user (see `skew`) is cut into slices of time with about equally many events, each a window partition of
-its own. The slice bounds and what the earlier slices hand over (net sums, the newest times) have a row per
-cell or slice, which is at most 32 * shares and 2 * shares rows, and are broadcast.
-
-History of a row = earlier rows of the same user in (ts, transaction_id) order; horizons include their edge.
+A hot user (see `skew`) is cut into slices of about equally many events, each a window partition of its own. The cuts
+are quantiles of (time, kind, id) in a sample of the user's events, so neither a single old row, nor a burst, nor
+rows of one microsecond make a large slice. The cuts have a row per slice; what earlier slices
+hand over (net sums, the newest times) has one too and meets the rows where they are.
+
+History of a row = earlier rows of the same user in (ts, transaction_id) order; horizons include their edge. A row
+without a user has no history and is nobody's. An amount that is no finite number, or beyond MAX_AMOUNT, is left out of
+sums and of the counts that averages divide by; a missing one counts as 0.
 """
 
 from pyspark.sql import DataFrame
@@ -17,31 +20,35 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.functions.times import DAY_US, HOUR_US, micros
-from riskflow.operators.skew import HotKeys, broadcast_if_small, hot_keys
+from riskflow.operators.skew import HotKeys, hot_keys
 from riskflow.operators.values import KNOWN_FIELDS
 
 # Exact type for sums that are added and later taken away again.
-MONEY = "DECIMAL(18,6)"
+MONEY = "DECIMAL(38,10)"
+MAX_AMOUNT = 1e15
+SAMPLES = 30  # sampled rows per slice of a hot user
 
 ALL, LAST_24H, LAST_7D, TODAY, TIMES, FIRST = "all", "24h", "7d", "today", "times", "first"
 EVERYTHING = (ALL, LAST_24H, LAST_7D, TODAY, TIMES, FIRST)
 
 # An event of a row without a time counts 0: the row keeps its place in the result but is nobody's history.
 _ONE = "CAST(__t IS NOT NULL AS BIGINT)"
-_AMOUNT = f"CAST(IF(__t IS NULL, 0, coalesce(transaction_amount, 0)) AS {MONEY})"
+_READABLE = f"(transaction_amount IS NULL OR abs(transaction_amount) <= {MAX_AMOUNT}D)"  # NaN is above all numbers
+_AMOUNT = f"IF(__t IS NULL OR NOT {_READABLE}, 0D, coalesce(CAST(transaction_amount AS DOUBLE), 0D))"
+_AMOUNTS = f"{_ONE} * CAST({_READABLE} AS BIGINT)"
 _FAILED = f"{_ONE} * coalesce(CAST(is_failed AS BIGINT), 0)"
 _FRAUD = f"{_ONE} * coalesce(CAST(fraud_label = 1 AS BIGINT), 0)"
 
 # Per horizon: counter -> what a row adds, and when the row leaves (None = never).
 _COUNTERS = {
-    ALL: ({"all_n": _ONE, "all_amount": _AMOUNT, "all_fraud": _FRAUD}, None),
+    ALL: ({"all_n": _ONE, "all_amount": _AMOUNT, "all_amounts": _AMOUNTS, "all_fraud": _FRAUD}, None),
     LAST_24H: ({"n_24h": _ONE}, f"__t + {24 * HOUR_US}"),
-    LAST_7D: ({"n_7d": _ONE, "amount_7d": _AMOUNT, "failed_7d": _FAILED}, f"__t + {7 * DAY_US}"),
+    LAST_7D: ({"n_7d": _ONE, "amount_7d": f"CAST({_AMOUNT} AS {MONEY})", "amounts_7d": _AMOUNTS, "failed_7d": _FAILED},
+              f"__t + {7 * DAY_US}"),
     # the last microsecond of the day: events of one time come after the rows of that time
     TODAY: ({"n_today": _ONE}, "unix_micros(CAST(date_add(to_date(ts), 1) AS TIMESTAMP)) - 1"),
 }
-_CELLS_PER_PIECE = 16
-_MONEY_COUNTERS = {"all_amount", "amount_7d"}
+_TYPES = {"all_amount": "DOUBLE", "amount_7d": MONEY}
 
 
 def _counters(parts) -> list:
@@ -49,43 +56,57 @@ def _counters(parts) -> list:
 
 
 def _events(rows: DataFrame, user: str, parts) -> DataFrame:
-    """(user, at, kind 0 = enters / 1 = leaves, seen, counters, row): one entering event per row."""
+    """(user, at, kind 0 = enters / 1 = leaves, tie, seen, counters, row): one entering event per row."""
     names = _counters(parts)
     carried = [c for c in rows.columns if c not in (user, "__t")]
     row = "named_struct({})".format(", ".join(f"'{c}', `{c}`" for c in carried))
 
     def event(at, kind, amounts, seen, payload):
         sums = "".join(", '{}', {}".format(
-            c, amounts.get(c, f"CAST(0 AS {MONEY if c in _MONEY_COUNTERS else 'BIGINT'})")) for c in names)
-        return f"named_struct('at', {at}, 'kind', {kind}, 'seen', {seen}{sums}, 'row', {payload})"
+            c, amounts.get(c, f"CAST(0 AS {_TYPES.get(c, 'BIGINT')})")) for c in names)
+        return f"named_struct('at', {at}, 'kind', {kind}, 'tie', transaction_id, 'seen', {seen}{sums}, 'row', {payload})"
 
     adds = {c: expression for p in parts if p in _COUNTERS for c, expression in _COUNTERS[p][0].items()}
     events = [event("__t", 0, adds, "__t", row)]
     for p in parts:
         if p in _COUNTERS and _COUNTERS[p][1]:
-            takes = {c: f"CAST(-({e}) AS {MONEY if c in _MONEY_COUNTERS else 'BIGINT'})"
+            takes = {c: f"CAST(-({e}) AS {_TYPES.get(c, 'BIGINT')})"
                      for c, e in _COUNTERS[p][0].items()}
             events.append(event(_COUNTERS[p][1], 1, takes, "CAST(NULL AS BIGINT)", "NULL"))
     return rows.selectExpr(user, f"inline(array({', '.join(events)}))")
 
 
+_PLACE = "named_struct('at', at, 'kind', kind, 'tie', tie)"
+
+
+def _cuts(events: DataFrame, user: str) -> DataFrame:
+    """(user, cuts): where each slice after the first begins, for every hot user; a row per hot user.
+
+    `events` has the hot users' events with their `size` and `pieces`. The sample depends on the events alone, and its
+    result is fetched, so every use of the slices sees the same ones.
+    """
+    sample = events.where(f"pmod(xxhash64(tie, kind, at), {1 << 30}) < {1 << 30} * least(1D, pieces * {SAMPLES} / size)")
+    order = f"PARTITION BY {user} ORDER BY at, kind, tie"
+    tiles = sample.selectExpr(user, f"{_PLACE} AS cut", f"CAST((row_number() OVER ({order}) - 1) * pieces DIV "
+                                                        f"count(*) OVER (PARTITION BY {user}) AS INT) AS tile")
+    cuts = (tiles.where("tile > 0").groupBy(user, "tile").agg(F.min("cut").alias("cut"))
+            .groupBy(user).agg(F.sort_array(F.collect_list("cut")).alias("cuts")))
+    return events.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+
+
 def _sliced(events: DataFrame, hot: HotKeys, user: str) -> DataFrame:
     """Slice number of each event; events after a hot user's last row change nothing and are dropped.
 
-    The time span of a hot user is divided into narrow cells, and neighbouring cells are joined to slices of
-    about equal numbers of events, so that a burst does not end up in one slice.
+    Rows without a user are spread: each is a slice of its own.
     """
+    nobody = "CAST(pmod(xxhash64(tie), 2147483647) AS INT)"
     if not hot:
-        return events.withColumn("slice", F.lit(0))
-    cells = (hot.attach(events, user).where("coalesce(at <= hi, true)")
-             .selectExpr(*events.columns, "pieces", "CAST(coalesce((at - lo) DIV ((hi - lo) DIV "
-                         f"(pieces * {_CELLS_PER_PIECE}) + 1), 0) AS INT) AS cell"))
-    sizes = cells.where("pieces IS NOT NULL").groupBy(user, "cell", "pieces").agg(F.count(F.lit(1)).alias("n"))
-    earlier = f"sum(n) OVER (PARTITION BY {user} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    slices = sizes.selectExpr(user, "cell", f"CAST(coalesce({earlier}, 0) * pieces DIV "
-                                            f"sum(n) OVER (PARTITION BY {user}) AS INT) AS slice")
-    return (cells.join(F.broadcast(slices), [user, "cell"], "left").drop("cell")
-            .withColumn("slice", F.expr("coalesce(slice, 0)")))
+        return events.withColumn("slice", F.expr(f"IF({user} IS NULL, {nobody}, 0)"))
+    marked = hot.attach(events, user).where("coalesce(at <= hi, true)").drop("lo", "hi")
+    cuts = _cuts(marked.where("pieces IS NOT NULL").select(user, "at", "kind", "tie", "size", "pieces"), user)
+    of_hot = f"coalesce(size(filter(cuts, c -> c <= {_PLACE})), 0)"
+    return (marked.join(F.broadcast(cuts), user, "left")
+            .withColumn("slice", F.expr(f"IF({user} IS NULL, {nobody}, {of_hot})")).drop("cuts", "size"))
 
 
 def _carried(sliced: DataFrame, user: str, parts) -> DataFrame:
@@ -124,7 +145,6 @@ def _first_of_all(local: DataFrame, sliced: DataFrame, user: str) -> DataFrame:
     pairs = ", ".join(f"named_struct('field', '{f}', 'value', row.{c})" for f, c in KNOWN_FIELDS.items())
     starts = (sliced.where("pieces IS NOT NULL AND seen IS NOT NULL").selectExpr(user, "slice", f"inline(array({pairs}))")
               .where("value != ''").groupBy(user, "field", "value").agg(F.min("slice").alias("first_slice")))
-    starts = broadcast_if_small(starts)
     for field, c in KNOWN_FIELDS.items():
         side = starts.where(F.col("field") == field).selectExpr(f"{user} AS __user", "value AS __value", "first_slice")
         # only first rows have a partner; the others get a key that is spread and matches nothing
@@ -147,6 +167,8 @@ def busy_users(txn: DataFrame, user="user_id") -> HotKeys:
 def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys = None) -> DataFrame:
     """Adds to every transaction what was known about its user just before it; `parts` limits the work.
 
+    Of a row without a user all counts and flags are 0 and all averages null.
+
     all    hist_count, hist_avg_amount, hist_fraud and previous_fraudulent_activity (0/1): all earlier rows
     24h    count_24h
     7d     count_7d, failed_transaction_count_7d, avg_transaction_amount_7d (null without rows)
@@ -158,7 +180,7 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
     rows = txn.withColumn("__t", micros("ts"))
     hot = busy_users(txn, user) if hot is None else hot
     sliced = _sliced(_events(rows, user, parts), hot, user)
-    window = f"PARTITION BY {user}, slice ORDER BY at, kind, row.transaction_id"
+    window = f"PARTITION BY {user}, slice ORDER BY at, kind, tie"
     before = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     lags = [f"lag(seen, {k}) IGNORE NULLS OVER ({window}) AS t{k}" for k in range(1, C.RAPID_ROWS + 1)] \
         if TIMES in parts else []
@@ -167,7 +189,7 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
     if FIRST in parts:
         local = _first_in_slice(local, user)
     if hot:
-        local = local.join(F.broadcast(_carried(sliced, user, parts)), [user, "slice"], "left")
+        local = local.join(_carried(sliced, user, parts), [user, "slice"], "left")
         if FIRST in parts:
             local = _first_of_all(local, sliced, user)
 
@@ -182,17 +204,19 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
              f"{newest(1)} - {newest(C.RAPID_ROWS)} < {C.RAPID_HOURS * HOUR_US}, false)")
     results = {
         ALL: {"hist_count": total("all_n"),
-              "hist_avg_amount": f"CAST({total('all_amount')} AS DOUBLE) / nullif({total('all_n')}, 0)",
+              "hist_avg_amount": f"CAST({total('all_amount')} AS DOUBLE) / nullif({total('all_amounts')}, 0)",
               "hist_fraud": total("all_fraud"),
               "previous_fraudulent_activity": f"CAST({total('all_fraud')} > 0 AS INT)"},
         LAST_24H: {"count_24h": total("n_24h")},
         LAST_7D: {"count_7d": total("n_7d"),
-                  "avg_transaction_amount_7d": f"CAST({total('amount_7d')} AS DOUBLE) / nullif({total('n_7d')}, 0)",
+                  "avg_transaction_amount_7d": f"CAST({total('amount_7d')} AS DOUBLE) / nullif({total('amounts_7d')}, 0)",
                   "failed_transaction_count_7d": f"CAST({total('failed_7d')} AS INT)"},
         TODAY: {"daily_transaction_count": f"CAST({total('n_today')} AS INT)"},
         TIMES: {"rapid_succession": rapid},
         FIRST: {f"is_new_{f}": f"CAST(new_{f} AS INT)" for f in KNOWN_FIELDS},
     }
-    added = [f"{e} AS {name}" for p in parts for name, e in results[p].items()]
+    nothing = {"hist_avg_amount": "CAST(NULL AS DOUBLE)", "avg_transaction_amount_7d": "CAST(NULL AS DOUBLE)",
+               "rapid_succession": "false"}
+    added = [f"IF({user} IS NULL, {nothing.get(name, '0')}, {e}) AS {name}" for p in parts for name, e in results[p].items()]
     kept = [c if c == user else f"row.`{c}` AS `{c}`" for c in txn.columns]
     return local.selectExpr(*kept, *added)

@@ -8,7 +8,6 @@ from riskflow import config as C
 from riskflow.functions import times
 from riskflow.operators import values
 from riskflow.operators.history import newest
-from riskflow.operators.skew import join_per_key
 
 
 def whole_days(first, last):
@@ -109,8 +108,8 @@ def serving_profile(history: DataFrame, as_of=None, lists=True, balance=True) ->
 
 
 def recent_counts(history: DataFrame, as_of, hours=C.RECENT_HOURS) -> DataFrame:
-    """Rows of each user in the last hours, without a cap; the time filter reaches the scan."""
-    return (history.where(times.within_hours("ts", times.as_time(as_of), hours))
+    """Rows of each user in the last hours, without a cap; a plain bound on `ts`, which a scan can use."""
+    return (history.where(F.col("ts") >= times.as_time(as_of) - F.expr(f"INTERVAL {int(hours)} HOURS"))
             .groupBy("user_id").agg(F.count(F.lit(1)).alias("recent_count")))
 
 
@@ -118,10 +117,10 @@ ZERO_PROFILE = {"total_transactions": 0, "avg_transaction_amount": 0.0, "min_tra
                 "max_transaction": 0.0, "fraud_history": 0, "recent_24h_count": 0}
 
 
-def enrich(txn: DataFrame, profile: DataFrame, hot=None) -> DataFrame:
+def enrich(txn: DataFrame, profile: DataFrame) -> DataFrame:
     """Transactions with their user's profile; a user without history gets the zero profile."""
     clash = [c for c in profile.columns if c in txn.columns and c != "user_id"]
-    joined = join_per_key(txn, profile.drop(*clash), "user_id", spread="transaction_id", hot=hot)
+    joined = txn.join(profile.drop(*clash), "user_id", "left")
     zero = {c: v for c, v in ZERO_PROFILE.items() if c in joined.columns}
     lists = {c: F.coalesce(c, F.array().cast("array<string>"))
              for c in ("known_devices", "known_locations", "known_merchants") if c in joined.columns}

@@ -1,11 +1,10 @@
-"""Keys that hold a large part of all rows.
+"""Keys with more rows than one task should sort.
 
-A key is *hot* when it alone has more rows than one reduce task should get, that is more than
-1/shares of all rows, with shares = spark.sql.shuffle.partitions, and at least HOT_MIN_ROWS, below which one
-task is no burden. There are fewer than `shares` such keys
-whatever the data, and their pieces add up to at most 2 * shares. So the list of hot keys, and anything with a
-row per piece, has a proven bound: the list is fetched once per job (one pass over the key column,
-pre-aggregated on the map side) and broadcast. Without hot keys the plans are the plain ones.
+A window needs all rows of a key in one task, and the engine can't split it. A key is *hot* when it has more than
+ROWS_PER_TASK rows; it deserves a piece for each ROWS_PER_TASK of them. That only decides how the work is cut, never a
+result. There is at most one hot key, and two pieces, per ROWS_PER_TASK rows of the table, so the list is a millionth of
+it: it is fetched once per job (one pass over the key column, pre-aggregated in the map tasks) and broadcast. Joins do
+not use this: the engine measures and splits skewed join partitions itself.
 """
 
 from dataclasses import dataclass
@@ -13,15 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.session import shares
-
-
-HOT_MIN_ROWS = 50_000
+ROWS_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """`frame` holds the key, its extra aggregates and `pieces`, the number of tasks its rows deserve."""
+    """`frame` holds the key, its extra aggregates, `size`, its rows, and `pieces`, the tasks they deserve."""
 
     frame: DataFrame = None
 
@@ -36,44 +32,10 @@ class HotKeys:
 NONE_HOT = HotKeys()
 
 
-def hot_keys(df: DataFrame, key, extra=(), parts=None) -> HotKeys:
+def hot_keys(df: DataFrame, key: str, extra=()) -> HotKeys:
     """Finds the hot keys of a table; runs a job that reads only the key and the columns of `extra`."""
-    keys = [key] if isinstance(key, str) else list(key)
-    parts = parts or shares(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *extra)
-    total = counts.agg(F.sum("__n")).scalar()
-    hot = counts.where((F.col("__n") >= HOT_MIN_ROWS) & (F.col("__n") * parts > total)).withColumn(
-        "pieces", F.ceil(F.col("__n") * parts / total).cast("int")).drop("__n")
-    rows = hot.collect()  # fewer than `parts` rows
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("size"), *extra)
+    hot = counts.where(F.col("size") > ROWS_PER_TASK).withColumn(
+        "pieces", F.ceil(F.col("size") / F.lit(ROWS_PER_TASK)).cast("int"))
+    rows = hot.collect()
     return HotKeys(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else NONE_HOT
-
-
-# Rows of a lookup table that may be sent to every executor: at most a few megabytes of keys and codes.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
-    """A narrow lookup table: fetched once and broadcast if it has at most `limit` rows, else unchanged."""
-    rows = df.limit(limit + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
-
-
-def join_per_key(rows: DataFrame, few: DataFrame, on, spread: str, how="left", hot: HotKeys = None,
-                 hot_on=None) -> DataFrame:
-    """Join many rows to few rows per key, without one task getting all rows of a hot key.
-
-    `few` has at most one row per combination of the `on` columns. Rows of a hot key are spread over its
-    pieces by `spread` (a row identifier), and its rows in `few` are repeated once per piece; all other rows
-    take piece 0. `hot` belongs to the columns `hot_on`, by default all of `on`.
-    """
-    on = [on] if isinstance(on, str) else list(on)
-    hot_on = on if hot_on is None else hot_on
-    hot = hot_keys(rows, hot_on) if hot is None else hot
-    if not hot:
-        return rows.join(few, on, how)
-    hot = HotKeys(hot.frame.select(*([hot_on] if isinstance(hot_on, str) else hot_on), "pieces"))
-    piece = f"CAST(coalesce(pmod(xxhash64({spread}), pieces), 0) AS INT)"
-    spread_rows = hot.attach(rows, hot_on).withColumn("__piece", F.expr(piece)).drop("pieces")
-    copies = hot.attach(few, hot_on).withColumn(
-        "__piece", F.expr("explode(sequence(0, coalesce(pieces, 1) - 1))")).drop("pieces")
-    return spread_rows.join(copies, on + ["__piece"], how).drop("__piece")

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from riskflow import config as C
 from riskflow.operators import metrics
-from riskflow.operators.ranks import numbered
-from riskflow.operators.skew import BROADCAST_ROWS, join_per_key
 from riskflow.session import shared_dir
 
 _CATEGORICAL = [c.lower() for c in C.CATEGORICAL_FEATURES]
 _FEATURES = [c.lower() for c in C.MODEL_FEATURES]
-_HASH_BLOCKS = 4096
+_BLOCK_BITS = 20  # the cuts of a split are looked for in one of 2^20 blocks of hash values
+_MAX_LABELS = 10_000
 
 
 # --- label encoding as tables ----------------------------------------------------------------
@@ -30,24 +29,17 @@ def label_dictionary(df: DataFrame, columns=None) -> DataFrame:
     return distinct.withColumn("code", F.row_number().over(W.partitionBy("field").orderBy("value")) - 1)
 
 
-def encode(df: DataFrame, dictionary: DataFrame, columns=None, suffix="_code", key="transaction_id") -> DataFrame:
+def encode(df: DataFrame, dictionary: DataFrame, columns=None, suffix="_code") -> DataFrame:
     """Adds one code column per categorical column; a value the dictionary lacks gets 0.
 
-    A column with few values is as skewed as a key can be, so its dictionary is fetched once and broadcast.
-    Beyond BROADCAST_ROWS entries the rows of frequent values are spread by `key` instead.
+    Plain joins: the engine measures the dictionary, broadcasts it where it is small, and splits frequent values
+    where it is not.
     """
-    columns = columns or _CATEGORICAL
-    rows = dictionary.limit(BROADCAST_ROWS + 1).collect()
-    small = len(rows) <= BROADCAST_ROWS
-    if small:
-        dictionary = df.sparkSession.createDataFrame(rows, dictionary.schema)
-    for c in columns:
+    for c in columns or _CATEGORICAL:
         codes = dictionary.where(F.col("field") == c).select(F.col("value").alias("__value"),
                                                              F.col("code").alias(c + suffix))
-        df = df.withColumn("__value", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-        df = (df.join(F.broadcast(codes), "__value", "left") if small
-              else join_per_key(df, codes, "__value", spread=key))
-        df = df.drop("__value").fillna(0, [c + suffix])
+        df = (df.withColumn("__value", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+              .join(codes, "__value", "left").drop("__value").fillna(0, [c + suffix]))
     return df
 
 
@@ -81,17 +73,38 @@ def stratified_split(df: DataFrame, label="fraud_label", key="transaction_id", s
                      test=C.TEST_SHARE, validation=C.VALIDATION_SHARE) -> DataFrame:
     """Adds `split`: exact shares per label, in the order of a hash of the row key.
 
-    Only two labels exist, so rows are numbered per label and hash block instead of per label.
+    The last test row and the last validation row of each label are looked for in narrow columns: rows are counted per
+    label and block of hash values, and only the blocks that hold a cut are sorted. What comes out, two places per label, is
+    compared with every row, so no wide row is shuffled.
     """
-    rows = df.withColumn("__hash", F.xxhash64(F.col(key), F.lit(seed)))
-    # the top bits of the hash, shifted to 0 .. _HASH_BLOCKS - 1: rises with the hash itself
-    block = (F.shiftright("__hash", 52) + F.lit(_HASH_BLOCKS // 2)).cast("int")
-    ranked = numbered(rows, label, block, ["__hash", key], "__n")
-    sizes = split_sizes(df, label, test, validation)  # one row per label
-    split = (F.when(F.col("__n") <= F.col("n_test"), "test")
-             .when(F.col("__n") <= F.col("n_test") + F.col("n_validation"), "validation").otherwise("train"))
-    return (ranked.join(F.broadcast(sizes), label).withColumn("split", split)
-            .drop("__hash", "__n", "__n_of", "n_test", "n_validation", "n_train"))
+    def place(column=F.col):
+        return F.struct(F.xxhash64(column(key), F.lit(seed)).alias("hash"), column(key).alias("key"))
+
+    narrow = df.select(label, place().alias("at"))
+    narrow = narrow.withColumn("block", F.shiftright("at.hash", 64 - _BLOCK_BITS).cast("int"))  # rises with the hash
+    blocks = narrow.groupBy(label, "block").agg(F.count(F.lit(1)).alias("size")).withColumn(
+        "group", F.shiftright("block", _BLOCK_BITS // 2))  # so that no window holds all blocks
+    groups = blocks.groupBy(label, "group").agg(F.sum("size").alias("of")).withColumn("base", F.sum("of").over(
+        W.partitionBy(label).orderBy("group").rowsBetween(W.unboundedPreceding, -1)))
+    inside = W.partitionBy(label, "group").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    sizes = split_sizes(df, label, test, validation)
+    lasts = F.array(F.struct(F.lit("test").alias("part"), F.col("n_test").alias("last")),
+                    F.struct(F.lit("validation").alias("part"), (F.col("n_test") + F.col("n_validation")).alias("last")))
+    wanted = (blocks.join(groups, [label, "group"]).withColumn("start", start)
+              .join(sizes.select(label, F.inline(lasts)), label)
+              .where("start < last AND last <= start + size").select(label, "block", "part", (F.col("last") - F.col("start")).alias("nth")))
+    order = W.partitionBy(label, "part").orderBy("at")
+    found = (narrow.join(wanted, [label, "block"]).withColumn("n", F.row_number().over(order)).where("n = nth")
+             .groupBy(label).agg(*[F.max(F.when(F.col("part") == p, F.col("at"))).alias(f"__last_{p}") for p in ("test", "validation")]))
+    rows = found.limit(_MAX_LABELS + 1).collect()
+    if len(rows) > _MAX_LABELS:
+        raise ValueError(f"{label} has more than {_MAX_LABELS} values: not a label")
+    places = df.sparkSession.createDataFrame(rows, found.schema)  # a row per label: at most _MAX_LABELS
+    split = (F.when(place() <= F.col("__last_test"), "test")
+             .when(place() <= F.col("__last_validation"), "validation").otherwise("train"))
+    return (df.join(F.broadcast(places), label, "left").withColumn("split", split)
+            .drop("__last_test", "__last_validation"))
 
 
 # --- model -----------------------------------------------------------------------------------

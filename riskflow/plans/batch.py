@@ -30,12 +30,14 @@ def train(enhanced: DataFrame, out: str, trees=C.TREES, label="fraud_label"):
     balance = metrics.class_balance(train_rows, label).first()
     model = training.fit(train_rows, label, trees=trees, fraud_ratio=balance["fraud_ratio"], encoders_from=rows)
     tested = training.score(test_rows, model, keep=["transaction_id", label])
+    validated = training.score(rows.where(F.col("split") == "validation"), model, keep=["transaction_id", label])
     auc = metrics.auc(tested, "fraud_probability", label)
     importance = training.feature_importance(model, spark)
     metadata = training.model_metadata(spark, auc.first()["auc"] or 0.0, balance["fraud_ratio"] or 0.0,
                                        balance["negatives"] + balance["positives"])
     tables.save_model(model, metadata, importance, out)
-    return {"auc": auc, "confusion": metrics.confusion_matrix(tested, "fraud_probability", label),
+    return {"model": model, "auc": auc, "validation_auc": metrics.auc(validated, "fraud_probability", label),
+            "confusion": metrics.confusion_matrix(tested, "fraud_probability", label),
             "report": metrics.classification_report(tested, "fraud_probability", label),
             "importance": importance, "metadata": metadata, "tested": tested}
 
@@ -75,23 +77,24 @@ def snapshot(history: DataFrame, as_of, out: str):
 
 
 def assess_batch(current: DataFrame, scored: DataFrame, history: DataFrame, responses: DataFrame,
-                 monitor_replies: DataFrame, assessment: DataFrame, as_of, known_at=None) -> DataFrame:
+                 monitor_replies: DataFrame, assessment: DataFrame, as_of, known_at=None, photo_replies=None) -> DataFrame:
     """The complete result per transaction: scored = output of `score`; responses = photo-check JSON texts;
-    assessment = output of replies.parse_assessment; known_at = output of `snapshot`, in place of the history."""
-    valid, _ = assess.required(current)
+    assessment = output of replies.parse_assessment; known_at = output of `snapshot`, in place of the history;
+    photo_replies = what the model said about the photo checks. A branch that fails leaves its error."""
     users, known = known_at or (None, None)
-    evidence = assess.evidence_package(patterns.detect_snapshot(valid, history, as_of, snapshot=users, known=known))
+    evidence = assess.evidence_branch(current, lambda rows: patterns.detect_snapshot(
+        rows, history, as_of, snapshot=users, known=known))
     monitor = assess.monitor_result(scored.join(monitor_replies, "transaction_id", "left"))
-    return assess.combine(current, monitor, evidence, biometrics.flatten(responses).drop("response"), assessment)
+    return assess.combine(current, monitor, evidence, biometrics.photo_result(responses, photo_replies), assessment)
 
 
 def escalate(judged: DataFrame, evidence: DataFrame, assessment: DataFrame, root: str, write_id: int):
     """Cases, alerts and evidence documents of one run. Needs risk_score, status and fraud_report."""
     case_store.write_cases(judged, write_id, root)
     written = case_store.read_cases(judged.sparkSession, root).where(F.col("write_id") == write_id)
-    opened = judged.join(written.select("transaction_id", "case_id", "case_date"), "transaction_id")
+    opened = tables.drop_repeated(judged).join(written.select("transaction_id", "case_id", "case_date"), "transaction_id")
     documents = cases.evidence_documents(opened, evidence, assessment)
-    case_store.write_evidence(documents, case_store.evidence_folder(root, write_id), mode="overwrite")
+    case_store.write_evidence(documents, root)
     return written
 
 

@@ -21,7 +21,7 @@ def local_session(cpus="*", memory="8g", partitions=8, app="riskflow") -> SparkS
 
 
 def shares(spark: SparkSession) -> int:
-    """Number of reduce tasks the session aims at: the unit in which a key is called hot."""
+    """Number of reduce tasks the session aims at."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 

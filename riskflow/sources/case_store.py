@@ -1,4 +1,7 @@
-"""Case, evidence and alert tables. One folder per write, so that a repeated write replaces itself."""
+"""Case, evidence and alert tables, by day and write, so that a repeated write replaces itself and no write reads more
+than the days it touches."""
+
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -6,11 +9,13 @@ from pyspark.sql import functions as F
 
 from riskflow.operators import cases
 from riskflow.session import shared_dir
+from riskflow.sources import tables
 
 
-def _existing(spark: SparkSession, path: str):
+def _existing(spark: SparkSession, path: str, day):
+    """The part of a table that is in the folder of one day, if there is one."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.option("basePath", path).parquet(f"{path}/case_date={day}")
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -25,35 +30,46 @@ def read_alerts(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/alerts")
 
 
-def evidence_folder(root: str, write_id: int) -> str:
-    return f"{root}/evidence/write_id={write_id}"
+def read_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """case_date, case_id, document, and `path`, the file each document is in."""
+    return (spark.read.schema("document STRING, case_date DATE, case_id STRING").json(f"{root}/evidence")
+            .withColumn("path", F.col("_metadata.file_path")))
 
 
-def write_evidence(documents: DataFrame, path: str, mode="append"):
-    """One JSON document per line, a folder per case date."""
-    documents.select("case_date", "case_id", "document").write.mode(mode).partitionBy("case_date").json(path)
+def write_evidence(documents: DataFrame, root: str):
+    """One folder per case, at the path that the case record names (see cases.evidence_path); a repeated write
+    replaces it."""
+    (documents.select("case_date", "case_id", "document").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("case_date", "case_id").json(f"{root}/evidence"))
 
 
 def write_cases(judged: DataFrame, write_id: int, root: str, min_score=None):
     """Appends the cases and alerts of one batch of judged transactions (risk_score, status, fraud_report).
 
-    Safe to repeat: the batch has its own folder, which is overwritten, and numbering continues after the cases
-    of all other writes only. Copies of a transaction in the batch, and transactions that have a case already,
-    do not get a second one.
+    Safe to repeat, any write at any time: a transaction that has a case keeps its number, and new ones are numbered
+    after the last of their day. Copies of a transaction in the batch are reduced to the earliest row; a transaction that has
+    a case from another write does not get a second one. Only the days of the batch are read and written.
     """
     spark = judged.sparkSession
-    before = _existing(spark, f"{root}/cases")
     risky = cases.high_risk(judged) if min_score is None else cases.high_risk(judged, min_score)
-    risky = risky.dropDuplicates(["transaction_id"])
-    taken = None
-    if before is not None:
-        others = before.where(F.col("write_id") != write_id)
-        risky = risky.join(others.select("transaction_id"), "transaction_id", "left_anti")
-        taken = others.groupBy("case_date").agg(F.max("case_number").alias("last_number"))
+    risky = tables.drop_repeated(risky).withColumn("case_date", F.to_date("ts"))
     shared_dir(spark)
     risky = risky.checkpoint()  # the scoring behind it runs once, and a lost executor does not repeat it
-    records = cases.case_records(cases.with_case_ids(risky, taken), root=evidence_folder(root, write_id))
-    records.write.mode("overwrite").parquet(f"{root}/cases/write_id={write_id}")
-    # the alerts come from the stored cases, so both tables name the same case ids
-    stored = spark.read.parquet(f"{root}/cases/write_id={write_id}")
-    cases.alerts(stored).write.mode("overwrite").parquet(f"{root}/alerts/write_id={write_id}")
+    days = [r[0] for r in risky.select("case_date").distinct().collect()]  # a row per day
+    found = [x for x in (_existing(spark, f"{root}/cases", day) for day in days) if x is not None]
+    before = reduce(DataFrame.unionByName, found) if found else None
+    taken = kept = None
+    fresh = risky.drop("case_date")
+    if before is not None:
+        before = before.select("transaction_id", "case_id", "case_number", "case_date", "write_id")
+        taken = before.groupBy("case_date").agg(F.max("case_number").alias("last_number"))
+        own = before.where(F.col("write_id") == write_id).select("transaction_id", "case_id", "case_number")
+        kept = risky.join(own, "transaction_id")
+        fresh = fresh.join(before.select("transaction_id"), "transaction_id", "left_anti")
+    numbered = cases.with_case_ids(fresh, taken)
+    if kept is not None:
+        numbered = numbered.unionByName(kept.select(*numbered.columns))
+    records = cases.case_records(numbered, root=f"{root}/evidence").withColumn("write_id", F.lit(write_id)).checkpoint()
+    for name, rows in (("cases", records), ("alerts", cases.alerts(records).withColumn("write_id", F.lit(write_id)))):
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("case_date", "write_id").parquet(f"{root}/{name}"))

@@ -1,23 +1,38 @@
-"""Reading and writing the package's tables. Every reader has an explicit schema."""
+"""Reading and writing the package's tables. Text formats have explicit schemas; Parquet tables carry their own."""
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskflow import config as C
-from riskflow.operators.skew import broadcast_if_small
 from riskflow.schemas import canonical, transaction_file
 
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw or enhanced transactions; columns get their short names and the time is parsed (bad text -> null).
+    """Raw or enhanced transactions; columns get their short names and the time is parsed.
 
-    The header line gives the order of the columns, the package their types; no data is read to find types.
+    The header line gives the order of the columns, the package their types; no data is read to find types. Fields are
+    read as text and converted one by one: whole numbers may be written `1.0`, as other programs do for columns with
+    gaps. A field that is no value of its type becomes null, and its column is named in `unreadable`.
     """
     files = spark.read.option("header", True)
-    schema = transaction_file(files.csv(path).columns)
-    raw = files.schema(schema).option("enforceSchema", False).csv(path)
-    return parse_time(raw.toDF(*[canonical(c) for c in raw.columns]))
+    header = files.csv(path).columns
+    kinds = transaction_file(header)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = files.schema(text).option("enforceSchema", False).csv(path).toDF(*[canonical(c) for c in header])
+
+    def value(name, kind):
+        if name == "ts":
+            return F.col(name).try_cast("timestamp")
+        if isinstance(kind, T.StringType):
+            return F.col(name)
+        number = F.col(name).try_cast("double")
+        return number if isinstance(kind, T.DoubleType) else F.when(number == F.floor(number), number.try_cast(kind))
+
+    values = {canonical(f.name): value(canonical(f.name), f.dataType) for f in kinds}
+    bad = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & v.isNull(), F.lit(c)) for c, v in values.items()]))
+    return raw.select(*[v.alias(c) for c, v in values.items()], F.when(F.size(bad) > 0, bad).alias("unreadable"))
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
@@ -71,9 +86,9 @@ def read_history(spark: SparkSession, path: str, since=None, until=None) -> Data
 def history_of(history: DataFrame, users: DataFrame) -> DataFrame:
     """Only the rows of users that occur in `users`: the batch form of a lookup by user.
 
-    A moderate number of users is broadcast, so the history is filtered where it is read.
+    The engine broadcasts the users where it measures them to be few, and the history is then filtered where it is read.
     """
-    return history.join(broadcast_if_small(users.select("user_id").distinct()), "user_id", "left_semi")
+    return history.join(users.select("user_id").distinct(), "user_id", "left_semi")
 
 
 def write_json(df: DataFrame, path: str, mode="overwrite"):
@@ -89,6 +104,8 @@ def write_csv(df: DataFrame, path: str, mode="overwrite"):
 def save_model(model: PipelineModel, metadata: DataFrame, importance: DataFrame, path: str):
     """Encoders and trees as one unit, with metadata and importances next to it."""
     model.write().overwrite().save(f"{path}/model")
+    for key in [k for k in _models if k[1] == path]:
+        del _models[key]
     write_json(metadata, f"{path}/metadata")
     write_csv(importance, f"{path}/importance")
 
@@ -97,7 +114,8 @@ _models = {}
 
 
 def load_model(path: str) -> PipelineModel:
-    """The saved model; read once per job however often it is asked for."""
-    if path not in _models:
-        _models[path] = PipelineModel.load(f"{path}/model")
-    return _models[path]
+    """The saved model; read once per session and save, however often it is asked for."""
+    key = (SparkSession.active().sparkContext.applicationId, path)
+    if key not in _models:
+        _models[key] = PipelineModel.load(f"{path}/model")
+    return _models[key]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskflow.functions import scores
 from riskflow.operators import features, profiles, training
-from riskflow.operators.skew import NONE_HOT, broadcast_if_small
+from riskflow.plans.batch import score
 from riskflow.sources import case_store
 from riskflow.streaming.jobs import replace_folder
 
@@ -25,22 +25,44 @@ def score_stream(requests: DataFrame, profile: DataFrame, model=None) -> DataFra
     Right for profiles small enough to broadcast: each micro-batch reads the profile again. For large ones use
     `score_writer`.
     """
-    return score_rows(profiles.enrich(requests, profile, hot=NONE_HOT), model)
+    return score_rows(profiles.enrich(requests, profile), model)
 
 
 def score_writer(profile: DataFrame, model=None, columns=None, write=replace_folder):
     """foreachBatch writer that scores a micro-batch against a large profile table.
 
-    The profile is first cut to the users of the batch (a broadcast semi-join where it is read, while the
-    batch has a moderate number of users), so it is never shuffled whole; a user who dominates the batch is
-    spread over several tasks.
+    The profile is first cut to the users of the batch, where it is read if they are few.
     """
     def write_scores(batch: DataFrame, batch_id: int, path: str):
         batch.persist()
-        near = profile.join(broadcast_if_small(batch.select("user_id").distinct()), "user_id", "left_semi")
-        scored = score_rows(profiles.enrich(batch, near), model)
+        try:
+            near = profile.join(batch.select("user_id").distinct(), "user_id", "left_semi")
+            scored = score_rows(profiles.enrich(batch, near), model)
+            write(scored.select(*columns) if columns else scored, batch_id, path)
+        finally:
+            batch.unpersist()
+    return write_scores
+
+
+def model_writer(history: DataFrame, model, seen: str, columns=None, write=replace_folder):
+    """foreachBatch writer that scores a micro-batch with a trained model and what is known about its users: the rows of
+    `history` and those of the earlier batches, which are kept in the folder `seen`.
+
+    Order matters within a user: a request is scored against the rows before its own time that have arrived. A
+    repeated batch replaces its rows and does not see its own.
+    """
+    def write_scores(batch: DataFrame, batch_id: int, path: str):
+        spark = batch.sparkSession
+        replace_folder(batch, batch_id, seen)
+        own = spark.read.schema(batch.schema).parquet(f"{seen}/batch_id={batch_id}")
+        past = history
+        if batch_id:
+            earlier = spark.read.schema(batch.schema).parquet(*[f"{seen}/batch_id={i}" for i in range(batch_id)])
+            past = history.unionByName(earlier, allowMissingColumns=True)
+        scored = score(own, model, past)
+        scored = scored.withColumns({"fraud_score": scores.score_percent("fraud_probability"),
+                                     "risk_level": scores.risk_band(scores.score_percent("fraud_probability"))})
         write(scored.select(*columns) if columns else scored, batch_id, path)
-        batch.unpersist()
     return write_scores
 
 

@@ -1,7 +1,9 @@
-"""Per-user state: the newest times and the known values, for patterns of rows as they arrive.
+"""Per-user state: the times of the last day and the known values, for patterns of rows as they arrive.
 
-Kept per user: the newest 100 times (all that the velocity and rapid-succession rules look at) and one entry
-per known value. A micro-batch's rows of one user are ordered by (time, id) before they meet the state, so the
+Kept per user: the times of the newest 24 hours and of `LATE` before them, so that a row that comes up to that much late
+is still counted exactly, and one entry per known value. With `ttl_ms` both are forgotten when nothing has written them for
+that long; such a stream looks at its state all the time, so it needs a trigger that goes on, not availableNow.
+A micro-batch's rows of one user are ordered by (time, id) before they meet the state, so the
 input limit of the stream (files or offsets per trigger) bounds what is held at once.
 """
 
@@ -19,10 +21,17 @@ OUTPUT = ("transaction_id {id}, user_id {user}, count_24h long, rapid_succession
           "is_new_device int, is_new_location int, is_new_merchant int")
 
 
+LATE = 24 * HOUR_US
+_HORIZON = C.RECENT_HOURS * HOUR_US
+
+
 class UserState(StatefulProcessor):
+    def __init__(self, ttl_ms=None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle):
-        self.recent = handle.getValueState("recent", "times array<bigint>")
-        self.known = handle.getMapState("known", "field string, value string", "since bigint")
+        self.recent = handle.getValueState("recent", "times array<bigint>", self.ttl_ms)
+        self.known = handle.getMapState("known", "field string, value string", "since bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(["t", "transaction_id"], kind="stable")
@@ -35,16 +44,16 @@ class UserState(StatefulProcessor):
         place = np.empty(len(times), dtype=np.int64)
         place[order] = np.arange(len(times))
         place = place[len(seen):]
-        count = place - np.searchsorted(times, own - C.RECENT_HOURS * HOUR_US, side="left")
+        count = place - np.searchsorted(times, own - _HORIZON, side="left")
         third = times[np.maximum(place - C.RAPID_ROWS, 0)]
         first = times[np.maximum(place - 1, 0)]
-        rapid = ((place >= C.RAPID_ROWS) & (third >= own - C.RECENT_HOURS * HOUR_US)
+        rapid = ((place >= C.RAPID_ROWS) & (third >= own - _HORIZON)
                  & (first - third < C.RAPID_HOURS * HOUR_US))
         out = {"transaction_id": batch["transaction_id"].to_numpy(), "user_id": [key[0]] * len(batch),
-               "count_24h": np.minimum(count, C.HISTORY_LIMIT), "rapid_succession": rapid}
+               "count_24h": count, "rapid_succession": rapid}
         for field, column in KNOWN_FIELDS.items():
             out[f"is_new_{field}"] = self._new(field, batch[column], own)
-        self.recent.update((times[-C.HISTORY_LIMIT:].tolist(),))
+        self.recent.update((times[times >= times[-1] - _HORIZON - LATE].tolist(),))
         yield pd.DataFrame(out)
 
     def _new(self, field, values, own):
@@ -59,14 +68,14 @@ class UserState(StatefulProcessor):
         return fresh
 
     def close(self):
-        pass
+        """Nothing is open between batches."""
 
 
-def follow_users(txn: DataFrame) -> DataFrame:
+def follow_users(txn: DataFrame, ttl_ms=None) -> DataFrame:
     """Stream of transactions -> stream of their history facts. Rows without user or time are dropped before."""
     kinds = dict(txn.dtypes)
     rows = (txn.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
             .select("user_id", "transaction_id", micros("ts").alias("t"), *KNOWN_FIELDS.values()))
     return rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=UserState(), outputStructType=OUTPUT.format(id=kinds["transaction_id"], user=kinds["user_id"]),
-        outputMode="Append", timeMode="None")
+        statefulProcessor=UserState(ttl_ms), outputStructType=OUTPUT.format(id=kinds["transaction_id"], user=kinds["user_id"]),
+        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")

@@ -50,7 +50,8 @@ def test_request_time_uses_the_written_clock_or_as_of(spark):
     out = features.with_time_features(features.with_request_time(df, "2024-01-03 12:00:00")).collect()
     assert [(r.hour_of_day, r.day_of_week, r.is_weekend, r.is_unusual_hour) for r in out] == [
         (23, 0, 0, 1), (4, 5, 1, 1), (12, 2, 0, 0), (12, 2, 0, 0)]
-    assert [str(r.event_time) for r in out[:2]] == ["2024-01-01 18:10:00", "2024-01-06 04:00:00"]
+    assert [str(r.ts) for r in out[:2]] == ["2024-01-01 18:10:00", "2024-01-06 04:00:00"]
+    assert str(out[0].wall_time) == "2024-01-01 23:10:00" and str(out[3].ts) == "2024-01-03 12:00:00"
 
 
 def test_within_24_hours(spark):
@@ -59,27 +60,33 @@ def test_within_24_hours(spark):
     assert got == [True, False, True, False]
 
 
-def heuristic(amount, unusual, kind, merchant, location, auth):
-    total = 0.3 if amount > 5000 else 0.2 if amount > 2000 else 0.1 if amount > 1000 else 0.05 if amount < 10 else 0
-    total += 0.2 * unusual
-    total += {"withdrawal": 0.15, "transfer": 0.15, "purchase": 0.05}.get((kind or "").lower(), 0)
-    total += 0.15 * any(w in (merchant or "").lower() for w in ("electronics", "jewelry", "travel", "crypto"))
-    total += 0.1 * any(w in (location or "").lower() for w in ("unknown", "international"))
-    total += 0.1 * ((auth or "").lower() in ("none", "password"))
-    return min(total, 1.0)
+# amount, unusual hour, type, merchant, location, authentication -> score; worked out by hand
+SCORES = [
+    ((5000.01, 0, None, None, None, None), 0.3), ((5000.0, 0, None, None, None, None), 0.2),
+    ((2000.01, 0, None, None, None, None), 0.2), ((2000.0, 0, None, None, None, None), 0.1),
+    ((1000.01, 0, None, None, None, None), 0.1), ((1000.0, 0, None, None, None, None), 0.0),
+    ((10.0, 0, None, None, None, None), 0.0), ((9.99, 0, None, None, None, None), 0.05),
+    ((50.0, 1, None, None, None, None), 0.2), ((50.0, 0, "WITHDRAWAL", None, None, None), 0.15),
+    ((50.0, 0, "Transfer", None, None, None), 0.15), ((50.0, 0, "purchase", None, None, None), 0.05),
+    ((50.0, 0, "ATM Withdrawal", None, None, None), 0.0), ((50.0, 0, None, "Consumer Electronics", None, None), 0.15),
+    ((50.0, 0, None, "CRYPTOcurrency", None, None), 0.15), ((50.0, 0, None, "Jewelry and travel", None, None), 0.15),
+    ((50.0, 0, None, "Retail", None, None), 0.0), ((50.0, 0, None, None, "Unknown", None), 0.1),
+    ((50.0, 0, None, None, "INTERNATIONAL zone", None), 0.1), ((50.0, 0, None, None, "Tokyo", None), 0.0),
+    ((50.0, 0, None, None, None, "None"), 0.1), ((50.0, 0, None, None, None, "Password"), 0.1),
+    ((50.0, 0, None, None, None, "PIN"), 0.0), ((6000.0, 1, "transfer", "travel", "unknown", "none"), 1.0),
+    ((1500.0, 1, "Purchase", "Grocery", "International", "password"), 0.55)]
 
 
 def test_heuristic_score(spark):
-    rnd = random.Random(2)
-    rows = [(rnd.choice([5.0, 10.0, 999.0, 1000.0, 1000.5, 2000.0, 2001.0, 5000.0, 5001.0]), rnd.choice([0, 1]),
-             rnd.choice(["Withdrawal", "ATM Withdrawal", "TRANSFER", "purchase", None]),
-             rnd.choice(["Consumer Electronics", "Retail", "cryptocurrency", None]),
-             rnd.choice(["Unknown", "INTERNATIONAL zone", "Tokyo", None]), rnd.choice(["None", "password", "PIN", None]))
-            for _ in range(300)] + [(6000.0, 1, "transfer", "travel", "unknown", "none")]
-    df = spark.createDataFrame(rows, "transaction_amount double, is_unusual_hour int, transaction_type string, "
-                                     "merchant_category string, location string, authentication_method string")
+    df = spark.createDataFrame([r for r, _ in SCORES], "transaction_amount double, is_unusual_hour int, transaction_type string, "
+                                                       "merchant_category string, location string, authentication_method string")
     got = [round(r[0], 9) for r in df.select(scores.heuristic_risk()).collect()]
-    assert got == [round(heuristic(*r), 9) for r in rows]
+    assert got == [want for _, want in SCORES]
+
+
+def test_rounding_of_what_is_no_finite_number(spark):
+    got = column(spark, [float("inf"), float("nan"), None, 1.005], "double", text.rounded("x", 2))
+    assert got[0] == float("inf") and got[1] != got[1] and got[2:] == [None, 1.0]
 
 
 def test_defaults_fill_absent_columns_only(spark):

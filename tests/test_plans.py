@@ -57,14 +57,176 @@ def test_prepare_train_score_assess_escalate(spark, tmp_path):
     cases = batch.escalate(judged, full, said.drop("reply"), root, 1)
     assert cases.count() == judged.where("risk_score >= 70 OR status = 'REJECTED'").count() > 0
     row = cases.first()
-    folder, case_id = row.evidence_path.split("#")
-    docs = [json.loads(r.document) for r in spark.read.json(folder).collect()]
-    mine = next(d for d in docs if d["case_id"] == case_id)
+    mine, = [json.loads(r.document) for r in spark.read.json(row.evidence_path).collect()]
+    assert mine["case_id"] == row.case_id
     assert mine["transaction_id"] == row.transaction_id and mine["fraud_report"] == "text"
     assert mine["evidence"]["timeline"] and "final_verdict" in mine["risk_assessment"]
     assert case_store.read_alerts(spark, root).count() == cases.count()
 
 
+TRANSACTION = """Transaction
+- id: T1
+- user: U1
+- amount: $1,234.50
+- type: Transfer
+- merchant category: Travel
+- location: Lima
+- device: Mobile
+- card: Visa
+- authentication: PIN"""
+MODEL = """Model
+- fraud probability: 0.42
+- score of 100: 42
+- risk level: MEDIUM
+- confidence: {confidence}
+- unusual hour: YES
+- high value: NO"""
+PROFILE = """User history
+- transactions: 12
+- average amount: $100.00
+- range: $1.00 - $900.00
+- devices: Desktop, Mobile
+- locations: Lima
+- earlier fraud flags: 2"""
+ACTIVITY = """Activity
+- last 24 hours: 3
+- newest transactions read, at most 100: 12"""
+REPLY = "Answer with a single JSON object and nothing else. Its keys:"
+PROMPTS = {
+    "monitor": f"""Review one card transaction for fraud, using the transaction and the score of a model.
+
+{TRANSACTION}
+
+Time
+- hour: 3
+
+{MODEL}
+
+{REPLY}
+- "verdict": APPROVED, REJECTED or REVIEW
+- "risk_factors": list of two or three indicators
+- "recommended_action": what to do next
+- "reasoning": two or three sentences""",
+    "evidence": f"""Summarise in two or three sentences how this transaction compares with the user's habits.
+
+{TRANSACTION}
+
+{PROFILE}
+
+{ACTIVITY}
+
+Observations
+first thing
+second thing""",
+    "photo": f"""Judge whether the person in the verification photo is the account holder.
+
+{TRANSACTION}
+
+Photo check
+- photo: p.jpg
+- result: VERIFIED
+- authentic: YES
+- overall confidence: 60.00%
+- face match: YES
+- similarity: 91.00%
+- match confidence: 90.00%
+- real person: YES
+- detection confidence: 60.00%
+- quality of 100: 70.00
+- live person: YES
+- liveness of 100: 0.00
+- liveness confidence: 30.00%
+- brightness: 0.00
+- sharpness: 0.00
+- emotion: UNKNOWN 0.0%
+- head roll, yaw, pitch: 0.0, 0.0, 0.0
+
+Risk factors
+- None
+
+{REPLY}
+- "verdict": APPROVED, REJECTED or REVIEW
+- "risk_assessment": list of two to four findings
+- "recommended_action": what to do with the verification
+- "reasoning": two or three sentences""",
+    "assessment": f"""Combine the findings below into one fraud decision. Name conflicts between them. A failed photo check weighs heavily.
+
+{TRANSACTION}
+
+Monitor verdict: REVIEW
+
+{MODEL}
+
+{PROFILE}
+
+{ACTIVITY}
+
+Patterns found: 2
+- first thing
+- second thing
+
+Summary of behaviour: as usual
+
+Photo check
+- verdict: APPROVED
+- authentic: YES
+- similarity: 91.0
+- real person: YES
+- live person: YES
+- confidence: 60.0
+- risk factors: None
+
+{REPLY}
+- "final_verdict": APPROVED, REJECTED or REVIEW
+- "confidence_score": 0 to 100
+- "risk_level": LOW, MEDIUM, HIGH or CRITICAL
+- "risk_summary": two or three sentences
+- "key_findings": list
+- "risk_factors": list
+- "positive_indicators": list
+- "decision_reasoning": three or four sentences
+- "recommended_action": one instruction
+- "agent_consensus": whether the findings agree
+- "confidence_breakdown": object with ml_model_confidence, behavioral_analysis_confidence, biometric_confidence, overall_confidence, each 0 to 1""",
+    "case_report": f"""Write a formal fraud case report for investigators: a short summary, the main risk indicators, and the recommended actions.
+
+Case
+- id: FA-1
+- risk score of 100: 42
+- status: REVIEW
+
+{TRANSACTION}
+
+Assessment: because
+
+Evidence: as usual
+
+Patterns
+- first thing
+- second thing"""}
+
+
+def test_whole_prompts(spark):
+    row = spark.createDataFrame([("T1", "U1", 1234.5, "Transfer", "Travel", "Lima", "Mobile", "Visa", "PIN", "p.jpg", 12, 100.0, 1.0, 900.0,
+                                  ["Desktop", "Mobile"], ["Lima"], 2, 3, 12, "REVIEW", "as usual", "because", "FA-1", 42, "REVIEW")],
+                                "transaction_id string, user_id string, transaction_amount double, transaction_type string, merchant_category string, "
+                                "location string, device_type string, card_type string, authentication_method string, photo_path string, "
+                                "total_transactions long, avg_transaction_amount double, min_transaction double, max_transaction double, "
+                                "known_devices array<string>, known_locations array<string>, fraud_history long, recent_24h_count long, history_count long, "
+                                "monitor_verdict string, llm_summary string, llm_reasoning string, case_id string, risk_score int, status string")
+    answer = ('{"verification_result":"VERIFIED","face_comparison":{"match":true,"similarity":91,"confidence":90},"quality_check":{"is_real":true,'
+              '"quality_score":70,"confidence":60},"liveness_check":{"is_live":true,"confidence":30,"checks":{"eyes_open":true}}}')
+    photo = biometrics.photo_result(spark.createDataFrame([("T1", answer)], "transaction_id string, response string"),
+                                    spark.createDataFrame([("T1", '{"verdict":"APPROVED"}')], "transaction_id string, reply string"))
+    found = F.array(*[F.struct(F.lit("c").alias("code"), F.lit(x).alias("message")) for x in ("first thing", "second thing")])
+    monitor = F.struct(scores.prediction(F.lit(0.42)).alias("prediction"), scores.feature_summary(
+        unusual=F.lit(1), hour=F.lit(3), high=F.lit(0)).alias("feature_summary"))
+    full = row.join(photo.withColumnRenamed("error", "photo_error"), "transaction_id").withColumns({"patterns": found, "monitor": monitor})
+    confidence = full.select(monitor["prediction"]["model_confidence"].cast("string")).first()[0]
+    got = {r.agent: r.prompt for r in prompts.requests(full, {a: None for a in PROMPTS}).collect()}
+    assert got == {k: v.replace("{confidence}", confidence) for k, v in PROMPTS.items()}
+
+
 def test_prompts_carry_the_facts(spark):
     past, current = fixtures.past_and_current(spark, FOLDER)
     detected = patterns.detect_snapshot(fixtures.with_photo_path(current), past, AS_OF)

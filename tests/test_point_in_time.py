@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskflow.operators import history, patterns, skew
 from riskflow.operators import point_in_time as pit
@@ -11,7 +12,7 @@ from riskflow.operators import point_in_time as pit
 
 @pytest.fixture(autouse=True)
 def small_keys_can_be_hot(monkeypatch):
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 0)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
 
 
 SCHEMA = ("transaction_id long, user_id string, ts timestamp, transaction_amount double, is_failed int, "
@@ -127,54 +128,75 @@ def test_rapid_needs_less_than_one_hour(spark):
     assert got[103] is False and got[203] is True
 
 
-def test_join_per_key_spreads_a_hot_key_and_keeps_all_rows(spark):
-    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"u{i}") for i in range(3000)], "id long, user string")
-    few = spark.createDataFrame([("hot", 1)] + [(f"u{i}", i) for i in range(0, 3000, 6)], "user string, v int")
-    hot = skew.hot_keys(rows, "user")
-    assert [r.user for r in hot.frame.collect()] == ["hot"] and hot.frame.first().pieces >= 5
-    out = skew.join_per_key(rows, few, "user", "id", hot=hot)
-    plain = rows.join(few, "user", "left")
-    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-
-
 def test_small_keys_stay_whole(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, "hot") for i in range(100)], "id long, user string")
-    assert skew.hot_keys(rows, "user")
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 101)
+    rows = spark.createDataFrame([(i, "hot") for i in range(301)] + [(i, None) for i in range(500)], "id long, user string")
+    hot = skew.hot_keys(rows, "user")  # rows without a key are no key
+    assert [(r.user, r["size"], r.pieces) for r in hot.frame.collect()] == [("hot", 301, 4)]
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 301)
     assert not skew.hot_keys(rows, "user")
 
 
-def test_snapshot_patterns_with_a_hot_user(spark):
-    rows = make(800, 3, 0.5)
-    df = as_rows(spark, [r for r in rows]).selectExpr("*", "'Online' AS transaction_type")
+def slices(spark, rows):
+    """Events per slice of the hot user."""
+    df = as_rows(spark, rows).withColumn("__t", F.unix_micros("ts"))
+    hot = pit.busy_users(df)
+    sliced = pit._sliced(pit._events(df, "user_id", pit.EVERYTHING), hot, "user_id")
+    return [r["count"] for r in sliced.where("user_id = 'hot'").groupBy("slice").count().collect()]
+
+
+def spread(n, minutes):
+    return [(i, "hot", START + timedelta(minutes=minutes * i / n), 1.0, 0, 0, "a", "b", "c") for i in range(n)]
+
+
+@pytest.mark.parametrize("rows", [
+    spread(3000, 60 * 24 * 20),
+    [(9999, "hot", datetime(1970, 1, 2), 1.0, 0, 0, "a", "b", "c")] + spread(3000, 60 * 24 * 20),
+    spread(3000, 60) + [(9999, "hot", START + timedelta(days=900), 1.0, 0, 0, "a", "b", "c")],
+    spread(3000, 0)], ids=["even", "one old row", "burst", "one microsecond"])
+def test_slices_are_even(spark, monkeypatch, rows):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 300)
+    got = slices(spark, rows)
+    assert len(got) >= 10 and max(got) <= 2 * sum(got) / len(got), got
+
+
+def test_old_row_and_burst_of_a_hot_user(spark):
+    rows = [(9999, "hot", datetime(1970, 1, 2), 7.0, 0, 1, "z", "b", "c")] + spread(700, 45)
+    assert actual(pit.point_in_time(as_rows(spark, rows))) == expected(rows)
+
+
+def test_rows_without_a_user_have_no_history(spark):
+    rows = make(300, 8, 0.7)
+    nobody = [(1000 + i, None, START + timedelta(hours=i // 50), 5.0, 1, 1, "zz", "l1", "m1") for i in range(200)]
+    got = actual(pit.point_in_time(as_rows(spark, rows + nobody)))
+    assert {k: v for k, v in got.items() if k < 1000} == expected(rows)
+    nothing = dict(hist_count=0, hist_fraud=0, count_24h=0, count_7d=0, avg7=None, avg=None, failed=0, daily=0, prior=0,
+                   rapid=False, new=[0, 0, 0])
+    assert all(got[1000 + i] == nothing for i in range(200))
+
+
+def test_odd_amounts(spark):
+    odd = [float("nan"), float("inf"), -float("inf"), 1e13, 4e-7, None, 1e300, 2.0, 4.0]
+    rows = [(i, "u", START + timedelta(hours=i), x, 0, 0, "a", "b", "c") for i, x in enumerate(odd)]
+    got = actual(pit.point_in_time(as_rows(spark, rows)))
+    assert [got[i]["hist_count"] for i in range(9)] == list(range(9))
+    assert [got[i]["avg"] for i in (1, 2, 3, 4)] == [None, None, None, 1e13]
+    assert got[5]["avg7"] == near((1e13 + 4e-7) / 2) and got[6]["avg"] == near((1e13 + 4e-7) / 3)
+    assert got[8]["avg7"] == near((1e13 + 4e-7 + 2) / 4)
+
+
+def test_hot_snapshot_patterns_equal_those_of_single_users(spark):
+    """The patterns of a user with most of the rows are those that a table of this user alone gives."""
+    df = as_rows(spark, make(800, 3, 0.5)).selectExpr("*", "'Online' AS transaction_type")
     as_of = "2024-01-15 00:00:00"
-    past, current = df.where(f"ts < '{as_of}'"), df.where(f"ts >= '{as_of}'")
-    got = {r.transaction_id: [p.code for p in r.patterns]
-           for r in patterns.detect_snapshot(current, past, as_of).collect()}
-    edge = datetime(2024, 1, 15)
-    by_user = {}
-    for r in rows:
-        if r[2] < edge:
-            by_user.setdefault(r[1], []).append(r)
-    for r in rows:
-        if r[2] < edge:
-            continue
-        h = sorted(by_user.get(r[1], []), key=lambda p: (p[2], p[0]), reverse=True)
-        avg = sum(p[3] for p in h) / len(h) if h else 0
-        recent = [p for p in h[:100] if p[2] >= edge - timedelta(hours=24)]
-        want = []
-        if avg > 0 and r[3] > avg * 5:
-            want.append("amount_anomaly")
-        if len(recent) > 10:
-            want.append("high_velocity")
-        for c, code in ((6, "new_device"), (7, "new_location"), (8, "first_merchant")):
-            if r[c] and r[c] not in {p[c] for p in h}:
-                want.append(code)
-        if any(p[5] for p in h):
-            want.append("fraud_history")
-        if len(recent) >= 3 and h[0][2] - h[2][2] < timedelta(hours=1):
-            want.append("rapid_succession")
-        assert got[r[0]] == want
+
+    def found(rows):
+        return {r.transaction_id: [(p.code, p.message) for p in r.patterns] for r in patterns.detect_snapshot(
+            rows.where(f"ts >= '{as_of}'"), rows.where(f"ts < '{as_of}'"), as_of).collect()}
+    whole, parts = found(df), {}
+    for user in ("hot", "u3", "u7"):
+        parts |= found(df.where(f"user_id = '{user}'"))
+    assert parts and all(whole[i] == p for i, p in parts.items())
+    assert {code for p in whole.values() for code, _ in p} >= {"new_location", "fraud_history"}
 
 
 def test_all_features_take_one_shuffle(spark):

@@ -19,7 +19,14 @@ def test_raw_csv(spark, tmp_path):
     a, b = tables.read_transactions_csv(spark, str(tmp_path / "raw.csv")).collect()
     assert (a.transaction_id, a.transaction_amount, a.daily_transaction_count, a.card_age) == ("T-7", 12.75, 4, 210)
     assert str(a.ts) == "2024-03-02 08:15:30" and b.ts is None and b.user_id == "U-9"
-    assert tables.raw_names(tables.read_transactions_csv(spark, str(tmp_path / "raw.csv"))).columns == C.RAW_COLUMNS
+    assert a.unreadable is None and b.unreadable == ["ts"]
+    assert tables.raw_names(tables.read_transactions_csv(spark, str(tmp_path / "raw.csv"))).columns == [*C.RAW_COLUMNS, "unreadable"]
+    # whole numbers as other programs write them, and what is no number
+    odd = values | {"Card_Age": "1.0", "Fraud_Label": "0.0", "Is_Weekend": "1.5", "Transaction_Amount": "many", "Account_Balance": ""}
+    (tmp_path / "odd.csv").write_text(",".join(header) + "\n" + ",".join(odd.get(c, "0") for c in header) + "\n")
+    d = tables.read_transactions_csv(spark, str(tmp_path / "odd.csv")).first()
+    assert (d.card_age, d.fraud_label, d.is_weekend, d.transaction_amount, d.account_balance) == (1, 0, None, None, None)
+    assert sorted(d.unreadable) == ["is_weekend", "transaction_amount"]
     # another column order, and the calculated columns
     header = header[::-1] + ["hour_of_day", "amount_deviation_ratio", "note"]
     (tmp_path / "more.csv").write_text(",".join(header) + "\n" + ",".join(values.get(c, "3") for c in header) + "\n")
@@ -72,11 +79,21 @@ def test_cases_continue_and_repeat(spark, tmp_path):
     case_store.write_cases(judged(spark, [2, 3]), 1, root)
     case_store.write_cases(judged(spark, [2, 3]), 1, root)
     case_store.write_cases(judged(spark, [], ), 2, root)
+    case_store.write_cases(judged(spark, [1, 2]), 0, root)  # the first write again, after the second
     out = {r.transaction_id: r.case_id for r in case_store.read_cases(spark, root).collect()}
     assert out == {1: "FA-20240102-1000", 2: "FA-20240102-1001", 3: "FA-20240102-1002"}
     message = case_store.read_alerts(spark, root).where("case_id = 'FA-20240102-1000'").first().message
-    assert "$1,234.50" in message and "r" * 500 + "..." in message and "r" * 501 not in message
-    assert "Risk Score: 80/100 - REVIEW" in message
+    assert message == ("Case FA-20240102-1000: transaction 1 over $1,234.50 scored 80 of 100 (status REVIEW).\n"
+                       f"Evidence: {root}/evidence/case_date=2024-01-02/case_id=FA-20240102-1000\nThe report begins:\n" + "r" * 500)
+
+
+def test_a_write_reads_only_its_days(spark, tmp_path, monkeypatch):
+    root, asked = str(tmp_path / "c"), []
+    case_store.write_cases(judged(spark, [1, 2], "2024-01-02"), 0, root)
+    real = case_store._existing
+    monkeypatch.setattr(case_store, "_existing", lambda spark, path, day: asked.append(str(day)) or real(spark, path, day))
+    case_store.write_cases(judged(spark, [3, 4], "2024-01-05"), 1, root)
+    assert asked == ["2024-01-05"] and case_store.read_cases(spark, root).count() == 4
 
 
 def test_more_cases_than_four_digits(spark):
@@ -88,7 +105,8 @@ def test_more_cases_than_four_digits(spark):
 def test_stream_state_equals_batch(spark, tmp_path):
     """Files in time order, several per run, and a user with most of the rows."""
     jobs.use_keyed_state(spark)
-    rows = sorted((r for r in make(400, 11, 0.6)), key=lambda r: (r[2], r[0]))
+    rows = sorted((r for r in make(400, 11, 0.6, days=2)), key=lambda r: (r[2], r[0]))
+    assert max(w["count_24h"] for w in expected(rows).values()) > 110
     for i in range(4):
         as_rows(spark, rows[i * 100:(i + 1) * 100]).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
     schema = as_rows(spark, rows[:1]).schema
@@ -99,7 +117,7 @@ def test_stream_state_equals_batch(spark, tmp_path):
     assert set(got) == set(want)
     for i, w in want.items():
         g = got[i]
-        assert (g.count_24h, g.rapid_succession) == (min(w["count_24h"], 100), w["rapid"]), i
+        assert (g.count_24h, g.rapid_succession) == (w["count_24h"], w["rapid"]), i
         assert [g.is_new_device, g.is_new_location, g.is_new_merchant] == w["new"], i
 
 
@@ -109,11 +127,29 @@ def test_stream_drops_copies(spark, tmp_path):
         as_rows(spark, rows + rows[:50]).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     source = spark.readStream.schema(as_rows(spark, rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     for spread in (0, 3):
-        out = windows.first_copies(source, late="30 days", spread=spread)
+        out = windows.first_copies(source, spread=spread)
         got = sorted(r.transaction_id for r in jobs.read_back(out, jobs.run_to_end(out)).collect())
         assert got == list(range(100))
 
 
+def test_late_rows_are_in_every_stream(spark, tmp_path):
+    """Files far out of time order, a file per batch: nothing is lost, and the parts add up to the whole."""
+    rows = make(240, 13, 0.5, days=9)
+    for i in range(4):
+        as_rows(spark, rows[i::4]).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema(as_rows(spark, rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    whole = as_rows(spark, rows)
+    out = windows.first_copies(source)
+    assert jobs.read_back(out, jobs.run_to_end(out)).select("transaction_id").distinct().count() == 240
+    runs = windows.bursts(spark.read.parquet(jobs.run_to_end(source, windows.write_pieces))).drop("amount")
+    want = windows.pieces(whole).drop("amount").select(*runs.columns)
+    assert runs.exceptAll(want).count() == 0 == want.exceptAll(runs).count() and runs.agg(F.sum("n")).first()[0] == 240
+    counts = spark.read.parquet(jobs.run_to_end(source, windows.write_hourly))
+    got = windows.rolling_counts(counts)
+    want = windows.rolling_counts(windows.hourly(whole))
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
 def test_stream_scores_and_cases(spark, tmp_path):
     rows = [("T1", "U1", 6000.0, "Transfer", "Travel", "Visa", "Mobile", "Unknown", "None", None, "2024-01-06T03:00:00Z"),
             ("T2", "U2", 50.0, "Online", "Retail", "Visa", "Mobile", "Tokyo", "PIN", None, "2024-01-06T13:00:00Z")]

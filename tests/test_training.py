@@ -19,6 +19,11 @@ def test_split_sizes_of_fifty_thousand_rows(spark):
     assert total == {"train": 35020, "validation": 7480, "test": 7500}
     for s, n in total.items():
         assert abs(out[(s, 1)] / n - 0.321) < 1e-3
+    ranked = df.selectExpr("transaction_id", "fraud_label", "row_number() OVER (PARTITION BY fraud_label ORDER BY xxhash64(transaction_id, 42), "
+                           "transaction_id) AS n")
+    part = (f"CASE WHEN n <= IF(fraud_label = 1, {out[('test', 1)]}, {out[('test', 0)]}) THEN 'test' WHEN n <= IF(fraud_label = 1, "
+            f"{out[('test', 1)] + out[('validation', 1)]}, {out[('test', 0)] + out[('validation', 0)]}) THEN 'validation' ELSE 'train' END AS split")
+    assert training.stratified_split(df).select("transaction_id", "split").exceptAll(ranked.selectExpr("transaction_id", part)).count() == 0
     again = training.stratified_split(df.repartition(5)).where("split = 'test'").select("transaction_id")
     first = training.stratified_split(df).where("split = 'test'").select("transaction_id")
     assert again.exceptAll(first).count() == 0
@@ -81,3 +86,5 @@ def test_train_save_load_score(spark, tmp_path):
     assert a == b
     strange = df.limit(1).withColumn("location", F.lit("never seen")).withColumn("card_age", F.lit(None).cast("double"))
     assert 0 <= training.score(strange, model).first().fraud_probability <= 1
+    batch.train(df, str(tmp_path), trees=2)
+    assert len(tables.load_model(str(tmp_path)).stages[-1].trees) == 2  # not the one that was read before
