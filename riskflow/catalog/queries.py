@@ -121,7 +121,7 @@ def feature_assembly_history(spark, folder):
 
 @query
 def enhanced_transactions(spark, folder):
-    txn = features.with_history_features(_txn(spark, folder, balance=True))
+    txn = features.with_history_features(_txn(spark, folder, balance=True), top=True)
     out = features.enhance(txn, "training").drop("k", "is_failed")
     numbers = ["amount_deviation_ratio", "avg_transaction_amount_7d"]
     out = out.withColumns({c: F.round(c, 8) for c in numbers})
@@ -163,7 +163,7 @@ def history_cutoff(spark, folder):
 
 @query
 def scenario_samples(spark, folder):
-    txn = features.enhance(features.with_history_features(_txn(spark, folder)), "training")
+    txn = features.enhance(features.with_history_features(_txn(spark, folder), top=True), "training")
     path = fresh_dir(spark, "enhanced")
     txn.write.parquet(path)
     # the test tables have at most a handful of rows per user and day
@@ -354,8 +354,7 @@ def detected_patterns(spark, folder):
 
 @query
 def detected_patterns_snapshot(spark, folder):
-    past, current = _past_and_current(spark, folder)
-    out = patterns.detect_snapshot(current, past, AS_OF, velocity_limit=4)
+    out = _detected(spark, folder, velocity_limit=4)
     return out.select("transaction_id", _joined(patterns.messages()).alias("patterns"))
 
 
@@ -413,9 +412,11 @@ def reply_assessment(spark, folder):
 
 # --- evidence and assessment -----------------------------------------------------------------
 
-def _detected(spark, folder):
+def _detected(spark, folder, **kw):
+    """Against the stored snapshot: the history is read when that is written, and not again."""
     past, current = _past_and_current(spark, folder)
-    return patterns.detect_snapshot(current, past, AS_OF)
+    users, known = batch.snapshot(past, AS_OF, fresh_dir(spark, "known"))
+    return patterns.detect_snapshot(current, past, AS_OF, snapshot=users, known=known, **kw)
 
 
 @query
@@ -736,7 +737,7 @@ def sink_evidence(spark, folder):
 def sink_scenarios_json(spark, folder):
     """Scenarios written as JSON records and read back."""
     path = fresh_dir(spark, "scenarios")
-    txn = features.enhance(features.with_history_features(_txn(spark, folder)), "training")
+    txn = features.enhance(features.with_history_features(_txn(spark, folder), top=True), "training")
     txn.write.parquet(f"{path}/enhanced")
     out = scenarios.scenario_samples(spark.read.schema(txn.schema).parquet(f"{path}/enhanced"), velocity=2)
     tables.write_json(out, f"{path}/json")
@@ -747,7 +748,7 @@ def sink_scenarios_json(spark, folder):
 def sink_enhanced(spark, folder):
     """The enhanced table written as CSV under its file names, and as Parquet, each read back by its reader."""
     path = fresh_dir(spark, "enhanced")
-    txn = features.enhance(features.with_history_features(_txn(spark, folder, balance=True)), "training")
+    txn = features.enhance(features.with_history_features(_txn(spark, folder, balance=True), top=True), "training")
     tables.write_csv(tables.raw_names(txn.select(*[canonical(c) for c in C.RAW_COLUMNS], "hour_of_day", "is_high_value",
                                                  "amount_deviation_ratio")), f"{path}/csv")
     txn.write.parquet(f"{path}/parquet")

@@ -33,11 +33,12 @@ def first_seen_flags(txn: DataFrame, hot=None) -> DataFrame:
 
 
 def high_value_training(txn: DataFrame) -> DataFrame:
-    """is_high_value: above 0.8 of the user's own maximum, this row included."""
-    tops = txn.groupBy("user_id").agg(F.max("transaction_amount").alias("user_max"))
-    joined = txn.join(tops, "user_id", "left")
-    return joined.withColumn("is_high_value", scores.high_value_training("transaction_amount", "user_max")) \
-        .drop("user_max")
+    """is_high_value: above 0.8 of the user's own maximum, this row included; `user_max_amount` if the history pass left it."""
+    if "user_max_amount" not in txn.columns:
+        tops = txn.groupBy("user_id").agg(F.max("transaction_amount").alias("user_max_amount"))
+        txn = txn.join(tops, "user_id", "left")
+    return txn.withColumn("is_high_value", scores.high_value_training("transaction_amount", "user_max_amount")) \
+        .drop("user_max_amount")
 
 
 def enhance(txn: DataFrame, mode="training") -> DataFrame:
@@ -64,14 +65,15 @@ def enhance(txn: DataFrame, mode="training") -> DataFrame:
     return out.withColumn("amount_deviation_ratio", ratio)
 
 
-def with_history_features(txn: DataFrame, first_seen=False, hot=None) -> DataFrame:
+def with_history_features(txn: DataFrame, first_seen=False, hot=None, top=False) -> DataFrame:
     """Adds the raw columns that depend on history: daily count, 7-day average and failures, prior fraud.
 
-    first_seen adds is_new_device in the same pass, which `enhance` in mode "consistent" then uses.
+    first_seen adds is_new_device in the same pass, which `enhance` in mode "consistent" then uses; top adds
+    user_max_amount, which mode "training" uses up.
     """
     added = ["daily_transaction_count", "avg_transaction_amount_7d", "failed_transaction_count_7d",
-             "previous_fraudulent_activity"] + (["is_new_device"] if first_seen else [])
-    parts = (pit.ALL, pit.LAST_7D, pit.TODAY) + ((pit.FIRST,) if first_seen else ())
+             "previous_fraudulent_activity"] + (["is_new_device"] if first_seen else []) + (["user_max_amount"] if top else [])
+    parts = (pit.ALL, pit.LAST_7D, pit.TODAY) + ((pit.FIRST,) if first_seen else ()) + ((pit.TOP,) if top else ())
     full = pit.point_in_time(txn.drop(*added), parts=parts, hot=hot)
     return full.select(*[c for c in txn.columns if c not in added], *added)
 

@@ -35,9 +35,11 @@ def _with_patterns(df: DataFrame, rules: dict) -> DataFrame:
     return df.withColumn("patterns", F.array_compact(F.array(*found)))
 
 
-def user_snapshot(past: DataFrame, as_of, limit=C.HISTORY_LIMIT, oldest_first_bug=False) -> DataFrame:
-    """Everything known about a user at one moment: profile, newest rows, recent counts. One row per user."""
-    return profiles.serving_profile(past, as_of, balance=False).join(
+def user_snapshot(past: DataFrame, as_of, limit=C.HISTORY_LIMIT, oldest_first_bug=False, known=None) -> DataFrame:
+    """Everything known about a user at one moment: profile, newest rows, recent counts. One row per user.
+
+    `known` (profiles.known_values) may be given as a stored table."""
+    return profiles.serving_profile(past, as_of, balance=False, known=known).join(
         history.history_snapshot(past, as_of, limit, oldest_first_bug), "user_id", "left")
 
 

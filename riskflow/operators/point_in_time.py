@@ -28,7 +28,7 @@ MONEY = "DECIMAL(38,10)"
 MAX_AMOUNT = 1e15
 SAMPLES = 30  # sampled rows per slice of a hot user
 
-ALL, LAST_24H, LAST_7D, TODAY, TIMES, FIRST = "all", "24h", "7d", "today", "times", "first"
+ALL, LAST_24H, LAST_7D, TODAY, TIMES, FIRST, TOP = "all", "24h", "7d", "today", "times", "first", "top"
 EVERYTHING = (ALL, LAST_24H, LAST_7D, TODAY, TIMES, FIRST)
 
 # An event of a row without a time counts 0: the row keeps its place in the result but is nobody's history.
@@ -102,7 +102,7 @@ def _sliced(events: DataFrame, hot: HotKeys, user: str) -> DataFrame:
     nobody = "CAST(pmod(xxhash64(tie), 2147483647) AS INT)"
     if not hot:
         return events.withColumn("slice", F.expr(f"IF({user} IS NULL, {nobody}, 0)"))
-    marked = hot.attach(events, user).where("coalesce(at <= hi, true)").drop("lo", "hi")
+    marked = hot.attach(events, user).where("coalesce(at <= hi, true)").drop("lo", "hi", "top")
     cuts = _cuts(marked.where("pieces IS NOT NULL").select(user, "at", "kind", "tie", "size", "pieces"), user)
     of_hot = f"coalesce(size(filter(cuts, c -> c <= {_PLACE})), 0)"
     return (marked.join(F.broadcast(cuts), user, "left")
@@ -159,9 +159,9 @@ def _first_of_all(local: DataFrame, sliced: DataFrame, user: str) -> DataFrame:
 
 
 def busy_users(txn: DataFrame, user="user_id") -> HotKeys:
-    """Hot users with the time span of their rows."""
-    return hot_keys(txn.select(user, micros("ts").alias("__t")), user,
-                    [F.min("__t").alias("lo"), F.max("__t").alias("hi")])
+    """Hot users with the time span and the largest amount of their rows."""
+    return hot_keys(txn.select(user, micros("ts").alias("__t"), "transaction_amount"), user,
+                    [F.min("__t").alias("lo"), F.max("__t").alias("hi"), F.max("transaction_amount").alias("top")])
 
 
 def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys = None) -> DataFrame:
@@ -176,6 +176,7 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
     times  rapid_succession: the three newest earlier rows lie within 24 h and span less than one hour
     first  is_new_device, is_new_location, is_new_merchant (0/1): no earlier row has the value; an empty or
            missing value, or a row without a time, is never new
+    top    user_max_amount: the largest amount of all rows of the user, earlier and later ones (not in EVERYTHING)
     """
     rows = txn.withColumn("__t", micros("ts"))
     hot = busy_users(txn, user) if hot is None else hot
@@ -188,6 +189,10 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
                               *[f"sum({c}) {before} AS sum_{c}" for c in _counters(parts)]).where("kind = 0")
     if FIRST in parts:
         local = _first_in_slice(local, user)
+    if TOP in parts:  # the rows are placed already; the maximum of a hot user is known from the search for hot users
+        local = local.withColumn("slice_max", F.expr(f"max(row.transaction_amount) OVER (PARTITION BY {user}, slice)"))
+        if hot:
+            local = local.join(F.broadcast(hot.frame.select(user, "top")), user, "left")
     if hot:
         local = local.join(_carried(sliced, user, parts), [user, "slice"], "left")
         if FIRST in parts:
@@ -214,9 +219,10 @@ def point_in_time(txn: DataFrame, user="user_id", parts=EVERYTHING, hot: HotKeys
         TODAY: {"daily_transaction_count": f"CAST({total('n_today')} AS INT)"},
         TIMES: {"rapid_succession": rapid},
         FIRST: {f"is_new_{f}": f"CAST(new_{f} AS INT)" for f in KNOWN_FIELDS},
+        TOP: {"user_max_amount": "coalesce(top, slice_max)" if hot else "slice_max"},
     }
     nothing = {"hist_avg_amount": "CAST(NULL AS DOUBLE)", "avg_transaction_amount_7d": "CAST(NULL AS DOUBLE)",
-               "rapid_succession": "false"}
+               "rapid_succession": "false", "user_max_amount": "CAST(NULL AS DOUBLE)"}
     added = [f"IF({user} IS NULL, {nothing.get(name, '0')}, {e}) AS {name}" for p in parts for name, e in results[p].items()]
     kept = [c if c == user else f"row.`{c}` AS `{c}`" for c in txn.columns]
     return local.selectExpr(*kept, *added)

@@ -86,11 +86,12 @@ def known_lists(known: DataFrame, length=C.PROFILE_LIST_LENGTH) -> DataFrame:
     return ranked.groupBy("user_id").agg(*shown, *number)
 
 
-def serving_profile(history: DataFrame, as_of=None, lists=True, balance=True) -> DataFrame:
+def serving_profile(history: DataFrame, as_of=None, lists=True, balance=True, known=None) -> DataFrame:
     """Profile read when a transaction is scored.
 
     `as_of` adds `recent_24h_count`: rows of the last 24 hours, without any cap. The balance is that of the
-    newest row; it takes a pass of its own, in which every task keeps one row per user.
+    newest row; it takes a pass of its own, in which every task keeps one row per user. `known` (known_values) may be
+    given as a stored table.
     """
     as_of_count = [] if as_of is None else [
         F.count_if(times.within_hours("ts", times.as_time(as_of))).alias("recent_24h_count")]
@@ -104,7 +105,8 @@ def serving_profile(history: DataFrame, as_of=None, lists=True, balance=True) ->
     if balance and "account_balance" in history.columns:
         last = newest(history.select("user_id", "ts", "transaction_id", "account_balance"), 1)
         base = base.join(last.select("user_id", "account_balance"), "user_id", "left")
-    return base.join(known_lists(known_values(history)), "user_id", "left") if lists else base
+    known = known_values(history) if known is None else known
+    return base.join(known_lists(known), "user_id", "left") if lists else base
 
 
 def recent_counts(history: DataFrame, as_of, hours=C.RECENT_HOURS) -> DataFrame:

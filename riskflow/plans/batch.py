@@ -69,11 +69,12 @@ def snapshot(history: DataFrame, as_of, out: str):
 
     Returns (user snapshot, known values), both clustered by user.
     """
-    spark = history.sparkSession
-    tables_out = {"user_snapshot": patterns.user_snapshot(history, as_of), "known_values": profiles.known_values(history)}
-    for name, df in tables_out.items():
+    def write(df, name):
         df.repartitionByRange("user_id").sortWithinPartitions("user_id").write.mode("overwrite").parquet(f"{out}/{name}")
-    return tuple(spark.read.schema(df.schema).parquet(f"{out}/{name}") for name, df in tables_out.items())
+        return history.sparkSession.read.schema(df.schema).parquet(f"{out}/{name}")
+
+    known = write(profiles.known_values(history), "known_values")
+    return write(patterns.user_snapshot(history, as_of, known=known), "user_snapshot"), known
 
 
 def assess_batch(current: DataFrame, scored: DataFrame, history: DataFrame, responses: DataFrame,

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 import check
 from riskflow.catalog.oracle import ORACLE
 from riskflow.catalog.queries import QUERIES
-from riskflow.operators import skew
+from riskflow.operators import profiles, skew
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -51,3 +51,21 @@ def test_hot_customers_are_spread(spark, con, monkeypatch):
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 12)
     for name in ("rolling_7d_features", "rapid_succession", "detected_patterns", "first_seen_flags"):
         assert check.compare(spark, con, name, FOLDER) is None, name
+
+
+def scans(spark, name):
+    """How often the events are read in the plan of a query."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("event_id#") and len([x for x in plan.split("\n") if "Relation" in x and "event_type#" in x])
+
+
+def test_the_history_is_not_read_again(spark):
+    assert scans(spark, "enhanced_transactions") == 1
+    assert scans(spark, "detected_patterns_snapshot") <= 2 and scans(spark, "evidence_package") <= 2
+
+
+def test_recent_counts_push_their_bound_down(spark, tmp_path):
+    spark.sql("SELECT 'u' user_id, TIMESTAMP'2024-01-24 12:00:00' ts").write.parquet(str(tmp_path / "h"))
+    out = profiles.recent_counts(spark.read.parquet(str(tmp_path / "h")), "2024-01-25 00:00:00")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-24" in plan and out.first().recent_count == 1
