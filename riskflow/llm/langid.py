@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,16 +188,24 @@ def identify(docs: DataFrame, model: Model, key="doc_id", text="text") -> DataFr
     return out.withColumnRenamed("key", key)
 
 
-def _keep(model, text):
+def _keep(model, text, lang):
     def run(batches):
         m = model.value
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(text).cast(pa.string())]
-            yield batch.filter(pa.array([lang != UNKNOWN for lang, _, _ in found], pa.bool_()))
+            texts = [t.as_py() for t in batch.column(text).cast(pa.string())]
+            found = [m.predict(t)[0] for t in texts]
+            # where nothing could be learned, only texts without a letter are known to be in no language
+            kept = [g != UNKNOWN or not m.languages and has_letter(t) for g, t in zip(found, texts)]
+            if lang:
+                at, old = batch.schema.get_field_index(lang), batch.column(lang)
+                new = pa.array([None if g == UNKNOWN else g for g in found], pa.string()).cast(old.type)
+                batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(old, new))
+            yield batch.filter(pa.array(kept, pa.bool_()))
     return run
 
 
-def keep_identified(docs: DataFrame, model: Model, text="text") -> DataFrame:
-    """`docs` without the rows whose language is unknown."""
+def keep_identified(docs: DataFrame, model: Model, text="text", lang=None) -> DataFrame:
+    """`docs` without the rows that are in no language: those without text or without a letter. `lang` names a column whose
+    nulls are filled with the prediction."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(sent, text), docs.schema)
+    return docs.mapInArrow(_keep(sent, text, lang), docs.schema)

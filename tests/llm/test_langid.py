@@ -49,8 +49,11 @@ def test_rules(spark):
     assert len(got) == len(rows)
     assert all(by_id[i][1:3] == ("und", 0.0) for i in (900, 901, 902)) and by_id[903][1] != "und"
     assert by_id[905][1] == "fr" and by_id[906][1] == "en" and by_id[None][1] == "de" and by_id[None][3]
-    kept = langid.keep_identified(df, model)
-    assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    for lang in (None, "lang"):
+        kept = langid.keep_identified(df, model, lang=lang)
+        assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    filled = {r["doc_id"]: r["lang"] for r in kept.collect()}
+    assert filled[905] == "fr" and filled[906] == "en" and filled[None] == "xx" and filled[7] == "de"
 
 
 def test_order_and_partitions_do_not_matter(spark):
@@ -74,6 +77,7 @@ def test_little_to_learn_from(spark, rows, languages):
     got = langid.identify(frame(spark, rows + [(50, "some text", None)]), model).collect()
     assert model.languages == languages
     assert {(r["lang_pred"], r["score"]) for r in got} == ({("und", 0.0)} if not languages else {("en", 1.0)})
+    assert langid.keep_identified(frame(spark, rows + [(51, "3.", None)]), model).count() == len(rows)
 
 
 def test_codewords_correct_errors():
