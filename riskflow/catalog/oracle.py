@@ -188,7 +188,8 @@ numbered AS (
     repeat('Report on transaction ' || transaction_id || '. ', 20) AS report
   FROM cases),
 records AS (
-  SELECT *, 'evidence/case_date=' || strftime(ts, '%Y-%m-%d') || '/case_id=' || case_id AS evidence_path
+  SELECT *, 'evidence/case_date=' || strftime(ts, '%Y-%m-%d') || '/bucket='
+    || CAST(split_part(case_id, '-', 3) AS INT) % 8 AS evidence_path
   FROM numbered)"""
 
 _COUNTS = """

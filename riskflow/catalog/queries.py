@@ -726,7 +726,7 @@ def sink_evidence(spark, folder):
     said = replies.parse_assessment(fixtures.assessment_replies(_txn(spark, folder)).drop("k")).drop("reply")
     evidence = judged.select("transaction_id", F.struct(F.lit("seen").alias("note")).alias("evidence"))
     written = batch.escalate(judged, evidence, said, root, 1)
-    found = case_store.read_evidence(spark, root).select("case_id", "document", "path")
+    found = case_store.read_evidence(spark, f"{root}/evidence")
     return written.join(found, "case_id").select(
         "case_id", F.get_json_object("document", "$.transaction_id").alias("transaction_id"),
         F.contains("path", "evidence_path").alias("at_its_path"),

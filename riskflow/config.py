@@ -137,6 +137,7 @@ TARGET_NAMES = ["Legitimate", "Fraud"]
 # --- fixed values: cases ---------------------------------------------------------------------
 CASE_ID_PREFIX = "FA"
 CASE_NUMBER_START = 1000
+EVIDENCE_BUCKETS = 8
 ALERT_SUBJECT_FORMAT = "Fraud Alert: {0}"
 # Our own wording: case, transaction, amount, score, status, folder of the evidence, start of the report.
 ALERT_MESSAGE_FORMAT = ("Case {0}: transaction {1} over ${2} scored {3} of 100 (status {4}).\n"

@@ -33,9 +33,15 @@ def with_case_ids(risky: DataFrame, taken: DataFrame = None) -> DataFrame:
     return out.withColumn("case_id", case_id).drop("__n", "__n_of", "last_number")
 
 
+def evidence_bucket(case_id="case_id"):
+    """The cases of a day are spread over a few folders by their number: a folder per case would be millions of tiny files."""
+    return F.pmod(F.element_at(F.split(case_id, "-"), -1).cast("long"), F.lit(C.EVIDENCE_BUCKETS)).cast("int")
+
+
 def evidence_path(root="evidence"):
-    """Folder of a case's evidence document: <root>/case_date=<day>/case_id=<case id>."""
-    return F.concat(F.lit(root + "/case_date="), F.date_format("case_date", "yyyy-MM-dd"), F.lit("/case_id="), F.col("case_id"))
+    """Folder that holds a case's evidence document: <root>/case_date=<day>/bucket=<number of the case, modulo>."""
+    return F.concat(F.lit(root + "/case_date="), F.date_format("case_date", "yyyy-MM-dd"), F.lit("/bucket="),
+                    evidence_bucket().cast("string"))
 
 
 def case_records(cases: DataFrame, report="fraud_report", root="evidence") -> DataFrame:

@@ -95,7 +95,7 @@ def escalate(judged: DataFrame, evidence: DataFrame, assessment: DataFrame, root
     written = case_store.read_cases(judged.sparkSession, root).where(F.col("write_id") == write_id)
     opened = tables.drop_repeated(judged).join(written.select("transaction_id", "case_id", "case_date"), "transaction_id")
     documents = cases.evidence_documents(opened, evidence, assessment)
-    case_store.write_evidence(documents, root)
+    case_store.write_evidence(documents, root, write_id)
     return written
 
 

@@ -30,17 +30,21 @@ def read_alerts(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/alerts")
 
 
-def read_evidence(spark: SparkSession, root: str) -> DataFrame:
-    """case_date, case_id, document, and `path`, the file each document is in."""
-    return (spark.read.schema("document STRING, case_date DATE, case_id STRING").json(f"{root}/evidence")
-            .withColumn("path", F.col("_metadata.file_path")))
+def evidence_folder(root: str, write_id: int) -> str:
+    return f"{root}/evidence/write_id={write_id}"
 
 
-def write_evidence(documents: DataFrame, root: str):
-    """One folder per case, at the path that the case record names (see cases.evidence_path); a repeated write
-    replaces it."""
-    (documents.select("case_date", "case_id", "document").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("case_date", "case_id").json(f"{root}/evidence"))
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """case_id and document of every case in a folder: one that a case record names, or any above it. `path` is the file."""
+    return (spark.read.schema("case_id STRING, document STRING").json(path).select(
+        "case_id", "document", F.col("_metadata.file_path").alias("path")))
+
+
+def write_evidence(documents: DataFrame, root: str, write_id: int):
+    """JSON lines in the folders that the case records name (cases.evidence_path); a repeated write replaces its own."""
+    (documents.select("case_date", cases.evidence_bucket().alias("bucket"), "case_id", "document")
+     .hint("rebalance", "case_date", "bucket").write.mode("overwrite")
+     .partitionBy("case_date", "bucket").json(evidence_folder(root, write_id)))
 
 
 def write_cases(judged: DataFrame, write_id: int, root: str, min_score=None):
@@ -69,7 +73,7 @@ def write_cases(judged: DataFrame, write_id: int, root: str, min_score=None):
     numbered = cases.with_case_ids(fresh, taken)
     if kept is not None:
         numbered = numbered.unionByName(kept.select(*numbered.columns))
-    records = cases.case_records(numbered, root=f"{root}/evidence").withColumn("write_id", F.lit(write_id)).checkpoint()
+    records = cases.case_records(numbered, root=evidence_folder(root, write_id)).withColumn("write_id", F.lit(write_id)).checkpoint()
     for name, rows in (("cases", records), ("alerts", cases.alerts(records).withColumn("write_id", F.lit(write_id)))):
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (rows.hint("rebalance", "case_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("case_date", "write_id").parquet(f"{root}/{name}"))

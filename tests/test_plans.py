@@ -57,8 +57,8 @@ def test_prepare_train_score_assess_escalate(spark, tmp_path):
     cases = batch.escalate(judged, full, said.drop("reply"), root, 1)
     assert cases.count() == judged.where("risk_score >= 70 OR status = 'REJECTED'").count() > 0
     row = cases.first()
-    mine, = [json.loads(r.document) for r in spark.read.json(row.evidence_path).collect()]
-    assert mine["case_id"] == row.case_id
+    mine, = [json.loads(r.document) for r in case_store.read_evidence(spark, row.evidence_path).where(
+        F.col("case_id") == row.case_id).collect()]
     assert mine["transaction_id"] == row.transaction_id and mine["fraud_report"] == "text"
     assert mine["evidence"]["timeline"] and "final_verdict" in mine["risk_assessment"]
     assert case_store.read_alerts(spark, root).count() == cases.count()

@@ -84,7 +84,7 @@ def test_cases_continue_and_repeat(spark, tmp_path):
     assert out == {1: "FA-20240102-1000", 2: "FA-20240102-1001", 3: "FA-20240102-1002"}
     message = case_store.read_alerts(spark, root).where("case_id = 'FA-20240102-1000'").first().message
     assert message == ("Case FA-20240102-1000: transaction 1 over $1,234.50 scored 80 of 100 (status REVIEW).\n"
-                       f"Evidence: {root}/evidence/case_date=2024-01-02/case_id=FA-20240102-1000\nThe report begins:\n" + "r" * 500)
+                       f"Evidence: {root}/evidence/write_id=0/case_date=2024-01-02/bucket=0\nThe report begins:\n" + "r" * 500)
 
 
 def test_a_write_reads_only_its_days(spark, tmp_path, monkeypatch):
