@@ -4,6 +4,12 @@ For every site, the share of its pages that contain a line is compared with `max
 pages of the site. Lines are compared without blanks, tabs and carriage returns at their ends; blank lines stay.
 A line must be on at least `min_pages` pages, so that a site of two pages has no boilerplate.
 
+`MAX_RATIO` is a share of pages, not a count: a template puts its line on every page it makes, and a site is made of tens of
+templates, so the least used of a hundred equal ones still has a hundredth of the pages. What was written for one page does
+not come back on a hundredth of a large site by chance, however large the site is; on a site of under
+min_pages / MAX_RATIO pages the page count decides alone. Copies of a page are pages: one that fills more than that share of
+its site loses its lines as a template does.
+
 Rules: a null text stays null and counts as a page without lines; rows with a null site form one site; a line that
 occurs twice on a page counts once; repeated rows are pages of their own. A page of boilerplate alone becomes an empty text. All
 other columns are returned as they came; `n_chars`, where it exists, follows the new text.
@@ -16,7 +22,7 @@ key's rows together, so the engine may split it. Texts are shuffled once, when t
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RATIO = 0.1
+MAX_RATIO = 0.01
 MIN_PAGES = 3
 _BLANKS = " \t\r"
 

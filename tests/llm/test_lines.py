@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 from riskflow.llm import lines
+from riskflow.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, line string, h1 long, site string, pages int"
 
@@ -52,6 +53,27 @@ def test_long_text_and_pages_of_boilerplate(spark):
     assert got[0] == "" and got[9] == "y"
 
 
+def test_template_lines_of_a_large_site(spark):
+    """Lines on 2, 4 and 9 % of a site's pages go, by default; lines on two pages or on half a percent of them stay."""
+    n, shares = 1500, {"menu": 0.09, "foot": 0.04, "note": 0.02}
+    rows = [(i, "\n".join([*(x for x, s in shares.items() if i % round(1 / s) == 0), *(["chance"] if i % 200 == 0 else []),
+                           *(["twice"] if i < 2 else []), f"own {i}"]), "hot") for i in range(n)]
+    rows += [(n + i, f"menu\nown {n + i}" if i < 2 else f"own {n + i}", "small") for i in range(20)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in lines.drop_boilerplate(frame(spark, rows)).collect()}
+    count = Counter(x for i, _, s in rows if s == "hot" for x in got[i] if not x.startswith("own"))
+    assert count == {"chance": 8, "twice": 2}
+    assert sum("menu" in got[n + i] for i in range(20)) == 2
+    assert all(f"own {i}" in got[i] for i, _, _ in rows)
+
+
+def test_query_template_lines(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = QUERIES["op2_template_lines"](spark, folder)
+    assert result(got) == sorted(brute(rows, 0.01, 3), key=repr)
+    assert result(got) != sorted(brute(rows, 0.1, 3), key=repr)
+
+
 def test_empty_table(spark):
     assert lines.drop_boilerplate(frame(spark, [])).count() == 0
 
