@@ -6,15 +6,18 @@ q-grams of an item are looked up in a document, counted in overlapping bands of
 so that one band has them all), bands that reach the bound are kept, and a banded alignment of the whole
 item decides. The edit budget is `ERRORS` of the item's characters; q is the largest for which the bound still says something.
 
-Texts are compared in lower case with every white-space character as a blank. Items of fewer than `MIN_CHARS` characters are no
-evidence and are not searched. Rules: null and empty texts match nothing; items with equal texts are all reported; an
+Texts are compared in lower case with every white-space character as a blank. An item of fewer than `MIN_CHARS` characters stands
+in many texts as a part of other words, so it is found where it stands as words of its own: neither end of the stretch, which may
+differ by the same edit budget (0 or 1), lies inside a word. Scripts that are written without blanks have an end at every character.
+Blanks at the ends of a short item do not count. Rules: null and empty texts match nothing; items with equal texts are all reported; an
 item that occurs several times in a document gives a row per place (of overlapping places, the one with the fewest edits); repeated documents are
 rows of their own; other columns are kept by `clean` and ignored by `matches`; without documents or items there are no matches.
 
 The items are handed out in blocks of about `BLOCK_CHARS` characters, a bounded broadcast; every block is a pass over all
-documents. Documents are not shuffled; long ones are searched in slices that overlap by more than an item.
+documents. Of several blocks, each but the last runs at once and its result is stored; its broadcast is gone before the next is made. Documents are not shuffled; long ones are searched in slices that overlap by more than an item.
 """
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +26,16 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskflow.llm.tables import stored
+
 ERRORS, MIN_CHARS = 0.1, 20
 GRAM_SIZES = (1, 4, 6, 8)
 BLOCK_CHARS = 1_000_000
 _SLICE, _HITS = 1 << 20, 1 << 21
 _TABLE_BITS = 20
 _START = 1 << 32  # an alignment's cost is edits * _START + its first column
+#: Scripts without blanks between words: Thai and Lao, Tibetan, Burmese, Khmer, Chinese and Japanese.
+_UNSPACED = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA4D0), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x40000))
 MATCHES = "key long, item_id long, start long, end long, edits long"
 
 
@@ -66,7 +73,9 @@ def shared(m: int, q: int) -> int:
 
 
 def gram_size(m: int) -> int:
-    """The largest q that leaves at least four q-grams to share."""
+    """The largest q that leaves at least four q-grams to share; for short items, one."""
+    if m < MIN_CHARS:
+        return min(max(GRAM_SIZES), m // (budget(m) + 1))
     return max(q for q in GRAM_SIZES if q == 1 or shared(m, q) >= 4)
 
 
@@ -101,6 +110,36 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, width: int):
     return (cost // _START, cost % _START, low + len(item) + at) if cost < k else None
 
 
+def word_ends(codes: np.ndarray) -> np.ndarray:
+    """For each position from 0 to the length: whether it does not lie between two characters of one word."""
+    kinds, of = np.unique(codes, return_inverse=True)
+    word = np.array([chr(c).isalnum() and not any(a <= c < b for a, b in _UNSPACED) for c in kinds.tolist()], bool)[of]
+    out = np.ones(len(codes) + 1, bool)
+    out[1:-1] = ~(word[1:] & word[:-1])
+    return out
+
+
+def few_edits(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits between two texts whose lengths differ by one at most; 2 stands for more than one."""
+    if len(a) == len(b):
+        return min(int((a != b).sum()), 2)
+    if len(a) < len(b):
+        a, b = b, a
+    at = int(np.append(np.flatnonzero(a[:-1] != b), len(b))[0])
+    return 1 if (a[at + 1:] == b[at:]).all() else 2
+
+
+def apart(found) -> list:
+    """(item, start, end, edits) of (edits, start, end, item): of overlapping places of an item, the one with the fewest edits."""
+    kept = {}
+    for edits, start, end, item in sorted(found):
+        own = kept.setdefault(item, [])
+        at = bisect_left(own, (start,))
+        if (at == 0 or own[at - 1][1] <= start) and (at == len(own) or own[at][0] >= end):
+            own.insert(at, (start, end, edits))
+    return [(item, *place) for item in sorted(kept) for place in kept[item]]
+
+
 @dataclass
 class Index:
     """Items of one block with one gram size, and where their q-grams are: those of slot i are first[i]:first[i + 1]."""
@@ -121,38 +160,48 @@ class Index:
 
     @staticmethod
     def of(rows):
-        """Indexes of the items, one per gram size."""
+        """Indexes of the items, one per gram size, those of short items apart."""
         rows = [(i, plain(t)) for i, t in rows]
-        return [Index._of([r for r in rows if gram_size(len(r[1])) == q], q) for q in sorted({gram_size(len(t)) for _, t in rows})]
-
-    @staticmethod
-    def _of(rows, q):
+        rows = [(i, t if len(t) >= MIN_CHARS else plain("".join(map(chr, t)).strip(" "))) for i, t in rows]
+        kinds = {}
+        for i, t in rows:
+            if len(t):
+                kinds.setdefault((ShortIndex if len(t) < MIN_CHARS else Index, gram_size(len(t))), []).append((i, t))
+        return [kind._of(own, q) for (kind, q), own in sorted(kinds.items(), key=lambda x: (x[0][0].__name__, x[0][1]))]
+
+    @classmethod
+    def _of(cls, rows, q):
         ids, texts = [i for i, _ in rows], [t for _, t in rows]
         slots = [gram_slots(t, q) for t in texts]
         all_slots = np.concatenate(slots)
         order = np.argsort(all_slots, kind="stable")
         first = np.concatenate([[0], np.cumsum(np.bincount(all_slots, minlength=1 << _TABLE_BITS))]).astype(np.int32)
         item = np.repeat(np.arange(len(slots)), [len(x) for x in slots])[order]
-        return Index(ids, texts, q, first, item, np.concatenate([np.arange(len(x)) for x in slots])[order])
+        return cls(ids, texts, q, first, item, np.concatenate([np.arange(len(x)) for x in slots])[order])
 
-    def bands(self, codes: np.ndarray):
-        """(item, band) pairs with enough shared q-grams; a band reaches from its number over two steps of diagonals."""
+    def hits(self, codes: np.ndarray):
+        """Runs of bounded size of (item, document position, item position) of the q-grams that both have."""
         slots = gram_slots(codes, self.q)
         where = np.flatnonzero(self.known[slots])
-        if not len(where):
-            return []
         first = self.first[slots[where]].astype(np.int64)
         n = self.first[slots[where] + 1] - first
-        upto, parts, at = np.cumsum(n), [], 0
-        while at < len(where):  # in runs of bounded size
+        upto, at = np.cumsum(n), 0
+        while at < len(where):
             done = upto[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(upto, done + _HITS)))
             own = n[at:end]
             post = np.repeat(first[at:end] - (upto[at:end] - own - done), own) + np.arange(own.sum())
-            item, j = self.item[post], self.at[post]
-            diagonal = np.repeat(where[at:end], own) - j + self.longest
-            parts.append((*np.unique(item << 40 | diagonal // self.step[item], return_counts=True), item, diagonal, j))
+            yield self.item[post], np.repeat(where[at:end], own), self.at[post]
             at = end
+
+    def bands(self, codes: np.ndarray):
+        """(item, band) pairs with enough shared q-grams; a band reaches from its number over two steps of diagonals."""
+        parts = []
+        for item, i, j in self.hits(codes):
+            diagonal = i - j + self.longest
+            parts.append((*np.unique(item << 40 | diagonal // self.step[item], return_counts=True), item, diagonal, j))
+        if not parts:
+            return []
         keys, counts = parts[0][:2]
         if len(parts) > 1:
             keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -181,11 +230,29 @@ class Index:
                 place = align(self.texts[item], codes, (band - 1) * step - self.longest, 4 * step)
                 if place:
                     found.append((place[0], at + place[1], at + place[2], item))
-        kept = []
-        for edits, start, end, item in sorted(set(found)):  # fewest edits first
-            if all(item != i or end <= s or start >= e for i, s, e, _ in kept):
-                kept.append((item, start, end, edits))
-        return sorted(kept)
+        return apart(set(found))
+
+
+class ShortIndex(Index):
+    """Items under `MIN_CHARS`: a q-gram that both have names the start but for the edit budget, and every stretch there is compared."""
+
+    def places(self, whole: np.ndarray):
+        ends, found = word_ends(whole), set()
+        for at in range(0, len(whole), _SLICE):
+            for item, i, j in self.hits(whole[at:at + _SLICE + self.longest]):
+                for shift in (-1, 0, 1):
+                    start = i - j + at + shift
+                    ok = (abs(shift) < self.step[item]) & (start >= 0)
+                    ok[ok] = ends[start[ok]]
+                    for t, s in np.unique(np.stack([item[ok], start[ok]], 1), axis=0).tolist():
+                        found.update(self._at(whole, ends, t, s))
+        return apart(found)
+
+    def _at(self, whole, ends, t, start):
+        text, k = self.texts[t], int(self.step[t]) - 1
+        for end in range(start + len(text) - k, min(start + len(text) + k, len(whole)) + 1):
+            if end > start and ends[end] and (edits := few_edits(text, whole[start:end])) <= k:
+                yield edits, start, end, t
 
 
 def places(indexes: list, text: str):
@@ -197,17 +264,31 @@ def places(indexes: list, text: str):
 
 
 def _blocks(benchmark: DataFrame, key, text):
-    """Indexes of the items, block by block; the driver holds one block."""
+    """Indexes of the items, block by block, and whether a block is the last; the driver holds one block."""
     rows = benchmark.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    block, size = [], 0
-    for r in rows.where(F.length("text") >= MIN_CHARS).toLocalIterator():
-        block.append((r["key"], r["text"]))
-        size += len(r["text"])
-        if size >= BLOCK_CHARS:
-            yield Index.of(block)
-            block, size = [], 0
-    if block:
-        yield Index.of(block)
+    rows = rows.where(F.length("text") > 0).toLocalIterator()
+    r = next(rows, None)
+    while r is not None:
+        block, size = [], 0
+        while r is not None and size < BLOCK_CHARS:
+            block.append((r["key"], r["text"]))
+            size += len(r["text"])
+            r = next(rows, None)
+        yield Index.of(block), r is None
+
+
+def _passes(benchmark: DataFrame, key, text, run):
+    """`run` of every block's broadcast; all results but the last are stored, then their broadcast goes."""
+    context = benchmark.sparkSession.sparkContext
+    for index, last in _blocks(benchmark, key, text):
+        sent = context.broadcast(index)
+        del index
+        if last:
+            yield run(sent)
+        else:
+            out = stored(run(sent), "decontam_block")
+            sent.destroy()
+            yield out
 
 
 def _match(sent):
@@ -224,11 +305,10 @@ def _match(sent):
 
 def matches(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text", item="item_id", item_text="text") -> DataFrame:
     """`key`, item_id, start, end (code points of the text), edits of every place that holds an item."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    found = spark.createDataFrame([], MATCHES)
-    for index in _blocks(benchmark, item, item_text):
-        found = found.unionByName(rows.mapInArrow(_match(spark.sparkContext.broadcast(index)), MATCHES))
+    found = docs.sparkSession.createDataFrame([], MATCHES)
+    for own in _passes(benchmark, item, item_text, lambda sent: rows.mapInArrow(_match(sent), MATCHES)):
+        found = found.unionByName(own)
     return found.withColumnRenamed("key", key)
 
 
@@ -242,7 +322,7 @@ def _clean(sent, text):
 
 def clean(docs: DataFrame, benchmark: DataFrame, text="text", item="item_id", item_text="text") -> DataFrame:
     """`docs` without the rows that hold an item."""
-    spark = docs.sparkSession
-    for index in _blocks(benchmark, item, item_text):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(index), text), docs.schema)
+    schema = docs.schema
+    for docs in _passes(benchmark, item, item_text, lambda sent: docs.mapInArrow(_clean(sent, text), schema)):
+        pass
     return docs

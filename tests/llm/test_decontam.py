@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -77,6 +78,73 @@ def test_places(spark):
     assert len(item) - 1 >= dc.MIN_CHARS
 
 
+def brute_short(item, text):
+    """Fewest edits of a stretch that begins and ends at no inside of a word, if they are within the budget."""
+    a, b = "".join(map(chr, dc.plain(item))).strip(), "".join(map(chr, dc.plain(text)))
+    k, n = dc.budget(len(a)), len(a)
+    edge = [not (0 < i < len(b) and b[i - 1].isalnum() and b[i].isalnum()) for i in range(len(b) + 1)]
+    best = [d for s in range(len(b)) for e in range(s + max(n - k, 1), min(s + n + k, len(b)) + 1) if edge[s] and edge[e]
+            and (d := whole_edits(a, b[s:e])) <= k]
+    return min(best, default=None)
+
+
+def whole_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        row, old = [i + 1], row
+        for j, x in enumerate(b):
+            row.append(min(old[j] + (c != x), old[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_short_items(spark, monkeypatch):
+    draw = random.Random(14)
+    items = [(i, prose(draw, 6)[:n].strip()) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 10, 10, 11, 12, 13, 15, 17, 18, 19, 19])]
+    items += [(100, " Ab-3 "), (101, "(x) = 4"), (102, "   ")]
+    docs = []
+    for i in range(200):
+        parts = [prose(draw, draw.randint(0, 4))]
+        for _ in range(draw.randint(0, 3)):
+            text = draw.choice(items)[1].strip() or "q"
+            parts += [draw.choice(["", " ", ".", "x"]).join(["", edited(draw, text, draw.randint(0, min(2, len(text)))), ""]), prose(draw, draw.randint(0, 4))]
+        docs.append((i, draw.choice([str, str.upper])(" ".join(parts))))
+    want = {(d, i): k for d, t in docs for i, x in items if x.strip() and (k := brute_short(x, t)) is not None}
+    assert len({i for _, i in want}) == len(items) - 1 and 1 in want.values()
+    for size in (dc._SLICE, 17):
+        monkeypatch.setattr(dc, "_SLICE", size)
+        got = {}
+        for d, t in docs:
+            for i, s, e, k in dc.places(dc.Index.of(items), t):
+                got[d, i] = min(k, got.get((d, i), 9))
+        assert got == want
+    few = [items[5], items[17]]
+    kept = {r["doc_id"] for r in dc.clean(frame(spark, docs).repartition(3), bench(spark, few)).collect()}
+    assert kept == {d for d, _ in docs if not any((d, i) in want for i, _ in few)} and 0 < len(kept) < len(docs)
+
+
+def test_short_items_stand_for_themselves():
+    found = lambda item, text: [p[1:] for p in dc.places(dc.Index.of([(1, item)]), text)]
+    assert found("Paris", "comparison") == [] and found("Paris", "in PARIS, paris") == [(3, 8, 0), (10, 15, 0)]
+    assert found("東京都", "彼は東京都に住む") == [(2, 5, 0)]
+    assert len(found("the", "the " * 20_000)) == 20_000
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    draw = random.Random(15)
+    items = [(i, prose(draw, 10)) for i in range(6)]
+    docs = [(i, f"{prose(draw, 5)} {items[i % 9][1] if i % 9 < 6 else ''}") for i in range(27)]
+    sent, make, context = [], type(spark.sparkContext).broadcast, type(spark.sparkContext)
+
+    def recorded(self, value):
+        assert not any(os.path.exists(b._path) for b in sent)
+        sent.append(make(self, value))
+        return sent[-1]
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(context, "broadcast", recorded)
+    got = dc.clean(frame(spark, docs), bench(spark, items))
+    assert len(sent) >= 3 and sorted(r["doc_id"] for r in got.collect()) == [i for i in range(27) if i % 9 >= 6]
+
+
 def test_slices_and_blocks(spark, monkeypatch):
     draw = random.Random(12)
     items = [(i, prose(draw, 20)) for i in range(10)]
