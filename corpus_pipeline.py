@@ -11,8 +11,8 @@ from riskflow.llm.tables import read, stored
 
 
 def language_id(spark, docs, sf_dir):
-    """Documents whose text is null or has no letter go, missing labels are filled in; the classifier learns from the labels
-    of the same documents."""
+    """Documents whose text is null or has no letter go, missing labels are filled in where the guess is not ambiguous; the
+    classifier learns from the labels of the same documents."""
     return langid.keep_identified(docs, langid.train(docs), lang="lang")
 
 

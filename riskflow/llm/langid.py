@@ -193,12 +193,12 @@ def _keep(model, text, lang):
         m = model.value
         for batch in batches:
             texts = [t.as_py() for t in batch.column(text).cast(pa.string())]
-            found = [m.predict(t)[0] for t in texts]
+            found = [m.predict(t) for t in texts]
             # where nothing could be learned, only texts without a letter are known to be in no language
-            kept = [g != UNKNOWN or not m.languages and has_letter(t) for g, t in zip(found, texts)]
+            kept = [g != UNKNOWN or not m.languages and has_letter(t) for (g, _, _), t in zip(found, texts)]
             if lang:
                 at, old = batch.schema.get_field_index(lang), batch.column(lang)
-                new = pa.array([None if g == UNKNOWN else g for g in found], pa.string()).cast(old.type)
+                new = pa.array([None if g == UNKNOWN or unsure else g for g, _, unsure in found], pa.string()).cast(old.type)
                 batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(old, new))
             yield batch.filter(pa.array(kept, pa.bool_()))
     return run
@@ -206,6 +206,6 @@ def _keep(model, text, lang):
 
 def keep_identified(docs: DataFrame, model: Model, text="text", lang=None) -> DataFrame:
     """`docs` without the rows that are in no language: those without text or without a letter. `lang` names a column whose
-    nulls are filled with the prediction."""
+    nulls are filled with the prediction, unless that is ambiguous."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(sent, text, lang), docs.schema)

@@ -56,6 +56,16 @@ def test_rules(spark):
     assert filled[905] == "fr" and filled[906] == "en" and filled[None] == "xx" and filled[7] == "de"
 
 
+def test_an_ambiguous_guess_is_no_label(spark):
+    weights = np.zeros((langid.BUCKETS, 1), np.float32)
+    weights[np.concatenate(list(langid.grams("la maison")))] = 1
+    model = langid.Model(["fr", "xx"], langid.codewords(2), weights, np.ones((2, 1)))
+    assert model.predict("xyz 77")[2] and not model.predict("la maison")[2]
+    rows = [(1, "la maison", None), (2, "xyz 77", None), (3, "xyz 77", "en"), (4, "12", None)]
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep_identified(frame(spark, rows), model, lang="lang").collect()}
+    assert kept == {1: "fr", 2: None, 3: "en"}
+
+
 def test_order_and_partitions_do_not_matter(spark):
     rows = labelled(90)
     a, b = langid.train(frame(spark, rows)), langid.train(frame(spark, rows[::-1]).repartition(7))
