@@ -27,3 +27,19 @@ SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.te
        coalesce(k.gone, 0) AS lines_dropped
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+ORACLE["op11_passages"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+t AS (SELECT row_id, len(words) AS n, words, unnest(range(1, len(words) + 1)) AS pos FROM d),
+win AS (SELECT row_id, pos, CASE WHEN pos + 34 <= n THEN sha256(array_to_string(words[pos:pos + 34], ' ')) END AS h FROM t),
+again AS (SELECT h FROM win WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+marked AS (SELECT win.row_id, win.pos, max(CASE WHEN again.h IS NULL THEN 0 ELSE 1 END)
+                  OVER (PARTITION BY win.row_id ORDER BY win.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+           FROM win LEFT JOIN again ON win.h = again.h),
+kept AS (SELECT m.row_id, sum(gone) AS n_removed, string_agg(d.words[m.pos], ' ' ORDER BY m.pos) FILTER (WHERE gone = 0) AS text
+         FROM marked m JOIN d ON m.row_id = d.row_id GROUP BY m.row_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.row_id = k.row_id
+"""

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat, decontam, langid, lines, packing, sharding, simhash, sketches, token_counts, warc
+from riskflow.llm import chat, decontam, langid, lines, packing, passages, sharding, simhash, sketches, token_counts, warc
 from riskflow.llm.tables import read
 from riskflow.session import fresh_dir
 
@@ -83,3 +83,8 @@ def op9_langid(spark, folder):
 @query
 def op10_decontam(spark, folder):
     return decontam.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op11_passages(spark, folder):
+    return passages.removed(read(spark, folder, "documents"))
