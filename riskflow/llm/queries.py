@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat, decontam, langid, lines, packing, passages, sharding, simhash, sketches, token_counts, warc
+from riskflow.llm import chat, decontam, langid, lexical, lines, packing, passages, sharding, simhash, sketches, token_counts, warc
 from riskflow.llm.tables import read
 from riskflow.session import fresh_dir
 
@@ -88,3 +88,8 @@ def op10_decontam(spark, folder):
 @query
 def op11_passages(spark, folder):
     return passages.removed(read(spark, folder, "documents"))
+
+
+@query
+def op13_search(spark, folder):
+    return lexical.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
