@@ -44,6 +44,34 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_remo
 FROM d LEFT JOIN kept k ON d.row_id = k.row_id
 """
 
+ORACLE["op12_prefix_trie"] = r"""
+WITH c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+             xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                 lambda crc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, b)),
+                 4294967295)) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM c)),
+mixed AS (SELECT i.conv_id, pos, role, text FROM i JOIN c ON c.conv_id = i.base WHERE pos <= h
+          UNION ALL SELECT i.conv_id, pos, role, text FROM i JOIN c ON c.conv_id = i.conv_id WHERE pos > h),
+steps AS (SELECT conv_id, strlen(text) AS size, row_number() OVER mine AS d,
+                 string_agg(sha256(strlen(role) || ':' || role || text), '') OVER mine AS path
+          FROM mixed WINDOW mine AS (PARTITION BY conv_id ORDER BY pos)),
+member AS (SELECT conv_id, size, d, path FROM steps UNION ALL SELECT conv_id, 0, 0, '' FROM i),
+node AS (SELECT path, any_value(d) AS d, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n FROM member GROUP BY path),
+child AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+over_it AS (SELECT member.path, sum(CASE WHEN child.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((node.n - 1) * node.size) AS saved
+            FROM node JOIN member ON member.conv_id = node.conv_id AND member.d <= node.d LEFT JOIN child ON child.path = node.path
+            GROUP BY member.path),
+final AS (SELECT conv_id, max(d) AS d FROM member GROUP BY conv_id),
+done AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM member JOIN final USING (conv_id, d) GROUP BY path)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN over_it ON over_it.path = node.path LEFT JOIN child ON child.path = node.path LEFT JOIN done ON done.path = node.path
+LEFT JOIN node up ON node.d > 0 AND up.path = left(node.path, length(node.path) - 64)
+"""
+
 ORACLE["op13_search"] = r"""
 WITH t AS (SELECT row_number() OVER () AS row_id, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -1,9 +1,10 @@
 """The operators as queries over the corpus tables: name -> callable(spark, folder) -> DataFrame."""
 
 import public_tokenizers
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat, decontam, langid, lexical, lines, packing, passages, sharding, simhash, sketches, token_counts, warc
+from riskflow.llm import chat, decontam, langid, lexical, lines, packing, passages, prefix_trie, sharding, simhash, sketches, token_counts, warc
 from riskflow.llm.tables import read
 from riskflow.session import fresh_dir
 
@@ -90,6 +91,24 @@ def op11_passages(spark, folder):
     return passages.removed(read(spark, folder, "documents"))
 
 
+def _shared_openings(turns):
+    """Turns of the conversations c that take their first crc32(c) % 9 ones from conversation c - c % 5, and all ids."""
+    order = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    plain = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    ranked = plain.select("conv_id", F.row_number().over(order).alias("turn"), "role", "text")
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    ids = plain.select("conv_id").distinct()
+    heads = ranked.where("turn <= 8").withColumnRenamed("conv_id", "base")
+    opened = (ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).join(heads, "base")
+              .where(F.col("turn") <= taken).select("conv_id", "turn", "role", "text"))
+    return ranked.where(F.col("turn") > taken).unionByName(opened), ids
+
+
+@query
+def op12_prefix_trie(spark, folder):
+    return prefix_trie.trie(*_shared_openings(read(spark, folder, "conversations")))
+
+
 @query
 def op13_search(spark, folder):
     return lexical.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
