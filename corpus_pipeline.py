@@ -17,8 +17,8 @@ def language_id(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Lines that are boilerplate of their source go; documents stay."""
-    return lines.drop_boilerplate(docs)
+    """Lines that are boilerplate of their source go, copies of a document counted once; documents stay."""
+    return lines.drop_boilerplate(docs, copies_once=True)
 
 
 def near_dedup(spark, docs, sf_dir):
