@@ -5,11 +5,16 @@ A text is lower-cased (A-Z), cut into words at ASCII white space and hashed in s
 fingerprint is 1 if it is set in over half of the hashes. Two texts are linked if their fingerprints differ in at most
 `distance` bits; a group is what links reach, and its name is its smallest key.
 
-Search: the 64 bits are cut into three segments of 21, 21 and 22 bits. If two fingerprints differ in at most four
+Search: the 64 bits are cut into segments, three of 21, 21 and 22 bits at first. If two fingerprints differ in at most four
 bits, they differ in at most one bit of the first or of the second segment, or not at all in the third: were
 there two in each of the first two and one in the third, that would make five. So every fingerprint looks up the small Hamming ball
 around its segments (22 + 22 + 1 keys) in the table of all fingerprints' segments, and the full distance decides.
-`radii` has the rule for any distance.
+`radii` has the rule for any distance and number of segments.
+
+A look-up in a segment of b bits meets about N / 2^b of N fingerprints by chance, so with 21 bits the comparisons would grow with N squared. Wide
+segments meet few but have larger balls: two of 32 bits take 529 + 33 keys. `segments` takes the number of segments with the least of
+both, keys plus chance meetings, for N fingerprints: two from about 30 million on, where a look-up of 32 bits meets one in
+four billion. Every choice finds the same links; one segment fewer, where that is needed again, would be a scan.
 
 What keeps it whole and bounded: equal fingerprints are one row (a group of copies costs one). Look-ups that meet no
 entry end in a join with the number of entries per key. A key with more than `BLOCK` entries is cut into blocks, and all
@@ -18,10 +23,12 @@ fingerprint to fingerprint takes each one it reaches out of the rest, so a dense
 yields one link per member. No candidate is dropped.
 
 Rules: a null text is empty; empty texts are linked to each other like any others; repeated rows and keys share a
-group if their texts do; a null key has a fingerprint and a group but never names it unless all keys are null; other
-columns are ignored; an empty table gives an empty result.
+group if their texts do; a null key has a fingerprint and a group but never names it unless all keys are null; keys may be of any
+type that has an order; other columns are ignored and may have any names; an empty table gives an empty result.
 """
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,11 +37,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskflow.llm.components import components
-from riskflow.llm.tables import stored
+from riskflow.llm.tables import free, stored
 from riskflow.llm.words import shingle_lists
+from riskflow.session import shares
 
 WORDS, DISTANCE, SEED = 4, 4, 42
-SEGMENTS = ((0, 21), (21, 21), (42, 22))  # (lowest bit, bits)
+#: Cuts of the 64 bits: (lowest bit, bits) of every segment.
+CUTS = (((0, 21), (21, 21), (42, 22)), ((0, 32), (32, 32)))
 BLOCK = 20_000
 _RUN = 8192
 
@@ -67,14 +76,14 @@ def _fingerprints(words):
 
 
 def _plain(key, text):
-    return F.col(key).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.col(key), F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
 def fingerprints(docs: DataFrame, key="doc_id", text="text", words=WORDS) -> DataFrame:
     """key, content (a hash of the text), fp of every row."""
     k, t = _plain(key, text)
     rows = docs.select(k.alias("key"), F.xxhash64(t).alias("content"), t.alias("text"))
-    return rows.mapInArrow(_fingerprints(words), "key long, content long, fp long")
+    return rows.mapInArrow(_fingerprints(words), f"key {rows.schema['key'].dataType.simpleString()}, content long, fp long")
 
 
 def radii(distance: int, segments: int):
@@ -95,11 +104,26 @@ def _ball(low, bits, radius):
     return sorted(ball) if radius >= 0 else []
 
 
-def _slot(fp, segment, mask=0):
+def keys_per_fingerprint(cut, distance=DISTANCE) -> list:
+    """How many keys a fingerprint looks up in each segment."""
+    return [sum(comb(bits, k) for k in range(r + 1)) for (_, bits), r in zip(cut, radii(distance, len(cut)))]
+
+
+def cost(cut, n: int, distance=DISTANCE) -> float:
+    """Keys that a fingerprint looks up and fingerprints that it meets by chance among `n`."""
+    return sum(k * (1 + n / 2**bits) for k, (_, bits) in zip(keys_per_fingerprint(cut, distance), cut))
+
+
+def segments(n: int, distance=DISTANCE):
+    """The cut with the least cost for `n` different fingerprints."""
+    return min(CUTS, key=lambda cut: cost(cut, n, distance))
+
+
+def _slot(fp, cut, segment, mask=0):
     """The key of one segment of a fingerprint, with the bits of `mask` turned, as one integer for all segments."""
-    low, bits = SEGMENTS[segment]
+    low, bits = cut[segment]
     value = F.shiftrightunsigned(fp.bitwiseXOR(F.lit(_signed(mask))), low).bitwiseAND(F.lit((1 << bits) - 1))
-    return (value + F.lit(segment << 24)).cast("int")
+    return value + F.lit(segment << 40)
 
 
 def _cells(entries):
@@ -193,14 +217,17 @@ def _links(distance, chunk=200_000, small=512):
     return run
 
 
-def links(fps: DataFrame, distance=DISTANCE) -> DataFrame:
+def links(fps: DataFrame, distance=DISTANCE, cut=None) -> DataFrame:
     """a, b: links between different fingerprints of `fps` (column fp, distinct) that connect all that are within
     `distance` bits of each other."""
+    fps = stored(fps.select("fp"), "fingerprints")
+    cut = cut or segments(fps.count(), distance)
+    fps = fps.repartition(2 * shares(fps.sparkSession))  # narrow rows in few files: the keys are made by all tasks
     fp = F.col("fp")
-    own = F.array(*[_slot(fp, s) for s in range(len(SEGMENTS))])
+    own = F.array(*[_slot(fp, cut, s) for s in range(len(cut))])
     entries = fps.select(F.explode(own).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("entries"))
-    probe = lambda s, m: F.struct(_slot(fp, s, m).alias("key"), F.lit(m == 0).alias("own"))
-    ball = [probe(s, m) for s, (seg, r) in enumerate(zip(SEGMENTS, radii(distance, len(SEGMENTS)))) for m in _ball(*seg, r)]
+    probe = lambda s, m: F.struct(_slot(fp, cut, s, m).alias("key"), F.lit(m == 0).alias("own"))
+    ball = [probe(s, m) for s, (seg, r) in enumerate(zip(cut, radii(distance, len(cut)))) for m in _ball(*seg, r)]
     met = fps.select("fp", F.inline(F.array(*ball))).join(entries, "key")
     cells = met.select("key", "fp", F.inline(_cells(F.col("entries"))))
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role", "fp")
@@ -225,11 +252,10 @@ def groups(docs: DataFrame, key="doc_id", text="text", words=WORDS, distance=DIS
 def deduplicate(docs: DataFrame, key="doc_id", text="text", words=WORDS, distance=DISTANCE) -> DataFrame:
     """`docs` with one row of each group: that of the smallest key (of equal or null keys, the smallest content hash)."""
     heads = groups(docs, key, text, words, distance).select("component_id", "first_content").distinct()
-    heads = heads.select(F.coalesce("component_id", F.lit(0)).alias("__key"), F.col("component_id").isNull().alias("__none"),
-                         F.col("first_content").alias("__content"))
+    own, content, head, first, copy = free(docs, "own_key", "own_content", "head_key", "head_content", "copy_number")
+    heads = heads.toDF(head, first)
     k, t = _plain(key, text)
-    rows = docs.withColumns({"__key": F.coalesce(k, F.lit(0)), "__none": k.isNull(), "__content": F.xxhash64(t)})
-    same = ["__key", "__none", "__content"]
-    order = W.partitionBy(*same).orderBy("__key")
-    return (rows.join(heads, same, "left_semi").withColumn("__copy", F.row_number().over(order)).where("__copy = 1")
-            .select(*docs.columns))
+    rows = docs.withColumns({own: k, content: F.xxhash64(t)})
+    kept = rows.join(heads, F.col(own).eqNullSafe(F.col(head)) & (F.col(content) == F.col(first)), "left_semi")
+    order = W.partitionBy(own, content).orderBy(own)
+    return kept.withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).select(*docs.columns)

@@ -92,9 +92,20 @@ def test_links_against_all_pairs(spark, monkeypatch, block, small):
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash._links, "__defaults__", (7 if small == 1 else 200_000, small))
     fps = clustered(random.Random(block), 600)
-    _, named = labels(spark, fps)
     want = brute_groups(fps)
-    assert partition_of({f: named.get(f, f) for f in fps}) == partition_of(want)
+    for cut in simhash.CUTS:
+        _, named = labels(spark, fps, cut=cut)
+        assert partition_of({f: named.get(f, f) for f in fps}) == partition_of(want)
+
+
+def test_segments_by_size():
+    """Look-ups and chance meetings per fingerprint grow slower than the number of fingerprints, tenfold by tenfold."""
+    assert [simhash.keys_per_fingerprint(c) for c in simhash.CUTS] == [[22, 22, 1], [529, 33]]
+    sizes = [10**k for k in range(3, 11)]
+    assert [len(simhash.segments(n)) for n in sizes] == [3] * 5 + [2] * 3
+    each = [simhash.cost(simhash.segments(n), n) for n in sizes]
+    assert all(b < 10 * a for a, b in zip(each, each[1:])) and each[-1] < 2000
+    assert all(sum(bits for _, bits in cut) == 64 and all(a + b == c for (a, b), (c, _) in zip(cut, cut[1:])) for cut in simhash.CUTS)
 
 
 def test_dense_group_gives_few_links(spark):
@@ -170,6 +181,18 @@ def test_deduplicate(spark):
     assert all((float("inf") if i is None else i) == first[label[brute_fingerprint(t)]] for i, t in kept)
 
 
+def test_keys_of_any_type_and_columns_with_any_names(spark):
+    rows = [("b/2", "one text of five words", 100), ("a/1", "one text of five words", 101), (None, "one text of five words", 102), ("c", "other", 103),
+            (None, None, 104), (None, "", 105)]
+    names = ["__key", "__none", "__content", "__copy", "own_key", "own_content", "head_key", "head_content", "copy_number", "fp", "group"]
+    docs = spark.createDataFrame([(i, t, *[n + 10 * j for j in range(len(names))]) for i, t, n in rows], ["url", "text", *names])
+    got = simhash.deduplicate(docs, "url")
+    assert got.columns == docs.columns
+    kept = {r["url"]: r for r in got.collect()}
+    assert set(kept) == {"a/1", "c", None} and got.count() == 3
+    assert all(kept["a/1"][n] == 101 + 10 * j for j, n in enumerate(names))
+
+
 def test_empty_table(spark):
     assert simhash.groups(frame(spark, [])).count() == 0 and simhash.deduplicate(frame(spark, [])).count() == 0
 
