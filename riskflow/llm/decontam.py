@@ -9,12 +9,21 @@ item decides. The edit budget is `ERRORS` of the item's characters; q is the lar
 Texts are compared in lower case with every white-space character as a blank. An item of fewer than `MIN_CHARS` characters stands
 in many texts as a part of other words, so it is found where it stands as words of its own: neither end of the stretch, which may
 differ by the same edit budget (0 or 1), lies inside a word. Scripts that are written without blanks have an end at every character.
-Blanks at the ends of a short item do not count. Rules: null and empty texts match nothing; items with equal texts are all reported; an
+Blanks at the ends of a short item do not count.
+
+`matches` reports every place. `clean` drops a text only on evidence that chance does not give: a place of an item of `MIN_CHARS` characters
+or more, or places of different short items at most `GAP` characters apart that hold `MIN_CHARS` characters together, each item counted
+once, and of which one holds half of that, as a short question and its answer do. Common words, however often, drop nothing.
+
+Rules: null and empty texts match nothing; items with equal texts are all reported; an
 item that occurs several times in a document gives a row per place (of overlapping places, the one with the fewest edits); repeated documents are
 rows of their own; other columns are kept by `clean` and ignored by `matches`; without documents or items there are no matches.
 
 The items are handed out in blocks of about `BLOCK_CHARS` characters, a bounded broadcast; every block is a pass over all
-documents. Of several blocks, each but the last runs at once and its result is stored; its broadcast is gone before the next is made. Documents are not shuffled; long ones are searched in slices that overlap by more than an item.
+documents. Of several blocks, each but the last of `matches` runs at once and its result is stored; its broadcast is gone before the next is
+made. `clean` filters in place where there is one block; of several, it stores what each found in a text under the text's 128-bit
+key, puts the places of all blocks together and drops the texts in one join. Long texts are searched in slices that overlap
+by more than an item. Keys may be of any type.
 """
 
 from bisect import bisect_left
@@ -26,9 +35,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.tables import stored
+from riskflow.llm.tables import free, stored
 
-ERRORS, MIN_CHARS = 0.1, 20
+ERRORS, MIN_CHARS, GAP = 0.1, 20, 12
 GRAM_SIZES = (1, 4, 6, 8)
 BLOCK_CHARS = 1_000_000
 _SLICE, _HITS = 1 << 20, 1 << 21
@@ -36,7 +45,6 @@ _TABLE_BITS = 20
 _START = 1 << 32  # an alignment's cost is edits * _START + its first column
 #: Scripts without blanks between words: Thai and Lao, Tibetan, Burmese, Khmer, Chinese and Japanese.
 _UNSPACED = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA4D0), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x40000))
-MATCHES = "key long, item_id long, start long, end long, edits long"
 
 
 def plain(text: str) -> np.ndarray:
@@ -265,7 +273,7 @@ def places(indexes: list, text: str):
 
 def _blocks(benchmark: DataFrame, key, text):
     """Indexes of the items, block by block, and whether a block is the last; the driver holds one block."""
-    rows = benchmark.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = benchmark.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.length("text") > 0).toLocalIterator()
     r = next(rows, None)
     while r is not None:
@@ -295,34 +303,113 @@ def _match(sent):
     def run(batches):
         indexes = sent.value
         for batch in batches:
-            rows = [(key, *place) for key, text in zip(batch.column("key").to_pylist(), batch.column("text"))
-                    for place in places(indexes, text.as_py())]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns],
+            at, rows = [], []
+            for i, text in enumerate(batch.column("text")):
+                found = places(indexes, text.as_py())
+                at += [i] * len(found)
+                rows += found
+            item, *numbers = list(zip(*rows)) or [()] * 4
+            types = batch.column("item_kind").type
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), pa.array(list(item), types),
+                                              *[pa.array(list(c), pa.int64()) for c in numbers]],
                                              names=["key", "item_id", "start", "end", "edits"])
     return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text", item="item_id", item_text="text") -> DataFrame:
     """`key`, item_id, start, end (code points of the text), edits of every place that holds an item."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    found = docs.sparkSession.createDataFrame([], MATCHES)
-    for own in _passes(benchmark, item, item_text, lambda sent: rows.mapInArrow(_match(sent), MATCHES)):
+    kinds = [x.dataType.simpleString() for x in (docs.schema[key], benchmark.schema[item])]
+    schema = "key {}, item_id {}, start long, end long, edits long".format(*kinds)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.lit(None).cast(kinds[1]).alias("item_kind"))
+    found = docs.sparkSession.createDataFrame([], schema)
+    for own in _passes(benchmark, item, item_text, lambda sent: rows.mapInArrow(_match(sent), schema)):
         found = found.unionByName(own)
     return found.withColumnRenamed("key", key)
 
 
+def evidence(found: list) -> bool:
+    """Whether the places (item, start, end, edits, long) in a text are more than chance."""
+    reach, sizes = 0, {}
+    for item, start, end, _, long in sorted(found, key=lambda x: x[1:3]):
+        if long:
+            return True
+        if start > reach + GAP:
+            sizes = {}
+        sizes[item] = end - start
+        reach = max(reach, end)
+        if len(sizes) > 1 and sum(sizes.values()) >= MIN_CHARS and 2 * max(sizes.values()) >= MIN_CHARS:
+            return True
+    return False
+
+
+def _marked(indexes: list, text: str) -> list:
+    """Places in a text as `evidence` takes them; those of a long item end the search."""
+    if not text:
+        return []
+    codes, found = plain(text), []
+    for index in sorted(indexes, key=lambda x: isinstance(x, ShortIndex)):
+        short = isinstance(index, ShortIndex)
+        own = [("".join(map(chr, index.texts[i])), *place, not short) for i, *place in index.places(codes)]
+        if own and not short:
+            return own[:1]
+        found += own
+    return found
+
+
 def _clean(sent, text):
     def run(batches):
         indexes = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([not places(indexes, t.as_py()) for t in batch.column(text).cast(pa.string())], pa.bool_()))
+            texts = [t.as_py() for t in batch.column(text).cast(pa.string())]
+            yield batch.filter(pa.array([not evidence(_marked(indexes, t)) for t in texts], pa.bool_()))
     return run
 
 
+_FOUND = "k1 long, k2 long, item string, start long, end long, edits long, long boolean"
+
+
+def _hits(sent):
+    def run(batches):
+        indexes = sent.value
+        for batch in batches:
+            rows = [(k1, k2, *place) for k1, k2, t in zip(*[batch.column(c).to_pylist() for c in ("k1", "k2")], batch.column("text"))
+                    for place in _marked(indexes, t.as_py())]
+            columns = list(zip(*rows)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)],
+                                             names=["k1", "k2", "item", "start", "end", "edits", "long"])
+    return run
+
+
+def _guilty(batches):
+    for batch in batches:
+        keep = [evidence([(p["item"], p["start"], p["end"], p["edits"], p["long"]) for p in found])
+                for found in batch.column("places").to_pylist()]
+        yield batch.select(["k1", "k2"]).filter(pa.array(keep, pa.bool_()))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text="text", item="item_id", item_text="text") -> DataFrame:
-    """`docs` without the rows that hold an item."""
-    schema = docs.schema
-    for docs in _passes(benchmark, item, item_text, lambda sent: docs.mapInArrow(_clean(sent, text), schema)):
-        pass
-    return docs
+    """`docs` without the rows whose text holds an item beyond chance."""
+    context = docs.sparkSession.sparkContext
+    blocks = _blocks(benchmark, item, item_text)
+    index, last = next(blocks, (None, True))
+    if index is None:
+        return docs
+    if last:
+        return docs.mapInArrow(_clean(context.broadcast(index), text), docs.schema)
+    body = F.col(text).cast("string")
+    k1, k2 = free(docs, "k1", "k2")
+    key = [F.xxhash64(body), F.xxhash64(F.lit(1), body)]
+    rows = docs.select(key[0].alias("k1"), key[1].alias("k2"), body.alias("text"))
+    found = None
+    while index is not None:
+        sent = context.broadcast(index)
+        own = stored(rows.mapInArrow(_hits(sent), _FOUND).distinct(), "decontam_block")
+        sent.destroy()
+        found = own if found is None else found.unionByName(own)
+        index, _ = next(blocks, (None, True))
+    whole = found.where("long").select("k1", "k2")
+    short = found.where("NOT long").join(whole, ["k1", "k2"], "left_anti").groupBy("k1", "k2").agg(
+        F.collect_set(F.struct("item", "start", "end", "edits", "long")).alias("places"))
+    bad = whole.unionByName(short.mapInArrow(_guilty, "k1 long, k2 long")).distinct().toDF(k1, k2)
+    return (docs.withColumns({k1: key[0], k2: key[1]}).join(bad, [k1, k2], "left_anti").select(*docs.columns))

@@ -9,14 +9,19 @@ Features: letters of the lower-case text as bytes (all else is a blank), runs of
 buckets per length. A bit's classifier is the log ratio of the n-grams' mean frequency in the languages on
 either side, so a frequent language has no more say than a rare one.
 
-Training rows are those with text, a label and a remainder of crc32(key) that is not held out, at most about `TRAIN_ROWS` per
-language, chosen by a hash of the key (the bound is this parameter; the counts are made by Spark, and
-buckets x languages numbers reach the driver). Prediction covers every row and the whole text.
+Training rows are those with text, a label and a remainder of crc32(key) that is not held out: their different texts, at most about
+`TRAIN_ROWS` per language, chosen by a hash of the text. Equal texts are one row, so repeated rows or keys neither break the bound nor
+push a language out. At most `MAX_LANGUAGES` labels are learned, the most frequent ones by different texts; others are never
+predicted. Both bounds are parameters. The counts are made by Spark, and buckets x languages numbers reach the driver, under 400 MB at
+the bound. Prediction covers every row and the whole text.
 
 Rules: a null text or one without a letter is `und` with score 0; so is every text if there is nothing to learn from; with
 one language learned, every other text has it with score 1; a null key is held out; of equal losses the first
 language in alphabetical order wins; repeated rows are predicted each; other columns are ignored; an empty table gives an
-empty result.
+empty result; keys may be of any type.
+
+As a filter (`keep_identified`) the decoding decides only what is written where a label is null; whether a row stays is decided by its
+letters alone.
 """
 
 import re
@@ -33,6 +38,7 @@ from riskflow.llm.tables import stored
 LENGTHS, BUCKET_BITS = (2, 3, 4), 15
 BUCKETS = len(LENGTHS) << BUCKET_BITS
 TRAIN_ROWS, SMOOTHING, SHARPNESS, AMBIGUOUS = 10_000, 0.5, 4.0, 0.5
+MAX_LANGUAGES = 500
 UNKNOWN = "und"
 _SLICE = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
@@ -138,16 +144,18 @@ def _held_out(key):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def train(docs: DataFrame, key="doc_id", text="text", lang="lang", rows_per_language=TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, key="doc_id", text="text", lang="lang", rows_per_language=TRAIN_ROWS, max_languages=MAX_LANGUAGES) -> Model:
     spark = docs.sparkSession
-    labelled = docs.where(F.col(lang).isNotNull() & ~_held_out(key))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # a row per label
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~_held_out(key))
+    labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
+                               F.xxhash64(F.col(text).cast("string")).alias("h"))
+    sizes = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not sizes:
         return Model([], codewords(0), np.zeros((BUCKETS, 0), np.float32), np.ones((0, 0)))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows_per_language / n))])
-    chosen = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << 30)) < share[F.col(lang)] * float(1 << 30)
-    sample = labelled.where(chosen & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sample = stored(sample, "labelled")
+    share = spark.createDataFrame([(k, int(min(1.0, rows_per_language / n) * (1 << 30))) for k, n in sizes.items()], "lang string, share long")
+    chosen = labelled.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share"))
+    sample = stored(chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text"), "labelled")
     found = sample.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     freq = np.full((len(languages), BUCKETS), SMOOTHING)
@@ -183,8 +191,9 @@ def _predict(model):
 def identify(docs: DataFrame, model: Model, key="doc_id", text="text") -> DataFrame:
     """`key`, held_out, lang_pred, score (0 to 1), ambiguous of every row; nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).cast("long").alias("key"), _held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(_predict(sent), "key long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    rows = docs.select(F.col(key).alias("key"), _held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    out = rows.mapInArrow(_predict(sent), f"key {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("key", key)
 
 

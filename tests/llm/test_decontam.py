@@ -117,9 +117,32 @@ def test_short_items(spark, monkeypatch):
             for i, s, e, k in dc.places(dc.Index.of(items), t):
                 got[d, i] = min(k, got.get((d, i), 9))
         assert got == want
-    few = [items[5], items[17]]
-    kept = {r["doc_id"] for r in dc.clean(frame(spark, docs).repartition(3), bench(spark, few)).collect()}
-    assert kept == {d for d, _ in docs if not any((d, i) in want for i, _ in few)} and 0 < len(kept) < len(docs)
+
+
+def test_clean_needs_more_than_a_common_word(spark, monkeypatch):
+    """Short items drop a text only as a chain of two or more that holds 20 characters; long ones always do."""
+    items = [(1, "yes"), (2, "no"), (3, "the"), (4, "capital of Peru?"), (5, "Lima"), (6, "a longer item that stands alone"), (7, "yes")]
+    docs = ["Yes, it is the way of the world, yes yes yes yes yes yes yes yes.", "no", "yes", "yes no yes no yes", "They lived in Lima, Peru, and said no.",
+            "Capital of Peru? And then, much later, Lima.", "Q: capital of Peru?\nA: Lima", "the CAPITAL of peru? - lima", "capital of Peru is not Lima",
+            "It was a longer item that stands alone here.", "no a longer itm that stands alone", "", None, "capital of Peru? capital of Peru? capital of Peru?"]
+    clean = {0, 1, 2, 4, 5, 8, 11, 12, 13, 3}
+    rows = [(i, t) for i, t in enumerate(docs)] * 2
+    for size in (10**6, 40, 1):
+        monkeypatch.setattr(dc, "BLOCK_CHARS", size)
+        got = sorted(r["doc_id"] for r in dc.clean(frame(spark, rows).repartition(3), bench(spark, items)).collect())
+        assert got == sorted([*clean] * 2)
+    found = {r["doc_id"] for r in dc.matches(frame(spark, rows), bench(spark, items)).collect()}
+    assert found == set(range(len(docs))) - {11, 12}
+
+
+def test_keys_of_any_type_and_columns_with_any_names(spark, monkeypatch):
+    docs = spark.createDataFrame([("u/1", "x the very long question of all y", 1, 2), ("u/2", "fine", 3, 4)], "url string, body string, k1 int, k2 int")
+    items = spark.createDataFrame([("mmlu/1", "the very long question of all"), ("mmlu/2", "another long question of all")], "name string, text string")
+    for size in (10**6, 1):
+        monkeypatch.setattr(dc, "BLOCK_CHARS", size)
+        got = dc.matches(docs, items, "url", "body", "name")
+        assert [tuple(r) for r in got.collect()] == [("u/1", "mmlu/1", 2, 31, 0)] and got.columns[:2] == ["url", "item_id"]
+        assert [tuple(r) for r in dc.clean(docs, items, "body", "name").collect()] == [("u/2", "fine", 3, 4)]
 
 
 def test_short_items_stand_for_themselves():

@@ -113,3 +113,71 @@ def test_slices_of_long_texts_count_every_run(monkeypatch):
     monkeypatch.setattr(langid, "_SLICE", 50)
     assert np.array_equal(np.sort(np.concatenate(list(langid.grams(text)))), whole)
     assert len(whole) == sum(len(f" {text.lower()} ".encode()) - n + 1 for n in langid.LENGTHS)
+
+
+def test_repeated_rows_and_keys_neither_fill_the_sample_nor_empty_it(spark):
+    """A language whose rows all have one key, or one text, is learned, from no more rows than the bound."""
+    draw = np.random.default_rng(3)
+    words = WORDS["en"].split()
+    key = next(i for i in range(99) if not held_out(i))
+    same = [(key, " ".join(draw.permutation(words)), "en") for _ in range(3000)]
+    rows = [r for r in labelled(300) if r[2] == "fr"] + same + [(i, WORDS["de"], "de") for i in range(3000)]
+    model = langid.train(frame(spark, rows).repartition(4), rows_per_language=500)
+    assert model.languages == ["de", "en", "fr"]
+    got = langid.identify(frame(spark, [(1, WORDS["en"], None), (2, WORDS["de"], None), (3, WORDS["fr"], None)]), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "en", 2: "de", 3: "fr"}
+    few = langid.train(frame(spark, rows), max_languages=2)
+    assert few.languages == ["en", "fr"]  # by different texts
+
+
+def test_against_a_decoding_in_plain_python(spark):
+    """Counts, bit weights, trust and loss-weighted decoding, written out."""
+    import math
+    from collections import Counter
+    rows = labelled(120)
+    seen = {(g, t) for i, t, g in rows if not held_out(i)}
+
+    def runs(text):
+        b = [x if 97 <= x <= 122 or x >= 128 else 32 for x in f" {text.lower()} ".encode()]
+        for n in (2, 3, 4):
+            for i in range(len(b) - n + 1):
+                code = 0
+                for x in b[i:i + n]:
+                    code = (code << 8 | x) % 2**32
+                yield (code * 0x9E3779B1 % 2**32 >> 17) + ((n - 2) << 15)
+
+    langs, counts = sorted(WORDS), {g: Counter() for g in WORDS}
+    for g, t in seen:
+        counts[g].update(runs(t))
+    n_buckets = 3 << 15
+    freq = {g: lambda k, g=g, total=sum(counts[g].values()) + 0.5 * n_buckets: (counts[g][k] + 0.5) / total for g in langs}
+    code = {g: [1 if c >> i & 1 else -1 for c in range(1, 4)] for i, g in enumerate(langs)}
+
+    def margins(text):
+        ks = list(runs(text))
+        out = []
+        for bit in range(3):
+            one, zero = ([g for g in langs if code[g][bit] == side] for side in (1, -1))
+            mean = lambda gs, k: sum(freq[g](k) for g in gs) / len(gs)
+            out.append(sum(math.log(mean(one, k)) - math.log(mean(zero, k)) for k in ks) / len(ks))
+        return out
+
+    trust = {}
+    for g in langs:
+        own = [margins(t) for h, t in seen if h == g]
+        right = [(sum(m[b] * code[g][b] > 0 for m in own) + 1) / (len(own) + 2) for b in range(3)]
+        trust[g] = [x / (sum(right) / 3) for x in right]
+    model = langid.train(frame(spark, rows))
+    for text in [t for _, t, _ in rows[:12]] + ["das house et la", "thing maison", "Ünder thé", "x"]:
+        m = margins(text)
+        loss = [sum(t * math.log1p(math.exp(-4 * c * x)) for t, c, x in zip(trust[g], code[g], m)) for g in langs]
+        best = loss.index(min(loss))
+        lang, score, unsure = model.predict(text)
+        assert lang == langs[best] and abs(score - 1 / sum(math.exp(loss[best] - x) for x in loss)) < 1e-4
+        assert unsure == (sorted(loss)[1] - loss[best] < 0.5)
+
+
+def test_keys_of_any_type(spark):
+    docs = spark.createDataFrame([("a/1", WORDS["en"], "en"), ("b", WORDS["fr"], "fr"), (None, "x", None)], "url string, text string, lang string")
+    got = langid.identify(docs, langid.train(docs, "url"), "url").collect()
+    assert {r["url"] for r in got} == {"a/1", "b", None}
