@@ -533,6 +533,17 @@ GROUP BY user_id, burst"""),
 SELECT transaction_id, user_id, count_24h, rapid AS rapid_succession, new_device AS is_new_device,
   new_location AS is_new_location, new_merchant AS is_new_merchant FROM hist JOIN firsts USING (transaction_id)""",
                               _HIST, _FIRST),
+    "stream_history_features": _sql("""
+SELECT transaction_id, count_7d, round(avg7, 8) AS avg_transaction_amount_7d, failed7 AS failed_transaction_count_7d,
+  prior_fraud AS previous_fraudulent_activity, hist_count, hist_fraud, round(hist_avg, 8) AS hist_avg_amount,
+  daily AS daily_transaction_count, count_24h, rapid AS rapid_succession, new_device AS is_new_device,
+  new_location AS is_new_location, new_merchant AS is_new_merchant FROM hist JOIN firsts USING (transaction_id)""", _HIST, _FIRST),
+    "stream_history_seeded": _sql(f"""
+SELECT transaction_id, count_7d, round(avg7, 8) AS avg_transaction_amount_7d, failed7 AS failed_transaction_count_7d,
+  prior_fraud AS previous_fraudulent_activity, hist_count, hist_fraud, round(hist_avg, 8) AS hist_avg_amount,
+  daily AS daily_transaction_count, count_24h, rapid AS rapid_succession, new_device AS is_new_device,
+  new_location AS is_new_location, new_merchant AS is_new_merchant FROM hist JOIN firsts USING (transaction_id)
+WHERE ts >= {AS_OF}""", _HIST, _FIRST),
     "stream_cases": _sql("""
 SELECT case_id, 'Fraud Alert: ' || case_id AS subject FROM (
   SELECT 'FA-' || strftime(ts, '%Y%m%d') || '-' || (999 + row_number() OVER (

@@ -3,7 +3,10 @@
 Times leave as microseconds and lists as text, so that results compare across engines.
 """
 
+from functools import partial
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from riskflow import config as C
 from riskflow.functions import scores, times
@@ -15,7 +18,7 @@ from riskflow.plans import batch
 from riskflow.schemas import canonical
 from riskflow.session import fresh_dir, shared_dir
 from riskflow.sources import case_store, fixtures, requests, tables
-from riskflow.streaming import jobs, scoring, user_state, windows
+from riskflow.streaming import history_state, jobs, scoring, user_state, windows
 
 AS_OF = fixtures.AS_OF
 QUERIES = {}
@@ -786,29 +789,39 @@ def request_history_offsets(spark, folder):
 
 # --- streams ---------------------------------------------------------------------------------
 
-_FILES = 4
+_PARTS = 4
+_FILE_ROWS = 500_000
 
 
-def _stream(spark, folder, location=True, in_order=False, where="true"):
-    """Events from several files, a file per micro-batch; in the order of time, or each file from all times."""
+def _stream(spark, folder, location=True, in_order=False, where="true", balance=False):
+    """Events that arrive in several parts, in the order of time or each from all times: (stream, arrivals of the later
+    parts). The table is read once; every part is written by all tasks, in files of bounded size, and is one micro-batch."""
     events = fixtures.table(spark, folder, "events").where(where)
-    path = fresh_dir(spark, "events")
     if in_order:
         micros = F.unix_micros(F.col("ts").cast("timestamp"))
-        at = events.agg(F.percentile_approx(micros, [i / _FILES for i in range(1, _FILES)])).first()[0] or []
+        at = events.agg(F.percentile_approx(micros, [i / _PARTS for i in range(1, _PARTS)])).first()[0] or []
         part = sum([(micros >= x).cast("int") for x in at], F.lit(0))
     else:
-        part = F.pmod(F.col("event_id"), F.lit(_FILES))
-    for i in range(_FILES):  # one after the other: a stream takes the oldest file first
-        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return fixtures.from_events(files, fixtures.table(spark, folder, "nation") if location else None)
+        part = F.pmod(F.col("event_id"), F.lit(_PARTS))
+    dealt, path = fresh_dir(spark, "dealt"), fresh_dir(spark, "events")
+    with_part = StructType([*events.schema.fields, StructField("part", IntegerType())])
+    events.withColumn("part", F.coalesce(part, F.lit(0))).write.option("maxRecordsPerFile", _FILE_ROWS).partitionBy("part").parquet(dealt)
+
+    def arrive(i):
+        rows = spark.read.schema(with_part).parquet(dealt).where(F.col("part") == i).drop("part")
+        rows.write.mode("append").option("maxRecordsPerFile", _FILE_ROWS).parquet(path)
+
+    arrive(0)
+    files = spark.readStream.schema(events.schema).parquet(path)
+    stream = fixtures.from_events(files, fixtures.table(spark, folder, "nation") if location else None,
+                                  fixtures.table(spark, folder, "customer") if balance else None)
+    return stream, [partial(arrive, i) for i in range(1, _PARTS)]
 
 
 def _stream_scores_input(spark, folder):
     past, _ = _past_and_current(spark, folder)
-    requested = _stream(spark, folder, where=f"ts >= TIMESTAMP_NTZ '{AS_OF}'")
-    return requested, profiles.serving_profile(past, AS_OF)
+    requested, arrivals = _stream(spark, folder, where=f"ts >= TIMESTAMP_NTZ '{AS_OF}'")
+    return requested, profiles.serving_profile(past, AS_OF), arrivals
 
 
 _SCORE_COLUMNS = ["transaction_id", "fraud_probability", "fraud_score", "risk_level", "total_transactions",
@@ -817,57 +830,87 @@ _SCORE_COLUMNS = ["transaction_id", "fraud_probability", "fraud_score", "risk_le
 
 @query
 def stream_scores(spark, folder):
-    requested, profile = _stream_scores_input(spark, folder)
+    requested, profile, arrivals = _stream_scores_input(spark, folder)
     out = scoring.score_stream(requested, profile).select(*_SCORE_COLUMNS)
-    return jobs.read_back(out, jobs.run_to_end(out))
+    return jobs.read_back(out, jobs.run_to_end(out, arrivals=arrivals))
 
 
 @query
 def stream_scores_large_profile(spark, folder):
-    requested, profile = _stream_scores_input(spark, folder)
-    path = jobs.run_to_end(requested, scoring.score_writer(profile, columns=_SCORE_COLUMNS))
+    requested, profile, arrivals = _stream_scores_input(spark, folder)
+    path = jobs.run_to_end(requested, scoring.score_writer(profile, columns=_SCORE_COLUMNS), arrivals=arrivals)
     return jobs.read_back(scoring.score_stream(requested, profile).select(*_SCORE_COLUMNS), path)
 
 
 @query
 def stream_first_copies(spark, folder):
     """Every request arrives twice and is kept once."""
-    twice = _stream(spark, folder, False).union(_stream(spark, folder, False))
-    out = windows.first_copies(twice, spread=4).select("transaction_id", "user_id")
-    return jobs.read_back(out, jobs.run_to_end(out))
+    (one, first), (other, second) = _stream(spark, folder, False), _stream(spark, folder, False)
+    out = windows.first_copies(one.union(other), spread=4).select("transaction_id", "user_id")
+    return jobs.read_back(out, jobs.run_to_end(out, arrivals=[lambda a=a, b=b: (a(), b()) for a, b in zip(first, second)]))
 
 
 @query
 def stream_rolling_counts(spark, folder):
     """Windows of all rows, late ones and open windows included."""
-    path = jobs.run_to_end(_stream(spark, folder, False), windows.write_hourly)
+    stream, arrivals = _stream(spark, folder, False)
+    path = jobs.run_to_end(stream, windows.write_hourly, arrivals=arrivals)
     return windows.rolling_counts(spark.read.parquet(path)).select("user_id", _micros("window_end").alias("end_us"), "n")
 
 
 @query
 def stream_bursts(spark, folder):
     """Bursts of all rows, late ones and open bursts included."""
-    back = windows.bursts(spark.read.parquet(jobs.run_to_end(_stream(spark, folder, False), windows.write_pieces)))
+    stream, arrivals = _stream(spark, folder, False)
+    back = windows.bursts(spark.read.parquet(jobs.run_to_end(stream, windows.write_pieces, arrivals=arrivals)))
     return back.select("user_id", _micros("burst_start").alias("start_us"), _micros("burst_end").alias("end_us"), "n")
 
 
 @query
 def stream_user_state(spark, folder):
     jobs.use_keyed_state(spark)
-    out = user_state.follow_users(_stream(spark, folder, in_order=True))
-    back = jobs.read_back(out, jobs.run_to_end(out))
+    stream, arrivals = _stream(spark, folder, in_order=True)
+    out = user_state.follow_users(stream)
+    back = jobs.read_back(out, jobs.run_to_end(out, arrivals=arrivals))
     return back.withColumn("rapid_succession", F.col("rapid_succession").cast("int"))
 
 
+def _stream_features(df):
+    return df.select("transaction_id", "count_7d", F.round("avg_transaction_amount_7d", 8).alias("avg_transaction_amount_7d"),
+                     "failed_transaction_count_7d", "previous_fraudulent_activity", "hist_count", "hist_fraud",
+                     F.round("hist_avg_amount", 8).alias("hist_avg_amount"), "daily_transaction_count", "count_24h",
+                     F.col("rapid_succession").cast("int").alias("rapid_succession"), "is_new_device", "is_new_location", "is_new_merchant")
+
+
+@query
+def stream_history_features(spark, folder):
+    """History features of every row from keyed state alone, as the rows arrive."""
+    jobs.use_keyed_state(spark)
+    stream, arrivals = _stream(spark, folder, in_order=True)
+    out = history_state.follow_history(stream)
+    return _stream_features(jobs.read_back(out, jobs.run_to_end(out, arrivals=arrivals)))
+
+
+@query
+def stream_history_seeded(spark, folder):
+    """The same for the rows from AS_OF on, with state that begins with the history before."""
+    jobs.use_keyed_state(spark)
+    past, _ = _past_and_current(spark, folder)
+    stream, arrivals = _stream(spark, folder, in_order=True, where=f"ts >= TIMESTAMP_NTZ '{AS_OF}'")
+    out = history_state.follow_history(stream, history_state.seed(past))
+    return _stream_features(jobs.read_back(out, jobs.run_to_end(out, arrivals=arrivals)))
+
+
 @query
 def stream_model_scores(spark, folder):
     """A stream of requests scored by the saved model with the history up to each, next to the batch scores."""
+    jobs.use_keyed_state(spark)
     _, path = _model(spark, folder)
     past, current = _past_and_current(spark, folder, balance=False)
     model = tables.load_model(path)
-    asked = _stream(spark, folder, in_order=True, where=f"ts >= TIMESTAMP_NTZ '{AS_OF}'").drop("fraud_label", "is_failed")
-    writer = scoring.model_writer(past, model, fresh_dir(spark, "asked"), columns=["transaction_id", "fraud_probability"])
-    out = spark.read.parquet(jobs.run_to_end(asked, writer)).drop("batch_id")
+    asked, arrivals = _stream(spark, folder, in_order=True, where=f"ts >= TIMESTAMP_NTZ '{AS_OF}'")
+    scored = scoring.model_stream(asked.drop("fraud_label", "is_failed"), model, past).select("transaction_id", "fraud_probability")
+    out = jobs.read_back(scored, jobs.run_to_end(scored, arrivals=arrivals))
     wanted = batch.score(current.drop("fraud_label", "is_failed"), model, past)
     return out.join(wanted.select("transaction_id", F.col("fraud_probability").alias("p")), "transaction_id").select(
         "transaction_id", (F.abs(F.col("fraud_probability") - F.col("p")) < 1e-12).alias("as_in_batch"))
@@ -875,8 +918,9 @@ def stream_model_scores(spark, folder):
 
 @query
 def stream_cases(spark, folder):
-    scored = features.with_time_features(_stream(spark, folder)).withColumns({
+    stream, arrivals = _stream(spark, folder)
+    scored = features.with_time_features(stream).withColumns({
         "risk_score": scores.score_percent(F.round(scores.heuristic_risk(), 4)), "status": F.lit("REVIEW"),
         "fraud_report": F.lit("report")})
-    root = jobs.run_to_end(scored, scoring.write_cases)
+    root = jobs.run_to_end(scored, scoring.write_cases, arrivals=arrivals)
     return case_store.read_alerts(spark, root).select("case_id", "subject")

@@ -33,9 +33,9 @@ EVERYTHING = (ALL, LAST_24H, LAST_7D, TODAY, TIMES, FIRST)
 
 # An event of a row without a time counts 0: the row keeps its place in the result but is nobody's history.
 _ONE = "CAST(__t IS NOT NULL AS BIGINT)"
-_READABLE = f"(transaction_amount IS NULL OR abs(transaction_amount) <= {MAX_AMOUNT}D)"  # NaN is above all numbers
-_AMOUNT = f"IF(__t IS NULL OR NOT {_READABLE}, 0D, coalesce(CAST(transaction_amount AS DOUBLE), 0D))"
-_AMOUNTS = f"{_ONE} * CAST({_READABLE} AS BIGINT)"
+READABLE = f"(transaction_amount IS NULL OR abs(transaction_amount) <= {MAX_AMOUNT}D)"  # NaN is above all numbers
+_AMOUNT = f"IF(__t IS NULL OR NOT {READABLE}, 0D, coalesce(CAST(transaction_amount AS DOUBLE), 0D))"
+_AMOUNTS = f"{_ONE} * CAST({READABLE} AS BIGINT)"
 _FAILED = f"{_ONE} * coalesce(CAST(is_failed AS BIGINT), 0)"
 _FRAUD = f"{_ONE} * coalesce(CAST(fraud_label = 1 AS BIGINT), 0)"
 

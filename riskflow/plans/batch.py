@@ -56,14 +56,18 @@ def score(requests: DataFrame, model, history: DataFrame = None) -> DataFrame:
         past = tables.history_of(history, requests).select(*shared, *flags).withColumn("__asked", F.lit(False))
         both = past.unionByName(requests.withColumn("__asked", F.lit(True)), allowMissingColumns=True)
         full = features.enhance(features.with_history_features(both, first_seen=True), "consistent")
-        ready = full.where("__asked").drop("__asked")
-        given = {c.lower() for c in ready.columns}
-        absent = {"account_balance": C.DEFAULT_ACCOUNT_BALANCE, "card_age": C.DEFAULT_CARD_AGE,
-                  "ip_address_flag": 0, "transaction_distance": 0.0}
-        ready = ready.withColumns({c: F.lit(v) for c, v in absent.items() if c not in given})
+        ready = with_defaults(full.where("__asked").drop("__asked"))
     return training.score(ready, model)
 
 
+def with_defaults(enhanced: DataFrame) -> DataFrame:
+    """Defaults of the model inputs that neither the request nor its history has."""
+    given = {c.lower() for c in enhanced.columns}
+    absent = {"account_balance": C.DEFAULT_ACCOUNT_BALANCE, "card_age": C.DEFAULT_CARD_AGE,
+              "ip_address_flag": 0, "transaction_distance": 0.0}
+    return enhanced.withColumns({c: F.lit(v) for c, v in absent.items() if c not in given})
+
+
 def snapshot(history: DataFrame, as_of, out: str):
     """Writes what is known about the users at one moment; assess_batch then need not read the history.
 

@@ -35,11 +35,17 @@ def start(df: DataFrame, path: str, checkpoint: str, write=replace_folder, outpu
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def run_to_end(df: DataFrame, write=replace_folder, output_mode="append") -> str:
-    """Runs a stream over everything available and returns the folder it wrote."""
+def run_to_end(df: DataFrame, write=replace_folder, output_mode="append", arrivals=()) -> str:
+    """Runs a stream over everything available and returns the folder it wrote.
+
+    `arrivals` are calls that each bring further input; the stream is started again after every one, from its checkpoint.
+    """
     spark = df.sparkSession
-    path = fresh_dir(spark, "stream")
-    start(df, path, fresh_dir(spark, "progress"), write, output_mode).awaitTermination()
+    path, progress = fresh_dir(spark, "stream"), fresh_dir(spark, "progress")
+    start(df, path, progress, write, output_mode).awaitTermination()
+    for arrive in arrivals:
+        arrive()
+        start(df, path, progress, write, output_mode).awaitTermination()
     return path
 
 

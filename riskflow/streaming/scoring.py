@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from riskflow.functions import scores
 from riskflow.operators import features, profiles, training
-from riskflow.plans.batch import score
+from riskflow.plans.batch import with_defaults
 from riskflow.sources import case_store
+from riskflow.streaming import history_state
 from riskflow.streaming.jobs import replace_folder
 
 
@@ -44,26 +45,17 @@ def score_writer(profile: DataFrame, model=None, columns=None, write=replace_fol
     return write_scores
 
 
-def model_writer(history: DataFrame, model, seen: str, columns=None, write=replace_folder):
-    """foreachBatch writer that scores a micro-batch with a trained model and what is known about its users: the rows of
-    `history` and those of the earlier batches, which are kept in the folder `seen`.
+def model_stream(requests: DataFrame, model, history: DataFrame = None, late=history_state.LATE) -> DataFrame:
+    """Stream of requests scored by a trained model with what is known about their users: the rows of `history`, read once
+    when the stream starts for the first time, and the requests before, kept as keyed state.
 
-    Order matters within a user: a request is scored against the rows before its own time that have arrived. A
-    repeated batch replaces its rows and does not see its own.
+    Every request is scored against the rows before its own time that have arrived. Nothing is read twice.
     """
-    def write_scores(batch: DataFrame, batch_id: int, path: str):
-        spark = batch.sparkSession
-        replace_folder(batch, batch_id, seen)
-        own = spark.read.schema(batch.schema).parquet(f"{seen}/batch_id={batch_id}")
-        past = history
-        if batch_id:
-            earlier = spark.read.schema(batch.schema).parquet(*[f"{seen}/batch_id={i}" for i in range(batch_id)])
-            past = history.unionByName(earlier, allowMissingColumns=True)
-        scored = score(own, model, past)
-        scored = scored.withColumns({"fraud_score": scores.score_percent("fraud_probability"),
-                                     "risk_level": scores.risk_band(scores.score_percent("fraud_probability"))})
-        write(scored.select(*columns) if columns else scored, batch_id, path)
-    return write_scores
+    begin = history_state.seed(history, late) if history is not None else None
+    known = history_state.follow_history(requests, begin, late)
+    scored = training.score(with_defaults(features.enhance(known, "consistent")), model)
+    return scored.withColumns({"fraud_score": scores.score_percent("fraud_probability"),
+                               "risk_level": scores.risk_band(scores.score_percent("fraud_probability"))})
 
 
 def write_cases(batch: DataFrame, batch_id: int, path: str):
