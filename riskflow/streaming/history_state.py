@@ -155,7 +155,7 @@ def _facts(txn: DataFrame) -> DataFrame:
     flag = lambda c: c if c in have else "CAST(NULL AS INT)"
     none = "''" if dict(txn.dtypes)["transaction_id"] == "string" else "0"
     return txn.withColumns({
-        "t": micros("ts"), "tie": F.expr(f"coalesce(transaction_id, {none})"), "day": F.unix_micros(F.date_trunc("day", "ts")),
+        "t": F.coalesce(micros("ts"), F.lit(0)), "tie": F.expr(f"coalesce(transaction_id, {none})"), "day": F.coalesce(F.unix_micros(F.date_trunc("day", "ts")), F.lit(0)),
         "amount": F.expr(f"CAST(IF({pit.READABLE}, coalesce(CAST(transaction_amount AS DOUBLE), 0D), 0D) AS DECIMAL(38,10))"),
         "amounts": F.expr(f"CAST({pit.READABLE} AS BIGINT)"), "failed": F.expr(f"coalesce(CAST({flag('is_failed')} AS BIGINT), 0)"),
         "fraud": F.expr(f"coalesce(CAST({flag('fraud_label')} = 1 AS BIGINT), 0)")})
@@ -188,12 +188,15 @@ def follow_history(txn: DataFrame, start: DataFrame = None, late=LATE) -> DataFr
     absent = {c: F.lit(None).cast("string") for c in KNOWN_FIELDS.values() if c not in kinds}
     rows = _facts(txn.withColumns(absent)).withColumn("alone", F.when(alone, F.pmod(F.xxhash64("transaction_id"), F.lit(SPREAD))).otherwise(-1))
     rows = rows.withColumn("of_user", F.when(~alone, F.col("user_id"))).withColumn("clock", F.col("ts")).withWatermark("clock", late)
-    carried = txn.columns
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", " + FEATURES
+    # a frame has no whole numbers next to nulls: large ones pass as text
+    carried = {c: "string" if k == "bigint" else k for c, k in kinds.items()}
+    rows = rows.withColumns({c: F.col(c).cast(k) for c, k in carried.items() if k != kinds[c]})
+    schema = ", ".join(f"`{c}` {k}" for c, k in carried.items()) + ", " + FEATURES
     begin = None
     if start is not None:
         begin = start.select(F.col("user_id").alias("of_user"), F.lit(-1).cast("bigint").alias("alone"), *[c for c in start.columns if c != "user_id"])
         begin = begin.groupBy("of_user", "alone")
-    return rows.withColumn("alone", F.col("alone").cast("bigint")).groupBy("of_user", "alone").transformWithStateInPandas(
-        statefulProcessor=UserHistory(kinds["transaction_id"], carried, interval_us(late)), outputStructType=schema,
+    out = rows.withColumn("alone", F.col("alone").cast("bigint")).groupBy("of_user", "alone").transformWithStateInPandas(
+        statefulProcessor=UserHistory(kinds["transaction_id"], list(carried), interval_us(late)), outputStructType=schema,
         outputMode="Append", timeMode="EventTime", initialState=begin)
+    return out.withColumns({c: F.col(c).cast(kinds[c]) for c, k in carried.items() if k != kinds[c]})
