@@ -54,10 +54,12 @@ def page_lines(docs: DataFrame, site: str, text: str, *more: Column, keep_length
     """A row per page and distinct line that is not blank: site, the line's hashes, the columns of `more`, and `size`, its
     characters, if wanted."""
     plain = F.array_distinct(F.transform(_lines(F.col(text)), _plain))
-    rows = docs.select(F.col(site).alias("site"), *more, F.explode(plain).alias("line")).where("line <> ''")
+    pages = docs.select(F.col(site).alias("site"), *more, plain.alias("lines"))  # `more` once per page, not per line
+    kept = [c for c in pages.columns if c != "lines"]
+    rows = pages.select(*kept, F.explode("lines").alias("line")).where("line <> ''")
     a, b = _hashes(F.col("line"))
     size = [F.length("line").alias("size")] if keep_length else []
-    return rows.select("site", *[F.col(c) for c in rows.columns if c not in ("site", "line")], a.alias("h1"), b.alias("h2"), *size)
+    return rows.select(*kept, a.alias("h1"), b.alias("h2"), *size)
 
 
 def boilerplate(docs: DataFrame, site="source", text="text", max_ratio=MAX_RATIO, min_pages=MIN_PAGES, copies_once=False) -> DataFrame:
@@ -83,7 +85,7 @@ def _same(*names):
 def support(docs: DataFrame, frequent: DataFrame, site="source", text="text") -> DataFrame:
     """s_site, s_h1, s_h2, pages: on how many pages each of the `frequent` lines (site, h1, h2) stands, pages that repeat each other
     counted once."""
-    whole = F.aggregate(F.array_distinct(F.transform(_lines(F.col(text)), _plain)), F.lit(0), lambda n, x: n + F.length(x))
+    whole = F.length(F.array_join(F.array_distinct(F.transform(_lines(F.col(text)), _plain)), ""))
     page = F.xxhash64(F.col(site).isNull(), F.col(site), F.col(text))  # equal texts of a site are one page
     lines = page_lines(docs, site, text, page.alias("page"), whole.alias("whole"), keep_length=True)
     chosen = frequent.select(*[F.col(c).alias(f"s_{c}") for c in ("site", "h1", "h2")])
