@@ -620,3 +620,17 @@ FROM (SELECT transaction_id, user_id, ts, transaction_id % 11 NOT IN (0, 1, 5) A
 WINDOW before AS (PARTITION BY user_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
   d7 AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)"""),
 })
+
+for name, same in {"profile_increments_training": "user_profile_training", "profile_increments_serving": "user_profile_serving",
+                   "profile_increments_newest": "newest_history", "stream_fan_in": "assessment_summary"}.items():
+    ORACLE[name] = ORACLE[same]
+
+ORACLE["stream_fan_in_late"] = _sql("""
+SELECT c.transaction_id, CASE WHEN c.k % 13 = 0 THEN 'no reply' ELSE r.error END AS monitor_error,
+  CASE WHEN r.error IS NULL AND c.k % 13 <> 0 THEN CAST(floor(s.score * 100) AS INT) ELSE 0 END AS ml_fraud_score,
+  c.authentication_method = 'Biometric' AND c.k % 7 <> 0 AS photo_verified,
+  CASE WHEN c.k % 17 = 0 THEN 'REVIEW' ELSE j.final_verdict END AS final_verdict,
+  CASE WHEN c.k % 17 = 0 THEN 'UNKNOWN' ELSE j.risk_level END AS risk_level,
+  CASE WHEN c.k % 17 = 0 THEN 'no reply' WHEN c.k % 10 = 1 THEN 'reply is not a JSON object' END AS assessment_error
+FROM cur c JOIN scored s USING (transaction_id) JOIN said r USING (transaction_id) JOIN judged j USING (transaction_id)""",
+                                     _PAST, _SCORE, _MONITOR, _ASSESSMENT)

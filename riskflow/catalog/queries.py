@@ -17,8 +17,8 @@ from riskflow.operators import point_in_time as pit
 from riskflow.plans import batch
 from riskflow.schemas import canonical
 from riskflow.session import fresh_dir, shared_dir
-from riskflow.sources import case_store, fixtures, requests, tables
-from riskflow.streaming import history_state, jobs, scoring, user_state, windows
+from riskflow.sources import case_store, fixtures, profile_store, requests, tables
+from riskflow.streaming import fan_in, history_state, jobs, scoring, user_state, windows
 
 AS_OF = fixtures.AS_OF
 QUERIES = {}
@@ -214,7 +214,10 @@ def _flagged(spark, folder):
 
 @query
 def user_profile_training(spark, folder):
-    p = profiles.training_profile(_flagged(spark, folder))
+    return _training_columns(profiles.training_profile(_flagged(spark, folder)))
+
+
+def _training_columns(p):
     return p.select(
         "user_id", "total_transactions", F.round("avg_transaction_amount", 8).alias("avg_transaction_amount"),
         "account_age_days", F.round("transaction_frequency", 8).alias("transaction_frequency"),
@@ -241,7 +244,10 @@ def profile_mode(spark, folder):
 @query
 def user_profile_serving(spark, folder):
     past, _ = _past_and_current(spark, folder, balance=True)
-    p = profiles.serving_profile(past, AS_OF)
+    return _serving_columns(profiles.serving_profile(past, AS_OF))
+
+
+def _serving_columns(p):
     return p.select(
         "user_id", "total_transactions", F.round("avg_transaction_amount", 8).alias("avg_transaction_amount"),
         "min_transaction", "max_transaction", "fraud_history", "account_balance", "recent_24h_count",
@@ -276,6 +282,40 @@ def newest_history(spark, folder):
     return history.newest(_txn(spark, folder, location=False)).select("user_id", "transaction_id", "rank")
 
 
+def _in_increments(spark, folder, txn):
+    """A profile store filled out of order: the later half first, then the earlier one with one day short of rows, these rows
+    late, a day that is wrong and put right, and a day whose rows are all taken back."""
+    root = fresh_dir(spark, "profile_parts")
+    day, late = F.to_date("ts"), F.col("transaction_id") % 10 == 0
+    profile_store.write(txn.where("ts >= TIMESTAMP '2024-01-15 00:00:00'"), root, 1)
+    early = txn.where("ts < TIMESTAMP '2024-01-15 00:00:00'")
+    profile_store.write(early.where((day != F.lit("2024-01-10")) | ~late), root, 2, whole=True)
+    for _ in range(2):  # a repeated write replaces itself
+        profile_store.write(early.where((day == F.lit("2024-01-10")) & late), root, 3)
+    wrong = early.where(day == F.lit("2024-01-05")).withColumn("transaction_amount", F.col("transaction_amount") * 1000)
+    profile_store.write(wrong.unionByName(wrong.withColumn("ts", F.expr("TIMESTAMP '2031-05-05 01:00:00'"))), root, 4, whole=True)
+    profile_store.write(early.where(day == F.lit("2024-01-05")), root, 5, whole=True, days=["2031-05-05"])
+    return root
+
+
+@query
+def profile_increments_training(spark, folder):
+    return _training_columns(profile_store.training_profile(spark, _in_increments(spark, folder, _flagged(spark, folder))))
+
+
+@query
+def profile_increments_serving(spark, folder):
+    past, _ = _past_and_current(spark, folder, balance=True)
+    recent = profiles.recent_counts(past, AS_OF)
+    return _serving_columns(profile_store.serving_profile(spark, _in_increments(spark, folder, past), recent))
+
+
+@query
+def profile_increments_newest(spark, folder):
+    root = _in_increments(spark, folder, _txn(spark, folder, location=False).withColumn("location", F.lit(None).cast("string")))
+    return profile_store.newest(spark, root).select("user_id", "transaction_id", "rank")
+
+
 def _narrow(spark, folder):
     """Only the columns that history features read."""
     return _txn(spark, folder, location=False).select("transaction_id", "user_id", "ts", "transaction_amount",
@@ -793,29 +833,37 @@ _PARTS = 4
 _FILE_ROWS = 500_000
 
 
+def _dealt(spark, rows, part, parts=_PARTS):
+    """A table that arrives in parts: (stream, arrivals of the parts after the first). The table is read once; every part is
+    written by all tasks, in files of bounded size, and is one micro-batch."""
+    dealt, path = fresh_dir(spark, "dealt"), fresh_dir(spark, "arriving")
+    rows.withColumn("part", F.coalesce(part, F.lit(0))).write.option("maxRecordsPerFile", _FILE_ROWS).partitionBy("part").parquet(dealt)
+    with_part = StructType([*rows.schema.fields, StructField("part", IntegerType())])
+
+    def arrive(i):
+        found = spark.read.schema(with_part).parquet(dealt).where(F.col("part") == i).drop("part")
+        found.write.mode("append").option("maxRecordsPerFile", _FILE_ROWS).parquet(path)
+
+    arrive(0)
+    return spark.readStream.schema(rows.schema).parquet(path), [partial(arrive, i) for i in range(1, parts)]
+
+
+def _by_time(at, micros):
+    """The part of a row by its time."""
+    return sum([(micros >= x).cast("int") for x in at], F.lit(0))
+
+
 def _stream(spark, folder, location=True, in_order=False, where="true", balance=False):
-    """Events that arrive in several parts, in the order of time or each from all times: (stream, arrivals of the later
-    parts). The table is read once; every part is written by all tasks, in files of bounded size, and is one micro-batch."""
+    """Events in several parts, in the order of time or each from all times: (stream, arrivals of the later parts)."""
     events = fixtures.table(spark, folder, "events").where(where)
     if in_order:
         micros = F.unix_micros(F.col("ts").cast("timestamp"))
-        at = events.agg(F.percentile_approx(micros, [i / _PARTS for i in range(1, _PARTS)])).first()[0] or []
-        part = sum([(micros >= x).cast("int") for x in at], F.lit(0))
+        part = _by_time(events.agg(F.percentile_approx(micros, [i / _PARTS for i in range(1, _PARTS)])).first()[0] or [], micros)
     else:
         part = F.pmod(F.col("event_id"), F.lit(_PARTS))
-    dealt, path = fresh_dir(spark, "dealt"), fresh_dir(spark, "events")
-    with_part = StructType([*events.schema.fields, StructField("part", IntegerType())])
-    events.withColumn("part", F.coalesce(part, F.lit(0))).write.option("maxRecordsPerFile", _FILE_ROWS).partitionBy("part").parquet(dealt)
-
-    def arrive(i):
-        rows = spark.read.schema(with_part).parquet(dealt).where(F.col("part") == i).drop("part")
-        rows.write.mode("append").option("maxRecordsPerFile", _FILE_ROWS).parquet(path)
-
-    arrive(0)
-    files = spark.readStream.schema(events.schema).parquet(path)
-    stream = fixtures.from_events(files, fixtures.table(spark, folder, "nation") if location else None,
-                                  fixtures.table(spark, folder, "customer") if balance else None)
-    return stream, [partial(arrive, i) for i in range(1, _PARTS)]
+    files, arrivals = _dealt(spark, events, part)
+    return fixtures.from_events(files, fixtures.table(spark, folder, "nation") if location else None,
+                                fixtures.table(spark, folder, "customer") if balance else None), arrivals
 
 
 def _stream_scores_input(spark, folder):
@@ -924,3 +972,61 @@ def stream_cases(spark, folder):
         "fraud_report": F.lit("report")})
     root = jobs.run_to_end(scored, scoring.write_cases, arrivals=arrivals)
     return case_store.read_alerts(spark, root).select("case_id", "subject")
+
+
+def _fan_in(spark, folder, late):
+    """Requests and answers as four streams in two parts by time, then a row of no request from a later day in each, which ends all
+    waiting.
+
+    late(name) is the condition under which an answer comes three hours after its request.
+    """
+    jobs.use_keyed_state(spark)
+    past, current = _past_and_current(spark, folder)
+    current = fixtures.with_photo_path(current)
+    cut = current.agg(F.percentile_approx(_micros("ts"), 0.5)).first()[0] or 0
+    end = F.lit("2030-01-01 00:00:00").cast("timestamp")
+
+    def arriving(rows, time):
+        fixed = {time: end, "transaction_id": F.lit(-1).cast("long")}
+        last = rows.limit(1).select(*[fixed.get(c, F.lit(None).cast(k)).alias(c) for c, k in rows.dtypes])
+        part = F.when(F.col(time) >= end, 2).otherwise(_by_time([cut], _micros(time)))
+        return _dealt(spark, rows.unionByName(last), part, 3)
+
+    texts = {"monitor": fixtures.monitor_replies(current).withColumnRenamed("reply", "text"),
+             "photo": fixtures.biometric_json(current.where("photo_path IS NOT NULL")).withColumnRenamed("response", "text"),
+             "assessment": fixtures.assessment_replies(current).withColumnRenamed("reply", "text")}
+    answers, arrivals = {}, []
+    for name, text in texts.items():
+        delay = F.when(F.expr(late(name)), F.expr("INTERVAL 3 HOURS")).otherwise(F.make_dt_interval(mins=F.pmod("k", F.lit(50))))
+        own = text.join(current.select("transaction_id", "ts"), "transaction_id").select(
+            "transaction_id", (F.col("ts") + delay).alias("answered_at"), "text")
+        answers[name], more = arriving(own, "answered_at")
+        arrivals.append(more)
+    asked, more = arriving(current, "ts")
+    arrivals.append(more)
+    root = fresh_dir(spark, "snapshot")
+    users, known = batch.snapshot(past, AS_OF, root)
+
+    def score(rows):
+        return features.with_time_features(rows).withColumns({
+            "fraud_probability": F.round(scores.heuristic_risk(), 4), "is_high_value": scores.high_value_serving("transaction_amount")})
+
+    write = fan_in.writer(score, AS_OF, users, known)
+    # the last rows are taken out here: a condition on the stream would be applied before the watermark sees them
+    path = jobs.run_to_end(fan_in.gather(asked, answers), lambda rows, i, to: write(rows.where("transaction_id >= 0"), i, to),
+                           arrivals=[lambda step=step: [arrive() for arrive in step] for step in zip(*arrivals)])
+    return spark.read.parquet(path)
+
+
+@query
+def stream_fan_in(spark, folder):
+    """All answers come within the hour: what the batch gives."""
+    return _fan_in(spark, folder, lambda name: "false").drop("batch_id", "monitor_error", "evidence_error", "photo_error", "assessment_error")
+
+
+@query
+def stream_fan_in_late(spark, folder):
+    """Some answers come three hours late: their branches have failed, and every transaction is there."""
+    share = {"monitor": 13, "photo": 7, "assessment": 17}
+    out = _fan_in(spark, folder, lambda name: f"k % {share[name]} = 0")
+    return out.select("transaction_id", "monitor_error", "ml_fraud_score", "photo_verified", "final_verdict", "risk_level", "assessment_error")

@@ -27,12 +27,7 @@ def training_profile(txn: DataFrame, photo_root="photos/reference", lists=True)
         F.sum("previous_fraudulent_activity").alias("fraud_history_count"),
         F.max("transaction_amount").alias("highest_transaction"),
         F.avg("is_weekend").alias("weekend_transaction_ratio"))
-    base = (base
-            .withColumn("transaction_frequency", F.col("total_transactions") /
-                        F.greatest(F.col("account_age_days"), F.lit(1)))
-            .withColumn("reference_photo_path", F.when(
-                F.col("highest_transaction") > C.REFERENCE_PHOTO_AMOUNT,
-                F.concat(F.lit(photo_root + "/"), F.col("user_id").cast("string"), F.lit(".jpg")))))
+    base = with_ratios(base, photo_root)
     if not lists:
         return base
     counts = values.value_counts(txn, {"location": "location", "merchant": "merchant_category",
@@ -40,6 +35,14 @@ def training_profile(txn: DataFrame, photo_root="photos/reference", lists=True)
     return base.join(behaviour_lists(counts), "user_id", "left")
 
 
+def with_ratios(base: DataFrame, photo_root="photos/reference") -> DataFrame:
+    """What follows from a user's totals."""
+    return base.withColumns({
+        "transaction_frequency": F.col("total_transactions") / F.greatest(F.col("account_age_days"), F.lit(1)),
+        "reference_photo_path": F.when(F.col("highest_transaction") > C.REFERENCE_PHOTO_AMOUNT,
+                                       F.concat(F.lit(photo_root + "/"), F.col("user_id").cast("string"), F.lit(".jpg")))})
+
+
 def behaviour_lists(counts: DataFrame) -> DataFrame:
     """Top-3 lists, modes and known devices per user from one table of value counts."""
     frequent = W.partitionBy("user_id", "field").orderBy(F.desc("n"), F.asc("first"), F.asc("value"))

@@ -11,6 +11,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def use_keyed_state(spark):
     """State on disk with a memory cache; needed by the per-user state, good for every large state."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # one store per task of a join in place of four
+    spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
     # sessions are merged on the map side before the shuffle
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
 
