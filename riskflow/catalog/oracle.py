@@ -634,3 +634,9 @@ SELECT c.transaction_id, CASE WHEN c.k % 13 = 0 THEN 'no reply' ELSE r.error END
   CASE WHEN c.k % 17 = 0 THEN 'no reply' WHEN c.k % 10 = 1 THEN 'reply is not a JSON object' END AS assessment_error
 FROM cur c JOIN scored s USING (transaction_id) JOIN said r USING (transaction_id) JOIN judged j USING (transaction_id)""",
                                      _PAST, _SCORE, _MONITOR, _ASSESSMENT)
+
+ORACLE["stream_dead_letters"] = _sql("""
+SELECT transaction_id AS message_id, CASE WHEN reason IS NULL THEN CAST(transaction_id AS VARCHAR) END AS transaction_id, reason,
+  CASE WHEN reason IS NULL THEN 'Desktop' END AS device_type
+FROM (SELECT transaction_id, CASE k % 20 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not a JSON object' WHEN 3 THEN 'not JSON'
+  WHEN 4 THEN 'missing: user_id' WHEN 5 THEN 'missing: card_type' WHEN 6 THEN 'empty' WHEN 7 THEN 'not JSON' END AS reason FROM txn)""")

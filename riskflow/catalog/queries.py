@@ -18,7 +18,7 @@ from riskflow.plans import batch
 from riskflow.schemas import canonical
 from riskflow.session import fresh_dir, shared_dir
 from riskflow.sources import case_store, fixtures, profile_store, requests, tables
-from riskflow.streaming import fan_in, history_state, jobs, scoring, user_state, windows
+from riskflow.streaming import fan_in, history_state, intake, jobs, scoring, user_state, windows
 
 AS_OF = fixtures.AS_OF
 QUERIES = {}
@@ -694,6 +694,33 @@ def model_importance(spark, folder):
         F.lit(numbers == sorted(numbers, reverse=True)).alias("is_sorted"))
 
 
+@query
+def model_importances(spark, folder):
+    """The importances themselves, most important first."""
+    return _model(spark, folder)[0]["importance"]
+
+
+@query
+def model_top_features(spark, folder):
+    return training.top_features(_model(spark, folder)[0]["importance"])
+
+
+@query
+def model_report(spark, folder):
+    """Precision, recall, F1 and support of the test part."""
+    return _model(spark, folder)[0]["report"]
+
+
+@query
+def model_score_rows(spark, folder):
+    """Scores, bands and labels of current transactions by the saved model, with features from the history before them."""
+    past, current = _past_and_current(spark, folder, balance=True)
+    scored = batch.score(current.drop("fraud_label", "is_failed"), tables.load_model(_model(spark, folder)[1]), past)
+    p = scores.prediction("fraud_probability")
+    return scored.select("transaction_id", "fraud_probability", p.alias("p")).select(
+        "transaction_id", "fraud_probability", "p.fraud_score", "p.risk_level", scores.predicted_label("fraud_probability").alias("predicted_label"))
+
+
 @query
 def model_scores(spark, folder):
     """Current transactions scored with the saved model, next to the trained one, and features from the history before
@@ -1030,3 +1057,22 @@ def stream_fan_in_late(spark, folder):
     share = {"monitor": 13, "photo": 7, "assessment": 17}
     out = _fan_in(spark, folder, lambda name: f"k % {share[name]} = 0")
     return out.select("transaction_id", "monitor_error", "ml_fraud_score", "photo_verified", "final_verdict", "risk_level", "assessment_error")
+
+
+@query
+def stream_dead_letters(spark, folder):
+    """Requests as texts, some broken: what is accepted and what is not, with the reason."""
+    txn = _txn(spark, folder, location=False)
+    fields = ["CAST(user_id AS STRING) AS user_id", "transaction_amount", "transaction_type", "merchant_category", "card_type"]
+    text = F.to_json(F.expr("named_struct('transaction_id', CAST(transaction_id AS STRING), {})".format(", ".join(
+        "'{}', {}".format(f.split(" AS ")[-1] if " AS " in f else f, f.rsplit(" AS ", 1)[0] if f.startswith("CAST") else f) for f in fields))))
+    broken = {1: F.lit("not json"), 2: F.lit('["x"]'), 3: F.concat(text, F.lit(" and more")), 4: F.regexp_replace(text, '"user_id":"[0-9]+",', ""),
+              5: F.regexp_replace(text, '("card_type":)"[A-Za-z]+"', "$1null"), 6: F.lit(None).cast("string"), 7: F.substring(text, 1, 40)}
+    value = F.coalesce(*[F.when(F.pmod("k", F.lit(20)) == i, F.coalesce(v, F.lit(""))) for i, v in broken.items()], text)
+    stream, arrivals = _dealt(spark, txn.select(F.col("transaction_id").alias("message_id"), value.alias("value")),
+                              F.pmod(F.col("message_id"), F.lit(_PARTS)).cast("int"))
+    path = jobs.run_to_end(stream, intake.writer(), arrivals=arrivals)
+    taken = spark.read.parquet(f"{path}/accepted").select("message_id", "transaction_id", F.lit(None).cast("string").alias("reason"), "device_type")
+    left = spark.read.parquet(f"{path}/rejected").select("message_id", F.lit(None).cast("string").alias("transaction_id"), "reason",
+                                                        F.lit(None).cast("string").alias("device_type"))
+    return taken.unionByName(left)

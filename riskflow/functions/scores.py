@@ -95,6 +95,11 @@ def prediction(probability) -> Column:
         rounded(confidence(probability), 4).alias("model_confidence"))
 
 
+def predicted_label(probability) -> Column:
+    """1 from the cut on that a single prediction uses."""
+    return (col(probability) >= C.LABEL_THRESHOLD).cast("int")
+
+
 def feature_summary(amount="transaction_amount", kind="transaction_type", merchant="merchant_category",
                     unusual="is_unusual_hour", hour="hour_of_day", high="is_high_value") -> Column:
     return F.struct(

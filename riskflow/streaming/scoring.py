@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskflow.functions import scores
 from riskflow.operators import features, profiles, training
 from riskflow.plans.batch import with_defaults
-from riskflow.sources import case_store
+from riskflow.sources import case_store, model_store
 from riskflow.streaming import history_state
 from riskflow.streaming.jobs import replace_folder
 
@@ -58,6 +58,16 @@ def model_stream(requests: DataFrame, model, history: DataFrame = None, late=his
                                "risk_level": scores.risk_band(scores.score_percent("fraud_probability"))})
 
 
+def current_model_writer(root: str, columns=None, write=replace_folder):
+    """foreachBatch writer that scores requests with history features (`history_state.follow_history`) by the model that is
+    current in the store `root` when the micro-batch begins; every row names its version."""
+    def write_scores(batch: DataFrame, batch_id: int, path: str):
+        version, model = model_store.load(batch.sparkSession, root)
+        scored = training.score(with_defaults(features.enhance(batch, "consistent")), model).withColumn("model_version", F.lit(version))
+        write(scored.select(*columns) if columns else scored, batch_id, path)
+    return write_scores
+
+
 def write_cases(batch: DataFrame, batch_id: int, path: str):
     """foreachBatch writer for judged rows (risk_score, status, fraud_report): cases and alerts."""
     case_store.write_cases(batch, batch_id, path)

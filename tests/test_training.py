@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskflow import config as C
+from riskflow.functions import scores
 from riskflow.operators import metrics, ranks, training
 from riskflow.plans import batch
-from riskflow.sources import tables
+from riskflow.sources import model_store, tables
+from riskflow.streaming import jobs, scoring
 
 
 def test_split_sizes_of_fifty_thousand_rows(spark):
@@ -88,3 +90,60 @@ def test_train_save_load_score(spark, tmp_path):
     assert 0 <= training.score(strange, model).first().fraud_probability <= 1
     batch.train(df, str(tmp_path), trees=2)
     assert len(tables.load_model(str(tmp_path)).stages[-1].trees) == 2  # not the one that was read before
+
+
+def small_table(spark, n=900, seed=5):
+    rnd, rows = random.Random(seed), []
+    for i in range(n):
+        fraud = int(rnd.random() < 0.3)
+        rows.append([str(i)] + [float(rnd.gauss(100 + 900 * fraud, 120)) if c == "Transaction_Amount" else
+                                rnd.choice(["a", "b", "c"]) if c in C.CATEGORICAL_FEATURES else float(rnd.randrange(5))
+                                for c in C.MODEL_FEATURES] + [fraud])
+    kinds = ", ".join(f"{c.lower()} {'string' if c in C.CATEGORICAL_FEATURES else 'double'}" for c in C.MODEL_FEATURES)
+    return spark.createDataFrame(rows, f"transaction_id string, {kinds}, fraud_label int")
+
+
+def test_results_follow_from_the_saved_model(spark, tmp_path):
+    """Importances, the top ten and the report, recomputed from the model that was saved and the rows it was tested on."""
+    out = batch.train(small_table(spark), str(tmp_path), trees=3)
+    model = tables.load_model(str(tmp_path))
+    weights = dict(zip(C.MODEL_FEATURES, model.stages[-1].featureImportances.toArray().tolist()))
+    want = sorted(weights.items(), key=lambda x: (-x[1], x[0]))
+    assert [tuple(r) for r in out["importance"].collect()] == want
+    assert [tuple(r) for r in training.top_features(out["importance"]).collect()] == want[:10]
+    tested = [(int(r.fraud_probability >= C.EVALUATION_THRESHOLD), r.fraud_label) for r in out["tested"].collect()]
+    report = {r["class"]: r for r in out["report"].collect()}
+    assert sum(report[c].support for c in C.TARGET_NAMES) == len(tested)
+    for k, c in enumerate(C.TARGET_NAMES):
+        hit, said, real = (sum(f(g, y) for g, y in tested) for f in (lambda g, y: g == y == k, lambda g, y: g == k, lambda g, y: y == k))
+        precision, recall = hit / said, hit / real
+        assert [report[c].precision, report[c].recall, report[c].support] == [pytest.approx(precision), pytest.approx(recall), real]
+        assert report[c].f1 == pytest.approx(2 * precision * recall / (precision + recall))
+    rows = [r.fraud_probability for r in out["tested"].collect()]
+    labels = spark.createDataFrame([(p,) for p in rows], "p double").select(scores.predicted_label("p")).collect()
+    assert [r[0] for r in labels] == [int(p >= 0.5) for p in rows]
+
+
+def test_versions_of_a_model(spark, tmp_path):
+    """A stream that changes its model between two micro-batches; versions stay as they were, and the log goes back."""
+    root, frame = str(tmp_path / "store"), small_table(spark, 400)
+    with pytest.raises(ValueError):
+        model_store.load(spark, root)
+    built = [batch.train(frame, str(tmp_path / f"out{n}"), trees=n) for n in (1, 2)]
+    publish = lambda b: model_store.publish(b["model"], b["metadata"], b["importance"], root)
+    assert publish(built[0]) == 1 and model_store.current(spark, root) == 1
+    ready = frame.drop("fraud_label").withColumn("ts", F.lit("2024-01-05 10:00:00").cast("timestamp"))
+    ready.where("transaction_id < 200").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ready.schema).parquet(str(tmp_path / "in"))
+
+    def change():
+        assert publish(built[1]) == 2
+        ready.where("transaction_id >= 200").write.mode("append").parquet(str(tmp_path / "in"))
+
+    path = jobs.run_to_end(stream, scoring.current_model_writer(root, ["transaction_id", "fraud_probability", "model_version"]), arrivals=[change])
+    got = spark.read.parquet(path).drop("batch_id").collect()
+    assert len(got) == 400 and {(int(r.transaction_id) >= 200) + 1 == r.model_version for r in got} == {True}
+    assert [len(model_store.load(spark, root, v)[1].stages[-1].trees) for v in (1, 2)] == [1, 2]
+    model_store.pin(spark, root, 1)
+    assert model_store.load(spark, root)[0] == 1 and model_store.load(spark, root)[1] is model_store.load(spark, root, 1)[1]
+    assert publish(built[1]) == 3
