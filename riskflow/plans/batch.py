@@ -94,13 +94,9 @@ def assess_batch(current: DataFrame, scored: DataFrame, history: DataFrame, resp
 
 
 def escalate(judged: DataFrame, evidence: DataFrame, assessment: DataFrame, root: str, write_id: int):
-    """Cases, alerts and evidence documents of one run. Needs risk_score, status and fraud_report."""
-    case_store.write_cases(judged, write_id, root)
-    written = case_store.read_cases(judged.sparkSession, root).where(F.col("write_id") == write_id)
-    opened = tables.drop_repeated(judged).join(written.select("transaction_id", "case_id", "case_date"), "transaction_id")
-    documents = cases.evidence_documents(opened, evidence, assessment)
-    case_store.write_evidence(documents, root, write_id)
-    return written
+    """Cases, alerts and evidence documents of one run, committed together. Needs risk_score, status and fraud_report."""
+    case_store.write_cases(judged, write_id, root, documents=lambda opened: cases.evidence_documents(opened, evidence, assessment))
+    return case_store.read_cases(judged.sparkSession, root).where(F.col("write_id") == write_id)
 
 
 def judged_by_model(scored: DataFrame, status: DataFrame) -> DataFrame:

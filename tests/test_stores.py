@@ -1,5 +1,7 @@
 """Sources, sinks, cases and streams."""
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from riskflow import config as C
@@ -83,17 +85,67 @@ def test_cases_continue_and_repeat(spark, tmp_path):
     out = {r.transaction_id: r.case_id for r in case_store.read_cases(spark, root).collect()}
     assert out == {1: "FA-20240102-1000", 2: "FA-20240102-1001", 3: "FA-20240102-1002"}
     message = case_store.read_alerts(spark, root).where("case_id = 'FA-20240102-1000'").first().message
+    attempt = case_store.log(spark, root).where("write_id = 0").agg(F.max_by("attempt", "seq")).first()[0]
     assert message == ("Case FA-20240102-1000: transaction 1 over $1,234.50 scored 80 of 100 (status REVIEW).\n"
-                       f"Evidence: {root}/evidence/write_id=0/case_date=2024-01-02/bucket=0\nThe report begins:\n" + "r" * 500)
+                       f"Evidence: {root}/evidence/write_id=0/attempt={attempt}/case_date=2024-01-02/bucket=0\nThe report begins:\n" + "r" * 500)
 
 
 def test_a_write_reads_only_its_days(spark, tmp_path, monkeypatch):
     root, asked = str(tmp_path / "c"), []
     case_store.write_cases(judged(spark, [1, 2], "2024-01-02"), 0, root)
     real = case_store._existing
-    monkeypatch.setattr(case_store, "_existing", lambda spark, path, day: asked.append(str(day)) or real(spark, path, day))
+    monkeypatch.setattr(case_store, "_existing", lambda spark, path, days: asked.extend(map(str, days)) or real(spark, path, days))
     case_store.write_cases(judged(spark, [3, 4], "2024-01-05"), 1, root)
-    assert asked == ["2024-01-05"] and case_store.read_cases(spark, root).count() == 4
+    assert set(asked) == {"2024-01-05"} and case_store.read_cases(spark, root).count() == 4
+
+
+def test_a_write_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """It breaks off after its cases, after its alerts, and before its commit; then it is repeated."""
+    root = str(tmp_path / "store")
+    document = lambda opened: opened.selectExpr("case_date", "case_id", "'{}' AS document")
+    case_store.write_cases(judged(spark, [1, 2]), 0, root, documents=document)
+
+    class Broken(Exception):
+        pass
+
+    def fails(*_, **__):
+        raise Broken
+
+    real = {n: getattr(case_store, n) for n in ("_stage", "_write_evidence", "_commit")}
+    steps = [("_stage", lambda rows, path, *more: fails() if path.endswith("alerts") else real["_stage"](rows, path, *more)),
+             ("_write_evidence", fails), ("_commit", fails)]
+    for name, step in steps:
+        for numbers, write_id in (([3, 4], 1), ([1, 2], 0)):  # a new write, and a repeated one
+            with monkeypatch.context() as m, pytest.raises(Broken):
+                m.setattr(case_store, name, step)
+                case_store.write_cases(judged(spark, numbers), write_id, root, documents=document)
+            assert sorted(r.transaction_id for r in case_store.read_cases(spark, root).collect()) == [1, 2]
+            assert case_store.read_alerts(spark, root).count() == 2
+    before = {r.transaction_id: r.case_id for r in case_store.read_cases(spark, root).collect()}
+    case_store.write_cases(judged(spark, [3, 4]), 1, root, documents=document)
+    case_store.write_cases(judged(spark, [1, 2]), 0, root, documents=document)
+    after = {r.transaction_id: r.case_id for r in case_store.read_cases(spark, root).collect()}
+    assert set(after) == {1, 2, 3, 4} and before.items() <= after.items() and len(set(after.values())) == 4
+    for r in case_store.read_cases(spark, root).collect():
+        assert case_store.read_evidence(spark, r.evidence_path).where(F.col("case_id") == r.case_id).count() == 1
+
+
+def test_two_writers_at_once_do_not_share_numbers(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    case_store.write_cases(judged(spark, [1]), 0, root)
+    real = case_store._stage
+
+    def interrupted(rows, path, write_id, attempt):
+        if path.endswith("cases") and write_id == 1:
+            case_store.write_cases(judged(spark, [2]), 2, root)
+        real(rows, path, write_id, attempt)
+
+    with monkeypatch.context() as m, pytest.raises(AnalysisException):
+        m.setattr(case_store, "_stage", interrupted)
+        case_store.write_cases(judged(spark, [3]), 1, root)
+    case_store.write_cases(judged(spark, [3]), 1, root)
+    found = {r.transaction_id: r.case_id for r in case_store.read_cases(spark, root).collect()}
+    assert set(found) == {1, 2, 3} and len(set(found.values())) == 3
 
 
 def test_more_cases_than_four_digits(spark):
