@@ -622,7 +622,8 @@ WINDOW before AS (PARTITION BY user_id ORDER BY ts, transaction_id ROWS BETWEEN
 })
 
 for name, same in {"profile_increments_training": "user_profile_training", "profile_increments_serving": "user_profile_serving",
-                   "profile_increments_newest": "newest_history", "stream_fan_in": "assessment_summary"}.items():
+                   "profile_increments_newest": "newest_history", "stream_fan_in": "assessment_summary",
+                   "sink_history_by_user": "sink_history_store", "velocity_24h_by_user": "velocity_24h"}.items():
     ORACLE[name] = ORACLE[same]
 
 ORACLE["stream_fan_in_late"] = _sql("""

@@ -4,6 +4,7 @@ Times leave as microseconds and lists as text, so that results compare across en
 """
 
 from functools import partial
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -16,7 +17,7 @@ from riskflow.operators import (assess, biometrics, cases, features, history, me
 from riskflow.operators import point_in_time as pit
 from riskflow.plans import batch
 from riskflow.schemas import canonical
-from riskflow.session import fresh_dir, shared_dir
+from riskflow.session import fresh_dir, shared_dir, shares
 from riskflow.sources import case_store, fixtures, profile_store, requests, tables
 from riskflow.streaming import fan_in, history_state, intake, jobs, scoring, user_state, windows
 
@@ -776,6 +777,28 @@ def sink_history_store(spark, folder):
     return tables.history_of(week, current).select("transaction_id", "user_id", _micros("ts").alias("ts_us"))
 
 
+def _by_user(spark, rows):
+    name = f"history_{uuid4().hex}"
+    tables.write_history_by_user(rows, name, fresh_dir(spark, "by_user"), shares(spark))
+    return name
+
+
+@query
+def sink_history_by_user(spark, folder):
+    """The history store bucketed by user, read back for one week and the users seen after it."""
+    name = _by_user(spark, _txn(spark, folder))
+    week = tables.read_history_by_user(spark, name, since="2024-01-18 00:00:00", until=AS_OF)
+    _, current = _past_and_current(spark, folder)
+    return tables.history_of(week, current).select("transaction_id", "user_id", _micros("ts").alias("ts_us"))
+
+
+@query
+def velocity_24h_by_user(spark, folder):
+    """History counts from the bucketed store: its rows are in their users' tasks already."""
+    history_rows = spark.table(_by_user(spark, _narrow(spark, folder)))
+    return pit.point_in_time(history_rows, parts=(pit.LAST_24H,)).select("transaction_id", "count_24h")
+
+
 @query
 def sink_cases(spark, folder):
     """Cases of two writes into one store, both repeated, the first one last: all ids stay as they were given."""

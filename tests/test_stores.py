@@ -62,6 +62,33 @@ def test_history_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(txn_date" in part._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bucketed_history_is_not_shuffled(spark, tmp_path):
+    """A scoring join and the history pass read the store where it lies; results equal those of the plain table."""
+    from riskflow.operators import point_in_time as pit
+    rows = as_rows(spark, make(500, 31, 0.1))
+    tables.write_history_by_user(rows, "history_by_user_test", str(tmp_path / "store"), 8)
+    try:
+        stored = tables.read_history_by_user(spark, "history_by_user_test")
+        asked = rows.where("transaction_id % 5 = 0").selectExpr("user_id", "transaction_id AS asked")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = stored.join(asked, "user_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("FileScan parquet spark_catalog"):]
+        above = plan[:plan.index("FileScan parquet spark_catalog")]
+        assert "Bucketed: true" in side and plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in above
+        got = pit.point_in_time(stored, parts=(pit.LAST_24H, pit.LAST_7D))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = pit.point_in_time(rows, parts=(pit.LAST_24H, pit.LAST_7D))
+        names = ["transaction_id", "count_24h", "count_7d", "failed_transaction_count_7d"]
+        assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+        week = tables.read_history_by_user(spark, "history_by_user_test", since="2024-01-03 00:00:00", until="2024-01-05 00:00:00")
+        assert week.count() == rows.where("ts >= '2024-01-03' AND ts < '2024-01-05'").count()
+        assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in week._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE history_by_user_test")
+
+
 def judged(spark, ids, day="2024-01-02", score=80):
     return spark.createDataFrame([(i, "u", f"{day} 10:{i % 60:02d}:00", 1234.5, score, "REVIEW", "r" * 700) for i in ids],
                                  "transaction_id int, user_id string, ts string, transaction_amount double, "
