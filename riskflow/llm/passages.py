@@ -251,6 +251,7 @@ def removed(docs: DataFrame, key="doc_id", text="text", width=WIDTH) -> DataFram
         copies.select("k1", "k2", F.lit(0).cast("long").alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"), "copies"))
     of_text = of_text.groupBy("k1", "k2").agg(F.max("n_removed").alias("n_removed"), F.max("copies").alias("copies"),
                                               F.max(F.when(F.col("copies") == 1, F.col("kept_sha256"))).alias("kept_sha256"))
+    of_text = stored(of_text, "of_text")  # so that the join below may split a text that very many documents have
     whole = F.coalesce(F.col("copies") > 1, F.lit(False))
     return ids.join(of_text, ["k1", "k2"], "left").select(
         F.col("key").alias(key), "n_words",
