@@ -252,10 +252,14 @@ def groups(docs: DataFrame, key="doc_id", text="text", words=WORDS, distance=DIS
 def deduplicate(docs: DataFrame, key="doc_id", text="text", words=WORDS, distance=DISTANCE) -> DataFrame:
     """`docs` with one row of each group: that of the smallest key (of equal or null keys, the smallest content hash)."""
     heads = groups(docs, key, text, words, distance).select("component_id", "first_content").distinct()
-    own, content, head, first, copy = free(docs, "own_key", "own_content", "head_key", "head_content", "copy_number")
-    heads = heads.toDF(head, first)
+    own, none, content, copy = free(docs, "own_key", "no_key", "own_content", "copy_number")
+
+    def places(k, c):
+        """What names a row, in columns without nulls: the join and the numbering then need one shuffle of the texts."""
+        return {own: F.coalesce(k.cast("string"), F.lit("")), none: k.isNull(), content: c}
+
+    heads = heads.select(*[c.alias(n) for n, c in places(F.col("component_id"), F.col("first_content")).items()])
     k, t = _plain(key, text)
-    rows = docs.withColumns({own: k, content: F.xxhash64(t)})
-    kept = rows.join(heads, F.col(own).eqNullSafe(F.col(head)) & (F.col(content) == F.col(first)), "left_semi")
-    order = W.partitionBy(own, content).orderBy(own)
+    kept = docs.withColumns(places(k, F.xxhash64(t))).join(heads, [own, none, content], "left_semi")
+    order = W.partitionBy(own, none, content).orderBy(own)
     return kept.withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).select(*docs.columns)

@@ -193,6 +193,18 @@ def test_keys_of_any_type_and_columns_with_any_names(spark):
     assert all(kept["a/1"][n] == 101 + 10 * j for j, n in enumerate(names))
 
 
+def test_texts_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = simhash.deduplicate(frame(spark, corpus()))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Exchange" in line and "own_key" in line for line in plan.splitlines()) == 2  # the texts, and the heads
+    above = plan[:plan.index("SortMergeJoin")]
+    assert "Exchange" not in above and "Window" in above
+
+
 def test_empty_table(spark):
     assert simhash.groups(frame(spark, [])).count() == 0 and simhash.deduplicate(frame(spark, [])).count() == 0
 
