@@ -53,13 +53,17 @@ def report(combined: DataFrame) -> DataFrame:
 
 
 def writer(score, as_of, users: DataFrame, known: DataFrame, write=replace_folder):
-    """foreachBatch writer of `report` for gathered rows."""
+    """foreachBatch writer of `report` for gathered rows.
+
+    The branches read the rows of a micro-batch a dozen times, and where a micro-batch only ends waiting the engine does not find what
+    was persisted and runs the joins and their state again for each. So they are written once, to a folder that the next micro-batch
+    replaces and that readers of `path` do not see, and read back.
+    """
     def write_report(batch: DataFrame, batch_id: int, path: str):
-        batch.persist()
-        try:
-            if batch_id and batch.isEmpty():  # nothing left the joins
-                return
-            write(report(assessed(batch, score, as_of, users, known)), batch_id, path)
-        finally:
-            batch.unpersist()
+        stored = f"{path}/_gathered"
+        batch.write.mode("overwrite").parquet(stored)
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(stored)
+        if batch_id and rows.isEmpty():  # nothing left the joins
+            return
+        write(report(assessed(rows, score, as_of, users, known)), batch_id, path)
     return write_report
