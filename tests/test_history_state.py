@@ -107,3 +107,13 @@ def test_rows_without_user_or_time_pass(spark, tmp_path):
     got = {r.transaction_id: r for r in jobs.read_back(out, jobs.run_to_end(out)).collect()}
     assert len(got) == 64 and all(got[i].hist_count == 0 and got[i].hist_avg_amount is None for i in got if i >= 1000)
     assert out.columns[:len(whole.columns)] == whole.columns
+
+
+def test_a_users_rows_leave_in_one_frame_made_at_once(monkeypatch):
+    p, _ = processor()
+    rows = [(3, 5, 30), (1, 1, 10), (2, 1, 20)]
+    monkeypatch.setattr(pd.DataFrame, "__setitem__", None)  # no column is added to a frame
+    out, = p.handleInputRows((7, -1), iter([batch(*rows[:2]), batch(rows[2])]), None)
+    assert out["transaction_id"].tolist() == [1, 2, 3] and out["hist_count"].tolist() == [0, 1, 2]
+    assert out.index.tolist() == [0, 1, 2] and out["hist_avg_amount"].isna().tolist() == [True, False, False]
+    assert {str(k) for k in out.dtypes[1:]} == {"int64", "float64", "bool"}
