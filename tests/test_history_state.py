@@ -117,3 +117,32 @@ def test_a_users_rows_leave_in_one_frame_made_at_once(monkeypatch):
     assert out["transaction_id"].tolist() == [1, 2, 3] and out["hist_count"].tolist() == [0, 1, 2]
     assert out.index.tolist() == [0, 1, 2] and out["hist_avg_amount"].isna().tolist() == [True, False, False]
     assert {str(k) for k in out.dtypes[1:]} == {"int64", "float64", "bool"}
+
+
+def test_own_columns_pass_as_one_text_and_come_back_whole(spark, tmp_path, monkeypatch):
+    carried, made = [], history_state.UserHistory
+
+    def noted(id_type, columns, late):
+        carried.append(columns)
+        return made(id_type, columns, late)
+
+    monkeypatch.setattr(history_state, "UserHistory", noted)
+    jobs.use_keyed_state(spark)
+    rows = spark.sql("""
+        SELECT id AS transaction_id, IF(id < 6, 1, 2) AS user_id, timestamp_micros(1704067200000001 + id * 3600000000) AS ts,
+               element_at(array(0.1D, -0.0D, CAST('NaN' AS DOUBLE), CAST('Infinity' AS DOUBLE), 1e300, NULL, 5e-324, 1D / 3), CAST(id AS INT) + 1) AS transaction_amount,
+               element_at(array('a"b', '', NULL, 'null', '[1,"x"]', 'line\n\t\\\\ \u0001', '\u20ac\U0001F600', ' x '), CAST(id AS INT) + 1) AS device_type,
+               IF(id % 2 = 0, 9007199254740993 + id, NULL) AS large, CAST(id AS TINYINT) AS tiny, id % 3 = 0 AS flag, CAST(id / 7 AS FLOAT) AS ratio,
+               CAST('123456789012345678.000000000000000001' AS DECIMAL(38,18)) + id AS exact, date_add(DATE'1582-10-01', CAST(id AS INT) * 60000) AS day,
+               TIMESTAMP_NTZ'2024-03-31 02:30:00.000001' AS clock_time, IF(id = 3, NULL, array(id, NULL)) AS list, CAST(NULL AS TIMESTAMP) AS never
+        FROM range(8)""")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    out = history_state.follow_history(stream)
+    assert [set(c) for c in carried] == [{"own_columns", "list"}]
+    assert out.dtypes[:len(rows.dtypes)] == rows.dtypes
+    got = jobs.read_back(out, jobs.run_to_end(out))
+    seen = lambda df: sorted(map(repr, df.select(*rows.columns).collect()))
+    assert seen(got) == seen(spark.read.parquet(str(tmp_path / "in")))
+    counts = {r.transaction_id: r.hist_count for r in got.collect()}
+    assert [counts[i] for i in range(8)] == [0, 1, 2, 3, 4, 5, 0, 1]
