@@ -26,11 +26,14 @@ def train(enhanced: DataFrame, out: str, trees=C.TREES, label="fraud_label"):
     split_path = f"{out}/split"  # written once: fitting and evaluating read it many times
     training.stratified_split(enhanced, label).write.mode("overwrite").partitionBy("split").parquet(split_path)
     rows = spark.read.parquet(split_path)
-    train_rows, test_rows = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
+    train_rows = rows.where(F.col("split") == "train")
     balance = metrics.class_balance(train_rows, label).first()
     model = training.fit(train_rows, label, trees=trees, fraud_ratio=balance["fraud_ratio"], encoders_from=rows)
-    tested = training.score(test_rows, model, keep=["transaction_id", label])
-    validated = training.score(rows.where(F.col("split") == "validation"), model, keep=["transaction_id", label])
+    scored = training.score(rows.where(F.col("split") != "train"), model, keep=["transaction_id", label, "split"])
+    scored_path = f"{out}/scored"  # written once: every measure reads it several times, and the trees are walked once per row
+    scored.write.mode("overwrite").partitionBy("split").parquet(scored_path)
+    stored = spark.read.schema(scored.schema).parquet(scored_path)
+    tested, validated = (stored.where(F.col("split") == part).drop("split") for part in ("test", "validation"))
     auc = metrics.auc(tested, "fraud_probability", label)
     importance = training.feature_importance(model, spark)
     metadata = training.model_metadata(spark, auc.first()["auc"] or 0.0, balance["fraud_ratio"] or 0.0,

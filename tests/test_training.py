@@ -124,6 +124,19 @@ def test_results_follow_from_the_saved_model(spark, tmp_path):
     assert [r[0] for r in labels] == [int(p >= 0.5) for p in rows]
 
 
+def test_scores_of_the_parts_are_stored(spark, tmp_path):
+    """The trees are walked once per row of the test and validation part: every measure reads the stored scores."""
+    out = batch.train(small_table(spark, 400), str(tmp_path), trees=2)
+    for name in ("tested", "auc", "validation_auc", "confusion", "report"):
+        assert "UDF" not in out[name]._jdf.queryExecution().optimizedPlan().toString(), name
+    rows = spark.read.parquet(f"{tmp_path}/split")
+    want = training.score(rows.where("split = 'test'"), out["model"], keep=["transaction_id", "fraud_label"])
+    assert out["tested"].schema == want.schema
+    assert sorted(map(tuple, out["tested"].collect())) == sorted(map(tuple, want.collect()))
+    others = training.score(rows.where("split = 'validation'"), out["model"], keep=["fraud_label"])
+    assert out["validation_auc"].first() == metrics.auc(others, "fraud_probability").first()
+
+
 def test_versions_of_a_model(spark, tmp_path):
     """A stream that changes its model between two micro-batches; versions stay as they were, and the log goes back."""
     root, frame = str(tmp_path / "store"), small_table(spark, 400)
