@@ -17,7 +17,7 @@ both, keys plus chance meetings, for N fingerprints: two from about 30 million o
 four billion. Every choice finds the same links; one segment fewer, where that is needed again, would be a scan.
 
 What keeps it whole and bounded: equal fingerprints are one row (a group of copies costs one). Look-ups that meet no
-entry end in a join with the number of entries per key. A key with more than `BLOCK` entries is cut into blocks, and all
+entry end in a join with the number of entries per key, which moves both sides by key at any size. A key with more than `BLOCK` entries is cut into blocks, and all
 pairs of blocks are tasks of their own. Inside a block the links are not listed pair by pair: a search from
 fingerprint to fingerprint takes each one it reaches out of the rest, so a dense group costs one pass and
 yields one link per member. No candidate is dropped.
@@ -228,7 +228,8 @@ def links(fps: DataFrame, distance=DISTANCE, cut=None) -> DataFrame:
     entries = fps.select(F.explode(own).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("entries"))
     probe = lambda s, m: F.struct(_slot(fp, cut, s, m).alias("key"), F.lit(m == 0).alias("own"))
     ball = [probe(s, m) for s, (seg, r) in enumerate(zip(cut, radii(distance, len(cut)))) for m in _ball(*seg, r)]
-    met = fps.select("fp", F.inline(F.array(*ball))).join(entries, "key")
+    # the engine takes the look-ups to be as small as the fingerprints that they are made of, and would broadcast them
+    met = fps.select("fp", F.inline(F.array(*ball))).hint("merge").join(entries, "key")
     cells = met.select("key", "fp", F.inline(_cells(F.col("entries"))))
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role", "fp")
     return dealt.mapInArrow(_links(distance), "a long, b long")
@@ -246,7 +247,7 @@ def groups(docs: DataFrame, key="doc_id", text="text", words=WORDS, distance=DIS
     heads = nodes.groupBy("group").agg(F.min("first").alias("head"))
     of_fp = nodes.join(heads, "group").select("fp", "group", F.col("head.key").alias("component_id"),
                                               F.col("head.content").alias("first_content"))
-    return rows.join(of_fp, "fp")
+    return rows.hint("merge").join(of_fp, "fp")  # copies make the stored rows' files far smaller than the rows
 
 
 def deduplicate(docs: DataFrame, key="doc_id", text="text", words=WORDS, distance=DISTANCE) -> DataFrame:

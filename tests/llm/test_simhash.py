@@ -205,6 +205,19 @@ def test_texts_are_shuffled_once(spark):
     assert "Exchange" not in above and "Window" in above
 
 
+def test_look_ups_are_never_broadcast(spark):
+    """45 rows are made of each fingerprint, which the engine's estimate does not know."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rows_are_not_broadcast_by_the_size_of_their_files(spark):
+    plan = simhash.groups(frame(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
+    whole = next(line for line in plan.splitlines() if "Join" in line)
+    assert "SortMergeJoin" in whole
+
+
 def test_empty_table(spark):
     assert simhash.groups(frame(spark, [])).count() == 0 and simhash.deduplicate(frame(spark, [])).count() == 0
 
