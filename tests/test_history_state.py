@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pandas as pd
+from pyspark.sql import Row
 
 from riskflow.functions.times import DAY_US, HOUR_US
 from riskflow.streaming import history_state, jobs
@@ -146,3 +147,67 @@ def test_own_columns_pass_as_one_text_and_come_back_whole(spark, tmp_path, monke
     assert seen(got) == seen(spark.read.parquet(str(tmp_path / "in")))
     counts = {r.transaction_id: r.hist_count for r in got.collect()}
     assert [counts[i] for i in range(8)] == [0, 1, 2, 3, 4, 5, 0, 1]
+
+
+class Engine(Store):
+    """The store as the engine has it: it counts what it is asked, and of a state it keeps bytes only."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked = []
+
+    def exists(self):
+        self.asked.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def update(self, value):
+        self.asked.append("update")
+        assert [type(v) for v in value] == [bytes]
+        self.value = value
+
+
+def by_rows():
+    engine = Engine()
+    p = history_state.ByRows(history_state.UserHistory("bigint", ["transaction_id"], DAY_US), ["transaction_id"])
+    p.init(engine)
+    return p, engine
+
+
+def test_rows_say_what_frames_say():
+    (p, engine), (frames, _) = by_rows(), processor()
+    for rows in ([(2, 30, 20), (1, 10, 5)], [(3, 31, 8), (9, 12, 100)], [(4, 300, 1), (5, 300.5, 3), (6, 301, 7)]):
+        frame = batch(*rows)
+        want = frames.handleInputRows((7, -1), iter([frame]), None)
+        got = p.handleInputRows((7, -1), iter([Row(**r) for r in frame.to_dict("records")]), None)
+        want = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in pd.concat(list(want)).to_dict("records")]
+        assert [r.asDict() for r in got] == want
+    assert engine.asked.count("update") == 3 and len(engine.timers) == 1
+    nobody = list(p.handleInputRows((None, 3), iter([Row(**r) for r in batch((8, 1, 5)).to_dict("records")]), None))
+    assert nobody[0].hist_count == 0 and nobody[0].is_new_device == 0 and engine.asked.count("update") == 3
+
+
+def test_a_user_that_begins_with_a_history_is_asked_for_nothing():
+    p, engine = by_rows()
+    kept = [Row(t=int(h * HOUR_US), tie=i, amount=Decimal(a), amounts=1, failed=0, fraud=0) for i, h, a in ((12, 250, 6), (11, 240, 4))]
+    start = Row(n=3, amount=Decimal(30), amounts=3, fraud=1, rows=[r.asDict() for r in kept], known_device=["d"], known_location=[], known_merchant=["m1"])
+    p.handleInitialState((7, -1), start, None)
+    got = list(p.handleInputRows((7, -1), iter([Row(**r) for r in batch((1, 251, 9), (2, 252, 1)).to_dict("records")]), None))
+    assert [(r.hist_count, r.hist_avg_amount, r.count_7d, r.is_new_device, r.is_new_merchant) for r in got] == [(5, 8.0, 2, 0, 0), (6, 49 / 6, 3, 0, 1)]
+    assert engine.asked == ["update", "update"]
+
+
+def test_seed_is_one_row_of_a_user(spark):
+    rows = as_rows(spark, make(60, 5, 0.5, days=20))
+    timeless = rows.limit(1).selectExpr("transaction_id + 2000 AS transaction_id", "concat(user_id, 'x') AS user_id", *[
+        "CAST(NULL AS TIMESTAMP) AS ts" if c == "ts" else c for c in rows.columns[2:]])
+    got = {r.user_id: r for r in history_state.seed(rows.union(timeless)).collect()}
+    users = {r.user_id for r in rows.where("user_id IS NOT NULL").collect()}
+    assert users <= set(got) and len(got) == len(users) + 1
+    counts = {r.user_id: r["count"] for r in rows.groupBy("user_id").count().collect()}
+    assert all(got[u].n + len(got[u].rows) == counts[u] for u in users)
+    only, = (got[u] for u in got if u not in users)
+    assert (only.n, only.amount, only.rows) == (0, 0, []) and any(only[c] for c in ("known_device", "known_location", "known_merchant"))
