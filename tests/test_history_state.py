@@ -211,3 +211,14 @@ def test_seed_is_one_row_of_a_user(spark):
     assert all(got[u].n + len(got[u].rows) == counts[u] for u in users)
     only, = (got[u] for u in got if u not in users)
     assert (only.n, only.amount, only.rows) == (0, 0, []) and any(only[c] for c in ("known_device", "known_location", "known_merchant"))
+
+
+def test_users_that_are_numbers_stay_apart_next_to_rows_of_nobody(spark, tmp_path):
+    jobs.use_keyed_state(spark)
+    rows = spark.sql("""SELECT id AS transaction_id, IF(id % 5 = 4, NULL, id % 5) AS user_id, timestamp_micros(1704067200000000 + id * 3600000000) AS ts,
+                        10D AS transaction_amount, 'd' AS device_type FROM range(40)""")
+    rows.write.parquet(str(tmp_path / "in"))
+    out = history_state.follow_history(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    got = {r.transaction_id: r for r in jobs.read_back(out, jobs.run_to_end(out)).collect()}
+    assert [got[i].hist_count for i in range(40)] == [0 if i % 5 == 4 else i // 5 for i in range(40)]
+    assert [got[i].is_new_device for i in range(40)] == [int(i < 4) for i in range(40)]
